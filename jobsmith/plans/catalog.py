@@ -137,8 +137,8 @@ def q_extract_postings(spark, d):
     cfg = {"base_url": "", "selectors": {"job_card": S.SKILL_CARD_SELECTORS, "title": S.CARD_TITLE_SELECTORS,
                                          "company": ["span.companyName"], "location": ["div.companyLocation"],
                                          "salary": ["div.salary-snippet"], "description": ["div.job-snippet"]}}
-    pages = _pages(spark, d)
-    out = H.extract_postings(pages, cfg, keep=("page_id", "url"), base_col=tx.base_of(F.col("url")),
+    pages = _pages(spark, d).withColumnRenamed("url", "page_url")
+    out = H.extract_postings(pages, cfg, keep=("page_id", "page_url"), base_col=tx.base_of(F.col("page_url")),
                              source_name="pages")
     return out.select("page_id", F.col("card_rank").cast("bigint").alias("card_rank"), "card_no", "title", "company",
                       "location", "salary", "description", "url", "source")

@@ -150,7 +150,8 @@ def _search_plan_sql() -> str:
         expr = lit(tpl)
         for ph, val in [("{base}", lit(cfg["base_url"])), ("{query}", "r_name"), ("{location}", loc),
                         ("{start}", start), ("{page}", "page_no::VARCHAR")]:
-            expr = f"replace({expr}, {lit(ph)}, {val})"
+            if ph in tpl:
+                expr = f"replace({expr}, {lit(ph)}, {val})"
         url_cases.append(f"WHEN source = {lit(s)} THEN {expr}")
     return f"""
 SELECT r_regionkey::BIGINT AS query_no, r_name AS query, source, source_no::BIGINT AS source_no, page_no::BIGINT AS page_no,
@@ -405,7 +406,8 @@ u AS (SELECT ordinal, title, url, source FROM p WHERE location = 'en'
       UNION ALL BY NAME SELECT ordinal, title, url, salary FROM p WHERE location = 'de'
       UNION ALL BY NAME SELECT ordinal, title, company, url FROM p WHERE location = 'es'
       UNION ALL BY NAME SELECT ordinal, title, description, url FROM p WHERE location = 'fr')
-SELECT ordinal, {', '.join(f"coalesce({c}, '') AS {c}" for c in fixed.POSTING_7)} FROM u"""
+SELECT ordinal, {', '.join((f"coalesce({c}, '') AS {c}" if c != 'location' else "'' AS location")
+                            for c in fixed.POSTING_7)} FROM u"""
 
 
 def _csv_sql(cols) -> str:
