@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
+from jobsmith.session import spread
 from jobsmith.functions.text import absolute_url, base_of, clean_text, contains_any, py_strip, relative_date
 
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
@@ -262,8 +263,8 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
 
     schema_keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     schema = f"{schema_keep}, fields {FIELD_T}, all_of {ALL_T}, cards {CARD_T}, nodes {NODE_T}, parse_error string"
-    # only the key columns and the html travel to Python
-    return df.select(*keep, html_col).mapInPandas(run, schema)
+    # only the key columns and the html travel to Python; spread tiny inputs over the cores
+    return spread(df.select(*keep, html_col)).mapInPandas(run, schema)
 
 
 # ------------------------------------------------------------ text columns

@@ -18,8 +18,10 @@ from jobsmith.functions.text import first_line, first_match, py_strip, spark_reg
 
 
 def email(text: Column, pattern: str = fixed.EMAIL_PATTERN) -> Column:
-    """first match or ''."""
-    return F.regexp_extract(F.coalesce(text, F.lit("")), spark_regex(pattern), 0)
+    """first match or ''. A cheap '@' test guards the regex scan (no '@', no match)."""
+    t = F.coalesce(text, F.lit(""))
+    rx = F.regexp_extract(t, spark_regex(pattern), 0)
+    return F.when(t.contains("@"), rx).otherwise(F.lit("")) if "@" in pattern else rx
 
 
 def phone(text: Column, pattern: str = fixed.PHONE_PATTERN) -> Column:
@@ -72,9 +74,7 @@ def summary_lines(text: Column, headers: Sequence[str] = tuple(fixed.SUMMARY_HEA
     and opens the summary, after which lines longer than ``cont_len`` are taken too.
     """
     header_rx = spark_regex("^(?:" + "|".join(headers) + ")", ignore_case=True)
-    lines = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), first, last - first + 1)
-    init = F.struct(F.lit(False).alias("done"), F.lit(False).alias("ins"),
-                    F.array().cast("array<string>").alias("out"))
+    raw = F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), first, last - first + 1)
 
     def contact(line):
         c = F.lower(line).contains(word.lower())
@@ -82,33 +82,50 @@ def summary_lines(text: Column, headers: Sequence[str] = tuple(fixed.SUMMARY_HEA
             c = c | line.contains(m)
         return c
 
-    def step(acc, raw):
-        line = py_strip(raw)
+    # per-line facts once (strip, header test, contact test, length), then one left fold whose
+    # step only reads the accumulator and the current element (no outer references, which
+    # higher-order functions would re-evaluate for every element)
+    facts = F.transform(F.transform(raw, py_strip), lambda l: F.struct(
+        l.alias("l"), ((l != "") & l.rlike(header_rx)).alias("h"),
+        ((l == "") | contact(l)).alias("skip"), F.length(l).alias("n")))
+    init = F.struct(F.lit(False).alias("done"), F.lit(False).alias("ins"),
+                    F.array().cast("array<string>").alias("out"))
+
+    def step(acc, x):
         take = F.struct(F.lit(False).alias("done"), F.lit(True).alias("ins"),
-                        F.concat(acc["out"], F.array(line)).alias("out"))
+                        F.concat(acc["out"], F.array(x["l"])).alias("out"))
         stop = F.struct(F.lit(True).alias("done"), acc["ins"].alias("ins"), acc["out"].alias("out"))
-        return (F.when(acc["done"] | (line == ""), acc)
-                .when(line.rlike(header_rx), stop)
-                .when(contact(line), acc)
-                .when(F.length(line) > start_len, take)
-                .when(acc["ins"] & (F.length(line) > cont_len), take)
+        return (F.when(acc["done"] | (x["l"] == ""), acc)
+                .when(x["h"], stop)
+                .when(x["skip"], acc)
+                .when(x["n"] > start_len, take)
+                .when(acc["ins"] & (x["n"] > cont_len), take)
                 .otherwise(acc))
 
-    return F.array_join(F.aggregate(lines, init, step)["out"], " ")
+    return F.array_join(F.aggregate(facts, init, step)["out"], " ")
 
 
-def skill_match(text: Column, terms: Sequence[str] = tuple(fixed.SKILL_TERMS)) -> Column:
+def skill_match(text: Column, terms: Sequence[str] = tuple(fixed.SKILL_TERMS), lowered: bool = False) -> Column:
     """Case-insensitive substring test per term -> sorted distinct array.
 
     Unrolled ``when(contains)`` over the pre-sorted dictionary keeps the projection
     in whole-stage codegen (a lambda ``filter`` would not be), and the result is
-    already in code-point order, so no sort runs per row.
+    already in code-point order, so no sort runs per row. Pass an already
+    lower-cased column with ``lowered=True`` (see ``with_skills``) so ``lower`` runs
+    once per row instead of once per term.
     """
-    lt = F.lower(F.coalesce(text, F.lit("")))
+    lt = F.coalesce(text, F.lit("")) if lowered else F.lower(F.coalesce(text, F.lit("")))
     ordered = sorted(set(terms))
     return F.array_compact(F.array(*[F.when(lt.contains(t.lower()), F.lit(t)) for t in ordered]))
 
 
+def with_skills(df: DataFrame, text_col: str = "text", out: str = "skills",
+                terms: Sequence[str] = tuple(fixed.SKILL_TERMS)) -> DataFrame:
+    """Skills as a column of ``df``: lower-case once in its own projection, then test terms."""
+    return (df.withColumn("__lt", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+            .withColumn(out, skill_match(F.col("__lt"), terms, lowered=True)).drop("__lt"))
+
+
 def company_match(text: Column, companies: Sequence[str] = tuple(fixed.KNOWN_COMPANIES)) -> Column:
     """Case-sensitive substring test, dictionary order."""
     t = F.coalesce(text, F.lit(""))
@@ -152,12 +169,13 @@ def profile(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_i
     t = F.col(text_col)
     title = title_rule(t, rules.get("title_patterns", fixed.TITLE_PATTERNS))
     loc = location_rule(t, rules.get("location_patterns", fixed.LOCATION_PATTERNS))
+    df = df.withColumn("__lt", F.lower(F.coalesce(t, F.lit(""))))  # lower-case once per row
     return df.select(
         *keep,
         first_line(t).alias("name"), email(t).alias("email"), phone(t).alias("phone"),
         loc.alias("location"), title.alias("title"),
         summary_lines(t, rules.get("headers", fixed.SUMMARY_HEADERS)).alias("summary"),
-        skill_match(t, rules.get("skills", fixed.SKILL_TERMS)).alias("skills"),
+        skill_match(F.col("__lt"), rules.get("skills", fixed.SKILL_TERMS), lowered=True).alias("skills"),
         experience_years(t, rules.get("experience_patterns", fixed.EXPERIENCE_PATTERNS)).alias("experience_years"),
         company_match(t, rules.get("companies", fixed.KNOWN_COMPANIES)).alias("companies"),
         education_degrees(t).alias("education"),

@@ -20,7 +20,7 @@ from jobsmith.operators import quality as qa
 from jobsmith.operators import report as rp
 from jobsmith.plans import standins as S
 from jobsmith.plans.search import search_plan
-from jobsmith.session import work_path
+from jobsmith.session import spread, work_path
 from jobsmith.sources import files as io
 
 
@@ -28,6 +28,11 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return io.table(spark, d, name)
 
 
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents for CPU-heavy per-row rules (spread when the scan has few partitions)."""
+    return spread(_t(spark, d, "documents"))
+
+
 # ----------------------------------------------------------- shared shapes
 
 def doc_postings(docs: DataFrame) -> DataFrame:
@@ -54,49 +59,48 @@ def labeled_docs(spark, d) -> DataFrame:
 # ------------------------------------------------------------ text / profile
 
 def q_clean_text(spark, d):
-    return _t(spark, d, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("text_clean"))
+    return _docs(spark, d).select("doc_id", tx.clean_text(F.col("text")).alias("text_clean"))
 
 
 def q_contact_extract(spark, d):
-    return pf.contact_extract(_t(spark, d, "documents"))
+    return pf.contact_extract(_docs(spark, d))
 
 
 def q_title_rule(spark, d):
-    return _t(spark, d, "documents").select("doc_id", pf.title_rule(F.col("text"), S.TITLE_RULES).alias("title"))
+    return _docs(spark, d).select("doc_id", pf.title_rule(F.col("text"), S.TITLE_RULES).alias("title"))
 
 
 def q_location_rule(spark, d):
     loc = pf.location_rule(F.col("text"), S.LOCATION_RULES)
-    return (_t(spark, d, "documents").select("doc_id", loc.alias("location"))
+    return (_docs(spark, d).select("doc_id", loc.alias("location"))
             .withColumn("search_location", pf.search_location(F.col("location"), primary=S.LOCATION_PRIMARY,
                                                               country=S.LOCATION_COUNTRY)))
 
 
 def q_summary_lines(spark, d):
-    return _t(spark, d, "documents").select("doc_id", pf.summary_lines(F.col("text"), S.SUMMARY_HEADERS).alias("summary"))
+    return _docs(spark, d).select("doc_id", pf.summary_lines(F.col("text"), S.SUMMARY_HEADERS).alias("summary"))
 
 
 def q_skill_match(spark, d):
-    sk = pf.skill_match(F.col("text"))
-    return (_t(spark, d, "documents").select("doc_id", sk.alias("s"))
+    return (pf.with_skills(_docs(spark, d).select("doc_id", "text"), "text", "s")
             .select("doc_id", F.array_join("s", ", ").alias("skills"), F.size("s").cast("bigint").alias("n_skills")))
 
 
 def q_company_match(spark, d):
     c = pf.company_match(F.col("text"))
-    return (_t(spark, d, "documents").select("doc_id", c.alias("c"))
+    return (_docs(spark, d).select("doc_id", c.alias("c"))
             .select("doc_id", F.array_join("c", ", ").alias("companies"),
                     F.size("c").cast("bigint").alias("n_companies")))
 
 
 def q_experience_years(spark, d):
-    return _t(spark, d, "documents").select(
+    return _docs(spark, d).select(
         "doc_id", pf.experience_years(F.col("text"), S.EXPERIENCE_RULES).alias("experience_years"))
 
 
 def q_education_degrees(spark, d):
     e = pf.education_degrees(F.col("text"), S.EDUCATION_SECTION, S.DEGREE_RULES)
-    return (_t(spark, d, "documents").select("doc_id", e.alias("e"))
+    return (_docs(spark, d).select("doc_id", e.alias("e"))
             .select("doc_id", F.array_join("e", " | ").alias("education"), F.size("e").cast("bigint").alias("n_degrees")))
 
 

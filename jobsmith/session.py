@@ -60,3 +60,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable lineage cut (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Parallelism guard for CPU-heavy per-row work (regex rules, the HTML parser).
+
+    When the input has fewer partitions than the cluster runs tasks at once (a small
+    table, or one unsplittable file) it is spread round-robin; at scale the scan already
+    has far more partitions than cores and this is a no-op (no shuffle is added).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
