@@ -30,38 +30,46 @@ def has_key(key: str) -> Column:
 
 
 def keep_first(df: DataFrame, key: str, ordinal: str = "ordinal", hash_key: bool = False,
-               drop_empty: bool = True) -> DataFrame:
-    """First row per key by ``ordinal`` (not ``dropDuplicates``: order is defined)."""
-    cols = df.columns
+               drop_empty: bool = True, carry: Sequence[str] | None = None, keep_hash: bool = False) -> DataFrame:
+    """First row per key by ``ordinal`` (not ``dropDuplicates``: order is defined).
+
+    ``carry`` limits the columns that travel through the shuffle (default: all); with
+    ``hash_key`` the shuffle key is ``sha2(key)`` and a long key need not be carried at all.
+    ``keep_hash`` also returns the grouping hash as ``__k`` (for a later anti join).
+    """
+    cols = list(carry) if carry is not None else df.columns
+    if ordinal not in cols:
+        cols.append(ordinal)
     src = df.filter(has_key(key)) if drop_empty else df
     packed = F.struct(*[F.col(c) for c in cols])
-    return (src.groupBy(_key_expr(key, hash_key).alias("__k"))
-            .agg(F.min_by(packed, F.col(ordinal)).alias("__r"))
-            .select("__r.*"))
+    out = (src.groupBy(_key_expr(key, hash_key).alias("__k"))
+           .agg(F.min_by(packed, F.col(ordinal)).alias("__r")))
+    return out.select("__k", "__r.*") if keep_hash else out.select("__r.*")
 
 
 def new_vs_history(batch: DataFrame, history_keys: DataFrame, key: str = "url", ordinal: str = "ordinal",
-                   hash_key: bool = False, ignore_history: bool = False) -> DataFrame:
+                   hash_key: bool = False, ignore_history: bool = False,
+                   carry: Sequence[str] | None = None) -> DataFrame:
     """Rows of a batch not seen before.
 
     Check and insert interleave in the sequential form, so a repeat inside the batch
     drops too (first wins); an empty key never counts as new. ``ignore_history`` keeps
-    every row (J2) - the caller still appends to the history.
+    every row (J2) - the caller still appends to the history. The history side is a
+    key-only, de-duplicated (partial aggregate) scan; AQE picks broadcast or sort-merge
+    from its runtime size.
     """
     if ignore_history:
         return batch
-    first = keep_first(batch, key, ordinal, hash_key)
-    if hash_key:
-        seen = history_keys.select(F.sha2(F.col(key), 256).alias("__k")).distinct()
-        return (first.withColumn("__k", F.sha2(F.col(key), 256))
-                .join(seen, "__k", "left_anti").drop("__k"))
-    return first.join(history_keys.select(key).distinct(), key, "left_anti")
+    first = keep_first(batch, key, ordinal, hash_key, carry=carry, keep_hash=True)
+    seen = history_keys.select(_key_expr(key, hash_key).alias("__k")).distinct()
+    return first.join(seen, "__k", "left_anti").drop("__k")
 
 
 def flag_new(batch: DataFrame, history_keys: DataFrame, key: str, ordinal: str = "ordinal",
              hash_key: bool = False) -> DataFrame:
     """Every batch row plus ``is_new`` (the row that J1 would keep)."""
-    kept = new_vs_history(batch, history_keys, key, ordinal, hash_key).select(ordinal).withColumn("is_new", F.lit(True))
+    kept = (new_vs_history(batch, history_keys, key, ordinal, hash_key, carry=[ordinal])
+            .select(ordinal).withColumn("is_new", F.lit(True)))
     return batch.join(kept, ordinal, "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
 
 

@@ -208,13 +208,13 @@ def q_selector_hits(spark, d):
 
 def q_dedup_keep_first(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    return idn.keep_first(docs, "text", "doc_id", hash_key=True).select("doc_id", "lang", "source", "n_chars")
+    return idn.keep_first(docs, "text", "doc_id", hash_key=True, carry=["doc_id", "lang", "source", "n_chars"])
 
 
 def q_new_vs_history(spark, d):
     batch = _t(spark, d, "documents").select("doc_id", "text", "lang", "source")
     hist = labeled_docs(spark, d).select("text")
-    return idn.new_vs_history(batch, hist, "text", "doc_id", hash_key=True).select("doc_id", "lang", "source")
+    return idn.new_vs_history(batch, hist, "text", "doc_id", hash_key=True, carry=["doc_id", "lang", "source"])
 
 
 def q_history_append(spark, d):
