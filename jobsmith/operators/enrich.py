@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
 from jobsmith.functions.text import canonical_url, url_key_strict
-from jobsmith.operators.identity import keep_first, upsert, upsert_counts
+from jobsmith.operators.identity import has_key, keep_first, upsert, upsert_counts
 
 
 def first_state_row(state: DataFrame, key: str = "url", ordinal: str = "ordinal",
@@ -98,18 +98,39 @@ def enrich_run(postings: DataFrame, state: DataFrame, details: DataFrame, fields
                key: str = "url", ordinal: str = "ordinal", detail_key: str = "canonical_url",
                min_len: int = fixed.ENRICHED_MIN_LEN, param: str = fixed.URL_KEY_PARAM,
                fmt: str = fixed.CLEAN_URL_FORMAT, detail_ordinal: str | None = "ordinal") -> tuple[DataFrame, DataFrame]:
-    """X3 batch body: P8 -> F3/F5 -> J5 -> J4 -> J3. Returns (new_state, flags).
-
-    Skipped rows are not upserted; a failed enrichment still upserts the input row
-    (present fields, including '', overwrite the stored ones).
+    """X3 batch body: P8 -> F3/F5 -> J5 -> J4 -> J3 with the sequential skip rule made exact.
+
+    Sequentially, a posting is skipped when the first state row with its key already holds
+    a description longer than ``min_len`` - and the state changes as earlier postings of the
+    same batch are upserted. A processed posting leaves that row holding its own result
+    (the detail description on success, else its own present description), so for each key
+    every posting after the first one whose result is long enough is skipped as well.
+    That is a per-key ``min(ordinal)`` (partial aggregate) joined back - no window, no hot task.
+    Skipped rows are not upserted; a failed enrichment still upserts the input row.
+    Returns (new_state, flags[key, ordinal, skipped, success]).
     """
     flagged = flag_enriched(postings, state, key, ordinal, min_len)
     todo = with_canonical_url(flagged.filter(~F.col("skipped")), key, param, fmt)
     d_ord = detail_ordinal if detail_ordinal in details.columns else None
     enriched = enrich(todo, details, "canonical_url", detail_key, d_ord)
-    updates = enriched.select(key, ordinal, *fields)
+    long_enough = F.coalesce(F.length("description") > min_len, F.lit(False))
+    first_long = (enriched.filter(has_key(key) & long_enough).groupBy(key)
+                  .agg(F.min(ordinal).alias("__first_long")))
+    # blank key: keyless upserts append, so only the first processed blank posting can become
+    # the row later blank postings are checked against (and only if the state has none)
+    blank = F.col(key).isNotNull() & (F.col(key) == "")
+    first_blank = (enriched.filter(blank).groupBy(key)
+                   .agg(F.min_by(F.struct(long_enough.alias("l"), F.col(ordinal).alias("o")), F.col(ordinal)).alias("f"))
+                   .filter(F.col("f.l")).select(key, F.col("f.o").alias("__first_long"))
+                   .join(state.filter(blank).select(key).distinct(), key, "left_anti"))
+    first_long = first_long.unionByName(first_blank)
+    enriched = enriched.join(first_long, key, "left")
+    later = F.coalesce(F.col(ordinal) > F.col("__first_long"), F.lit(False))
+    processed = enriched.filter(~later).drop("__first_long")
+    updates = processed.select(key, ordinal, *fields)
     new_state = upsert(state, updates, key, fields, ordinal)
-    flags = flagged.select(key, ordinal, "skipped").join(
-        enriched.select(ordinal, "success"), ordinal, "left").withColumn(
-        "success", F.coalesce("success", F.lit(False)))
+    outcome = enriched.select(ordinal, later.alias("__later"), "success")
+    flags = (flagged.select(key, ordinal, "skipped").join(outcome, ordinal, "left")
+             .select(key, ordinal, (F.col("skipped") | F.coalesce("__later", F.lit(False))).alias("skipped"),
+                     (F.coalesce("success", F.lit(False)) & ~F.coalesce("__later", F.lit(False))).alias("success")))
     return new_state, flags

@@ -290,8 +290,8 @@ def q_enrich_stats(spark, d):
     fields = ["description", "posted_date"]
     new_state, flags = en.enrich_run(posts.select("url", "ordinal", *fields), state.select("url", "ordinal", *fields),
                                      details, fields, "url", "ordinal")
-    todo = posts.join(flags.filter(~F.col("skipped")).select("ordinal"), "ordinal", "left_semi")
-    return en.enrich_stats(flags, state, todo, "url", "ordinal")
+    upserted = flags.filter(~F.col("skipped")).select("url", "ordinal")
+    return en.enrich_stats(flags, state, upserted, "url", "ordinal")
 
 
 def q_enrich_upsert(spark, d):

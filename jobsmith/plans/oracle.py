@@ -325,26 +325,37 @@ enriched AS (SELECT f.ordinal, f.url,
              FROM flags f LEFT JOIN details d ON d.canonical_url = f.url WHERE NOT f.skipped)"""
 
 
+def _run_cte() -> str:
+    """Exact sequential skip rule: after the first processed posting per url whose result is
+    longer than the threshold, later postings with that url are skipped."""
+    return f"""{_enrich_cte()},
+firstlong AS (SELECT url, min(ordinal) AS fl FROM enriched
+              WHERE coalesce(length(description) > {fixed.ENRICHED_MIN_LEN}, false) GROUP BY url),
+processed AS (SELECT e.* FROM enriched e LEFT JOIN firstlong f USING (url) WHERE f.fl IS NULL OR e.ordinal <= f.fl),
+n_later AS (SELECT count(*) AS n FROM enriched e JOIN firstlong f USING (url) WHERE e.ordinal > f.fl)"""
+
+
 def _enrich_stats_sql() -> str:
     return f"""
-WITH {_enrich_cte()},
-per_key AS (SELECT url, count(*) AS n, url IN (SELECT url FROM state) AS hit FROM enriched GROUP BY url)
+WITH {_run_cte()},
+per_key AS (SELECT url, count(*) AS n, url IN (SELECT url FROM state) AS hit FROM processed GROUP BY url)
 SELECT
-  (SELECT count(*) FILTER (WHERE skipped) FROM flags) + (SELECT count(*) FILTER (WHERE success) FROM enriched) AS success,
-  (SELECT count(*) FILTER (WHERE NOT success) FROM enriched) AS failed,
-  (SELECT count(*) FILTER (WHERE skipped) FROM flags) AS skipped,
+  (SELECT count(*) FILTER (WHERE skipped) FROM flags) + (SELECT n FROM n_later)
+    + (SELECT count(*) FILTER (WHERE success) FROM processed) AS success,
+  (SELECT count(*) FILTER (WHERE NOT success) FROM processed) AS failed,
+  (SELECT count(*) FILTER (WHERE skipped) FROM flags) + (SELECT n FROM n_later) AS skipped,
   (SELECT coalesce(sum(CASE WHEN hit THEN n ELSE n - 1 END), 0)::BIGINT FROM per_key) AS updated,
   (SELECT coalesce(sum(CASE WHEN hit THEN 0 ELSE 1 END), 0)::BIGINT FROM per_key) AS new"""
 
 
 def _enrich_upsert_sql() -> str:
     return f"""
-WITH {_enrich_cte()},
+WITH {_run_cte()},
 firsts AS (SELECT url, min(ordinal) AS first_ord FROM state GROUP BY url),
 folded AS (SELECT url, min(ordinal) AS ordinal,
                   arg_max(description, ordinal) FILTER (WHERE description IS NOT NULL) AS description,
                   arg_max(posted_date, ordinal) FILTER (WHERE posted_date IS NOT NULL) AS posted_date
-           FROM enriched GROUP BY url),
+           FROM processed GROUP BY url),
 u AS (SELECT folded.*, firsts.first_ord FROM folded LEFT JOIN firsts USING (url))
 SELECT coalesce(s.url, u.url) AS url, CASE WHEN s.ordinal IS NOT NULL THEN 0 ELSE 1 END::BIGINT AS origin,
   coalesce(s.ordinal, u.ordinal) AS ordinal,
