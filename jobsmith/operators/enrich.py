@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from jobsmith.functions import fixed
 from jobsmith.functions.text import canonical_url, url_key_strict
 from jobsmith.operators.identity import has_key, keep_first, upsert, upsert_counts
+from jobsmith.session import cut_lineage
 
 
 def first_state_row(state: DataFrame, key: str = "url", ordinal: str = "ordinal",
@@ -97,7 +98,8 @@ def enrich_stats(flags: DataFrame, state: DataFrame, updates: DataFrame, key: st
 def enrich_run(postings: DataFrame, state: DataFrame, details: DataFrame, fields: Sequence[str],
                key: str = "url", ordinal: str = "ordinal", detail_key: str = "canonical_url",
                min_len: int = fixed.ENRICHED_MIN_LEN, param: str = fixed.URL_KEY_PARAM,
-               fmt: str = fixed.CLEAN_URL_FORMAT, detail_ordinal: str | None = "ordinal") -> tuple[DataFrame, DataFrame]:
+               fmt: str = fixed.CLEAN_URL_FORMAT, detail_ordinal: str | None = "ordinal",
+               materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """X3 batch body: P8 -> F3/F5 -> J5 -> J4 -> J3 with the sequential skip rule made exact.
 
     Sequentially, a posting is skipped when the first state row with its key already holds
@@ -108,8 +110,14 @@ def enrich_run(postings: DataFrame, state: DataFrame, details: DataFrame, fields
     That is a per-key ``min(ordinal)`` (partial aggregate) joined back - no window, no hot task.
     Skipped rows are not upserted; a failed enrichment still upserts the input row.
     Returns (new_state, flags[key, ordinal, skipped, success]).
+
+    ``materialize``: the flagged postings and the per-posting outcome feed several consumers
+    (state merge, flags, counters); they are written once to the shared checkpoint folder
+    instead of being recomputed by each consumer (and a lost executor re-reads, not re-runs).
     """
     flagged = flag_enriched(postings, state, key, ordinal, min_len)
+    if materialize:
+        flagged = cut_lineage(flagged)
     todo = with_canonical_url(flagged.filter(~F.col("skipped")), key, param, fmt)
     d_ord = detail_ordinal if detail_ordinal in details.columns else None
     enriched = enrich(todo, details, "canonical_url", detail_key, d_ord)
@@ -124,12 +132,15 @@ def enrich_run(postings: DataFrame, state: DataFrame, details: DataFrame, fields
                    .filter(F.col("f.l")).select(key, F.col("f.o").alias("__first_long"))
                    .join(state.filter(blank).select(key).distinct(), key, "left_anti"))
     first_long = first_long.unionByName(first_blank)
-    enriched = enriched.join(first_long, key, "left")
     later = F.coalesce(F.col(ordinal) > F.col("__first_long"), F.lit(False))
-    processed = enriched.filter(~later).drop("__first_long")
+    enriched = enriched.join(first_long, key, "left").withColumn("__later", later).drop("__first_long")
+    if materialize:
+        enriched = cut_lineage(enriched)
+    later = F.col("__later")
+    processed = enriched.filter(~later).drop("__later")
     updates = processed.select(key, ordinal, *fields)
     new_state = upsert(state, updates, key, fields, ordinal)
-    outcome = enriched.select(ordinal, later.alias("__later"), "success")
+    outcome = enriched.select(ordinal, "__later", "success")
     flags = (flagged.select(key, ordinal, "skipped").join(outcome, ordinal, "left")
              .select(key, ordinal, (F.col("skipped") | F.coalesce("__later", F.lit(False))).alias("skipped"),
                      (F.coalesce("success", F.lit(False)) & ~F.coalesce("__later", F.lit(False))).alias("success")))

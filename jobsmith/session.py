@@ -56,10 +56,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/work/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable lineage cut (survives executor loss); never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Reliable lineage cut: write the frame once as a table in the shared checkpoint
+    folder and read it back (one computation; survives executor loss; never local)."""
+    path = work_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
