@@ -454,6 +454,45 @@ def q_stream_history(spark, d):
     return spark.read.parquet(hist).select("url", F.col("ordinal").alias("doc_id"))
 
 
+def _ordered_files(spark, df: DataFrame, ordinal: str, name: str, n: int = 4) -> str:
+    """Stage a frame as ``n`` files in ordinal order (arrival order = ordinal order)."""
+    src = work_path(spark, name)
+    b = df.agg(F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi")).first()
+    lo, hi = int(b["lo"]), int(b["hi"])
+    step = (hi - lo) // n + 1
+    for i in range(n):
+        part = df.filter((F.col(ordinal) >= lo + i * step) & (F.col(ordinal) < lo + (i + 1) * step))
+        part.coalesce(1).write.mode("overwrite").parquet(f"{src}/chunk{i}")
+    return src
+
+
+def q_stream_dedup(spark, d):
+    """Engine-state dedup on the url (which duplicate wins is not defined: url only)."""
+    from jobsmith.streaming.history import stream_dedup_state
+    posts = doc_postings(_t(spark, d, "documents")).select("ordinal", "url")
+    src = _ordered_files(spark, posts, "ordinal", "dedup-src")
+    sink, ckpt = work_path(spark, "dedup-sink"), work_path(spark, "dedup-ckpt")
+    stream_dedup_state(spark, f"{src}/*", posts.schema, "url", sink, ckpt).awaitTermination()
+    return spark.read.parquet(sink).select("url")
+
+
+def q_stream_enrich(spark, d):
+    """Postings arrive in four ordered files; each micro-batch runs the enrichment
+    batch body against the newest state version; the last version equals one sequential pass."""
+    from jobsmith.streaming.history import stream_enrich
+    posts, state, details = _enrich_inputs(spark, d)
+    fields = ["description", "posted_date"]
+    p = posts.select("url", "ordinal", *fields)
+    src = _ordered_files(spark, p, "ordinal", "enrich-src")
+    base, ckpt = work_path(spark, "enrich-state"), work_path(spark, "enrich-ckpt")
+    (state.select("url", F.lit(0).alias("origin"), "ordinal", *fields)
+     .write.mode("overwrite").parquet(f"{base}/v=0"))
+    stream_enrich(spark, f"{src}/*", p.schema, base, details, fields, ckpt).awaitTermination()
+    last = spark.read.parquet(base).agg(F.max("v")).first()[0]
+    final = spark.read.parquet(f"{base}/v={last}")
+    return final.select("url", F.length("description").cast("bigint").alias("description_len"), "posted_date")
+
+
 QUERIES = {
     "clean_text": q_clean_text,
     "contact_extract": q_contact_extract,
@@ -508,6 +547,8 @@ QUERIES = {
     "sink_csv": q_sink_csv,
     "sink_json": q_sink_json,
     "stream_history": q_stream_history,
+    "stream_dedup": q_stream_dedup,
+    "stream_enrich": q_stream_enrich,
 }
 
 

@@ -556,3 +556,5 @@ SELECT host, count(*) AS n_pages, count(*) FILTER (WHERE title <> '') AS n_title
 
 
 ORACLE["collect_run"] = _collect_run_sql()
+ORACLE["stream_dedup"] = f"""SELECT DISTINCT url FROM ({doc_postings_sql()}) WHERE url IS NOT NULL AND url <> ''"""
+ORACLE["stream_enrich"] = f"SELECT url, description_len, posted_date FROM ({_enrich_upsert_sql()})"

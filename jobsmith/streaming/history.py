@@ -88,19 +88,20 @@ def stream_dedup_state(spark: SparkSession, source_dir: str, schema: T.StructTyp
 
 def enrich_batch(batch: DataFrame, batch_id: int, state_base: str, details: DataFrame, fields: Sequence[str],
                  key: str, ordinal: str) -> None:
-    """foreachBatch body for X3: read the newest state version, enrich, write version batch_id+1."""
+    """foreachBatch body for X3: read state version ``batch_id`` (seeded as v=0), enrich,
+    write version ``batch_id + 1`` with mode overwrite (a replayed batch rewrites the same version)."""
     spark = batch.sparkSession
     prev = f"{state_base.rstrip('/')}/v={batch_id}"
-    state = spark.read.parquet(prev) if _exists(spark, prev) else None
-    if state is None:
-        schema = batch.select(key, ordinal, *fields).schema
-        state = spark.createDataFrame([], schema)
-    else:
-        state = state.select(key, F.struct("origin", ordinal).alias("__o"), *fields)
+    if _exists(spark, prev):
+        state = spark.read.parquet(prev)
         # re-number the ordered state so the next merge keeps (origin, ordinal) order
-        state = state.withColumn(ordinal, F.col("__o.origin") * F.lit(10**15) + F.col(f"__o.{ordinal}")).drop("__o")
-    new_state, _ = enrich_run(batch, state, details, fields, key, ordinal)
-    new_state.write.mode("overwrite").parquet(f"{state_base.rstrip('/')}/v={batch_id + 1}")
+        state = state.select(key, (F.col("origin").cast("bigint") * F.lit(10**15) + F.col(ordinal)).alias(ordinal),
+                             *fields)
+    else:
+        state = spark.createDataFrame([], batch.select(key, ordinal, *fields).schema)
+    new_state, _ = enrich_run(batch.select(key, ordinal, *fields), state, details, fields, key, ordinal)
+    (new_state.select(key, F.col("origin").cast("int").alias("origin"), ordinal, *fields)
+     .write.mode("overwrite").parquet(f"{state_base.rstrip('/')}/v={batch_id + 1}"))
 
 
 def stream_enrich(spark: SparkSession, source_dir: str, schema: T.StructType, state_base: str,
