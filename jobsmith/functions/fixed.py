@@ -211,4 +211,14 @@ REPORT_DATE_FORMAT = "yyyy-MM-dd"
 # Preview widths used by the quality checks.
 PREVIEW_WIDTHS = {"profile": 100, "report": 300, "sample": 350, "detail": 500, "title": 50}
 EMPTY_MARK = "(empty)"
+# Synthetic postings used by the reference's own tests ({i} = 1..n, {source} = source name).
+MOCK_POSTING = {
+    "title": "Software Engineer {i}",
+    "company": "Tech Company {i}",
+    "salary": "€50,000 - €70,000",
+    "description": "We are looking for a talented software engineer to join our team. Job ID: {i}",
+    "url": "https://example.com/jobs/{source}/{i}",
+}
+MOCK_SOURCES = ["mock_indeed", "mock_irishjobs", "mock_linkedin"]
+MOCK_ROWS_PER_SOURCE = 5
 # ------------------------------------------------------------ end FIXED VALUES

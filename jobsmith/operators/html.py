@@ -331,22 +331,37 @@ def extract_postings(pages: DataFrame, source_cfg: dict, keep: Sequence[str] = (
     with '/' is joined to ``base_col`` (default: the configured base url).
     ``link_mode='link'``: the first ``link`` selector element's href or '' (no base join).
     """
+    ex = extract_card_fields(pages, source_cfg, keep, link_mode)
+    return postings_from_cards(ex, source_cfg, keep, base_col, link_mode, source_name)
+
+
+POSTING_FIELDS = ["title", "company", "location", "salary", "description"]
+
+
+def extract_card_fields(pages: DataFrame, source_cfg: dict, keep: Sequence[str], link_mode: str = "title") -> DataFrame:
+    """One parse per page: card selectors + every field selector inside each card.
+
+    Adds ``n_cards``: number of cards under the H1 fallback rule (0 = no selector hit).
+    """
     sels = source_cfg["selectors"]
-    card_sel = sels["job_card"]
-    names = ["title", "company", "location", "salary", "description"]
-    cf = {n: sels.get(n, []) for n in names}
+    cf = {n: sels.get(n, []) for n in POSTING_FIELDS}
     if link_mode == "link":
         cf["link"] = sels.get("link", ["a.base-card__full-link"])
-    ex = extract_html(pages, keep, cards=card_sel, card_fields=cf)
+    ex = extract_html(pages, keep, cards=sels["job_card"], card_fields=cf)
     win = F.array_min(F.transform("cards", lambda x: x["card_rank"]))
     chosen = F.filter("cards", lambda x: x["card_rank"] == win)
-    # regroup the flat (card, field) list by card: each card has one '' row
-    rows = ex.select(*keep, chosen.alias("ms"))
-    card_rows = rows.select(*keep, "ms", F.explode(F.filter("ms", lambda x: x["field"] == "")).alias("card"))
+    return ex.select(*keep, chosen.alias("ms")).withColumn(
+        "n_cards", F.size(F.filter("ms", lambda x: x["field"] == "")).cast("bigint"))
+
+
+def postings_from_cards(ex: DataFrame, source_cfg: dict, keep: Sequence[str], base_col: Column | None = None,
+                        link_mode: str = "title", source_name: str | None = None) -> DataFrame:
+    """Card rows (from ``extract_card_fields``) -> one posting per card with a title."""
+    card_rows = ex.select(*keep, "ms", F.explode(F.filter("ms", lambda x: x["field"] == "")).alias("card"))
     mine = F.filter("ms", lambda x: x["card_no"] == F.col("card.card_no"))
     out = [F.col(k) for k in keep] + [F.col("card.card_rank").alias("card_rank"),
                                       F.col("card.card_no").cast("bigint").alias("card_no")]
-    for n in names:
+    for n in POSTING_FIELDS:
         first = F.array_min(F.transform(F.filter(mine, _field_is(n)),
                                         lambda x: F.struct(x["rank"].alias("rank"), x["parts"].alias("parts"))))
         out.append(F.coalesce(element_text(first, "clean"), F.lit("")).alias(n))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,3 +112,30 @@ def write_versioned(df: DataFrame, base: str, version: int | str, fmt: str = "pa
 def run_date_partition(df: DataFrame, run_date: str, fmt: str = fixed.DATA_DATE_FORMAT) -> DataFrame:
     """``run_date`` column (job parameter, not the clock) formatted for the sink."""
     return df.withColumn("run_date", F.date_format(F.to_date(F.lit(run_date)), fmt))
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of raw page dumps -> (url = file path, html); one row per file."""
+    return (spark.read.text(path, wholetext=True)
+            .select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html")))
+
+
+def _fill(template: str, i: Column, source: str) -> Column:
+    pre, _, rest = template.partition("{")
+    if not _:
+        return F.lit(template)
+    name, _, post = rest.partition("}")
+    val = i.cast("string") if name == "i" else F.lit(source)
+    return F.concat(F.lit(pre), val, _fill(post, i, source))
+
+
+def mock_postings(spark: SparkSession, source: str, location: str,
+                  n: int = fixed.MOCK_ROWS_PER_SOURCE) -> DataFrame:
+    """The synthetic postings of the reference's tests (ids 1..n in title/company/url)."""
+    i = F.col("id")
+    m = fixed.MOCK_POSTING
+    return spark.range(1, n + 1).select(
+        _fill(m["title"], i, source).alias("title"), _fill(m["company"], i, source).alias("company"),
+        F.lit(location).alias("location"), F.lit(m["salary"]).alias("salary"),
+        _fill(m["description"], i, source).alias("description"), _fill(m["url"], i, source).alias("url"),
+        F.lit(source).alias("source"), i.alias("ordinal"))
