@@ -39,15 +39,30 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset."""
-    cur = spark.sparkContext.getCheckpointDir()
+    """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``);
+    create a local one only when nothing is set (local tests)."""
+    try:
+        cur = spark.sparkContext.getCheckpointDir()
+    except Exception:  # no SparkContext handle (e.g. a remote session): use the conf only
+        cur = None
     if cur:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = tempfile.mkdtemp(prefix="jobsmith-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(conf)
-    return spark.sparkContext.getCheckpointDir() or conf
+        spark.conf.set("spark.checkpoint.dir", conf) if _conf_settable(spark) else None
+    try:
+        spark.sparkContext.setCheckpointDir(conf)
+        return spark.sparkContext.getCheckpointDir() or conf
+    except Exception:
+        return conf
+
+
+def _conf_settable(spark: SparkSession) -> bool:
+    try:
+        return spark.conf.isModifiable("spark.checkpoint.dir")
+    except Exception:
+        return False
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -71,5 +86,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     table, or one unsplittable file) it is spread round-robin; at scale the scan already
     has far more partitions than cores and this is a no-op (no shuffle is added).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    except Exception:  # partition count not available (e.g. remote session): leave the plan alone
+        return df
