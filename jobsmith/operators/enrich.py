@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
 from jobsmith.functions.text import canonical_url, url_key_strict
-from jobsmith.operators.identity import has_key, keep_first, upsert, upsert_counts
+from jobsmith.operators.identity import has_key, keep_first, upsert, upsert_contributions
 from jobsmith.session import cut_lineage
 
 
@@ -84,15 +84,21 @@ def enrich_stats(flags: DataFrame, state: DataFrame, updates: DataFrame, key: st
     """Success (incl. skipped), failed, skipped, updated, new - one row.
 
     ``flags`` has one row per input posting with boolean ``skipped`` and ``success``.
+    One aggregate over the union of per-posting and per-key contributions (no join of
+    one-row frames).
     """
-    a = flags.agg(
-        F.count_if(F.col("skipped") | F.col("success")).alias("success"),
-        F.count_if(~F.col("skipped") & ~F.col("success")).alias("failed"),
-        F.count_if(F.col("skipped")).alias("skipped"))
-    u = upsert_counts(state, updates, key, ordinal)
-    # both sides are single-row aggregates; join on a constant key (no cartesian product)
-    return (a.withColumn("__one", F.lit(1)).join(u.withColumn("__one", F.lit(1)), "__one")
-            .select(*[F.col(c).cast("bigint").alias(c) for c in ("success", "failed", "skipped", "updated", "new")]))
+    z = F.lit(0).cast("bigint")
+
+    def b(c):
+        return F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+
+    per_post = flags.select(b(F.col("skipped") | F.col("success")).alias("s"),
+                            b(~F.col("skipped") & ~F.col("success")).alias("f"),
+                            b(F.col("skipped")).alias("k"), z.alias("u"), z.alias("nw"))
+    per_key = upsert_contributions(state, updates, key).select(z.alias("s"), z.alias("f"), z.alias("k"), "u", "nw")
+    sums = per_post.unionByName(per_key).agg(*[F.sum(c).alias(c) for c in ("s", "f", "k", "u", "nw")])
+    return sums.select(*[F.coalesce(F.col(c), z).alias(n) for c, n in
+                         (("s", "success"), ("f", "failed"), ("k", "skipped"), ("u", "updated"), ("nw", "new"))])
 
 
 def enrich_run(postings: DataFrame, state: DataFrame, details: DataFrame, fields: Sequence[str],

@@ -128,20 +128,25 @@ def upsert(state: DataFrame, updates: DataFrame, key: str, fields: Sequence[str]
     return keyed.unionByName(keyless)
 
 
-def upsert_counts(state: DataFrame, updates: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
-    """A7 part: how many update rows updated an existing row vs inserted one.
+def upsert_contributions(state: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """Per-key (and per keyless row) contributions ``u`` (updated) and ``nw`` (new) of an upsert.
 
     Sequential semantics: the first update of a key not in the state inserts, every
-    later one updates; keyless rows always insert. One partial aggregate + a join of
-    per-key counts (both unique per key).
+    later one updates; keyless rows always insert. Per-key counts are a partial
+    aggregate; the join with the state's keys is unique on both sides.
     """
     per_key = updates.filter(has_key(key)).groupBy(key).agg(F.count("*").alias("n"))
     in_state = state.filter(has_key(key)).select(key).distinct().withColumn("hit", F.lit(True))
     keyed = per_key.join(in_state, key, "left").select(
-        F.when(F.col("hit"), F.col("n")).otherwise(F.col("n") - 1).alias("u"),
-        F.when(F.col("hit"), F.lit(0)).otherwise(F.lit(1)).alias("nw"))
-    keyless = updates.filter(~has_key(key)).select(F.lit(0).cast("bigint").alias("u"), F.lit(1).alias("nw"))
-    return keyed.unionByName(keyless).agg(
+        F.when(F.col("hit"), F.col("n")).otherwise(F.col("n") - 1).cast("bigint").alias("u"),
+        F.when(F.col("hit"), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("nw"))
+    keyless = updates.filter(~has_key(key)).select(F.lit(0).cast("bigint").alias("u"), F.lit(1).cast("bigint").alias("nw"))
+    return keyed.unionByName(keyless)
+
+
+def upsert_counts(state: DataFrame, updates: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
+    """A7 part: how many update rows updated an existing row vs inserted one (one row)."""
+    return upsert_contributions(state, updates, key).agg(
         F.coalesce(F.sum("u"), F.lit(0)).cast("bigint").alias("updated"),
         F.coalesce(F.sum("nw"), F.lit(0)).cast("bigint").alias("new"))
 
