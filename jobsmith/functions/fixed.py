@@ -138,6 +138,16 @@ SOURCES = {
 }
 SOURCE_ORDER = ["indeed", "irishjobs", "linkedin"]
 
+# When paging stops (later pages of the same source and query are dropped):
+# no_cards = a readable page without cards; interstitial = bot-check page text;
+# login_url = the page url holds a login token. An unreadable page never stops.
+PAGE_STOP_RULES = {
+    "indeed": ["no_cards"],
+    "irishjobs": ["interstitial", "no_cards"],
+    "linkedin": ["login_url"],
+}
+LOGIN_URL_TOKENS = ["authwall", "login"]
+
 # Detail-page description selectors (three variants) and acceptance threshold (strict >).
 DESCRIPTION_SELECTORS = {
     "card_detail": ["div#jobDescriptionText", "div.jobsearch-jobDescriptionText", 'div[id*="jobDesc"]',

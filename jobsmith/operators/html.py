@@ -191,7 +191,7 @@ def _text_nodes(root: _Node) -> list[dict]:
 MATCH_T = "tag string, cls string, parts array<string>, href string, inner_href string"
 FIELD_T = f"array<struct<field:string, rank:int, n:int, {MATCH_T}>>"
 ALL_T = f"array<struct<field:string, rank:int, el_no:int, {MATCH_T}>>"
-CARD_T = f"array<struct<card_rank:int, card_no:int, field:string, rank:int, {MATCH_T}>>"
+CARD_T = f"array<struct<card_rank:int, card_no:int, field:string, rank:int, el_no:int, {MATCH_T}>>"
 NODE_T = "array<struct<node_no:int, kind:string, parent_tag:string, parent_cls:string, text:string>>"
 
 
@@ -200,6 +200,7 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
                  all_of: dict[str, Sequence[str]] | None = None,
                  cards: Sequence[str] | None = None,
                  card_fields: dict[str, Sequence[str]] | None = None,
+                 card_all: dict[str, Sequence[str]] | None = None,
                  text_nodes: bool = False) -> DataFrame:
     """One pass per page over every requested selector.
 
@@ -207,7 +208,7 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
       * ``fields``  first match of each page-level (field, rank) selector and ``n`` hits;
       * ``all_of``  every match of each (field, rank) selector, ``el_no`` in document order;
       * ``cards``   per card selector rank and card: the card itself (field '') and the
-        first match of each card field selector inside it;
+        first match of each card field selector inside it (``card_all``: every match, ``el_no``);
       * ``nodes``   every text node with its parent tag/class (when ``text_nodes``).
     """
     keep = list(keep)
@@ -219,6 +220,7 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
     a_specs = [(f, r, parse_selector(s)) for f, sels in all_of.items() for r, s in enumerate(sels)]
     c_specs = [parse_selector(s) for s in cards]
     cf_specs = [(f, r, parse_selector(s)) for f, sels in card_fields.items() for r, s in enumerate(sels)]
+    ca_specs = [(f, r, parse_selector(s)) for f, sels in (card_all or {}).items() for r, s in enumerate(sels)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -245,12 +247,15 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
                 co = []
                 for cr, csel in enumerate(c_specs):
                     for cn, card in enumerate(x for x in elems if _matches(x, csel)):
-                        co.append(_match_struct(card, card_rank=cr, card_no=cn, field="", rank=0))
-                        inner = list(_elements(card)) if cf_specs else []
+                        co.append(_match_struct(card, card_rank=cr, card_no=cn, field="", rank=0, el_no=0))
+                        inner = list(_elements(card)) if (cf_specs or ca_specs) else []
                         for f, r, sel in cf_specs:
                             hit = next((e for e in inner if _matches(e, sel)), None)
                             if hit is not None:
-                                co.append(_match_struct(hit, card_rank=cr, card_no=cn, field=f, rank=r))
+                                co.append(_match_struct(hit, card_rank=cr, card_no=cn, field=f, rank=r, el_no=0))
+                        for f, r, sel in ca_specs:
+                            for i, e in enumerate(x for x in inner if _matches(x, sel)):
+                                co.append(_match_struct(e, card_rank=cr, card_no=cn, field=f, rank=r, el_no=i))
                 c_col.append(co)
                 n_col.append(_text_nodes(root) if text_nodes else [])
             out = pdf[keep].copy()
@@ -350,7 +355,7 @@ def extract_card_fields(pages: DataFrame, source_cfg: dict, keep: Sequence[str],
     ex = extract_html(pages, keep, cards=sels["job_card"], card_fields=cf)
     win = F.array_min(F.transform("cards", lambda x: x["card_rank"]))
     chosen = F.filter("cards", lambda x: x["card_rank"] == win)
-    return ex.select(*keep, chosen.alias("ms")).withColumn(
+    return ex.select(*keep, chosen.alias("ms"), "parse_error").withColumn(
         "n_cards", F.size(F.filter("ms", lambda x: x["field"] == "")).cast("bigint"))
 
 
@@ -384,6 +389,31 @@ def postings_from_cards(ex: DataFrame, source_cfg: dict, keep: Sequence[str], ba
     return res
 
 
+def description_probe(pages: DataFrame, card_selectors: Sequence[str],
+                      probes: Sequence[str] = tuple(fixed.CARD_DESCRIPTION_PROBE),
+                      min_len: int = fixed.CARD_DESCRIPTION_PROBE_MIN_LEN, preview: int = 150, n_divs: int = 5,
+                      keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """In the first card of a page, the first probe selector whose stripped text is
+    longer than ``min_len`` (selector rank, length, preview); when none qualifies, the
+    first ``n_divs`` divs of the card that do, as (class, length) - the listing is the feature."""
+    ex = extract_html(pages, keep, cards=card_selectors, card_fields={"probe": probes}, card_all={"div": ["div"]})
+    win = F.array_min(F.transform("cards", lambda x: x["card_rank"]))
+    first_card = F.filter("cards", lambda x: (x["card_rank"] == win) & (x["card_no"] == 0))
+    stripped = lambda x: py_strip(F.array_join(x["parts"], ""))  # noqa: E731 - get_text().strip()
+    cand = F.transform(F.filter(first_card, _field_is("probe")),
+                       lambda x: F.struct(x["rank"].alias("rank"), stripped(x).alias("t")))
+    hit = F.array_min(F.filter(cand, lambda x: F.length(x["t"]) > min_len))
+    divs = F.transform(F.filter(first_card, _field_is("div")),
+                       lambda x: F.struct(x["el_no"].alias("el_no"), x["cls"].alias("cls"),
+                                          F.length(stripped(x)).alias("n")))
+    listed = F.slice(F.array_sort(F.filter(divs, lambda x: x["n"] > min_len)), 1, n_divs)
+    return ex.select(
+        *keep, hit["rank"].cast("bigint").alias("probe_rank"), F.length(hit["t"]).cast("bigint").alias("length"),
+        F.substring(hit["t"], 1, preview).alias("preview"),
+        F.when(hit.isNull(), F.transform(listed, lambda x: F.concat(x["cls"], F.lit(":"), x["n"].cast("string"))))
+        .alias("divs"))
+
+
 def page_links(pages: DataFrame, token: str, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """H9: count of ``<a href>`` links whose href (lower-cased) contains ``token``."""
     ex = extract_html(pages, keep, all_of={"a": ["a[href]"]})

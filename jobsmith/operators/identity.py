@@ -13,6 +13,7 @@ Scale notes
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,18 @@ def _key_expr(key: str, hash_key: bool) -> Column:
     return F.sha2(F.col(key), 256) if hash_key else F.col(key)
 
 
+def composite_key(*cols: str, hashed: bool = True) -> Column:
+    """One key column from several fields (e.g. title+company+location).
+
+    Fields are joined with a unit separator (no field can fake a boundary) and, by
+    default, hashed so the shuffle key stays 32 bytes; any field null -> null key.
+    """
+    parts = [F.col(c).cast("string") for c in cols]
+    any_null = reduce(lambda a, b: a | b, [p.isNull() for p in parts])
+    joined = F.when(any_null, F.lit(None).cast("string")).otherwise(F.concat_ws("\x1f", *parts))
+    return F.sha2(joined, 256) if hashed else joined
+
+
 def has_key(key: str) -> Column:
     """Null and '' keys both drop."""
     return F.col(key).isNotNull() & (F.col(key).cast("string") != "")

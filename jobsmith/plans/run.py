@@ -18,11 +18,13 @@ them - so "first wins" is decided by data, not by partition order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
+from jobsmith.functions.text import contains_any
 from jobsmith.operators import html as H
 from jobsmith.operators import identity as idn
 from jobsmith.operators import quality as qa
@@ -36,7 +38,8 @@ def collect_postings(pages: DataFrame, sources: Sequence[str] = tuple(fixed.SOUR
                      config: dict | None = None) -> DataFrame:
     """Stored listing pages -> postings of every configured source.
 
-    P13: within (source, query) pages after the first page without cards are dropped.
+    P13: within (source, query) later pages are dropped after the first page that meets the
+    source's stop rule (``fixed.PAGE_STOP_RULES``); an unreadable page is skipped, never stops.
     H1-H5 per source config (third source: link selector, no base join), P4/P5 tags.
     """
     config = config or fixed.SOURCES
@@ -44,9 +47,17 @@ def collect_postings(pages: DataFrame, sources: Sequence[str] = tuple(fixed.SOUR
     for source_no, name in enumerate(sources):
         cfg = config[name]
         mode = "link" if "link" in cfg["selectors"] else "title"
-        src_pages = pages.filter(F.col("source") == name).withColumnRenamed("url", "page_url")
-        ex = H.extract_card_fields(src_pages, cfg, PAGE_KEYS, mode)
-        kept = qa.page_prefix(ex, ["source", "query"], "page_num", F.col("n_cards") == 0)
+        src_pages = (pages.filter(F.col("source") == name).withColumnRenamed("url", "page_url")
+                     .withColumn("blocked", contains_any(F.col("html"), fixed.INTERSTITIAL_ANY))
+                     .withColumn("login", contains_any(F.col("page_url"), fixed.LOGIN_URL_TOKENS, lower=False))
+                     .withColumn("readable", F.col("html").isNotNull()))
+        keys = PAGE_KEYS + ["blocked", "login", "readable"]
+        ex = H.extract_card_fields(src_pages, cfg, keys, mode)
+        readable = F.col("readable") & F.col("parse_error").isNull()
+        rules = {"no_cards": readable & (F.col("n_cards") == 0), "interstitial": F.col("blocked"),
+                 "login_url": F.col("login")}
+        stop = reduce(lambda a, b: a | b, [rules[r] for r in fixed.PAGE_STOP_RULES.get(name, ["no_cards"])])
+        kept = qa.page_prefix(ex, ["source", "query"], "page_num", stop)
         posts = H.postings_from_cards(kept, cfg, PAGE_KEYS, None, mode)
         posts = posts.select(
             F.struct(F.col("query_no").cast("bigint").alias("query_no"), F.lit(source_no).cast("bigint").alias("source_no"),

@@ -8,6 +8,7 @@ Parquet once) so the read stays parallel.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,14 @@ from pyspark.sql import types as T
 
 from jobsmith.functions import fixed
 
+log = logging.getLogger(__name__)
+
 CSV_WRITE = dict(header=True, quote='"', escape='"', emptyValue="", nullValue="",
                  ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8",
                  lineSep="\n")
 CSV_READ = dict(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False,
-                ignoreTrailingWhiteSpace=False, encoding="UTF-8", mode="PERMISSIVE")
+                ignoreTrailingWhiteSpace=False, encoding="UTF-8", mode="PERMISSIVE",
+                ignoreCorruptFiles=True)  # an unreadable file is skipped, the others are read
 
 
 def string_schema(columns: Sequence[str]) -> T.StructType:
@@ -86,8 +90,14 @@ def read_json_maps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] = tuple(fixed.POSTING_7),
-              partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """K1/K3/K8: fixed projection, absent -> '', partitioned output (e.g. source, run_date)."""
+              partition_by: Sequence[str] = (), mode: str = "overwrite", skip_empty: bool = True) -> bool:
+    """K1/K3/K8/K9: fixed projection, absent -> '', partitioned output (e.g. source, run_date).
+
+    Empty input writes nothing and returns False (``isEmpty`` reads at most one row).
+    """
+    if skip_empty and df.isEmpty():
+        log.warning("no rows to write to %s", path)
+        return False
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c)
             for c in columns]
     extra = [F.col(c) for c in partition_by if c not in columns]
@@ -95,11 +105,16 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] = tuple(fixed.POS
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
+    return True
 
 
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON Lines, non-ASCII kept, nulls omitted (absent keys stay absent)."""
+def write_json(df: DataFrame, path: str, mode: str = "overwrite", skip_empty: bool = True) -> bool:
+    """JSON Lines, non-ASCII kept, nulls omitted (absent keys stay absent)."""
+    if skip_empty and df.isEmpty():
+        log.warning("no rows to write to %s", path)
+        return False
     df.write.mode(mode).option("ignoreNullFields", True).json(path)
+    return True
 
 
 def write_versioned(df: DataFrame, base: str, version: int | str, fmt: str = "parquet") -> str:
@@ -109,6 +124,27 @@ def write_versioned(df: DataFrame, base: str, version: int | str, fmt: str = "pa
     return target
 
 
+def latest_version(spark: SparkSession, base: str) -> str | None:
+    """K5: the newest version folder that finished writing (has ``_SUCCESS``); None if none.
+
+    Only folder names are listed (driver-side metadata); no data is read.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return None
+    best = None
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v=") and name[2:].isdigit():
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                v = int(name[2:])
+                best = v if best is None or v > best else best
+    return None if best is None else f"{base.rstrip('/')}/v={best}"
+
+
 def run_date_partition(df: DataFrame, run_date: str, fmt: str = fixed.DATA_DATE_FORMAT) -> DataFrame:
     """``run_date`` column (job parameter, not the clock) formatted for the sink."""
     return df.withColumn("run_date", F.date_format(F.to_date(F.lit(run_date)), fmt))

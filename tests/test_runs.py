@@ -104,3 +104,53 @@ def test_read_pages_folder(spark, tmp_path):
     got = io.read_pages(spark, str(tmp_path)).orderBy("url").collect()
     assert [r["html"] for r in got] == ["<html><h1>A</h1>\n<p>x</p></html>", "<h1>B</h1>"]
     assert got[0]["url"].endswith("a.html") and F is not None
+
+
+def li(title, href):
+    return (f'<li class="jobs-search-results__list-item"><h3 class="base-search-card__title">{title}</h3>'
+            f'<a class="base-card__full-link" href="{href}">x</a></li>')
+
+
+def test_per_source_stop_rules(spark):
+    rows = [
+        ("indeed", "q", 1, 0, "i0", None),                                   # unreadable: skipped, no stop
+        ("indeed", "q", 1, 1, "i1", card("I1", "/i1")),
+        ("irishjobs", "q", 1, 1, "r1", irish("R1", "/r1")),
+        ("irishjobs", "q", 1, 2, "r2", "<p>Please wait while we check your browser</p>" + irish("R2", "/r2")),
+        ("irishjobs", "q", 1, 3, "r3", irish("R3", "/r3")),                 # after the bot page: dropped
+        ("linkedin", "q", 1, 0, "https://www.linkedin.com/jobs/a", "<ul></ul>"),  # empty: skipped only
+        ("linkedin", "q", 1, 1, "https://www.linkedin.com/jobs/b", "<ul>" + li("L1", "/l1") + "</ul>"),
+        ("linkedin", "q", 1, 2, "https://www.linkedin.com/authwall?x", "<ul>" + li("L2", "/l2") + "</ul>"),
+        ("linkedin", "q", 1, 3, "https://www.linkedin.com/jobs/d", "<ul>" + li("L3", "/l3") + "</ul>"),
+    ]
+    got = sorted(r["title"] for r in collect_postings(spark.createDataFrame(rows, PAGE_SCHEMA)).collect())
+    assert got == ["I1", "L1", "R1"]
+
+
+def test_empty_writes_nothing_and_latest_version(spark):
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in fixed.POSTING_7))
+    path = work_path(spark, "empty")
+    assert io.write_csv(empty, path) is False and not os.path.exists(path.replace("file:", ""))
+    base = work_path(spark, "versions")
+    one = spark.createDataFrame([(1,)], "x int")
+    io.write_versioned(one, base, 1)
+    io.write_versioned(one.union(one), base, 2)
+    os.makedirs(base.replace("file:", "") + "/v=3")  # an unfinished version (no _SUCCESS)
+    latest = io.latest_version(spark, base)
+    assert latest.endswith("v=2") and spark.read.parquet(latest).count() == 2
+
+
+def test_composite_key_and_probe(spark):
+    df = spark.createDataFrame([("a", "b", "c"), ("a", "b", None), ("a\x1fb", "", "c")], "t string, co string, l string")
+    keys = [r["k"] for r in df.select(idn.composite_key("t", "co", "l", hashed=False).alias("k")).collect()]
+    assert keys[0] == "a\x1fb\x1fc" and keys[1] is None and keys[2] != keys[0]
+    from jobsmith.operators import html as H
+    html = ('<div class="job_seen_beacon"><div class="job-snippet">short</div><ul><li>' + "u" * 25 + "</li></ul>"
+            '<div class="x">' + "d" * 30 + "</div></div>"
+            '<div class="job_seen_beacon"><div class="y">tiny</div></div>')
+    pages_ = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    r = H.description_probe(pages_, fixed.SOURCES["indeed"]["selectors"]["job_card"]).first()
+    assert r["probe_rank"] == 4 and r["length"] == 25 and r["divs"] is None  # 'ul' is the 5th probe
+    r2 = H.description_probe(pages_, fixed.SOURCES["indeed"]["selectors"]["job_card"],
+                             probes=["div.job-snippet"]).first()
+    assert r2["probe_rank"] is None and r2["divs"] == ["x:30"]
