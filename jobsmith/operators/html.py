@@ -195,6 +195,21 @@ CARD_T = f"array<struct<card_rank:int, card_no:int, field:string, rank:int, el_n
 NODE_T = "array<struct<node_no:int, kind:string, parent_tag:string, parent_cls:string, text:string>>"
 
 
+ARROW_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+MAX_PAGES_PER_BATCH = 256
+
+
+def _cap_arrow_batch(spark, cap: int = MAX_PAGES_PER_BATCH) -> None:
+    """Pages are large rows: a default Arrow batch (10,000 rows) of multi-MB pages would not
+    fit a Python worker, so the batch is capped for jobs that run the extractor."""
+    try:
+        cur = int(spark.conf.get(ARROW_BATCH_CONF, "10000"))
+        if cur <= 0 or cur > cap:
+            spark.conf.set(ARROW_BATCH_CONF, str(cap))
+    except Exception:  # noqa: BLE001 - a read-only conf keeps its value
+        pass
+
+
 def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
                  fields: dict[str, Sequence[str]] | None = None,
                  all_of: dict[str, Sequence[str]] | None = None,
@@ -269,6 +284,7 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
     schema_keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     schema = f"{schema_keep}, fields {FIELD_T}, all_of {ALL_T}, cards {CARD_T}, nodes {NODE_T}, parse_error string"
     # only the key columns and the html travel to Python; spread tiny inputs over the cores
+    _cap_arrow_batch(df.sparkSession)
     return spread(df.select(*keep, html_col)).mapInPandas(run, schema)
 
 

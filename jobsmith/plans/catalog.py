@@ -111,9 +111,9 @@ def q_search_terms(spark, d):
 
 
 def q_search_plan(spark, d):
-    regions = _t(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("query_no"),
-                                            F.col("r_name").alias("query"))
-    p = search_plan(regions, "query", S.SEARCH_LOCATION, S.SEARCH_PAGES)
+    terms = _t(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("query_no"),
+                                        F.col("p_name").alias("query"))
+    p = search_plan(terms, "query", S.SEARCH_LOCATION, S.SEARCH_PAGES)
     return p.select("query_no", "query", "source", F.col("source_no").cast("bigint").alias("source_no"),
                     F.col("page_no").cast("bigint").alias("page_no"), "start", "search_url")
 

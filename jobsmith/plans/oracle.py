@@ -148,16 +148,16 @@ def _search_plan_sql() -> str:
         tpl = cfg["search_url"]
         start = "((page_no - 1) * page_size)::VARCHAR" if cfg["page_mode"] == "offset" else "NULL"
         expr = lit(tpl)
-        for ph, val in [("{base}", lit(cfg["base_url"])), ("{query}", "r_name"), ("{location}", loc),
+        for ph, val in [("{base}", lit(cfg["base_url"])), ("{query}", "p_name"), ("{location}", loc),
                         ("{start}", start), ("{page}", "page_no::VARCHAR")]:
             if ph in tpl:
                 expr = f"replace({expr}, {lit(ph)}, {val})"
         url_cases.append(f"WHEN source = {lit(s)} THEN {expr}")
     return f"""
-SELECT r_regionkey::BIGINT AS query_no, r_name AS query, source, source_no::BIGINT AS source_no, page_no::BIGINT AS page_no,
+SELECT p_partkey::BIGINT AS query_no, p_name AS query, source, source_no::BIGINT AS source_no, page_no::BIGINT AS page_no,
   CASE WHEN page_mode = 'offset' THEN ((page_no - 1) * page_size)::BIGINT END AS start,
   CASE {' '.join(url_cases)} END AS search_url
-FROM region, (VALUES {', '.join(rows)}) s(source, source_no, base_url, page_size, page_mode),
+FROM part, (VALUES {', '.join(rows)}) s(source, source_no, base_url, page_size, page_mode),
      (SELECT unnest(range(1, {S.SEARCH_PAGES} + 1)) AS page_no) p"""
 
 
