@@ -193,7 +193,7 @@ def q_footer_date(spark, d):
 
 
 def q_text_node_grep(spark, d):
-    return H.text_node_grep(_pages(spark, d), S.TEXT_NODE_TOKENS)
+    return H.text_node_grep(_pages(spark, d), S.TEXT_NODE_TOKENS).drop("node_no")
 
 
 def q_source_line_grep(spark, d):

@@ -555,6 +555,21 @@ SELECT host, count(*) AS n_pages, count(*) FILTER (WHERE title <> '') AS n_title
   count(*) FILTER (WHERE page_id IN (SELECT page_id FROM k)) AS n_kept FROM t GROUP BY host"""
 
 
+def _text_node_sql() -> str:
+    """Single-line pages: a text node's parent is the opening tag right before it."""
+    rx = lit("<([a-zA-Z][a-zA-Z0-9]*)([^>]*)>([^<]+)")
+    tok = " OR ".join(f"contains(t, {lit(x)})" for x in S.TEXT_NODE_TOKENS)
+    return f"""
+WITH x AS (SELECT page_id, regexp_extract_all(html, {rx}, 1) AS tags, regexp_extract_all(html, {rx}, 2) AS attrs,
+                  regexp_extract_all(html, {rx}, 3) AS texts FROM pages),
+y AS (SELECT page_id, tags, attrs, texts, unnest(range(1, len(tags) + 1)) AS i FROM x),
+z AS (SELECT page_id, lower(tags[i]) AS tag, attrs[i] AS attr, {decode('texts[i]')} AS t FROM y)
+SELECT page_id, CASE WHEN tag IN ('script', 'style') THEN 'raw' ELSE 'text' END AS kind, tag AS parent_tag,
+  regexp_extract(attr, 'class="([^"]*)"', 1) AS parent_cls, substring({strip_('t')}, 1, {fixed.TEXT_NODE_PREVIEW}) AS text
+FROM z WHERE {tok}"""
+
+
 ORACLE["collect_run"] = _collect_run_sql()
+ORACLE["text_node_grep"] = _text_node_sql()
 ORACLE["stream_dedup"] = f"""SELECT DISTINCT url FROM ({doc_postings_sql()}) WHERE url IS NOT NULL AND url <> ''"""
 ORACLE["stream_enrich"] = f"SELECT url, description_len, posted_date FROM ({_enrich_upsert_sql()})"
