@@ -30,10 +30,13 @@ def untag(x: str) -> str:
 
 
 def decode(x: str) -> str:
+    """The entities present in the data, decoded like Python's ``html.unescape``: these
+    legacy names also decode without ';' ("&amp" -> "&"), unknown ones ("&am") stay;
+    '&amp' last so a decoded '&' never starts a new entity."""
     v = x
-    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-                    ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")]:
-        v = f"replace({v}, {lit(ent)}, {lit(ch)})"
+    for ent, ch in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("#x27", "'"),
+                    ("copy", "©"), ("middot", "·"), ("nbsp", "\u00a0"), ("amp", "&")]:
+        v = f"regexp_replace({v}, {lit('&' + ent + ';?')}, {lit(ch)}, 'g')"
     return v
 
 
