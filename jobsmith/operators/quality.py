@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
-from jobsmith.functions.text import contains_all, contains_any, host_of, is_filled, preview, py_strip
+from jobsmith.functions.text import contains_all, contains_any, is_filled, preview
 
 
 def field_completeness(df: DataFrame, checks: dict[str, Column], group_by: Sequence[str] = ()) -> DataFrame:
@@ -139,8 +139,3 @@ def page_prefix(pages: DataFrame, group_by: Sequence[str], page_col: str, stop:
     stops = (pages.filter(stop).groupBy(*group_by).agg(F.min(page_col).alias("__stop")))
     j = pages.join(stops, list(group_by), "left")
     return j.filter(F.col("__stop").isNull() | (F.col(page_col) < F.col("__stop"))).drop("__stop")
-
-
-__all__ = ["field_completeness", "standard_checks", "progress_pct", "source_stats", "running_total", "first_n",
-           "sample_topk", "title_line", "length_label", "record_profile", "interstitial_flags", "page_prefix",
-           "host_of", "py_strip"]
