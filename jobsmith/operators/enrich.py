@@ -105,7 +105,7 @@ def enrich_run(postings: DataFrame, state: DataFrame, details: DataFrame, fields
                key: str = "url", ordinal: str = "ordinal", detail_key: str = "canonical_url",
                min_len: int = fixed.ENRICHED_MIN_LEN, param: str = fixed.URL_KEY_PARAM,
                fmt: str = fixed.CLEAN_URL_FORMAT, detail_ordinal: str | None = "ordinal",
-               materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+               materialize: bool | str = True) -> tuple[DataFrame, DataFrame]:
     """X3 batch body: P8 -> F3/F5 -> J5 -> J4 -> J3 with the sequential skip rule made exact.
 
     Sequentially, a posting is skipped when the first state row with its key already holds
@@ -120,9 +120,10 @@ def enrich_run(postings: DataFrame, state: DataFrame, details: DataFrame, fields
     ``materialize``: the flagged postings and the per-posting outcome feed several consumers
     (state merge, flags, counters); they are written once to the shared checkpoint folder
     instead of being recomputed by each consumer (and a lost executor re-reads, not re-runs).
+    ``"outcome"`` materializes only the outcome (when the flags are not used afterwards).
     """
     flagged = flag_enriched(postings, state, key, ordinal, min_len)
-    if materialize:
+    if materialize is True:
         flagged = cut_lineage(flagged)
     todo = with_canonical_url(flagged.filter(~F.col("skipped")), key, param, fmt)
     d_ord = detail_ordinal if detail_ordinal in details.columns else None

@@ -99,7 +99,9 @@ def enrich_batch(batch: DataFrame, batch_id: int, state_base: str, details: Data
                              *fields)
     else:
         state = spark.createDataFrame([], batch.select(key, ordinal, *fields).schema)
-    new_state, _ = enrich_run(batch.select(key, ordinal, *fields), state, details, fields, key, ordinal)
+    # the flags are not used here: only the per-posting outcome (read twice) is materialized
+    new_state, _ = enrich_run(batch.select(key, ordinal, *fields), state, details, fields, key, ordinal,
+                              materialize="outcome")
     (new_state.select(key, F.col("origin").cast("int").alias("origin"), ordinal, *fields)
      .write.mode("overwrite").parquet(f"{state_base.rstrip('/')}/v={batch_id + 1}"))
 
