@@ -87,3 +87,30 @@ def test_stream_history_replay_safe(spark):
         history_batch(part, bid, hist, "url", "ordinal")
     again = sorted((r["url"], r["ordinal"]) for r in spark.read.parquet(hist).collect())
     assert again == first
+
+
+def test_json_reader_modes(spark, tmp_path):
+    import pytest
+    good = tmp_path / "good.json"
+    good.write_text('[{"title": "a", "url": "u1"}, {"title": "b", "url": "u2", "extra": "x"}]', encoding="utf-8")
+    bad = tmp_path / "bad.json"
+    bad.write_text('[{"title": "a", "url": "u1"}, {"title": ', encoding="utf-8")  # truncated array
+    schema = io.string_schema(["title", "url"])
+    assert sorted(r["url"] for r in io.read_json(spark, str(good), schema).collect()) == ["u1", "u2"]
+    assert io.read_json(spark, str(bad), schema).count() == 0            # undecodable -> empty
+    assert io.read_json(spark, str(tmp_path / "missing.json"), schema).count() == 0
+    with pytest.raises(Exception):
+        io.read_json(spark, str(bad), schema, strict=True).collect()    # strict raises
+    with pytest.raises(FileNotFoundError):
+        io.read_json(spark, str(tmp_path / "missing.json"), schema, strict=True)
+
+
+def test_csv_header_name_matching(spark, tmp_path):
+    a = tmp_path / "a"
+    a.mkdir()
+    (a / "part.csv").write_text("url,title,extra\nu1,T1,x\n", encoding="utf-8")
+    b = tmp_path / "b"
+    b.mkdir()
+    (b / "part.csv").write_text('title,company,url\n"T, 2",C,u2\n', encoding="utf-8")
+    rows = sorted(tuple(r) for r in io.read_csv(spark, [str(a), str(b), str(tmp_path / "nope")]).collect())
+    assert rows == [("T, 2", "C", "", "", "", "u2", ""), ("T1", "", "", "", "", "u1", "")]
