@@ -104,6 +104,16 @@ def q_education_degrees(spark, d):
             .select("doc_id", F.array_join("e", " | ").alias("education"), F.size("e").cast("bigint").alias("n_degrees")))
 
 
+def q_profile(spark, d):
+    """F9-F20 in one projection with the fixed rule lists (the whole profile per document)."""
+    p = pf.profile(_docs(spark, d).select("doc_id", "text"))
+    return p.select("doc_id", "name", "email", "phone", "location", "title", "summary",
+                    F.array_join("skills", ", ").alias("skills"), "experience_years",
+                    F.array_join("companies", ", ").alias("companies"),
+                    F.array_join("education", " | ").alias("education"),
+                    F.array_join("job_search_queries", "|").alias("job_search_queries"), "search_location")
+
+
 def q_search_terms(spark, d):
     terms = pf.search_terms(F.col("p_type"))
     return (_t(spark, d, "part").select("p_partkey", F.col("p_type").alias("title"), terms.alias("t"))
@@ -503,6 +513,7 @@ QUERIES = {
     "company_match": q_company_match,
     "experience_years": q_experience_years,
     "education_degrees": q_education_degrees,
+    "profile": q_profile,
     "search_terms": q_search_terms,
     "search_plan": q_search_plan,
     "assemble_text": q_assemble_text,

@@ -97,8 +97,8 @@ def _company_sql() -> tuple[str, str]:
     return "concat_ws(', ', " + ", ".join(whens) + ")", "(" + " + ".join(ones) + ")::BIGINT"
 
 
-def _summary_sql() -> str:
-    hdr = lit(duck_regex("^(?:" + "|".join(S.SUMMARY_HEADERS) + ")", True))
+def _summary_sql(headers=None) -> str:
+    hdr = lit(duck_regex("^(?:" + "|".join(headers or S.SUMMARY_HEADERS) + ")", True))
     contact = " OR ".join([f"contains(line, {lit(m)})" for m in fixed.SUMMARY_CONTACT_MARKS]
                           + [f"contains(lower(line), {lit(fixed.SUMMARY_CONTACT_WORD)})"])
     first, last = fixed.SUMMARY_FIRST_LINE, fixed.SUMMARY_LAST_LINE
@@ -123,11 +123,11 @@ t AS (
 SELECT d.doc_id, coalesce(t.summary, '') AS summary FROM documents d LEFT JOIN t USING (doc_id)"""
 
 
-def _education_sql() -> str:
-    sec_rx = lit(duck_regex(S.EDUCATION_SECTION, True, True))
+def _education_sql(section=None, rules=None) -> str:
+    sec_rx = lit(duck_regex(section or S.EDUCATION_SECTION, True, True))
     sec = f"CASE WHEN regexp_matches(text, {sec_rx}) THEN regexp_extract(text, {sec_rx}, 1) ELSE '' END"
     lists = []
-    for p in S.DEGREE_RULES:
+    for p in rules or S.DEGREE_RULES:
         rx = lit(duck_regex(p, True))
         g1 = f"regexp_extract_all(sec, {rx}, 1)"
         g2 = f"regexp_extract_all(sec, {rx}, 2)"
@@ -572,7 +572,35 @@ SELECT page_id, CASE WHEN tag IN ('script', 'style') THEN 'raw' ELSE 'text' END
 FROM z WHERE {tok}"""
 
 
+def _profile_sql() -> str:
+    skills, _ = _skill_sql()
+    comps, _ = _company_sql()
+    title = f"coalesce({ranked_first('text', fixed.TITLE_PATTERNS)}, '')"
+    loc = f"coalesce({ranked_first('text', fixed.LOCATION_PATTERNS)}, '')"
+    exp = ranked_first("coalesce(text, '')", fixed.EXPERIENCE_PATTERNS, True, 1, strip=False)
+    prio = "[" + ", ".join(lit(t) for t in fixed.PRIORITY_TITLES) + "]"
+    terms = (f"list_slice(CASE WHEN title <> '' AND NOT list_contains({prio}, title) "
+             f"THEN list_prepend(title, {prio}) ELSE {prio} END, 1, {fixed.SEARCH_TERMS_CAP})")
+    p, c, dflt = (lit(fixed.SEARCH_LOCATION_PRIMARY), lit(fixed.SEARCH_LOCATION_COUNTRY),
+                  lit(fixed.SEARCH_LOCATION_DEFAULT))
+    return f"""
+WITH b AS (SELECT doc_id, text, {first_line('text')} AS name,
+             CASE WHEN contains(coalesce(text, ''), '@')
+                  THEN regexp_extract(coalesce(text, ''), {lit(duck_regex(fixed.EMAIL_PATTERN))}, 0) ELSE '' END AS email,
+             regexp_extract(coalesce(text, ''), {lit(duck_regex(fixed.PHONE_PATTERN))}, 0) AS phone,
+             {loc} AS location, {title} AS title, {skills} AS skills,
+             coalesce(TRY_CAST({exp} AS BIGINT), 0)::BIGINT AS experience_years, {comps} AS companies FROM documents),
+s AS ({_summary_sql(fixed.SUMMARY_HEADERS)}),
+e AS ({_education_sql(fixed.EDUCATION_SECTION, fixed.DEGREE_PATTERNS)})
+SELECT b.doc_id, name, email, phone, location, title, s.summary, skills, experience_years, companies, e.education,
+  array_to_string({terms}, '|') AS job_search_queries,
+  CASE WHEN contains(location, {p}) THEN {p} WHEN contains(location, {c}) THEN {c}
+       WHEN location <> '' THEN location ELSE {dflt} END AS search_location
+FROM b JOIN s USING (doc_id) JOIN e USING (doc_id)"""
+
+
 ORACLE["collect_run"] = _collect_run_sql()
+ORACLE["profile"] = _profile_sql()
 ORACLE["text_node_grep"] = _text_node_sql()
 ORACLE["stream_dedup"] = f"""SELECT DISTINCT url FROM ({doc_postings_sql()}) WHERE url IS NOT NULL AND url <> ''"""
 ORACLE["stream_enrich"] = f"SELECT url, description_len, posted_date FROM ({_enrich_upsert_sql()})"
