@@ -224,7 +224,9 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
       * ``all_of``  every match of each (field, rank) selector, ``el_no`` in document order;
       * ``cards``   per card selector rank and card: the card itself (field '') and the
         first match of each card field selector inside it (``card_all``: every match, ``el_no``);
-      * ``nodes``   every text node with its parent tag/class (when ``text_nodes``).
+      * ``nodes``   every text node with its parent tag/class (when ``text_nodes``);
+      * ``parse_error`` null, or the error of a page that could not be parsed (its arrays are
+        empty; the other pages continue).
     """
     keep = list(keep)
     fields = {k: list(v) for k, v in (fields or {}).items()}
