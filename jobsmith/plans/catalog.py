@@ -20,7 +20,7 @@ from jobsmith.operators import quality as qa
 from jobsmith.operators import report as rp
 from jobsmith.plans import standins as S
 from jobsmith.plans.search import search_plan
-from jobsmith.session import spread, work_path
+from jobsmith.session import cut_lineage, spread, work_path
 from jobsmith.sources import files as io
 
 
@@ -184,7 +184,8 @@ def q_interstitial_flag(spark, d):
 
 def q_page_prefix(spark, d):
     pages = _pages(spark, d)
-    counts = H.card_counts(pages, [S.PREFIX_CARD_SELECTOR], keep=("page_id", "url"))
+    # the per-page card counts feed both the stop aggregate and the join: parse once
+    counts = cut_lineage(H.card_counts(pages, [S.PREFIX_CARD_SELECTOR], keep=("page_id", "url")), "card-counts")
     counts = counts.withColumn("host", tx.host_of(F.col("url")))
     kept = qa.page_prefix(counts, ["host"], "page_id", F.col("n_cards") == 0)
     return kept.select("host", "page_id", "n_cards")
@@ -576,7 +577,8 @@ def normalized_url(url):
 def collect_run(pages: DataFrame) -> DataFrame:
     """Minimum slice end to end: pages -> h1 title -> drop untitled -> keep first per
     normalised url -> per-host found / kept counts."""
-    titled = (H.select_text(pages, {"title": ["h1"]}, keep=("page_id", "url"))
+    # the extracted titles feed both the keep-first and the per-host counts: parse once
+    titled = (cut_lineage(H.select_text(pages, {"title": ["h1"]}, keep=("page_id", "url")), "titles")
               .withColumn("norm_url", normalized_url(F.col("url")))
               .withColumn("host", tx.host_of(F.col("url"))))
     kept = idn.keep_first(titled.filter(F.col("title") != ""), "norm_url", "page_id").select(

@@ -29,6 +29,7 @@ from jobsmith.operators import html as H
 from jobsmith.operators import identity as idn
 from jobsmith.operators import quality as qa
 from jobsmith.operators import report as rp
+from jobsmith.session import cut_lineage
 from jobsmith.sources import files as io
 
 PAGE_KEYS = ["source", "query", "query_no", "page_num", "page_url"]
@@ -52,7 +53,8 @@ def collect_postings(pages: DataFrame, sources: Sequence[str] = tuple(fixed.SOUR
                      .withColumn("login", contains_any(F.col("page_url"), fixed.LOGIN_URL_TOKENS, lower=False))
                      .withColumn("readable", F.col("html").isNotNull()))
         keys = PAGE_KEYS + ["blocked", "login", "readable"]
-        ex = H.extract_card_fields(src_pages, cfg, keys, mode)
+        # the parse output feeds the stop aggregate and the postings: written once, read twice
+        ex = cut_lineage(H.extract_card_fields(src_pages, cfg, keys, mode), f"cards-{name}")
         readable = F.col("readable") & F.col("parse_error").isNull()
         rules = {"no_cards": readable & (F.col("n_cards") == 0), "interstitial": F.col("blocked"),
                  "login_url": F.col("login")}
