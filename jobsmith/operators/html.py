@@ -535,6 +535,22 @@ def selector_hits(pages: DataFrame, selectors: Sequence[str], keep: Sequence[str
                     F.coalesce("pages_accepted", F.lit(0)).cast("bigint").alias("pages_accepted")))
 
 
+def selector_samples(pages: DataFrame, selectors: Sequence[str], k: int = 3, width: int = 200,
+                     keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Per page and selector, the number of hits and the first ``k`` hit texts
+    (stripped, cut to ``width``) in document order - a probe report, the cut is the feature.
+    Map-only: every match of a page is already in that page's row."""
+    ex = extract_html(pages, keep, all_of={"s": selectors})
+    sel = F.array(*[F.lit(x) for x in selectors])
+    per = F.transform(F.sequence(F.lit(0), F.lit(len(selectors) - 1)), lambda r: F.struct(
+        F.element_at(sel, r + 1).alias("selector"),
+        F.size(F.filter("all_of", lambda x: x["rank"] == r)).cast("bigint").alias("n"),
+        F.transform(F.filter("all_of", lambda x: (x["rank"] == r) & (x["el_no"] < k)),
+                    lambda x: F.substring(py_strip(F.array_join(x["parts"], "")), 1, width)).alias("samples")))
+    return (ex.select(*keep, F.explode(per).alias("p")).filter(F.col("p.n") > 0)
+            .select(*keep, "p.selector", "p.n", "p.samples"))
+
+
 def card_counts(pages: DataFrame, card_selectors: Sequence[str], keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """Number of cards per page under the H1 fallback rule (0 when no selector hits)."""
     ex = extract_html(pages, keep, fields={"c": card_selectors})

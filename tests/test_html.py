@@ -124,3 +124,26 @@ def test_parse_error_is_reported_not_fatal(spark):
     pages = pages_df(spark, [(1, "u", None), (2, "u", "<p>ok</p>")])
     out = H.extract_html(pages, ["page_id"], fields={"p": ["p"]}).orderBy("page_id").collect()
     assert out[0]["fields"] == [] and out[1]["fields"][0]["n"] == 1
+
+
+def test_selector_samples_first_k(spark):
+    html = "<ul>" + "".join(f"<li> item {i} </li>" for i in range(5)) + "</ul><p>x</p>"
+    pages = pages_df(spark, [(1, "u", html)])
+    rows = {r["selector"]: r for r in H.selector_samples(pages, ["li", "p", "h1"], k=3).collect()}
+    assert rows["li"]["n"] == 5 and rows["li"]["samples"] == ["item 0", "item 1", "item 2"]
+    assert rows["p"]["samples"] == ["x"] and "h1" not in rows
+
+
+def test_config_tables(spark):
+    from jobsmith.sources import config as cfg
+    src = {r["source"]: r for r in cfg.sources_df(spark).collect()}
+    assert src["indeed"]["page_size"] == 10 and src["irishjobs"]["page_mode"] == "number"
+    sels = cfg.selectors_df(spark).filter("source = 'linkedin' AND field = 'job_card'").collect()
+    assert [(r["rank"], r["selector"]) for r in sels] == [(0, "li.jobs-search-results__list-item")]
+    assert cfg.source_config("unknown")["selectors"] == {}
+
+
+def test_report_title_terms(spark):
+    from jobsmith.operators.report import report_title_terms
+    df = spark.createDataFrame([(["a", "b", "c", "d"],), (["x"],)], "t array<string>")
+    assert [r[0] for r in df.select(report_title_terms(F.col("t"))).collect()] == ["a, b, c", "x"]
