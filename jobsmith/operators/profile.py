@@ -119,6 +119,39 @@ def skill_match(text: Column, terms: Sequence[str] = tuple(fixed.SKILL_TERMS), l
     return F.array_compact(F.array(*[F.when(lt.contains(t.lower()), F.lit(t)) for t in ordered]))
 
 
+def dictionary_match(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text",
+                     term: str = "term", ignore_case: bool = True, gram: int = 3) -> DataFrame:
+    """J8/A9 for dictionaries too large to unroll: exact substring matching, no cartesian product.
+
+    A term can only occur in a text that contains its first ``gram`` characters (or the whole
+    term when it is shorter), so an equi-join on those grams yields every candidate
+    (doc, term) pair; ``contains`` then verifies each candidate. Documents explode their
+    distinct grams of the lengths the dictionary needs (linear in the text); the dictionary
+    side is small per gram, and a gram present in a third of all texts is only a hot key on
+    the side AQE broadcasts or splits. Returns (key, matched terms sorted, code-point order).
+    """
+    norm = F.lower if ignore_case else (lambda c: c)
+    t = (terms.select(F.col(term).alias("__term")).filter(F.col("__term").isNotNull() & (F.col("__term") != ""))
+         .distinct().withColumn("__lt", norm(F.col("__term"))))
+    t = t.withColumn("__g", F.substring("__lt", 1, gram)).withColumn("__k", F.length("__g"))
+    lengths = [r[0] for r in t.select("__k").distinct().collect()]  # at most ``gram`` small ints
+    d = docs.select(F.col(key).alias("__key"), norm(F.coalesce(F.col(text), F.lit(""))).alias("__lt_doc"))
+    grams = None
+    for k in sorted(lengths):
+        # every overlapping k-gram in one native regex pass (zero-width lookahead capture)
+        rx = F.lit("(?s)(?=(.{%d}))" % k)
+        g = d.select("__key", F.lit(k).alias("__k"),
+                     F.explode(F.array_distinct(F.regexp_extract_all("__lt_doc", rx, F.lit(1)))).alias("__g"))
+        grams = g if grams is None else grams.unionByName(g)
+    if grams is None:
+        return d.select(F.col("__key").alias(key), F.array().cast("array<string>").alias("terms"))
+    cand = grams.join(t, ["__k", "__g"]).select("__key", "__term", "__lt").distinct()
+    hits = (cand.join(d, "__key").filter(F.col("__lt_doc").contains(F.col("__lt")))
+            .groupBy("__key").agg(F.array_sort(F.collect_set("__term")).alias("terms")))
+    return (d.select("__key").join(hits, "__key", "left")
+            .select(F.col("__key").alias(key), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")))
+
+
 def with_skills(df: DataFrame, text_col: str = "text", out: str = "skills",
                 terms: Sequence[str] = tuple(fixed.SKILL_TERMS)) -> DataFrame:
     """Skills as a column of ``df``: lower-case once in its own projection, then test terms."""

@@ -86,6 +86,14 @@ def q_skill_match(spark, d):
             .select("doc_id", F.array_join("s", ", ").alias("skills"), F.size("s").cast("bigint").alias("n_skills")))
 
 
+def q_dictionary_match(spark, d):
+    """J8 large-dictionary path (gram equi-join + verification) with the skill dictionary as a
+    table; must equal the unrolled ``skill_match``."""
+    terms = spark.createDataFrame([(t,) for t in fixed.SKILL_TERMS], "term string")
+    m = pf.dictionary_match(_docs(spark, d).select("doc_id", "text"), terms)
+    return m.select("doc_id", F.array_join("terms", ", ").alias("skills"), F.size("terms").cast("bigint").alias("n_skills"))
+
+
 def q_company_match(spark, d):
     c = pf.company_match(F.col("text"))
     return (_docs(spark, d).select("doc_id", c.alias("c"))
@@ -511,6 +519,7 @@ QUERIES = {
     "location_rule": q_location_rule,
     "summary_lines": q_summary_lines,
     "skill_match": q_skill_match,
+    "dictionary_match": q_dictionary_match,
     "company_match": q_company_match,
     "experience_years": q_experience_years,
     "education_degrees": q_education_degrees,

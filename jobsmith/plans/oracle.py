@@ -601,6 +601,7 @@ FROM b JOIN s USING (doc_id) JOIN e USING (doc_id)"""
 
 ORACLE["collect_run"] = _collect_run_sql()
 ORACLE["profile"] = _profile_sql()
+ORACLE["dictionary_match"] = ORACLE["skill_match"]
 ORACLE["text_node_grep"] = _text_node_sql()
 ORACLE["stream_dedup"] = f"""SELECT DISTINCT url FROM ({doc_postings_sql()}) WHERE url IS NOT NULL AND url <> ''"""
 ORACLE["stream_enrich"] = f"SELECT url, description_len, posted_date FROM ({_enrich_upsert_sql()})"
