@@ -143,13 +143,17 @@ def dictionary_match(docs: DataFrame, terms: DataFrame, key: str = "doc_id", tex
         g = d.select("__key", F.lit(k).alias("__k"),
                      F.explode(F.array_distinct(F.regexp_extract_all("__lt_doc", rx, F.lit(1)))).alias("__g"))
         grams = g if grams is None else grams.unionByName(g)
+    empty = F.array().cast("array<struct<__term:string,__lt:string>>")
     if grams is None:
         return d.select(F.col("__key").alias(key), F.array().cast("array<string>").alias("terms"))
-    cand = grams.join(t, ["__k", "__g"]).select("__key", "__term", "__lt").distinct()
-    hits = (cand.join(d, "__key").filter(F.col("__lt_doc").contains(F.col("__lt")))
-            .groupBy("__key").agg(F.array_sort(F.collect_set("__term")).alias("terms")))
-    return (d.select("__key").join(hits, "__key", "left")
-            .select(F.col("__key").alias(key), F.coalesce("terms", F.array().cast("array<string>")).alias("terms")))
+    # each term has exactly one (length, gram) key and grams are distinct per text, so the
+    # candidate pairs are unique; they are collected per text (small rows, partial aggregate)
+    # and verified inside the row after one join with the texts
+    cand = (grams.join(t, ["__k", "__g"]).groupBy("__key")
+            .agg(F.collect_list(F.struct("__term", "__lt")).alias("__c")))
+    j = d.join(cand, "__key", "left")
+    ok = F.filter(F.coalesce(F.col("__c"), empty), lambda c: F.col("__lt_doc").contains(c["__lt"]))
+    return j.select(F.col("__key").alias(key), F.array_sort(F.transform(ok, lambda c: c["__term"])).alias("terms"))
 
 
 def with_skills(df: DataFrame, text_col: str = "text", out: str = "skills",
