@@ -68,13 +68,14 @@ def new_vs_history(batch: DataFrame, history_keys: DataFrame, key: str = "url",
     Check and insert interleave in the sequential form, so a repeat inside the batch
     drops too (first wins); an empty key never counts as new. ``ignore_history`` keeps
     every row (J2) - the caller still appends to the history. The history side is a
-    key-only, de-duplicated (partial aggregate) scan; AQE picks broadcast or sort-merge
-    from its runtime size.
+    key-only scan with no de-duplication (an anti join ignores repeats on its right side,
+    so no aggregate over the whole history runs); AQE picks broadcast or sort-merge from
+    its runtime size.
     """
     if ignore_history:
         return batch
     first = keep_first(batch, key, ordinal, hash_key, carry=carry, keep_hash=True)
-    seen = history_keys.select(_key_expr(key, hash_key).alias("__k")).distinct()
+    seen = history_keys.select(_key_expr(key, hash_key).alias("__k"))
     return first.join(seen, "__k", "left_anti").drop("__k")
 
 

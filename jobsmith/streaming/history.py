@@ -48,10 +48,10 @@ def history_batch(batch: DataFrame, batch_id: int, history_path: str, key: str,
     if _exists(spark, history_path):
         hist = spark.read.parquet(history_path).filter(F.col("batch_id") != batch_id)
         if hash_key:
-            seen = hist.select(F.sha2(F.col(key), 256).alias("__k")).distinct()
+            seen = hist.select(F.sha2(F.col(key), 256).alias("__k"))
             new = first.withColumn("__k", F.sha2(F.col(key), 256)).join(seen, "__k", "left_anti").drop("__k")
         else:
-            new = first.join(hist.select(key).distinct(), key, "left_anti")
+            new = first.join(hist.select(key), key, "left_anti")  # anti join: no distinct needed
     else:
         new = first
     new.write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/batch_id={batch_id}")
