@@ -137,7 +137,7 @@ def enrich_run(postings: DataFrame, state: DataFrame, details: DataFrame, fields
     first_blank = (enriched.filter(blank).groupBy(key)
                    .agg(F.min_by(F.struct(long_enough.alias("l"), F.col(ordinal).alias("o")), F.col(ordinal)).alias("f"))
                    .filter(F.col("f.l")).select(key, F.col("f.o").alias("__first_long"))
-                   .join(state.filter(blank).select(key).distinct(), key, "left_anti"))
+                   .join(state.filter(blank).select(key), key, "left_anti"))
     first_long = first_long.unionByName(first_blank)
     later = F.coalesce(F.col(ordinal) > F.col("__first_long"), F.lit(False))
     enriched = enriched.join(first_long, key, "left").withColumn("__later", later).drop("__first_long")

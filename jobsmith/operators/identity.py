@@ -147,13 +147,16 @@ def upsert_contributions(state: DataFrame, updates: DataFrame, key: str) -> Data
 
     Sequential semantics: the first update of a key not in the state inserts, every
     later one updates; keyless rows always insert. Per-key counts are a partial
-    aggregate; the join with the state's keys is unique on both sides.
+    aggregate; membership in the state is a semi / anti join.
     """
     per_key = updates.filter(has_key(key)).groupBy(key).agg(F.count("*").alias("n"))
-    in_state = state.filter(has_key(key)).select(key).distinct().withColumn("hit", F.lit(True))
-    keyed = per_key.join(in_state, key, "left").select(
-        F.when(F.col("hit"), F.col("n")).otherwise(F.col("n") - 1).cast("bigint").alias("u"),
-        F.when(F.col("hit"), F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("nw"))
+    state_keys = state.filter(has_key(key)).select(key)
+    # semi / anti joins against the state keys: no aggregate over the (large) state
+    hit = per_key.join(state_keys, key, "left_semi").select(
+        F.col("n").cast("bigint").alias("u"), F.lit(0).cast("bigint").alias("nw"))
+    miss = per_key.join(state_keys, key, "left_anti").select(
+        (F.col("n") - 1).cast("bigint").alias("u"), F.lit(1).cast("bigint").alias("nw"))
+    keyed = hit.unionByName(miss)
     keyless = updates.filter(~has_key(key)).select(F.lit(0).cast("bigint").alias("u"), F.lit(1).cast("bigint").alias("nw"))
     return keyed.unionByName(keyless)
 
