@@ -27,20 +27,29 @@ def first_state_row(state: DataFrame, key: str = "url", ordinal: str = "ordinal"
             .agg(F.min_by(packed, F.col(ordinal)).alias("__s")).select(key, "__s.*"))
 
 
+def enriched_keys(state: DataFrame, key: str = "url", ordinal: str = "ordinal",
+                  min_len: int = fixed.ENRICHED_MIN_LEN) -> DataFrame:
+    """Keys whose first state row holds a description longer than ``min_len``.
+
+    The length test runs before the aggregate, so only (key, ordinal, flag) is shuffled,
+    never the description text.
+    """
+    flagged = state.select(key, ordinal, F.coalesce(F.length("description") > min_len, F.lit(False)).alias("__ok"))
+    return (flagged.filter(F.col(key).isNotNull()).groupBy(key)
+            .agg(F.min_by("__ok", F.col(ordinal)).alias("__ok")).filter("__ok").select(key))
+
+
 def flag_enriched(postings: DataFrame, state: DataFrame, key: str = "url", ordinal: str = "ordinal",
                   min_len: int = fixed.ENRICHED_MIN_LEN) -> DataFrame:
     """``skipped`` = the first state row with the key has a description longer than ``min_len``."""
-    done = (first_state_row(state, key, ordinal, ("description",))
-            .filter(F.length("description") > min_len).select(key).withColumn("skipped", F.lit(True)))
+    done = enriched_keys(state, key, ordinal, min_len).withColumn("skipped", F.lit(True))
     return postings.join(done, key, "left").withColumn("skipped", F.coalesce("skipped", F.lit(False)))
 
 
 def skip_enriched(postings: DataFrame, state: DataFrame, key: str = "url", ordinal: str = "ordinal",
                   min_len: int = fixed.ENRICHED_MIN_LEN) -> DataFrame:
     """P8 as a filter: rows that still need enrichment (anti join on the key)."""
-    done = (first_state_row(state, key, ordinal, ("description",))
-            .filter(F.length("description") > min_len).select(key))
-    return postings.join(done, key, "left_anti")
+    return postings.join(enriched_keys(state, key, ordinal, min_len), key, "left_anti")
 
 
 def with_canonical_url(df: DataFrame, url: str = "url", param: str = fixed.URL_KEY_PARAM,
