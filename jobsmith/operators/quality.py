@@ -41,8 +41,11 @@ def standard_checks(description: str = "description", posted_date: str = "posted
 
 def progress_pct(inputs: DataFrame, updated: DataFrame, description: str = "description",
                  posted_date: str = "posted_date", min_len: int = fixed.ENRICHED_MIN_LEN) -> DataFrame:
-    """Total from the input set, done/with-date from the updated set, one decimal.
+    """Total from the input set, done/with-date from the updated set.
 
+    ``pct`` = (done / total) * 100 in the same floating-point order as the reference (0.0 when
+    total is 0); ``pct_label`` is its one-decimal display, correctly rounded from the binary
+    value (``format_number``), i.e. the same text as Python's ``f"{pct:.1f}"``.
     One aggregate over a union (no cartesian product of two one-row frames).
     """
     a = inputs.select(F.lit(1).alias("t"), F.lit(0).alias("d"), F.lit(0).alias("w"))
@@ -55,8 +58,10 @@ def progress_pct(inputs: DataFrame, updated: DataFrame, description: str = "desc
         F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
         F.coalesce("done", F.lit(0)).cast("bigint").alias("done"),
         F.coalesce("with_date", F.lit(0)).cast("bigint").alias("with_date"),
-        F.when(F.col("total") > 0, F.round(F.col("done") * 100.0 / F.col("total"), 1))
+        F.when(F.col("total") > 0, (F.col("done") / F.col("total")) * F.lit(100.0))
         .otherwise(F.lit(0.0)).alias("pct"),
+        F.format_number(F.when(F.col("total") > 0, (F.col("done") / F.col("total")) * F.lit(100.0))
+                        .otherwise(F.lit(0.0)), 1).alias("pct_label"),
         (F.coalesce("total", F.lit(0)) - F.coalesce("done", F.lit(0))).cast("bigint").alias("remaining"))
 
 

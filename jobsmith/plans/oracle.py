@@ -512,7 +512,8 @@ def build() -> dict[str, str]:
                          count(*) FILTER (WHERE toxic = 1)::BIGINT AS with_date
                   FROM documents JOIN labels USING (doc_id))
             SELECT total, done, with_date,
-              CASE WHEN total > 0 THEN round(done * 100.0 / total, 1)::DOUBLE ELSE 0.0 END AS pct,
+              CASE WHEN total > 0 THEN (done / total) * 100.0 ELSE 0.0 END::DOUBLE AS pct,
+              format('{{:.1f}}', CASE WHEN total > 0 THEN (done / total) * 100.0 ELSE 0.0 END::DOUBLE) AS pct_label,
               (total - done)::BIGINT AS remaining FROM t, u""",
         "source_stats": f"""WITH {_flagged_cte()} SELECT source, lang AS search_query, count(*) AS found,
             count(*) FILTER (WHERE is_new) AS new, (count(*) - count(*) FILTER (WHERE is_new)) AS dup
