@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobsmith.functions import fixed
 from jobsmith.functions.text import contains_all, contains_any, is_filled, preview
@@ -106,14 +107,30 @@ def length_label(c: Column) -> Column:
     return F.format_number(F.length(c), 0)
 
 
+def _falsy_as_null(c: Column, dtype: T.DataType) -> Column:
+    """The value as Python would print it, or null when Python would treat it as falsy
+    (None, '', 0, 0.0, False, empty array/map)."""
+    if isinstance(dtype, T.StringType):
+        return F.when(c != "", c)
+    if isinstance(dtype, T.BooleanType):
+        return F.when(c, F.lit("True"))
+    if isinstance(dtype, T.NumericType):
+        return F.when(c != 0, c.cast("string"))
+    if isinstance(dtype, (T.ArrayType, T.MapType)):
+        return F.when(F.size(c) > 0, c.cast("string"))
+    return c.cast("string")
+
+
 def record_profile(df: DataFrame, ordinal: str = "ordinal", width: int = fixed.PREVIEW_WIDTHS["profile"],
                    empty_mark: str = fixed.EMPTY_MARK, columns: Sequence[str] | None = None) -> DataFrame:
-    """First record -> (field_no, field, preview) rows; falsy values -> ``(empty)``."""
+    """First record -> (field_no, field, preview) rows; falsy values (Python truthiness:
+    None, '', 0, False, empty) -> ``(empty)``, else the first ``width`` characters."""
     cols = [c for c in (columns or df.columns)]
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
     first = df.orderBy(ordinal).limit(1)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("field_no"), F.lit(c).alias("field"),
-                 F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)]))
+                 _falsy_as_null(F.col(c), types[c]).alias("v")) for i, c in enumerate(cols)]))
     return (first.select(stacked.alias("s"))
             .select("s.field_no", "s.field", preview(F.col("s.v"), width, empty_mark).alias("preview")))
 

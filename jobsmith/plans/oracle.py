@@ -378,12 +378,15 @@ def _flagged_cte() -> str:
 
 
 def _record_profile_sql() -> str:
-    cols = ["doc_id", "text", "lang", "source", "n_chars"]
+    """Python truthiness: '', NULL and numeric 0 print as the empty mark."""
+    cols = [("doc_id", "num"), ("text", "str"), ("lang", "str"), ("source", "str"), ("n_chars", "num")]
     w = fixed.PREVIEW_WIDTHS["profile"]
-    sel = " UNION ALL ".join(
-        f"SELECT {i}::BIGINT AS field_no, {lit(c)} AS field, CASE WHEN coalesce({c}::VARCHAR, '') = '' THEN "
-        f"{lit(fixed.EMPTY_MARK)} ELSE substring({c}::VARCHAR, 1, {w}) END AS preview FROM f" for i, c in enumerate(cols))
-    return f"WITH f AS (SELECT * FROM documents ORDER BY doc_id LIMIT 1) {sel}"
+    parts = []
+    for i, (c, kind) in enumerate(cols):
+        falsy = f"({c} IS NULL OR {c} = 0)" if kind == "num" else f"coalesce({c}, '') = ''"
+        parts.append(f"SELECT {i}::BIGINT AS field_no, {lit(c)} AS field, CASE WHEN {falsy} THEN "
+                     f"{lit(fixed.EMPTY_MARK)} ELSE substring({c}::VARCHAR, 1, {w}) END AS preview FROM f")
+    return f"WITH f AS (SELECT * FROM documents ORDER BY doc_id LIMIT 1) {' UNION ALL '.join(parts)}"
 
 
 def _report_rows_sql() -> str:

@@ -29,9 +29,11 @@ def test_completeness_thresholds_are_strict(spark):
 
 
 def test_previews_and_record_profile(spark):
-    df = spark.createDataFrame([(2, "late", 5), (1, "", 7)], "ordinal long, title string, n long")
+    df = spark.createDataFrame([(2, "late", 5, 1.5, True), (1, "", 0, 2.0, False)],
+                               "ordinal long, title string, n long, x double, b boolean")
     prof = [(r["field"], r["preview"]) for r in qa.record_profile(df, "ordinal").orderBy("field_no").collect()]
-    assert prof == [("ordinal", "1"), ("title", "(empty)"), ("n", "7")]
+    first = {"ordinal": 1, "title": "", "n": 0, "x": 2.0, "b": False}
+    assert prof == [(k, str(v)[:100] if v else "(empty)") for k, v in first.items()]  # Python truthiness
     row = spark.createDataFrame([("t" * 60, "x" * 1234)], "title string, d string").select(
         qa.title_line(F.col("title")).alias("a"), qa.title_line(F.lit("ab")).alias("b"),
         qa.length_label(F.col("d")).alias("c"), tx.preview(F.lit(None).cast("string"), 100, "(empty)").alias("e")).first()
