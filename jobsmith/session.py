@@ -114,8 +114,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     When the input has fewer partitions than the cluster runs tasks at once (a small
     table, or one unsplittable file) it is spread round-robin; at scale the scan already
     has far more partitions than cores and this is a no-op (no shuffle is added).
+    Only exchange-free plans (scans, projections, filters) are inspected: counting the
+    partitions of a plan with a shuffle would run its map stage eagerly, and such a plan
+    already has the configured number of shuffle partitions.
     """
     try:
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            return df
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         return df.repartition(target) if df.rdd.getNumPartitions() < target else df
     except Exception:  # partition count not available (e.g. remote session): leave the plan alone

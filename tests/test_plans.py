@@ -44,3 +44,15 @@ def test_upsert_joins_on_key_and_first_ordinal(spark):
     up = spark.createDataFrame([("k", 5, "b")], "url string, ordinal long, a string")
     plan = plan_of(idn.upsert(st, up, "url", ["a"]))
     assert "FullOuter" in plan and "__first" in plan
+
+
+def test_spread_never_executes_its_input(spark):
+    from jobsmith.session import spread
+    sc = spark.sparkContext
+    scan = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    shuffled = scan.groupBy("source").agg(F.count("*").alias("n"))
+    before = len(list(sc.statusTracker().getJobIdsForGroup()))
+    spread(scan)
+    out = spread(shuffled)
+    assert len(list(sc.statusTracker().getJobIdsForGroup())) == before  # planning only, no job
+    assert out is shuffled  # a shuffled plan already has the configured partitions
