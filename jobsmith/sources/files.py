@@ -89,32 +89,67 @@ def read_json_maps(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.from_json("value", "map<string,string>").alias("rec")).filter(F.col("rec").isNotNull())
 
 
+def _has_exchange(df: DataFrame) -> bool:
+    try:
+        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # noqa: BLE001
+        return True
+
+
+def _empty_guarded_write(df: DataFrame, path: str, write, read_back) -> bool:
+    """K9: empty input leaves no output. The upstream plan is computed once: an
+    exchange-free plan is tested with ``isEmpty`` (stops at the first row); a shuffled
+    plan is written first and, if the written output holds no row, the sink removes the
+    folder it has just created (the sink's own output, via the Hadoop FileSystem)."""
+    spark = df.sparkSession
+    if not _has_exchange(df):
+        if df.isEmpty():
+            log.warning("no rows to write to %s", path)
+            return False
+        write(df)
+        return True
+    write(df)
+    if read_back(spark, path).isEmpty():
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        log.warning("no rows to write to %s", path)
+        return False
+    return True
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] = tuple(fixed.POSTING_7),
               partition_by: Sequence[str] = (), mode: str = "overwrite", skip_empty: bool = True) -> bool:
     """K1/K3/K8/K9: fixed projection, absent -> '', partitioned output (e.g. source, run_date).
 
-    Empty input writes nothing and returns False (``isEmpty`` reads at most one row).
+    Empty input writes nothing and returns False (see ``_empty_guarded_write``).
     """
-    if skip_empty and df.isEmpty():
-        log.warning("no rows to write to %s", path)
-        return False
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c)
             for c in columns]
     extra = [F.col(c) for c in partition_by if c not in columns]
-    w = df.select(*cols, *extra).write.mode(mode).options(**CSV_WRITE)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.csv(path)
-    return True
+
+    def write(frame: DataFrame) -> None:
+        w = frame.select(*cols, *extra).write.mode(mode).options(**CSV_WRITE)
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.csv(path)
+
+    if not skip_empty:
+        write(df)
+        return True
+    return _empty_guarded_write(df, path, write,
+                                lambda spark, p: spark.read.options(**CSV_READ).csv(p))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite", skip_empty: bool = True) -> bool:
     """JSON Lines, non-ASCII kept, nulls omitted (absent keys stay absent)."""
-    if skip_empty and df.isEmpty():
-        log.warning("no rows to write to %s", path)
-        return False
-    df.write.mode(mode).option("ignoreNullFields", True).json(path)
-    return True
+    def write(frame: DataFrame) -> None:
+        frame.write.mode(mode).option("ignoreNullFields", True).json(path)
+
+    if not skip_empty:
+        write(df)
+        return True
+    return _empty_guarded_write(df, path, write, lambda spark, p: spark.read.text(p))
 
 
 def write_versioned(df: DataFrame, base: str, version: int | str, fmt: str = "parquet") -> str:

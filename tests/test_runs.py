@@ -154,3 +154,15 @@ def test_composite_key_and_probe(spark):
     r2 = H.description_probe(pages_, fixed.SOURCES["indeed"]["selectors"]["job_card"],
                              probes=["div.job-snippet"]).first()
     assert r2["probe_rank"] is None and r2["divs"] == ["x:30"]
+
+
+def test_empty_shuffled_input_writes_nothing(spark):
+    empty = (spark.createDataFrame([], ", ".join(f"{c} string" for c in fixed.POSTING_7))
+             .groupBy(*fixed.POSTING_7).count().drop("count"))  # a plan with a shuffle
+    for writer, name in ((io.write_csv, "e-csv"), (io.write_json, "e-json")):
+        path = work_path(spark, name)
+        assert writer(empty, path) is False and not os.path.exists(path.replace("file:", ""))
+    full = spark.createDataFrame([("t", "c", "l", "s", "d", "u", "src")], ", ".join(f"{c} string" for c in fixed.POSTING_7))
+    path = work_path(spark, "ne-csv")
+    assert io.write_csv(full.groupBy(*fixed.POSTING_7).count().drop("count"), path) is True
+    assert io.read_csv(spark, [path]).count() == 1
