@@ -512,6 +512,26 @@ def q_stream_enrich(spark, d):
     return final.select("url", F.length("description").cast("bigint").alias("description_len"), "posted_date")
 
 
+def q_automated_run(spark, d):
+    """§3.1 end to end over the pages table: one configured source (stand-in selectors), each
+    host a search term, pages in page_id order, links resolved against their page's origin;
+    history = links seen on blog hosts. Returns the consolidated 9-column table of new postings."""
+    from jobsmith.plans.run import automated_run
+    cfg = {S.RUN_SOURCE: {"base_url": S.RUN_BASE_URL, "page_size": 0, "page_mode": "offset", "search_url": "",
+                          "selectors": {"job_card": S.SKILL_CARD_SELECTORS, "title": S.CARD_TITLE_SELECTORS,
+                                        "company": ["span.companyName"], "location": ["div.companyLocation"],
+                                        "salary": ["div.salary-snippet"], "description": ["div.job-snippet"]}}}
+    p = _pages(spark, d)
+    pages = p.select(F.lit(S.RUN_SOURCE).alias("source"), tx.host_of(F.col("url")).alias("query"),
+                     F.lit(0).alias("query_no"), F.col("page_id").alias("page_num"), "url", "html")
+    hist = (p.filter(tx.host_of(F.col("url")).startswith(S.RUN_HISTORY_HOST_PREFIX))
+            .select(tx.base_of(F.col("url")).alias("b"),
+                    F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("h"))
+            .select(tx.absolute_url(F.col("h"), F.col("b")).alias("url")))
+    out = automated_run(pages, hist, S.RUN_TS, [S.RUN_SOURCE], cfg, page_base=True)
+    return out["consolidated"]
+
+
 QUERIES = {
     "clean_text": q_clean_text,
     "contact_extract": q_contact_extract,
@@ -603,3 +623,4 @@ def q_collect_run(spark, d):
 
 
 QUERIES["collect_run"] = q_collect_run
+QUERIES["automated_run"] = q_automated_run

@@ -603,7 +603,29 @@ SELECT b.doc_id, name, email, phone, location, title, s.summary, skills, experie
 FROM b JOIN s USING (doc_id) JOIN e USING (doc_id)"""
 
 
+def _automated_run_sql() -> str:
+    href = decode("regexp_extract(l[i], '<a href=\"([^\"]*)\"', 1)")
+    title = clean(decode(untag("regexp_extract(l[i], '(?s)<a[^>]*>(.*?)</a>', 1)")))
+    return f"""
+WITH x AS (SELECT page_id, {HOST} AS host, {BASE} AS base, {LI_ITEMS} AS l FROM pages),
+stops AS (SELECT host, min(page_id) AS stop FROM x WHERE len(l) = 0 GROUP BY host),
+kept AS (SELECT x.* FROM x LEFT JOIN stops USING (host) WHERE stops.stop IS NULL OR x.page_id < stops.stop),
+y AS (SELECT page_id, host, base, l, unnest(range(1, len(l) + 1)) AS i FROM kept),
+c AS (SELECT page_id, host, base, i, {title} AS title, {href} AS href FROM y),
+posts AS (SELECT page_id, i, host, title,
+            coalesce(CASE WHEN starts_with(href, '/') THEN base || href ELSE href END, '') AS url
+          FROM c WHERE title <> ''),
+hist AS (SELECT CASE WHEN starts_with(h, '/') THEN b || h ELSE h END AS url
+         FROM (SELECT {BASE} AS b, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages
+               WHERE starts_with({HOST}, {lit(S.RUN_HISTORY_HOST_PREFIX)})))
+SELECT title, '' AS company, '' AS location, '' AS salary, '' AS description, '' AS posted_date, url,
+  {lit(S.RUN_SOURCE)} AS source, host AS search_query
+FROM posts WHERE url <> '' AND url NOT IN (SELECT url FROM hist WHERE url IS NOT NULL)
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, i) = 1"""
+
+
 ORACLE["collect_run"] = _collect_run_sql()
+ORACLE["automated_run"] = _automated_run_sql()
 ORACLE["profile"] = _profile_sql()
 ORACLE["dictionary_match"] = ORACLE["skill_match"]
 ORACLE["text_node_grep"] = _text_node_sql()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
-from jobsmith.functions.text import contains_any
+from jobsmith.functions.text import base_of, contains_any
 from jobsmith.operators import html as H
 from jobsmith.operators import identity as idn
 from jobsmith.operators import quality as qa
@@ -36,9 +36,12 @@ PAGE_KEYS = ["source", "query", "query_no", "page_num", "page_url"]
 
 
 def collect_postings(pages: DataFrame, sources: Sequence[str] = tuple(fixed.SOURCE_ORDER),
-                     config: dict | None = None) -> DataFrame:
+                     config: dict | None = None, page_base: bool = False) -> DataFrame:
     """Stored listing pages -> postings of every configured source.
 
+    Relative links resolve against the source's base url, or with ``page_base`` against the
+    scheme://host of the page they were found on.
+
     P13: within (source, query) later pages are dropped after the first page that meets the
     source's stop rule (``fixed.PAGE_STOP_RULES``); an unreadable page is skipped, never stops.
     H1-H5 per source config (third source: link selector, no base join), P4/P5 tags.
@@ -60,7 +63,8 @@ def collect_postings(pages: DataFrame, sources: Sequence[str] = tuple(fixed.SOUR
                  "login_url": F.col("login")}
         stop = reduce(lambda a, b: a | b, [rules[r] for r in fixed.PAGE_STOP_RULES.get(name, ["no_cards"])])
         kept = qa.page_prefix(ex, ["source", "query"], "page_num", stop)
-        posts = H.postings_from_cards(kept, cfg, PAGE_KEYS, None, mode)
+        base = base_of(F.col("page_url")) if page_base else None
+        posts = H.postings_from_cards(kept, cfg, PAGE_KEYS, base, mode)
         posts = posts.select(
             F.struct(F.col("query_no").cast("bigint").alias("query_no"), F.lit(source_no).cast("bigint").alias("source_no"),
                      F.col("page_num").cast("bigint").alias("page_num"), F.col("card_no")).alias("ordinal"),
@@ -71,10 +75,11 @@ def collect_postings(pages: DataFrame, sources: Sequence[str] = tuple(fixed.SOUR
 
 
 def automated_run(pages: DataFrame, history: DataFrame, run_ts: str,
-                  sources: Sequence[str] = tuple(fixed.SOURCE_ORDER), config: dict | None = None) -> dict[str, DataFrame]:
+                  sources: Sequence[str] = tuple(fixed.SOURCE_ORDER), config: dict | None = None,
+                  page_base: bool = False) -> dict[str, DataFrame]:
     """main-style run (always filters against the history; its ignore-history flag is never read).
     Returns frames: postings, flagged, new, history_rows, consolidated, stats, totals."""
-    postings = collect_postings(pages, sources, config)
+    postings = collect_postings(pages, sources, config, page_base)
     flagged = idn.flag_new(postings, history, "url", "ordinal")
     new = flagged.filter("is_new").drop("is_new")
     history_rows = idn.history_append(history, postings, run_ts, "url", "ordinal")

@@ -42,3 +42,6 @@ REPORT_QUERY = "Lead Software Engineer, Backend Engineer, Software Engineer"
 REPORT_LOCATION = "Dublin & <Cork> \"IE\" 'x'"
 DOC_URL_PREFIX = "https://docs.example/"
 NEW_ID_OFFSET = 1000000000
+RUN_SOURCE = "pages"
+RUN_BASE_URL = "https://pages.example"
+RUN_HISTORY_HOST_PREFIX = "blog."
