@@ -307,8 +307,8 @@ def q_enrich(spark, d):
 def q_enrich_stats(spark, d):
     posts, state, details = _enrich_inputs(spark, d)
     fields = ["description", "posted_date"]
-    new_state, flags = en.enrich_run(posts.select("url", "ordinal", *fields), state.select("url", "ordinal", *fields),
-                                     details, fields, "url", "ordinal")
+    _, flags = en.enrich_run(posts.select("url", "ordinal", *fields), state.select("url", "ordinal", *fields),
+                             details, fields, "url", "ordinal")  # counters only: the merged state is not needed
     upserted = flags.filter(~F.col("skipped")).select("url", "ordinal")
     return en.enrich_stats(flags, state, upserted, "url", "ordinal")
 
