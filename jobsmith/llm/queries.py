@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsmith.llm.common import documents
+from jobsmith.llm import language_id, quality_classifier
+from jobsmith.llm.common import documents, fold, labels
 from jobsmith.llm.exact_dedup import exact_dedup
 from jobsmith.llm.mixing import mix_documents
 from jobsmith.llm.packing import pack_documents
+from jobsmith.llm.quality_rules import STATS, apply_rules
 from jobsmith.llm.sharding import shard_documents
 from jobsmith.llm.token_store import store_round_trip
 
@@ -19,15 +21,33 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("digest").alias("text_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scores = quality_classifier.score_documents(docs, quality_classifier.fit(docs, labels(spark, sf_dir)))
+    return scores.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(documents(spark, sf_dir))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+    return out.select("doc_id", *STATS, "base_failed", "kept", "anomaly")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mix_documents(documents(spark, sf_dir))
     rows = units.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
@@ -39,7 +59,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (op1_exact_dedup, op3_sharding, op5_token_store, op9_mixing, op10_packing)}
+QUERIES = {q.__name__: q for q in (
+    op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_language_id, op5_token_store, op7_quality_rules,
+    op9_mixing, op10_packing)}
 
 
 
