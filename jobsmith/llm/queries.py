@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from jobsmith.llm import language_id, quality_classifier
 from jobsmith.llm.common import documents, fold, labels
 from jobsmith.llm.exact_dedup import exact_dedup
+from jobsmith.llm.line_dedup import line_dedup
 from jobsmith.llm.mixing import mix_documents
+from jobsmith.llm.ngram_join import ngram_join
 from jobsmith.llm.packing import pack_documents
 from jobsmith.llm.quality_rules import STATS, apply_rules
 from jobsmith.llm.sharding import shard_documents
@@ -43,11 +45,22 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_round_trip(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    dropped = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(dropped, F.lit(0).cast("long")).alias("n_removed"),
+                      "removed", "text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
     return out.select("doc_id", *STATS, "base_failed", "kept", "anomaly")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = mix_documents(documents(spark, sf_dir))
     rows = units.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
@@ -60,8 +73,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_language_id, op5_token_store, op7_quality_rules,
-    op9_mixing, op10_packing)}
+    op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_language_id, op5_token_store, op6_line_dedup,
+    op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing)}
 
 
 
