@@ -9,7 +9,7 @@ taken over integers, so reruns give the same theta whatever the task order.
 
 Rates become whole copies: the floor of the rate, and one more for the documents whose drawn
 number (md5 of id and text) lies lowest against the fraction of the rate, until the source's
-target is reached. Where that line falls is found by counting tokens in ``BUCKETS`` buckets of the
+target is reached (whole copies only: the last one may overshoot, if that comes nearer). Where that line falls is found by counting tokens in ``BUCKETS`` buckets of the
 draw; only the rows of the bucket it falls in are ordered. A few further rounds give the words
 still missing to smaller documents, so the taken words end near the target.
 
@@ -110,6 +110,16 @@ def _fill(units: DataFrame, needs: DataFrame) -> DataFrame:
     return rest.select(*columns).unionByName(cut.select(*columns))
 
 
+def _nearest(units: DataFrame, needs: DataFrame) -> DataFrame:
+    """Where words are still missing, the smallest unit that overshoots by less than that is taken too."""
+    open_units = units.join(small_side(needs, 10_000), "src")
+    over = ~F.col("more") & (F.col("rest") < 1) & (F.col("words") > F.col("need")) & (F.col("words") < 2 * F.col("need"))
+    chosen = staged(open_units.filter(over).groupBy("src").agg(F.min(F.struct("words", "draw", "id", "row_hash")).alias("best")), "mix-nearest")
+    best = F.col("best")
+    hit = F.coalesce(F.col("id").eqNullSafe(best["id"]) & (F.col("row_hash") == best["row_hash"]), F.lit(False))
+    return units.join(small_side(chosen, 10_000), "src", "left").withColumn("more", F.col("more") | hit).select(*units.columns)
+
+
 def row_hash(docs: DataFrame) -> Column:
     """A hash of every column: rows that agree in it and in the id are repeated rows."""
     return F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
@@ -145,5 +155,6 @@ def mix_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float]
     for _ in range(rounds):
         needs = staged(units.groupBy("src").agg((F.round(F.first("target")) - given).alias("need")), "mix-needs")
         units = staged(_fill(units, needs), "mix-units")
+    units = _nearest(units, staged(units.groupBy("src").agg((F.round(F.first("target")) - given).alias("need")), "mix-needs"))
     return units.select("id", "row_hash", "repeats", "size", "source", "source_size", "target", "rate",
                         (F.col("base") + F.col("more").cast("long")).alias("copies"))
