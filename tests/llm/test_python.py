@@ -221,7 +221,7 @@ def test_quality_classifier(spark):
 
 def test_rule_statistics_by_hand():
     assert statistics(None) == statistics("") == (0,) * 9
-    assert statistics("a b\x0bc\n\n \na b\x0bc #|x\nq\nq")[:5] == (10, 12, 2, 1, 0)
+    assert statistics("a b\x0bc\n\n \na b\x0bc #|x\nq\nq")[:5] == (9, 11, 2, 1, 0)
     assert repeated_words(b"a b c d e a b c d e".split()) == 10
     assert repeated_words(b"x x x x x x".split()) == 6
     assert repeated_words(b"a b c d e f a b c d".split()) == 0
