@@ -3,9 +3,11 @@
 One map-only pass over the whole texts gives the statistics of every document. The base rules are
 fixed: a document fails with fewer than ``min_words`` words, or when more than a fifth of its
 words stand in 5-word windows that the text repeats. For the others, an isolation forest (random
-splits over the statistics of a sample) gives each document its mean path length; short paths
-are anomalies. The cut is calibrated over all labelled rows: it is the score that best tells
-label 0 from label 1 while at least ``keep_good`` of the label-1 rows stay.
+splits over the statistics) gives each document its mean path length; short paths are anomalies.
+The forest grows on label-1 rows with a tenth of points drawn evenly over the range of all
+labelled rows, so that it also splits where sound documents do not vary, and a large group of
+alike bad documents cannot pass for the rule. The cut is calibrated over all labelled rows: it is
+the score that best tells label 0 from label 1 while at least ``keep_good`` of the label-1 rows stay.
 
 Learning: the forest is grown on at most ``sample_rows`` labelled rows (lowest hash of the id
 first), a documented bound; the cut uses a histogram over every labelled row.
@@ -81,10 +83,11 @@ def base_failed(min_words: int = 10, repeat_percent: int = 20) -> Column:
 
 
 def rule_figures(t: dict[str, np.ndarray]) -> np.ndarray:
-    """Rule statistics as figures of comparable scale, one row a document."""
-    words, chars = np.maximum(t["n_words"], 1), np.maximum(t["word_chars"], 1)
-    return np.stack([np.log1p(t["n_words"]), t["word_chars"] / words, t["n_symbols"] / words, t["n_dup_lines"] / np.maximum(t["n_lines"], 1),
-                     t["n_repeat_words"] / words, t["n_upper"] / chars, t["n_distinct"] / words, t["n_marks"] / words], 1).astype(float)
+    """Rule statistics as figures a document, damped where a short text would swing them:
+    mean word length, symbols and other signs a word, capitals a character."""
+    words = np.maximum(t["n_words"], 1)
+    return np.stack([t["word_chars"] / words, t["n_symbols"] / words, t["n_marks"] / words,
+                     t["n_upper"] / (t["word_chars"] + 100)], 1).astype(float)
 
 
 class Forest:
@@ -97,6 +100,13 @@ class Forest:
         for _ in range(trees):
             self.trees.append(self._grow(x[rng.choice(len(x), self.size, replace=False)], limit, rng))
 
+    @classmethod
+    def over_background(cls, good: np.ndarray, all_: np.ndarray, share: float = 0.1, seed: int = 6) -> Forest:
+        """A forest over good rows and evenly drawn points in the range of all rows."""
+        rng = np.random.default_rng(seed)
+        spread = rng.uniform(all_.min(0), all_.max(0), (max(1, int(len(good) * share)), all_.shape[1]))
+        return cls(np.concatenate([good, spread]))
+
     @staticmethod
     def mean_path(n: float) -> float:
         """Mean path of an unsuccessful search among n points."""
@@ -166,9 +176,11 @@ def apply_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, kee
     labelled = staged(stats.filter(~F.col("base_failed")).join(known, "id"), "rule-labelled")  # counts only, no text
     drawn = hash52(F.concat(F.lit("rules:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     source = stats.filter(~F.col("base_failed")) if labelled.isEmpty() else labelled
+    quality = F.col("quality") if "quality" in source.columns else F.lit(1)
     sample = (source.withColumn("drawn", drawn).orderBy("drawn", "id", *STATS).limit(sample_rows)
-              .select(*STATS, *MORE).toPandas())  # sample_rows rows of nine counts
-    forest = Forest(rule_figures({c: sample[c].to_numpy() for c in STATS + MORE})) if len(sample) > 1 else None
+              .select(*STATS, *MORE, quality.alias("quality")).toPandas())  # sample_rows rows of ten numbers
+    x, good = rule_figures({c: sample[c].to_numpy() for c in STATS + MORE}), (sample["quality"] == 1).to_numpy()
+    forest = Forest.over_background(x[good], x) if good.sum() > 1 else None
     shared = spark.sparkContext.broadcast(forest)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
