@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
-from jobsmith.session import spread
 from jobsmith.functions.text import absolute_url, base_of, clean_text, contains_any, py_strip, relative_date
 
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
@@ -166,8 +165,8 @@ def _first_a_href(node: _Node):
     return None
 
 
-def _match_struct(node: _Node, **extra) -> dict:
-    d = {"tag": node.tag, "cls": " ".join(node.cls), "parts": _text_parts(node),
+def _match_struct(node: _Node, texts: bool = True, **extra) -> dict:
+    d = {"tag": node.tag, "cls": " ".join(node.cls), "parts": _text_parts(node) if texts else [],
          "href": node.attrs.get("href"), "inner_href": _first_a_href(node)}
     d.update(extra)
     return d
@@ -191,42 +190,33 @@ def _text_nodes(root: _Node) -> list[dict]:
 MATCH_T = "tag string, cls string, parts array<string>, href string, inner_href string"
 FIELD_T = f"array<struct<field:string, rank:int, n:int, {MATCH_T}>>"
 ALL_T = f"array<struct<field:string, rank:int, el_no:int, {MATCH_T}>>"
-CARD_T = f"array<struct<card_rank:int, card_no:int, field:string, rank:int, el_no:int, {MATCH_T}>>"
+_INNER = ", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in MATCH_T.split(", "))
+CARD_T = f"array<struct<card_rank:int, card_no:int, {_INNER}, found:array<struct<field:string, rank:int, el_no:int, {_INNER}>>>>"
 NODE_T = "array<struct<node_no:int, kind:string, parent_tag:string, parent_cls:string, text:string>>"
 
 
-ARROW_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
-MAX_PAGES_PER_BATCH = 256
-
-
-def _cap_arrow_batch(spark, cap: int = MAX_PAGES_PER_BATCH) -> None:
-    """Pages are large rows: a default Arrow batch (10,000 rows) of multi-MB pages would not
-    fit a Python worker, so the batch is capped for jobs that run the extractor."""
-    try:
-        cur = int(spark.conf.get(ARROW_BATCH_CONF, "10000"))
-        if cur <= 0 or cur > cap:
-            spark.conf.set(ARROW_BATCH_CONF, str(cap))
-    except Exception:  # noqa: BLE001 - a read-only conf keeps its value
-        pass
-
-
 def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
                  fields: dict[str, Sequence[str]] | None = None,
                  all_of: dict[str, Sequence[str]] | None = None,
                  cards: Sequence[str] | None = None,
                  card_fields: dict[str, Sequence[str]] | None = None,
                  card_all: dict[str, Sequence[str]] | None = None,
-                 text_nodes: bool = False) -> DataFrame:
+                 text_nodes: bool = False, texts: bool = True, first_of: tuple[str, str] | None = None) -> DataFrame:
     """One pass per page over every requested selector.
 
     Output: ``keep`` columns plus
       * ``fields``  first match of each page-level (field, rank) selector and ``n`` hits;
       * ``all_of``  every match of each (field, rank) selector, ``el_no`` in document order;
-      * ``cards``   per card selector rank and card: the card itself (field '') and the
-        first match of each card field selector inside it (``card_all``: every match, ``el_no``);
+      * ``cards``   one struct per card of the first card selector that hits: the card itself and
+        in ``found`` the first match of each card field selector inside it (``card_all``: every
+        match, ``el_no``);
       * ``nodes``   every text node with its parent tag/class (when ``text_nodes``);
       * ``parse_error`` null, or the error of a page that could not be parsed (its arrays are
         empty; the other pages continue).
+
+    ``texts=False`` leaves the text of every match empty (counts and links need none).
+    ``first_of`` = (tag, token) puts into ``fields`` the first element of that tag whose
+    classes (lower-cased) contain the token, as field 'first'.
     """
     keep = list(keep)
     fields = {k: list(v) for k, v in (fields or {}).items()}
@@ -254,25 +244,33 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
                 for f, r, sel in f_specs:
                     hits = [e for e in elems if _matches(e, sel)]
                     if hits:
-                        fo.append(_match_struct(hits[0], field=f, rank=r, n=len(hits)))
+                        fo.append(_match_struct(hits[0], texts, field=f, rank=r, n=len(hits)))
+                if first_of:
+                    tag, token = first_of
+                    hit = next((e for e in elems if e.tag == tag and token.lower() in " ".join(e.cls).lower()), None)
+                    if hit is not None:
+                        fo.append(_match_struct(hit, texts, field="first", rank=0, n=1))
                 f_col.append(fo)
                 ao = []
                 for f, r, sel in a_specs:
                     for i, e in enumerate(x for x in elems if _matches(x, sel)):
-                        ao.append(_match_struct(e, field=f, rank=r, el_no=i))
+                        ao.append(_match_struct(e, texts, field=f, rank=r, el_no=i))
                 a_col.append(ao)
                 co = []
                 for cr, csel in enumerate(c_specs):
                     for cn, card in enumerate(x for x in elems if _matches(x, csel)):
-                        co.append(_match_struct(card, card_rank=cr, card_no=cn, field="", rank=0, el_no=0))
                         inner = list(_elements(card)) if (cf_specs or ca_specs) else []
+                        found = []
                         for f, r, sel in cf_specs:
                             hit = next((e for e in inner if _matches(e, sel)), None)
                             if hit is not None:
-                                co.append(_match_struct(hit, card_rank=cr, card_no=cn, field=f, rank=r, el_no=0))
+                                found.append(_match_struct(hit, texts, field=f, rank=r, el_no=0))
                         for f, r, sel in ca_specs:
                             for i, e in enumerate(x for x in inner if _matches(x, sel)):
-                                co.append(_match_struct(e, card_rank=cr, card_no=cn, field=f, rank=r, el_no=i))
+                                found.append(_match_struct(e, texts, field=f, rank=r, el_no=i))
+                        co.append(_match_struct(card, texts, card_rank=cr, card_no=cn, found=found))
+                    if co:  # the first selector that hits supplies all cards
+                        break
                 c_col.append(co)
                 n_col.append(_text_nodes(root) if text_nodes else [])
             out = pdf[keep].copy()
@@ -285,9 +283,9 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
 
     schema_keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     schema = f"{schema_keep}, fields {FIELD_T}, all_of {ALL_T}, cards {CARD_T}, nodes {NODE_T}, parse_error string"
-    # only the key columns and the html travel to Python; spread tiny inputs over the cores
-    _cap_arrow_batch(df.sparkSession)
-    return spread(df.select(*keep, html_col)).mapInPandas(run, schema)
+    # only the key columns and the html travel to Python; Spark bounds an Arrow batch by bytes
+    # (spark.sql.execution.arrow.maxBytesPerBatch), so large pages do not pile up in a worker
+    return df.select(*keep, html_col).mapInPandas(run, schema)
 
 
 # ------------------------------------------------------------ text columns
@@ -337,9 +335,7 @@ def extract_cards(pages: DataFrame, card_selectors: Sequence[str], keep: Sequenc
                   mode: str = "clean") -> DataFrame:
     """H1: the first card selector with at least one hit supplies all cards of a page."""
     ex = extract_html(pages, keep, cards=card_selectors)
-    win = F.array_min(F.transform("cards", lambda x: x["card_rank"]))
-    chosen = F.filter("cards", lambda x: x["card_rank"] == win)
-    return (ex.select(*keep, F.explode(chosen).alias("c"))
+    return (ex.select(*keep, F.explode("cards").alias("c"))
             .select(*keep, F.col("c.card_rank").alias("card_rank"), F.col("c.card_no").cast("bigint").alias("card_no"),
                     element_text(F.col("c"), mode).alias("card_text")))
 
@@ -371,17 +367,14 @@ def extract_card_fields(pages: DataFrame, source_cfg: dict, keep: Sequence[str],
     if link_mode == "link":
         cf["link"] = sels.get("link", ["a.base-card__full-link"])
     ex = extract_html(pages, keep, cards=sels["job_card"], card_fields=cf)
-    win = F.array_min(F.transform("cards", lambda x: x["card_rank"]))
-    chosen = F.filter("cards", lambda x: x["card_rank"] == win)
-    return ex.select(*keep, chosen.alias("ms"), "parse_error").withColumn(
-        "n_cards", F.size(F.filter("ms", lambda x: x["field"] == "")).cast("bigint"))
+    return ex.select(*keep, "cards", "parse_error", F.size("cards").cast("bigint").alias("n_cards"))
 
 
 def postings_from_cards(ex: DataFrame, source_cfg: dict, keep: Sequence[str], base_col: Column | None = None,
                         link_mode: str = "title", source_name: str | None = None) -> DataFrame:
     """Card rows (from ``extract_card_fields``) -> one posting per card with a title."""
-    card_rows = ex.select(*keep, "ms", F.explode(F.filter("ms", lambda x: x["field"] == "")).alias("card"))
-    mine = F.filter("ms", lambda x: x["card_no"] == F.col("card.card_no"))
+    card_rows = ex.select(*keep, F.explode("cards").alias("card"))  # a card carries its own fields only
+    mine = F.col("card.found")
     out = [F.col(k) for k in keep] + [F.col("card.card_rank").alias("card_rank"),
                                       F.col("card.card_no").cast("bigint").alias("card_no")]
     for n in POSTING_FIELDS:
@@ -412,19 +405,18 @@ def description_probe(pages: DataFrame, card_selectors: Sequence[str],
                       min_len: int = fixed.CARD_DESCRIPTION_PROBE_MIN_LEN, preview: int = 150, n_divs: int = 5,
                       keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """In the first card of a page, the first probe selector whose stripped text is
-    longer than ``min_len`` (selector rank, length, preview); when none qualifies, the
-    first ``n_divs`` divs of the card that do, as (class, length) - the listing is the feature."""
+    longer than ``min_len`` (selector rank, length, preview); when none qualifies, those of the
+    card's first ``n_divs`` divs that do, as (class, length) - the listing is the feature."""
     ex = extract_html(pages, keep, cards=card_selectors, card_fields={"probe": probes}, card_all={"div": ["div"]})
-    win = F.array_min(F.transform("cards", lambda x: x["card_rank"]))
-    first_card = F.filter("cards", lambda x: (x["card_rank"] == win) & (x["card_no"] == 0))
+    first_card = F.coalesce(F.get("cards", F.lit(0))["found"], F.slice(F.flatten(F.col("cards.found")), 1, 0))
     stripped = lambda x: py_strip(F.array_join(x["parts"], ""))  # noqa: E731 - get_text().strip()
     cand = F.transform(F.filter(first_card, _field_is("probe")),
                        lambda x: F.struct(x["rank"].alias("rank"), stripped(x).alias("t")))
     hit = F.array_min(F.filter(cand, lambda x: F.length(x["t"]) > min_len))
-    divs = F.transform(F.filter(first_card, _field_is("div")),
+    divs = F.transform(F.filter(first_card, lambda x: (x["field"] == "div") & (x["el_no"] < n_divs)),
                        lambda x: F.struct(x["el_no"].alias("el_no"), x["cls"].alias("cls"),
                                           F.length(stripped(x)).alias("n")))
-    listed = F.slice(F.array_sort(F.filter(divs, lambda x: x["n"] > min_len)), 1, n_divs)
+    listed = F.array_sort(F.filter(divs, lambda x: x["n"] > min_len))
     return ex.select(
         *keep, hit["rank"].cast("bigint").alias("probe_rank"), F.length(hit["t"]).cast("bigint").alias("length"),
         F.substring(hit["t"], 1, preview).alias("preview"),
@@ -432,9 +424,43 @@ def description_probe(pages: DataFrame, card_selectors: Sequence[str],
         .alias("divs"))
 
 
+def page_rejects(pages: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """The pages that the parser rejects, with the error (they yield no matches elsewhere)."""
+    return (extract_html(pages, keep, texts=False).filter(F.col("parse_error").isNotNull())
+            .select(*keep, F.col("parse_error").alias("error")))
+
+
+def detail_extract(pages: DataFrame, selectors: Sequence[str], date_selectors: Sequence[str], date_words: Sequence[str],
+                   keep: Sequence[str] = ("page_id",), min_len: int = fixed.DESCRIPTION_MIN_LEN, mode: str = "clean",
+                   footer_token: str = fixed.FOOTER_CLASS_TOKEN, footer_pattern: str = fixed.RELATIVE_DATE_PATTERN,
+                   error_text: str = fixed.DESCRIPTION_ERROR) -> DataFrame:
+    """H6-H8 from one parse: ``description, status, error, posted_date`` of a detail page.
+
+    The description is the first selector's text longer than ``min_len``; the date is the first
+    date selector's text with a date word, else the relative date in the first footer element.
+    A page that cannot be parsed has status 'failed' and the parser's error.
+    """
+    ex = extract_html(pages, keep, fields={"d": selectors, "date": date_selectors}, first_of=("div", footer_token))
+
+    def texts(name):
+        return F.transform(F.filter("fields", _field_is(name)),
+                           lambda x: F.struct(x["rank"].alias("rank"), element_text(x, mode).alias("t")))
+
+    seen = ex.select(*keep, "parse_error", texts("d").alias("d"), texts("date").alias("dates"),
+                     element_text(F.get(F.filter("fields", _field_is("first")), F.lit(0)), "clean").alias("footer"))
+    acc = F.array_min(F.filter("d", lambda x: F.length(x["t"]) > min_len))
+    date = F.array_min(F.filter("dates", lambda x: contains_any(x["t"], date_words)))["t"]
+    last = F.coalesce(F.array_max("d")["t"], F.lit(""))
+    return seen.select(
+        *keep, F.coalesce(acc["t"], F.lit("")).alias("description"),
+        F.when(acc.isNotNull(), "success").otherwise("failed").alias("status"),
+        F.coalesce("parse_error", F.when(acc.isNull() & (last == ""), F.lit(error_text))).alias("error"),
+        F.coalesce(date, relative_date(F.col("footer"), footer_pattern), F.lit("")).alias("posted_date"))
+
+
 def page_links(pages: DataFrame, token: str, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """H9: count of ``<a href>`` links whose href (lower-cased) contains ``token``."""
-    ex = extract_html(pages, keep, all_of={"a": ["a[href]"]})
+    ex = extract_html(pages, keep, all_of={"a": ["a[href]"]}, texts=False)
     hits = F.filter("all_of", lambda x: F.lower(x["href"]).contains(token.lower()))
     return ex.select(*keep, F.size("all_of").cast("bigint").alias("n_links"),
                      F.size(hits).cast("bigint").alias("n_token_links"))
@@ -442,7 +468,7 @@ def page_links(pages: DataFrame, token: str, keep: Sequence[str] = ("page_id",))
 
 def absolute_links(pages: DataFrame, selector: str = "a", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """F2 over every link: paths starting with '/' joined to the page's scheme://host."""
-    ex = extract_html(pages, keep, all_of={"a": [selector]})
+    ex = extract_html(pages, keep, all_of={"a": [selector]}, texts=False)
     return (ex.select(*keep, F.explode("all_of").alias("m"))
             .select(*[k for k in keep if k != "url"], F.col("m.el_no").cast("bigint").alias("link_no"),
                     F.col("m.href").alias("href"),
@@ -484,9 +510,8 @@ def footer_date(pages: DataFrame, class_token: str = fixed.FOOTER_CLASS_TOKEN,
                 pattern: str = fixed.RELATIVE_DATE_PATTERN, tag: str = "div",
                 keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """H8 (fallback): first ``div`` whose class (lower-cased) contains the token -> F8 rule."""
-    ex = extract_html(pages, keep, all_of={"d": [tag]})
-    hit = F.filter("all_of", lambda x: F.lower(x["cls"]).contains(class_token.lower()) & (x["cls"] != ""))
-    first = F.array_min(F.transform(hit, lambda x: F.struct(x["el_no"].alias("el_no"), x["parts"].alias("parts"))))
+    ex = extract_html(pages, keep, first_of=(tag, class_token))
+    first = F.get("fields", F.lit(0))
     txt = element_text(first, "clean")
     return ex.select(*keep, F.coalesce(relative_date(txt, pattern), F.lit("")).alias("posted_date"))
 
@@ -553,6 +578,6 @@ def selector_samples(pages: DataFrame, selectors: Sequence[str], k: int = 3, wid
 
 def card_counts(pages: DataFrame, card_selectors: Sequence[str], keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """Number of cards per page under the H1 fallback rule (0 when no selector hits)."""
-    ex = extract_html(pages, keep, fields={"c": card_selectors})
+    ex = extract_html(pages, keep, fields={"c": card_selectors}, texts=False)
     first = F.array_min(F.transform("fields", lambda x: F.struct(x["rank"].alias("rank"), x["n"].alias("n"))))
     return ex.select(*keep, F.coalesce(first["n"], F.lit(0)).cast("bigint").alias("n_cards"))

@@ -20,7 +20,7 @@ from jobsmith.operators import quality as qa
 from jobsmith.operators import report as rp
 from jobsmith.plans import standins as S
 from jobsmith.plans.search import search_plan
-from jobsmith.session import cut_lineage, spread, work_path
+from jobsmith.session import cut_lineage, work_path
 from jobsmith.sources import files as io
 
 
@@ -29,8 +29,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents for CPU-heavy per-row rules (spread when the scan has few partitions)."""
-    return spread(_t(spark, d, "documents"))
+    return _t(spark, d, "documents")
 
 
 # ----------------------------------------------------------- shared shapes
@@ -266,14 +265,20 @@ def q_upsert(spark, d):
                       "was_updated")
 
 
-EVENT_TYPES = ["view", "signup", "purchase", "click", "error"]
+def _values(df: DataFrame, col: str, most: int = 1000) -> list[str]:
+    """The values of a column that become columns or frames (a configuration-sized set)."""
+    found = [r[0] for r in df.select(col).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values")
+    return sorted(found, key=lambda v: (v is None, v or ""))
 
 
 def q_upsert_fold(spark, d):
     ev = _t(spark, d, "events")
+    types = _values(ev, "event_type")
     wide = ev.select("user_id", F.col("event_id").alias("ordinal"),
-                     *[F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in EVENT_TYPES])
-    return idn.upsert_fold(wide, "user_id", EVENT_TYPES, "ordinal")
+                     *[F.when(F.col("event_type").eqNullSafe(t), F.col("value")).alias(t or "none") for t in types])
+    return idn.upsert_fold(wide, "user_id", [t or "none" for t in types], "ordinal")
 
 
 # -------------------------------------------------------------- enrichment
@@ -407,12 +412,14 @@ def q_report_summary(spark, d):
 
 # ------------------------------------------------------------ union / sinks
 
+SOURCE_COLUMNS = {"en": ["source"], "de": ["salary"], "es": ["company"], "fr": ["description"]}
+
+
 def _lang_frames(spark, d):
-    p = doc_postings(_t(spark, d, "documents")).withColumnRenamed("ordinal", "ordinal")
-    return [p.filter(F.col("location") == "en").select("ordinal", "title", "url", "source"),
-            p.filter(F.col("location") == "de").select("ordinal", "title", "url", "salary"),
-            p.filter(F.col("location") == "es").select("ordinal", "title", "company", "url"),
-            p.filter(F.col("location") == "fr").select("ordinal", "title", "description", "url")]
+    """One frame per language found, each with columns of its own (any other language: title and url only)."""
+    p = doc_postings(_t(spark, d, "documents"))
+    return [p.filter(F.col("location").eqNullSafe(v)).select("ordinal", "title", "url", *SOURCE_COLUMNS.get(v, []))
+            for v in _values(p, "location")]
 
 
 def q_union_sources(spark, d):
@@ -430,6 +437,16 @@ def q_read_csv(spark, d):
     return io.read_csv(spark, [path, path + "-missing"], fixed.POSTING_7)
 
 
+def q_read_csv_mixed(spark, d):
+    """S1 by header name in every file: files of one folder whose columns come in another order."""
+    posts = doc_postings(_t(spark, d, "documents"))
+    path = work_path(spark, "csv-mixed")
+    odd = F.col("ordinal") % 2 == 1
+    io.write_csv(posts.filter(odd), path, columns=["url", "title", "company"])
+    io.write_csv(posts.filter(~odd), path, columns=["title", "company", "url", "salary"], mode="append")
+    return io.read_csv(spark, [path], ["title", "company", "url", "source"])
+
+
 def q_read_json(spark, d):
     posts = doc_postings(_t(spark, d, "documents")).drop("ordinal")
     path = work_path(spark, "json")
@@ -440,10 +457,8 @@ def q_read_json(spark, d):
 def q_sink_csv(spark, d):
     posts = io.run_date_partition(doc_postings(_t(spark, d, "documents")), S.RUN_DATE)
     path = work_path(spark, "csv-by-source")
-    io.write_csv(posts, path, columns=[c for c in fixed.POSTING_7 if c != "source"], partition_by=["source", "run_date"])
-    back = spark.read.options(**io.CSV_READ).option("inferSchema", False).csv(path)
-    return back.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fixed.POSTING_7 if c != "source"],
-                       F.col("source").cast("string").alias("source"), F.col("run_date").cast("string").alias("run_date"))
+    io.write_csv(posts, path, columns=[*fixed.POSTING_7, "run_date"], partition_by=["source", "run_date"])
+    return io.read_csv(spark, [path], [*fixed.POSTING_7, "run_date"], same_header=True)
 
 
 def q_sink_json(spark, d):
@@ -456,60 +471,71 @@ def q_sink_json(spark, d):
 
 # --------------------------------------------------------------- streaming
 
+def _arrivals(spark, df: DataFrame, ordinal: str, name: str, steps: int = 4):
+    """Parts of a frame in ordinal order, each landed as a folder of many files; yields the source
+    folder after every landing (arrival order = ordinal order, no part in one task)."""
+    src = work_path(spark, name)
+    b = df.agg(F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi")).first()  # two numbers
+    if b["lo"] is None:
+        return
+    width = (int(b["hi"]) - int(b["lo"])) // steps + 1
+    for i in range(steps):
+        lo = int(b["lo"]) + i * width
+        df.filter((F.col(ordinal) >= lo) & (F.col(ordinal) < lo + width)).write.parquet(f"{src}/step{i}")
+        yield f"{src}/*"
+
+
 def q_stream_history(spark, d):
-    """X1 end to end: documents land in four ordered files, an availableNow stream
-    folds them into the history; the result is the history after the last batch."""
-    from jobsmith.streaming.history import stream_new_postings
+    """X1 end to end: documents land in four steps; after each the stream (same checkpoint, same
+    run) folds the new files into the history. A history of an earlier run is there from the start."""
+    from jobsmith.streaming.history import history_batch, read_history, stream_new_postings
     posts = doc_postings(_t(spark, d, "documents")).select("ordinal", "url", "title", "source")
-    src, hist, ckpt = work_path(spark, "stream-src"), work_path(spark, "stream-hist"), work_path(spark, "stream-ckpt")
-    bounds = posts.agg(F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi")).first()
-    lo, hi = int(bounds["lo"]), int(bounds["hi"])
-    step = (hi - lo) // 4 + 1
-    for i in range(4):  # arrival order = ordinal order, one file per step
-        part = posts.filter((F.col("ordinal") >= lo + i * step) & (F.col("ordinal") < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("overwrite").parquet(f"{src}/chunk{i}")
-    q = stream_new_postings(spark, f"{src}/*", posts.schema, hist, ckpt, "url", "ordinal")
-    q.awaitTermination()
-    return spark.read.parquet(hist).select("url", F.col("ordinal").alias("doc_id"))
-
-
-def _ordered_files(spark, df: DataFrame, ordinal: str, name: str, n: int = 4) -> str:
-    """Stage a frame as ``n`` files in ordinal order (arrival order = ordinal order)."""
-    src = work_path(spark, name)
-    b = df.agg(F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi")).first()
-    lo, hi = int(b["lo"]), int(b["hi"])
-    step = (hi - lo) // n + 1
-    for i in range(n):
-        part = df.filter((F.col(ordinal) >= lo + i * step) & (F.col(ordinal) < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("overwrite").parquet(f"{src}/chunk{i}")
-    return src
+    hist, ckpt = work_path(spark, "stream-hist"), work_path(spark, "stream-ckpt")
+    old = doc_postings(labeled_docs(spark, d)).select("ordinal", "url", "title", "source")
+    history_batch(old, 0, hist, "url", "ordinal", run_id="first", first_seen=S.HISTORY_TS)
+    for src in _arrivals(spark, posts, "ordinal", "stream-src"):
+        stream_new_postings(spark, src, posts.schema, hist, ckpt, "url", "ordinal", max_files_per_trigger=None,
+                            run_id="second", first_seen=S.RUN_TS).awaitTermination()
+    return read_history(spark, hist, posts.schema).select("url", F.col("ordinal").alias("doc_id"), "title", "source",
+                                                          "first_seen", "run_id")
 
 
 def q_stream_dedup(spark, d):
     """Engine-state dedup on the url (which duplicate wins is not defined: url only)."""
     from jobsmith.streaming.history import stream_dedup_state
     posts = doc_postings(_t(spark, d, "documents")).select("ordinal", "url")
-    src = _ordered_files(spark, posts, "ordinal", "dedup-src")
     sink, ckpt = work_path(spark, "dedup-sink"), work_path(spark, "dedup-ckpt")
-    stream_dedup_state(spark, f"{src}/*", posts.schema, "url", sink, ckpt).awaitTermination()
+    for src in _arrivals(spark, posts, "ordinal", "dedup-src"):
+        stream_dedup_state(spark, src, posts.schema, "url", sink, ckpt).awaitTermination()
     return spark.read.parquet(sink).select("url")
 
 
+def q_stream_dedup_watermark(spark, d):
+    """X2 with bounded state: repeats of a user and type within the watermark's delay drop."""
+    from jobsmith.streaming.history import stream_dedup_state
+    ev = _t(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id"),
+                                       F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"))
+    sink, ckpt = work_path(spark, "dedup-wm-sink"), work_path(spark, "dedup-wm-ckpt")
+    for src in _arrivals(spark, ev, "event_id", "dedup-wm-src"):
+        stream_dedup_state(spark, src, ev.schema, "key", sink, ckpt, watermark=("ts", "3650 days")).awaitTermination()
+    return spark.read.parquet(sink).select("key")
+
+
 def q_stream_enrich(spark, d):
-    """Postings arrive in four ordered files; each micro-batch runs the enrichment
-    batch body against the newest state version; the last version equals one sequential pass."""
-    from jobsmith.streaming.history import stream_enrich
+    """Postings arrive in four steps; each micro-batch runs the enrichment batch body against
+    the newest state version; the last version equals one sequential pass."""
+    from jobsmith.streaming.history import seed_state, stream_enrich
     posts, state, details = _enrich_inputs(spark, d)
     fields = ["description", "posted_date"]
     p = posts.select("url", "ordinal", *fields)
-    src = _ordered_files(spark, p, "ordinal", "enrich-src")
+    details = cut_lineage(details, "stream-details")  # read by every batch
     base, ckpt = work_path(spark, "enrich-state"), work_path(spark, "enrich-ckpt")
-    (state.select("url", F.lit(0).alias("origin"), "ordinal", *fields)
-     .write.mode("overwrite").parquet(f"{base}/v=0"))
-    stream_enrich(spark, f"{src}/*", p.schema, base, details, fields, ckpt).awaitTermination()
-    last = spark.read.parquet(base).agg(F.max("v")).first()[0]
-    final = spark.read.parquet(f"{base}/v={last}")
-    return final.select("url", F.length("description").cast("bigint").alias("description_len"), "posted_date")
+    seed_state(state, base, fields)
+    for src in _arrivals(spark, p, "ordinal", "enrich-src"):
+        stream_enrich(spark, src, p.schema, base, details, fields, ckpt, max_files_per_trigger=None).awaitTermination()
+    final = spark.read.parquet(io.latest_version(spark, base))
+    return final.select("url", F.col("origin").cast("bigint").alias("origin"), "ordinal",
+                        F.length("description").cast("bigint").alias("description_len"), "posted_date")
 
 
 def q_automated_run(spark, d):
@@ -584,11 +610,13 @@ QUERIES = {
     "union_sources": q_union_sources,
     "consolidate": q_consolidate,
     "read_csv": q_read_csv,
+    "read_csv_mixed": q_read_csv_mixed,
     "read_json": q_read_json,
     "sink_csv": q_sink_csv,
     "sink_json": q_sink_json,
     "stream_history": q_stream_history,
     "stream_dedup": q_stream_dedup,
+    "stream_dedup_watermark": q_stream_dedup_watermark,
     "stream_enrich": q_stream_enrich,
 }
 

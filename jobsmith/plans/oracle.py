@@ -10,7 +10,6 @@ from __future__ import annotations
 from jobsmith.functions import fixed
 from jobsmith.functions.text import WS_CLASS, duck_regex
 from jobsmith.plans import standins as S
-from jobsmith.plans.catalog import EVENT_TYPES
 
 
 def lit(s: str) -> str:
@@ -422,7 +421,8 @@ WITH p AS ({p}),
 u AS (SELECT ordinal, title, url, source FROM p WHERE location = 'en'
       UNION ALL BY NAME SELECT ordinal, title, url, salary FROM p WHERE location = 'de'
       UNION ALL BY NAME SELECT ordinal, title, company, url FROM p WHERE location = 'es'
-      UNION ALL BY NAME SELECT ordinal, title, description, url FROM p WHERE location = 'fr')
+      UNION ALL BY NAME SELECT ordinal, title, description, url FROM p WHERE location = 'fr'
+      UNION ALL BY NAME SELECT ordinal, title, url FROM p WHERE location IS NULL OR location NOT IN ('en', 'de', 'es', 'fr'))
 SELECT ordinal, {', '.join((f"coalesce({c}, '') AS {c}" if c != 'location' else "'' AS location")
                             for c in fixed.POSTING_7)} FROM u"""
 
@@ -455,7 +455,7 @@ def build() -> dict[str, str]:
     prio = "[" + ", ".join(lit(t) for t in fixed.PRIORITY_TITLES) + "]"
     terms = (f"list_slice(list_slice(CASE WHEN p_type <> '' AND NOT list_contains({prio}, p_type) "
              f"THEN list_prepend(p_type, {prio}) ELSE {prio} END, 1, {fixed.SEARCH_TERMS_CAP}), 1, {fixed.SEARCH_TERMS_DEFAULT})")
-    ev_cols = ", ".join(f"arg_max(value, event_id) FILTER (WHERE event_type = {lit(t)}) AS {t}" for t in EVENT_TYPES)
+    ev_cols = ", ".join(f"arg_max(value, event_id) FILTER (WHERE event_type = {lit(t)}) AS {t}" for t in ('click', 'error', 'purchase', 'signup', 'view'))
     return {
         "clean_text": f"SELECT doc_id, {clean('text')} AS text_clean FROM documents",
         "contact_extract": f"""SELECT doc_id, {ws_strip_first} AS name,
@@ -544,8 +544,6 @@ def build() -> dict[str, str]:
             FROM ({doc_postings_sql()})""",
         "sink_json": f"""SELECT {P9} FROM ({doc_postings_sql()}) WHERE url <> ''
             QUALIFY row_number() OVER (PARTITION BY url ORDER BY ordinal) = 1""",
-        "stream_history": f"""SELECT url, ordinal AS doc_id FROM ({doc_postings_sql()}) WHERE url IS NOT NULL AND url <> ''
-            QUALIFY row_number() OVER (PARTITION BY url ORDER BY ordinal) = 1""",
     }
 
 
@@ -630,4 +628,14 @@ ORACLE["profile"] = _profile_sql()
 ORACLE["dictionary_match"] = ORACLE["skill_match"]
 ORACLE["text_node_grep"] = _text_node_sql()
 ORACLE["stream_dedup"] = f"""SELECT DISTINCT url FROM ({doc_postings_sql()}) WHERE url IS NOT NULL AND url <> ''"""
-ORACLE["stream_enrich"] = f"SELECT url, description_len, posted_date FROM ({_enrich_upsert_sql()})"
+ORACLE["stream_enrich"] = f"SELECT url, origin, ordinal, description_len, posted_date FROM ({_enrich_upsert_sql()})"
+ORACLE["stream_dedup_watermark"] = "SELECT DISTINCT concat_ws('/', user_id, event_type) AS key FROM events"
+ORACLE["read_csv_mixed"] = f"SELECT title, company, url, '' AS source FROM ({doc_postings_sql()})"
+ORACLE["stream_history"] = f"""
+WITH old AS (SELECT url, ordinal AS doc_id, title, source, {lit(S.HISTORY_TS)} AS first_seen, 'first' AS run_id
+             FROM ({doc_postings_sql('SEMI JOIN labels USING (doc_id)')}) WHERE url IS NOT NULL AND url <> ''
+             QUALIFY row_number() OVER (PARTITION BY url ORDER BY ordinal) = 1)
+SELECT * FROM old UNION ALL
+SELECT url, ordinal, title, source, {lit(S.RUN_TS)}, 'second' FROM ({doc_postings_sql()})
+WHERE url IS NOT NULL AND url <> '' AND url NOT IN (SELECT url FROM old)
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY ordinal) = 1"""

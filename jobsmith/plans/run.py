@@ -100,10 +100,7 @@ def manual_run(pages: DataFrame, history: DataFrame, out_dir: str, run_date: str
     postings = collect_postings(pages, sources, config)
     kept = postings if ignore_history else idn.flag_new(postings, history, "url", "ordinal").filter("is_new")
     dated = io.run_date_partition(kept, run_date)
-    io.write_csv(dated, out_dir, columns=[c for c in fixed.POSTING_7 if c != "source"],
-                 partition_by=["source", "run_date"])
-    back = (pages.sparkSession.read.options(**io.CSV_READ).option("inferSchema", False).csv(out_dir)
-            .withColumn("source", F.col("source").cast("string")))
-    merged = back.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fixed.POSTING_7])
+    io.write_csv(dated, out_dir, partition_by=["source", "run_date"], skip_empty=False)
+    merged = io.read_csv(pages.sparkSession, [out_dir], same_header=True)
     return {"merged": merged, "report": rp.report_rows(merged),
             "summary": rp.report_summary(merged, query, location, run_date)}

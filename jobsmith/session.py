@@ -8,6 +8,7 @@ We set our own checkpoint folder only when the session has none (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,8 +30,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # pages are large rows: keep Arrow batches for the HTML extractor small
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        # pages are large rows: Arrow batches are bounded by bytes, not by a row count
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
         .config("spark.sql.execution.pythonUDF.arrow.enabled", "true")
         .getOrCreate()
     )
@@ -68,30 +69,30 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``);
-    create a local one only when nothing is set (local tests)."""
+    """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+
+    A folder of our own is made only for a local master (tests); with any other master a
+    missing setting is an error, because executors would write to their own disks.
+    """
     try:
         cur = spark.sparkContext.getCheckpointDir()
+        master = spark.sparkContext.master
     except Exception:  # no SparkContext handle (e.g. a remote session): use the conf only
-        cur = None
+        cur, master = None, None
     if cur:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="jobsmith-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", conf) if _conf_settable(spark) else None
+        if master is None or not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set (master {master}); set it to a folder all executors share")
+        conf = tempfile.mkdtemp(prefix="jobsmith-ckpt-")
     try:
         spark.sparkContext.setCheckpointDir(conf)
         return spark.sparkContext.getCheckpointDir() or conf
     except Exception:
-        return conf
-
-
-def _conf_settable(spark: SparkSession) -> bool:
-    try:
-        return spark.conf.isModifiable("spark.checkpoint.dir")
-    except Exception:
-        return False
+        if master is not None:
+            raise
+        return conf  # a remote session: the folder is the cluster's own
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -106,22 +107,3 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Parallelism guard for CPU-heavy per-row work (regex rules, the HTML parser).
-
-    When the input has fewer partitions than the cluster runs tasks at once (a small
-    table, or one unsplittable file) it is spread round-robin; at scale the scan already
-    has far more partitions than cores and this is a no-op (no shuffle is added).
-    Only exchange-free plans (scans, projections, filters) are inspected: counting the
-    partitions of a plan with a shuffle would run its map stage eagerly, and such a plan
-    already has the configured number of shuffle partitions.
-    """
-    try:
-        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-            return df
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-    except Exception:  # partition count not available (e.g. remote session): leave the plan alone
-        return df

@@ -9,9 +9,10 @@ Parquet once) so the read stays parallel.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +24,7 @@ CSV_WRITE = dict(header=True, quote='"', escape='"', emptyValue="", nullValue=""
                  ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8",
                  lineSep="\n")
 CSV_READ = dict(header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False,
-                ignoreTrailingWhiteSpace=False, encoding="UTF-8", mode="PERMISSIVE",
-                ignoreCorruptFiles=True)  # an unreadable file is skipped, the others are read
+                ignoreTrailingWhiteSpace=False, encoding="UTF-8", mode="FAILFAST")
 
 
 def string_schema(columns: Sequence[str]) -> T.StructType:
@@ -49,23 +49,63 @@ def _existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = tuple(fixed.POSTING_7)) -> DataFrame:
-    """Posting CSVs, columns matched by header name, all strings; missing paths skipped.
+def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The data files at the given paths (driver-side listing of names; no data is read)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in _existing(spark, paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        it = path.getFileSystem(conf).listFiles(path, True)
+        while it.hasNext():
+            f = it.next().getPath()
+            if not f.getName().startswith(("_", ".")):
+                out.append(f.toString())
+    return sorted(out)
+
+
+def headers(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str] | None]:
+    """The header names of each file; None for a file that cannot be read (it is logged)."""
+    out: dict[str, list[str] | None] = {}
+    for f in files:
+        try:
+            out[f] = spark.read.options(**CSV_READ).csv(f).columns
+        except Exception as exc:  # noqa: BLE001 - the caller counts what was skipped
+            log.warning("skipped %s: %s", f, str(exc).splitlines()[0])
+            out[f] = None
+    return out
+
+
+def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = tuple(fixed.POSTING_7),
+             same_header: bool = False) -> DataFrame:
+    """Posting CSVs, columns matched by header name in every file, all strings.
 
-    A file without one of ``columns`` yields '' for it (header-name projection).
+    Missing paths and files without a readable header are skipped and logged (``read_csv_skipped``
+    lists them). A file without one of ``columns`` yields '' for it. Files with equal headers are
+    read together. ``same_header`` is for our own outputs: one header, no listing of each file.
+    A record that does not parse fails the read.
     """
-    found = _existing(spark, paths)
-    if not found:
-        return spark.createDataFrame([], string_schema(columns))
-    frames = []
-    for p in found:  # per path: header names differ between files
-        df = spark.read.options(**CSV_READ).option("inferSchema", False).csv(p)
-        frames.append(df.select(*[(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c)
-                                  for c in columns]))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
+    if same_header:
+        found = _existing(spark, paths)
+        groups = {tuple(spark.read.options(**CSV_READ).csv(found).columns): found} if found else {}
+    else:
+        groups: dict[tuple, list[str]] = {}
+        for f, names in headers(spark, _files(spark, paths)).items():
+            if names:
+                groups.setdefault(tuple(names), []).append(f)
+    out = None
+    for names, files in groups.items():
+        df = spark.read.options(**CSV_READ).schema(string_schema(names)).csv(files)
+        df = df.select(*[(F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in names else F.lit("")).alias(c) for c in columns])
+        out = df if out is None else out.unionByName(df)
+    return spark.createDataFrame([], string_schema(columns)) if out is None else out
+
+
+def read_csv_skipped(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """What ``read_csv`` skips: ``path, reason`` (missing, unreadable, empty)."""
+    there = set(_existing(spark, paths))
+    rows = [(p, "missing") for p in paths if p not in there]
+    rows += [(f, "unreadable" if n is None else "empty") for f, n in headers(spark, _files(spark, paths)).items() if not n]
+    return spark.createDataFrame(rows, "path string, reason string")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, strict: bool = False,
@@ -89,32 +129,24 @@ def read_json_maps(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.from_json("value", "map<string,string>").alias("rec")).filter(F.col("rec").isNotNull())
 
 
-def _has_exchange(df: DataFrame) -> bool:
-    try:
-        return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
-    except Exception:  # noqa: BLE001
-        return True
-
-
-def _empty_guarded_write(df: DataFrame, path: str, write, read_back) -> bool:
-    """K9: empty input leaves no output. The upstream plan is computed once: an
-    exchange-free plan is tested with ``isEmpty`` (stops at the first row); a shuffled
-    plan is written first and, if the written output holds no row, the sink removes the
-    folder it has just created (the sink's own output, via the Hadoop FileSystem)."""
+def _guarded_write(df: DataFrame, path: str, write) -> bool:
+    """K9: empty input leaves what was there before. The rows are written to a staging folder
+    beside the target and counted on the way (an ``Observation``); only a write with rows
+    replaces the target, by a rename."""
     spark = df.sparkSession
-    if not _has_exchange(df):
-        if df.isEmpty():
-            log.warning("no rows to write to %s", path)
-            return False
-        write(df)
-        return True
-    write(df)
-    if read_back(spark, path).isEmpty():
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    seen = Observation()
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:12]}"
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")), staging)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(conf)
+    if not seen.get["n"]:
+        fs.delete(src, True)  # the folder this call has just made
         log.warning("no rows to write to %s", path)
         return False
+    fs.delete(dst, True)  # overwrite: the caller named this target
+    if not fs.rename(src, dst):
+        raise OSError(f"cannot move {staging} to {path}")
     return True
 
 
@@ -122,34 +154,35 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] = tuple(fixed.POS
               partition_by: Sequence[str] = (), mode: str = "overwrite", skip_empty: bool = True) -> bool:
     """K1/K3/K8/K9: fixed projection, absent -> '', partitioned output (e.g. source, run_date).
 
-    Empty input writes nothing and returns False (see ``_empty_guarded_write``).
+    Partition columns that are among ``columns`` stay in the files too. With ``skip_empty``,
+    empty input keeps what was there and returns False.
     """
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c)
             for c in columns]
-    extra = [F.col(c) for c in partition_by if c not in columns]
+    folders = {c: f"{c}_part" if c in columns else c for c in partition_by}
 
-    def write(frame: DataFrame) -> None:
-        w = frame.select(*cols, *extra).write.mode(mode).options(**CSV_WRITE)
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.csv(path)
+    def write(frame: DataFrame, to: str) -> None:
+        w = (frame.select(*cols, *[F.col(c).alias(n) for c, n in folders.items()])
+             .write.mode(mode).options(**CSV_WRITE))
+        if folders:
+            w = w.partitionBy(*folders.values())
+        w.csv(to)
 
-    if not skip_empty:
-        write(df)
+    if not skip_empty or mode != "overwrite":
+        write(df, path)
         return True
-    return _empty_guarded_write(df, path, write,
-                                lambda spark, p: spark.read.options(**CSV_READ).csv(p))
+    return _guarded_write(df, path, write)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite", skip_empty: bool = True) -> bool:
     """JSON Lines, non-ASCII kept, nulls omitted (absent keys stay absent)."""
-    def write(frame: DataFrame) -> None:
-        frame.write.mode(mode).option("ignoreNullFields", True).json(path)
+    def write(frame: DataFrame, to: str) -> None:
+        frame.write.mode(mode).option("ignoreNullFields", True).json(to)
 
-    if not skip_empty:
-        write(df)
+    if not skip_empty or mode != "overwrite":
+        write(df, path)
         return True
-    return _empty_guarded_write(df, path, write, lambda spark, p: spark.read.text(p))
+    return _guarded_write(df, path, write)
 
 
 def write_versioned(df: DataFrame, base: str, version: int | str, fmt: str = "parquet") -> str:

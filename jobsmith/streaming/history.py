@@ -1,14 +1,18 @@
 """Incremental runs on Structured Streaming.
 
-X1 ``stream_new_postings``: a growing folder of posting files -> per micro-batch
-keep-first -> anti join against the history -> write the new rows into the
-history partition of *this* batch id (mode overwrite on ``batch_id=N``). A replay
-of batch N after a failure reads the history *excluding* its own partition and
-rewrites the same rows, so the sink is idempotent without a transactional format.
+Runs are told apart: a run has an id and writes only partitions of its own, so a second stream
+with a new checkpoint (whose batch ids start at 0 again) never overwrites an older run's rows.
+
+X1 ``stream_new_postings``: a growing folder of posting files -> per micro-batch keep-first ->
+anti join against the history -> the new rows, in the history table's columns with the first-seen
+stamp, into the partition (run_id, batch_id) of *this* batch. A replay of a batch reads the
+history without its own partition and rewrites the same rows, so the sink is idempotent without a
+transactional format. History written by other means (no such partitions) is read as it is.
 
 X2 ``stream_dedup_state``: engine-state variant (``dropDuplicates`` on the key).
 
-X3 ``stream_enrich``: per micro-batch P8 -> J5 -> J4 -> J3 into a versioned state.
+X3 ``stream_enrich``: per micro-batch P8 -> J5 -> J4 -> J3 into a versioned state. A state row
+keeps the place it was given: ``(version, origin, ordinal)``, compared in this order.
 """
 
 from __future__ import annotations
@@ -29,44 +33,51 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+HISTORY_PARTITIONS = ["run_id", "batch_id"]
+
+
 def read_history(spark: SparkSession, history_path: str, schema: T.StructType,
-                 exclude_batch: int | None = None) -> DataFrame:
-    """History rows (optionally without one batch partition)."""
+                 without: tuple[str, int] | None = None) -> DataFrame:
+    """History rows, optionally without the partition of one (run_id, batch_id)."""
     if not _exists(spark, history_path):
         return spark.createDataFrame([], schema)
-    h = spark.read.parquet(history_path)
-    if exclude_batch is not None and "batch_id" in h.columns:
-        h = h.filter(F.col("batch_id") != exclude_batch)
+    h = spark.read.option("mergeSchema", True).parquet(history_path)
+    if without is not None and set(HISTORY_PARTITIONS) <= set(h.columns):
+        run, batch = without
+        h = h.filter(~(F.col("run_id").cast("string").eqNullSafe(run) & F.col("batch_id").eqNullSafe(batch)))
     return h
 
 
 def history_batch(batch: DataFrame, batch_id: int, history_path: str, key: str, ordinal: str,
-                  hash_key: bool = False) -> None:
+                  hash_key: bool = False, run_id: str = "run", first_seen: str | None = None) -> None:
     """foreachBatch body for X1 (also callable directly: replay-safe)."""
     spark = batch.sparkSession
     first = keep_first(batch, key, ordinal, hash_key)
-    if _exists(spark, history_path):
-        hist = spark.read.parquet(history_path).filter(F.col("batch_id") != batch_id)
-        if hash_key:
-            seen = hist.select(F.sha2(F.col(key), 256).alias("__k"))
-            new = first.withColumn("__k", F.sha2(F.col(key), 256)).join(seen, "__k", "left_anti").drop("__k")
-        else:
-            new = first.join(hist.select(key), key, "left_anti")  # anti join: no distinct needed
+    hist = read_history(spark, history_path, batch.schema, (run_id, batch_id))
+    if hash_key:
+        seen = hist.select(F.sha2(F.col(key), 256).alias("__k"))
+        new = first.withColumn("__k", F.sha2(F.col(key), 256)).join(seen, "__k", "left_anti").drop("__k")
     else:
-        new = first
-    new.write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/batch_id={batch_id}")
+        new = first.join(hist.select(key), key, "left_anti")  # anti join: no distinct needed
+    if first_seen is not None:
+        new = new.withColumn("first_seen", F.lit(first_seen))
+    new.write.mode("overwrite").parquet(f"{history_path.rstrip('/')}/run_id={run_id}/batch_id={batch_id}")
 
 
 def stream_new_postings(spark: SparkSession, source_dir: str, schema: T.StructType, history_path: str,
                         checkpoint: str, key: str, ordinal: str = "ordinal", hash_key: bool = False,
-                        max_files_per_trigger: int | None = 1, fmt: str = "parquet"):
-    """Start an availableNow stream; returns the StreamingQuery (caller awaits)."""
+                        max_files_per_trigger: int | None = 1, fmt: str = "parquet", run_id: str = "run",
+                        first_seen: str | None = None):
+    """Start an availableNow stream; returns the StreamingQuery (caller awaits).
+
+    ``run_id`` names the run; a new checkpoint needs a new one.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_dir)
     return (stream.writeStream
-            .foreachBatch(lambda df, bid: history_batch(df, bid, history_path, key, ordinal, hash_key))
+            .foreachBatch(lambda df, bid: history_batch(df, bid, history_path, key, ordinal, hash_key, run_id, first_seen))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
@@ -86,32 +97,45 @@ def stream_dedup_state(spark: SparkSession, source_dir: str, schema: T.StructTyp
             .trigger(availableNow=True).start())
 
 
+STATE_PLACE = ["version", "origin", "ordinal"]
+
+
+def seed_state(state: DataFrame, state_base: str, fields: Sequence[str], key: str = "url", ordinal: str = "ordinal") -> None:
+    """Version 0 of an X3 state: rows keep their own order. An empty frame starts a new state."""
+    (state.select(key, F.lit(0).cast("bigint").alias("version"), F.lit(0).alias("origin"),
+                  F.col(ordinal).cast("bigint").alias("ordinal"), *fields)
+     .write.mode("errorifexists").parquet(f"{state_base.rstrip('/')}/v=0"))
+
+
 def enrich_batch(batch: DataFrame, batch_id: int, state_base: str, details: DataFrame, fields: Sequence[str],
                  key: str, ordinal: str) -> None:
-    """foreachBatch body for X3: read state version ``batch_id`` (seeded as v=0), enrich,
-    write version ``batch_id + 1`` with mode overwrite (a replayed batch rewrites the same version)."""
+    """foreachBatch body for X3: read state version ``batch_id`` (``seed_state`` writes 0), enrich,
+    write version ``batch_id + 1`` with mode overwrite (a replayed batch rewrites the same version).
+
+    A missing or unfinished version is an error: going on from an empty state would lose rows.
+    """
     spark = batch.sparkSession
     prev = f"{state_base.rstrip('/')}/v={batch_id}"
-    if _exists(spark, prev):
-        state = spark.read.parquet(prev)
-        # re-number the ordered state so the next merge keeps (origin, ordinal) order
-        state = state.select(key, (F.col("origin").cast("bigint") * F.lit(10**15) + F.col(ordinal)).alias(ordinal),
-                             *fields)
-    else:
-        state = spark.createDataFrame([], batch.select(key, ordinal, *fields).schema)
+    if not _exists(spark, f"{prev}/_SUCCESS"):
+        raise RuntimeError(f"state version {prev} is missing or unfinished")
+    place = F.struct(*STATE_PLACE)
+    old = spark.read.parquet(prev).select(key, place.alias("place"), *fields)
+    new = batch.select(key, F.struct(F.lit(batch_id + 1).cast("bigint").alias("version"), F.lit(1).alias("origin"),
+                                     F.col(ordinal).cast("bigint").alias("ordinal")).alias("place"), *fields)
     # the flags are not used here: only the per-posting outcome (read twice) is materialized
-    new_state, _ = enrich_run(batch.select(key, ordinal, *fields), state, details, fields, key, ordinal,
-                              materialize="outcome")
-    (new_state.select(key, F.col("origin").cast("int").alias("origin"), ordinal, *fields)
+    merged, _ = enrich_run(new, old, details, fields, key, "place", materialize="outcome")
+    (merged.select(key, "place.*", *fields)
      .write.mode("overwrite").parquet(f"{state_base.rstrip('/')}/v={batch_id + 1}"))
 
 
 def stream_enrich(spark: SparkSession, source_dir: str, schema: T.StructType, state_base: str,
                   details: DataFrame, fields: Sequence[str], checkpoint: str, key: str = "url",
-                  ordinal: str = "ordinal", fmt: str = "parquet"):
+                  ordinal: str = "ordinal", fmt: str = "parquet", max_files_per_trigger: int | None = 1):
     """Resumable enrichment, one versioned state write per micro-batch."""
-    stream = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", 1).load(source_dir)
-    return (stream.writeStream
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return (reader.load(source_dir).writeStream
             .foreachBatch(lambda df, bid: enrich_batch(df, bid, state_base, details, fields, key, ordinal))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -147,3 +147,31 @@ def test_report_title_terms(spark):
     from jobsmith.operators.report import report_title_terms
     df = spark.createDataFrame([(["a", "b", "c", "d"],), (["x"],)], "t array<string>")
     assert [r[0] for r in df.select(report_title_terms(F.col("t"))).collect()] == ["a, b, c", "x"]
+
+
+def test_rejected_page_is_reported(spark):
+    pages = spark.createDataFrame([(1, "<h1>ok</h1>"), (2, "<![foo bar]>"), (3, None)], "page_id long, html string")
+    got = [(r["page_id"], bool(r["error"])) for r in H.page_rejects(pages).collect()]
+    assert got == [(2, True)]
+
+
+def test_detail_extract_branches(spark):
+    body = "d" * 60
+    pages = spark.createDataFrame([
+        (1, f'<div id="x">short</div><div id="y">{body}</div><span class="date">Posted 2 days ago</span>'),
+        (2, '<div id="x">short</div><div class="page-Footer">Posted 3 days ago</div>'),
+        (3, "<p>nothing</p>"), (4, "<![foo bar]>"), (5, '<div id="x"></div><span class="date">no word</span>')], "page_id long, html string")
+    got = {r["page_id"]: r for r in H.detail_extract(pages, ["div#x", "div#y"], ["span.date"], ["ago", "posted"],
+                                                     footer_token="footer").collect()}
+    assert (got[1]["description"], got[1]["status"], got[1]["error"], got[1]["posted_date"]) == (body, "success", None, "Posted 2 days ago")
+    assert (got[2]["status"], got[2]["error"]) == ("failed", None) and got[2]["posted_date"].endswith("3 days ago")
+    assert got[3]["status"] == "failed" and got[3]["error"] and got[3]["posted_date"] == ""
+    assert got[4]["status"] == "failed" and got[4]["error"] != got[3]["error"]
+    assert got[5]["description"] == "" and got[5]["posted_date"] == ""
+
+
+def test_probe_looks_at_the_first_divs_only(spark):
+    divs = "".join(f'<div class="s{i}">tiny</div>' for i in range(6)) + '<div class="long">' + "x" * 40 + "</div>"
+    pages = spark.createDataFrame([(1, f'<article class="job">{divs}</article>'), (2, "<p>no card</p>")], "page_id long, html string")
+    got = {r["page_id"]: r for r in H.description_probe(pages, ["article.job"], probes=["p.none"]).collect()}
+    assert got[1]["probe_rank"] is None and list(got[1]["divs"]) == [] and list(got[2]["divs"] or []) == []

@@ -5,17 +5,19 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from jobsmith.plans import catalog
 from jobsmith.operators import identity as idn
 from tests.conftest import SMOKE
 
-WRITES_FIRST = {"read_csv", "read_json", "sink_csv", "sink_json", "stream_history", "stream_dedup", "stream_enrich"}
+WRITES_FIRST = {"read_csv", "read_json", "sink_csv", "sink_json", "stream_history", "stream_dedup",
+                "stream_dedup_watermark", "stream_enrich", "read_csv_mixed"}
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(k for k in E.queries() if k not in WRITES_FIRST))
+@pytest.mark.parametrize("key", sorted(k for k in catalog.QUERIES if k not in WRITES_FIRST))
 def test_no_cartesian_and_single_parse(spark, key):
     plan = plan_of(E.queries()[key](spark, SMOKE))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -46,13 +48,9 @@ def test_upsert_joins_on_key_and_first_ordinal(spark):
     assert "FullOuter" in plan and "__first" in plan
 
 
-def test_spread_never_executes_its_input(spark):
-    from jobsmith.session import spread
-    sc = spark.sparkContext
-    scan = spark.read.parquet(f"{SMOKE}/documents.parquet")
-    shuffled = scan.groupBy("source").agg(F.count("*").alias("n"))
-    before = len(list(sc.statusTracker().getJobIdsForGroup()))
-    spread(scan)
-    out = spread(shuffled)
-    assert len(list(sc.statusTracker().getJobIdsForGroup())) == before  # planning only, no job
-    assert out is shuffled  # a shuffled plan already has the configured partitions
+def test_postings_carry_one_struct_per_card(spark):
+    from jobsmith.functions import fixed
+    from jobsmith.operators import html as H
+    pages = spark.read.parquet(f"{SMOKE}/pages.parquet")
+    plan = plan_of(H.extract_postings(pages, fixed.SOURCES["indeed"]))
+    assert plan.count("Generate") <= 1 and "Exchange" not in plan

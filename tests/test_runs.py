@@ -69,7 +69,7 @@ def test_manual_run_merges_without_dedup(spark):
                      sources=["indeed", "irishjobs"])
     assert out["merged"].count() == 6  # no dedup in the merge (the repeated url stays)
     assert out["summary"].first()["total_jobs"] == 6
-    assert any("source=indeed" in p for p in os.listdir(out_dir.replace("file:", "")))
+    assert any("source_part=indeed" in p for p in os.listdir(out_dir.replace("file:", "")))
 
 
 def test_reference_scenario(spark):

@@ -114,3 +114,70 @@ def test_csv_header_name_matching(spark, tmp_path):
     (b / "part.csv").write_text('title,company,url\n"T, 2",C,u2\n', encoding="utf-8")
     rows = sorted(tuple(r) for r in io.read_csv(spark, [str(a), str(b), str(tmp_path / "nope")]).collect())
     assert rows == [("T, 2", "C", "", "", "", "u2", ""), ("T1", "", "", "", "", "u1", "")]
+
+
+POSTING = "ordinal long, url string, title string"
+
+
+def test_second_run_keeps_the_first_runs_history(spark):
+    hist = work_path(spark, "h-runs")
+    def rows(*urls):
+        return spark.createDataFrame([(i, u, u) for i, u in enumerate(urls)], POSTING)
+    history_batch(rows("u1", "u2", "u3"), 0, hist, "url", "ordinal", run_id="a", first_seen="t1")
+    history_batch(rows("u3", "u4"), 0, hist, "url", "ordinal", run_id="b", first_seen="t2")
+    got = {(r["url"], r["first_seen"]) for r in spark.read.parquet(hist).collect()}
+    assert got == {("u1", "t1"), ("u2", "t1"), ("u3", "t1"), ("u4", "t2")}
+
+
+def test_history_without_batches_is_read(spark):
+    hist = work_path(spark, "h-plain")
+    spark.createDataFrame([("u1", "t0")], "url string, first_seen string").write.parquet(hist)
+    from jobsmith.streaming.history import read_history
+    assert [r["url"] for r in read_history(spark, hist, None, ("a", 0)).collect()] == ["u1"]
+
+
+def test_state_order_and_missing_state(spark):
+    import pytest
+    from jobsmith.streaming.history import enrich_batch, seed_state
+    base, fields = work_path(spark, "st-order"), ["description", "posted_date"]
+    schema = "url string, ordinal long, description string, posted_date string"
+    details = spark.createDataFrame([], "canonical_url string, ordinal long, description string, posted_date string, status string")
+    def post(url, n):
+        return spark.createDataFrame([(url, n, "d", "")], schema)
+    with pytest.raises(RuntimeError):
+        enrich_batch(post("a", 1), 0, base, details, fields, "url", "ordinal")
+    seed_state(post("a", 10**16), base, fields)  # ordinals of any size
+    for bid, (url, n) in enumerate([("z", 900), ("y", 5), ("x", 7)]):
+        enrich_batch(post(url, n), bid, base, details, fields, "url", "ordinal")
+    last = spark.read.parquet(f"{base}/v=3").orderBy("version", "origin", "ordinal")
+    assert [r["url"] for r in last.collect()] == ["a", "z", "y", "x"]
+    with pytest.raises(RuntimeError):  # a version that was never written
+        enrich_batch(post("w", 1), 9, base, details, fields, "url", "ordinal")
+
+
+def test_empty_write_keeps_what_was_there(spark):
+    full = spark.createDataFrame([("t", "u")], "title string, url string")
+    plans = [full.limit(0), full.groupBy("title", "url").count().drop("count").filter("title = 'x'")]
+    for i, empty in enumerate(plans):  # with and without a shuffle
+        path = work_path(spark, f"keep-{i}")
+        assert io.write_csv(full, path, columns=["title", "url"], partition_by=["title"]) is True
+        assert io.write_csv(empty, path, columns=["title", "url"], partition_by=["title"]) is False
+        assert [tuple(r) for r in io.read_csv(spark, [path], ["title", "url"]).collect()] == [("t", "u")]
+
+
+def test_mixed_headers_in_one_folder_and_skipped_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,company,url\nT1,C1,u1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("url,title,company\nu2,T2,C2\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("", encoding="utf-8")
+    got = sorted(tuple(r) for r in io.read_csv(spark, [str(tmp_path)], ["title", "company", "url"]).collect())
+    assert got == [("T1", "C1", "u1"), ("T2", "C2", "u2")]
+    skipped = {(os.path.basename(r["path"]), r["reason"]) for r in io.read_csv_skipped(spark, [str(tmp_path), str(tmp_path / "no")]).collect()}
+    assert skipped == {("c.csv", "empty"), ("no", "missing")}
+
+
+def test_partition_columns_keep_their_text(spark):
+    path = work_path(spark, "text-parts")
+    rows = spark.createDataFrame([("t", "007"), ("u", "")], "title string, source string")
+    io.write_csv(rows, path, columns=["title", "source"], partition_by=["source"])
+    got = sorted(tuple(r) for r in io.read_csv(spark, [path], ["title", "source"], same_header=True).collect())
+    assert got == [("t", "007"), ("u", "")]
