@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -255,14 +255,17 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     now = staged(edges.filter("a <> b").select(low.alias("a"), high.alias("b")).dropDuplicates(), "edges")
     mark = None
     for _ in range(max_rounds):
-        both = staged(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges-both")
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # the minima are written out so that the join reads plain shuffles and a hot node can be split
         mins = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "edges-min")
-        large = both.join(mins, "a").filter("b > a").select(F.col("m").alias("a"), "b").dropDuplicates()
-        large = staged(large.filter("a <> b"), "edges-large")
+        large = both.join(mins, "a").filter("b > a AND m <> b").select(F.col("m").alias("a"), "b").dropDuplicates()
+        large = staged(large, "edges-large")
         mins = staged(large.groupBy("b").agg(F.min("a").alias("m")), "edges-min")
         small = large.join(mins, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        now = staged(small.filter("a <> b").dropDuplicates(), "edges")
-        was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()  # two numbers
+        seen = Observation()
+        now = staged(small.filter("a <> b").dropDuplicates().observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        was, mark = mark, (seen.get["n"], seen.get["sum"])
         if was == mark:
             break
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -306,7 +309,7 @@ def _clump_links(docs: DataFrame, members: DataFrame, percent: int, chunk: int,
     comps = components(links)
     large = staged(large.join(comps, large["cid"] == comps["node"], "left")
                    .select("cid", "clump", F.coalesce("root", "cid").alias("comp")), "ngram-parts")
-    comp_sizes = staged(large.groupBy("clump", "comp").agg(F.count(F.lit(1)).alias("size")), "ngram-comps")
+    comp_sizes = large.groupBy("clump", "comp").agg(F.count(F.lit(1)).alias("size"))
     pools = comp_sizes.groupBy("clump").agg(F.sum(F.when(F.col("size") < chunk, F.col("size")).otherwise(0)).alias("pooled"), F.count(F.lit(1)).alias("comps"))
     placed = (large.join(comp_sizes, ["clump", "comp"]).join(pools.filter("comps > 1"), "clump")
               .withColumn("alone", F.col("size") >= chunk)
@@ -315,12 +318,12 @@ def _clump_links(docs: DataFrame, members: DataFrame, percent: int, chunk: int,
                           .otherwise(F.pmod(F.xxhash64("cid"), F.greatest(F.ceil(F.col("pooled") / F.lit(chunk)), F.lit(1)))))
               .withColumn("piece", F.xxhash64("clump", F.coalesce("owner", F.lit(0)), "alone", "part")))
     placed = staged(placed.select("cid", "clump", "owner", "piece"), "ngram-pieces")
-    pieces = staged(placed.select("clump", "owner", "piece").dropDuplicates(), "ngram-piece-list")
+    pieces = placed.select("clump", "owner", "piece").dropDuplicates()
     left, right = pieces.alias("l"), pieces.alias("r")
     meet = left.join(right, (F.col("l.clump") == F.col("r.clump")) & (F.col("l.piece") <= F.col("r.piece")))
     meet = meet.filter(F.col("l.owner").isNull() | F.col("r.owner").isNull() | (F.col("l.owner") != F.col("r.owner")))
     meet = meet.select(F.col("l.piece").alias("p"), F.col("r.piece").alias("q"), F.xxhash64("l.piece", "r.piece").alias("unit"))
-    sides = staged(meet.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("piece"), "unit"), "ngram-meetings")
+    sides = meet.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("piece"), "unit")
     cross = placed.join(sides, "piece").select("cid", "unit").join(sets.select("cid", "payload"), "cid")
     more = staged(cross.select("cid", "payload", "unit", F.col("unit").alias("g")).groupBy("g").applyInArrow(run, out), "ngram-links")
     return links.unionByName(more)
@@ -370,7 +373,7 @@ def ngram_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     roots = components(links)
     reached = staged(classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root")), "ngram-roots")
     named = reached.groupBy("root").agg(F.min("rep").alias("component"))
-    named = staged(reached.join(staged(named, "ngram-names"), "root").select("cid", "component"), "ngram-named")
+    named = reached.join(staged(named, "ngram-names"), "root").select("cid", "component")
     return (light.join(named, "cid", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"),
                     F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id")))

@@ -1,5 +1,8 @@
 """The registered corpus queries and the pipeline."""
 
+import duckdb
+import pytest
+
 import corpus_pipeline
 from jobsmith.llm.queries import ORACLE, QUERIES
 from tests.llm.fixtures import clashing, near_copies_table, table
@@ -40,3 +43,13 @@ def test_stages_on_odd_rows(spark, tmp_path):
 
 def test_stages_on_nothing(spark, tmp_path):
     assert [d.count() for d in staged_run(spark, table(spark, []), str(tmp_path))] == [0] * 5
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_equal_their_sql(spark, name):
+    con, at = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{at}/documents.parquet')")
+    got = entry.queries()[name](spark, at)
+    want = con.sql(ORACLE[name])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
