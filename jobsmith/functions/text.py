@@ -85,17 +85,14 @@ def first_match(text: Column, patterns: Sequence[str], ignore_case: bool = True,
                 strip: bool = True) -> Column:
     """Ranked rules: the first *rule* that matches wins (rank beats position).
 
-    Returns null when no rule matches. Lazily evaluated left to right (CASE).
+    Returns null when no rule matches. Lazily evaluated left to right (coalesce).
     """
-    expr = None
+    found = []
     for p in patterns:
-        rx = spark_regex(p, ignore_case)
-        val = F.regexp_extract(text, rx, group)
-        if strip:
-            val = py_strip(val)
-        branch_cond = text.rlike(rx)
-        expr = F.when(branch_cond, val) if expr is None else expr.when(branch_cond, val)
-    return expr if expr is not None else F.lit(None).cast("string")
+        rx = F.lit(spark_regex(p, ignore_case))  # one regex run per rule: null when it does not match
+        val = F.regexp_substr(text, rx) if group == 0 else F.get(F.regexp_extract_all(text, rx, F.lit(group)), F.lit(0))
+        found.append(py_strip(val) if strip else val)
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
 def contains_any(c: Column, tokens: Sequence[str], lower: bool = True) -> Column:

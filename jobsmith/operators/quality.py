@@ -61,8 +61,8 @@ def progress_pct(inputs: DataFrame, updated: DataFrame, description: str = "desc
         F.coalesce("with_date", F.lit(0)).cast("bigint").alias("with_date"),
         F.when(F.col("total") > 0, (F.col("done") / F.col("total")) * F.lit(100.0))
         .otherwise(F.lit(0.0)).alias("pct"),
-        F.format_number(F.when(F.col("total") > 0, (F.col("done") / F.col("total")) * F.lit(100.0))
-                        .otherwise(F.lit(0.0)), 1).alias("pct_label"),
+        F.replace(F.format_number(F.when(F.col("total") > 0, (F.col("done") / F.col("total")) * F.lit(100.0))
+                                  .otherwise(F.lit(0.0)), 1), F.lit(",")).alias("pct_label"),  # no thousands mark
         (F.coalesce("total", F.lit(0)) - F.coalesce("done", F.lit(0))).cast("bigint").alias("remaining"))
 
 
@@ -74,17 +74,27 @@ def source_stats(flagged: DataFrame, group_by: Sequence[str] = ("source", "searc
             .withColumn("dup", F.col("found") - F.col("new")))
 
 
-def running_total(per_query: DataFrame, order_col: str = "query_no", count_col: str = "n_new") -> DataFrame:
+def running_total(per_query: DataFrame, order_col: str = "query_no", count_col: str = "n_new",
+                  block_rows: int = 1000) -> DataFrame:
     """Jobs-so-far per query and i/N position.
 
-    Runs on the per-query aggregate (one row per search term), which is tiny, so the
-    un-partitioned window is safe; it must never run on posting rows.
+    Runs on the per-query aggregate (one row per search term). Terms are dealt into blocks of
+    ``order_col``; sums run inside a block, and only the block totals meet in one window.
     """
-    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (per_query
-            .withColumn("so_far", F.sum(count_col).over(w).cast("bigint"))
-            .withColumn("position", F.row_number().over(Window.orderBy(order_col)).cast("bigint"))
-            .withColumn("of_n", F.count("*").over(Window.partitionBy()).cast("bigint")))
+    block = F.floor(F.col(order_col) / F.lit(float(block_rows))).cast("bigint")
+    rows = per_query.withColumn("__block", block)
+    blocks = rows.groupBy("__block").agg(F.sum(count_col).alias("__sum"), F.count("*").alias("__rows"))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__sum_before"),
+                           F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows_before"),
+                           F.sum("__rows").over(Window.partitionBy()).alias("__n"))
+    inside = Window.partitionBy("__block").orderBy(order_col)
+    return (rows.join(blocks, rows["__block"].eqNullSafe(blocks["__block"])).drop(blocks["__block"])
+            .withColumn("so_far", (F.col("__sum_before") + F.coalesce(
+                F.sum(count_col).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))).cast("bigint"))
+            .withColumn("position", (F.col("__rows_before") + F.row_number().over(inside)).cast("bigint"))
+            .withColumn("of_n", F.col("__n").cast("bigint"))
+            .drop("__block", "__sum_before", "__rows_before", "__n"))
 
 
 def first_n(df: DataFrame, n: int | None, ordinal: str = "ordinal") -> DataFrame:
@@ -152,12 +162,15 @@ def interstitial_flags(pages: DataFrame, html: str = "html", url: str = "url",
         url_flag.alias("flag_url"))
 
 
-def page_prefix(pages: DataFrame, group_by: Sequence[str], page_col: str, stop: Column) -> DataFrame:
+def page_prefix(pages: DataFrame, group_by: Sequence[str], page_col: str, stop: Column,
+                max_broadcast_groups: int = 100_000) -> DataFrame:
     """Within each group keep pages before the first page where ``stop`` holds.
 
-    Stop pages per group are a partial aggregate (min), joined back on the group keys;
-    a hot group is split by AQE's skew-join handling instead of landing in one window task.
+    Stop pages per group are a partial aggregate (min), joined back on the group keys. They are
+    broadcast up to ``max_broadcast_groups`` groups; beyond that the join shuffles, and a hot
+    group is split by AQE's skew-join handling instead of landing in one window task.
     """
     stops = (pages.filter(stop).groupBy(*group_by).agg(F.min(page_col).alias("__stop")))
-    j = pages.join(stops, list(group_by), "left")
+    side = F.broadcast(stops) if stops.limit(max_broadcast_groups + 1).count() <= max_broadcast_groups else stops
+    j = pages.join(side, list(group_by), "left")
     return j.filter(F.col("__stop").isNull() | (F.col(page_col) < F.col("__stop"))).drop("__stop")

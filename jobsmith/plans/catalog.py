@@ -538,11 +538,9 @@ def q_stream_enrich(spark, d):
                         F.length("description").cast("bigint").alias("description_len"), "posted_date")
 
 
-def q_automated_run(spark, d):
-    """§3.1 end to end over the pages table: one configured source (stand-in selectors), each
-    host a search term, pages in page_id order, links resolved against their page's origin;
-    history = links seen on blog hosts. Returns the consolidated 9-column table of new postings."""
-    from jobsmith.plans.run import automated_run
+def _run_inputs(spark, d):
+    """§3.1 over the pages table: one configured source (stand-in selectors), each host a search
+    term, pages in page_id order; history = links seen on blog hosts."""
     cfg = {S.RUN_SOURCE: {"base_url": S.RUN_BASE_URL, "page_size": 0, "page_mode": "offset", "search_url": "",
                           "selectors": {"job_card": S.SKILL_CARD_SELECTORS, "title": S.CARD_TITLE_SELECTORS,
                                         "company": ["span.companyName"], "location": ["div.companyLocation"],
@@ -554,8 +552,108 @@ def q_automated_run(spark, d):
             .select(tx.base_of(F.col("url")).alias("b"),
                     F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("h"))
             .select(tx.absolute_url(F.col("h"), F.col("b")).alias("url")))
-    out = automated_run(pages, hist, S.RUN_TS, [S.RUN_SOURCE], cfg, page_base=True)
-    return out["consolidated"]
+    return pages, hist, cfg
+
+
+def _automated(spark, d) -> dict[str, DataFrame]:
+    from jobsmith.plans.run import automated_run
+    pages, hist, cfg = _run_inputs(spark, d)
+    return automated_run(pages, hist, S.RUN_TS, [S.RUN_SOURCE], cfg, page_base=True)
+
+
+def q_automated_run(spark, d):
+    """The consolidated 9-column table of new postings (links resolved against their page's origin)."""
+    return _automated(spark, d)["consolidated"]
+
+
+def q_automated_stats(spark, d):
+    """A6 of the same run: found, new and repeated postings of each search term."""
+    return _automated(spark, d)["stats"]
+
+
+def q_automated_history(spark, d):
+    """K6 of the same run: the rows to append to the history, stamped with the run."""
+    return _automated(spark, d)["history_rows"].select("url", "title", "source", "first_seen")
+
+
+def q_manual_run(spark, d):
+    """scraper-style run that ignores the history (J2): every posting, merged without dedup (K1, K3)."""
+    from jobsmith.plans.run import manual_run
+    pages, hist, cfg = _run_inputs(spark, d)
+    out = manual_run(pages, hist, work_path(spark, "manual"), S.RUN_DATE, S.REPORT_QUERY, S.REPORT_LOCATION,
+                     ignore_history=True, sources=[S.RUN_SOURCE], config=cfg)
+    return out["merged"]
+
+
+# --------------------------------------------- templated pages (from table values)
+
+CARDS_PER_PAGE = 20
+
+
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _listing_pages(spark, d, card) -> DataFrame:
+    """Listing pages of the part table, at most CARDS_PER_PAGE cards each."""
+    part = _t(spark, d, "part")
+    cards = part.select(F.floor(F.col("p_partkey") / CARDS_PER_PAGE).cast("bigint").alias("page_id"), "p_partkey", card.alias("card"))
+    return cards.groupBy("page_id").agg(F.concat(
+        F.lit("<html><body><ul>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "card"))),
+                                                            lambda x: x["card"]), ""), F.lit("</ul></body></html>")).alias("html"))
+
+
+def _tagged(open_tag: str, c, close: str):
+    return F.concat(F.lit(open_tag), _escaped(c.cast("string")), F.lit(close))
+
+
+def q_card_fields(spark, d):
+    """H1-H5 with the first source's own selectors: every posting field filled from the part table."""
+    key = F.col("p_partkey").cast("string")
+    card = F.concat(F.lit('<div class="job_seen_beacon"><h2 class="jobTitle"><a href="/viewjob?jk='), key, F.lit('">'),
+                    _escaped(F.col("p_name")), F.lit("</a></h2>"),
+                    _tagged('<span class="companyName">', F.col("p_brand"), "</span>"),
+                    _tagged('<div class="companyLocation">', F.col("p_type"), "</div>"),
+                    F.when(F.col("p_size") % 2 == 0, _tagged('<div class="salary-snippet">', F.col("p_size"), "</div>")).otherwise(F.lit("")),
+                    F.when(F.col("p_size") % 3 > 0, _tagged('<div class="job-snippet">', F.col("p_name"), " made</div>")).otherwise(F.lit("")),
+                    F.lit("</div>"))
+    return H.extract_postings(_listing_pages(spark, d, card), fixed.SOURCES["indeed"]).drop("card_rank")
+
+
+def q_link_cards(spark, d):
+    """H4: the third source takes the href of its link element as it stands."""
+    key = F.col("p_partkey").cast("string")
+    card = F.concat(F.lit('<li class="jobs-search-results__list-item"><h3 class="base-search-card__title">'), _escaped(F.col("p_name")),
+                    F.lit("</h3>"), F.when(F.col("p_size") % 5 > 0, F.concat(F.lit('<a class="base-card__full-link" href="/view/'), key, F.lit('">x</a>')))
+                    .otherwise(F.lit("")), F.lit("</li>"))
+    out = H.extract_postings(_listing_pages(spark, d, card), fixed.SOURCES["linkedin"], link_mode="link")
+    return out.select("page_id", "card_no", "title", "url")
+
+
+def _detail_pages(spark, d) -> DataFrame:
+    """A detail page per document: its text, and for most a footer with a relative date."""
+    n = (F.col("doc_id") % 7).cast("string")
+    return _t(spark, d, "documents").select("doc_id", F.concat(
+        F.lit('<html><body><div id="jobDescriptionText">'), _escaped(F.coalesce(F.col("text"), F.lit(""))), F.lit("</div>"),
+        F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit('<div class="page-footer">Posted '), n, F.lit(" days ago</div>"))).otherwise(F.lit("")),
+        F.lit("</body></html>")).alias("html"))
+
+
+def q_detail_extract(spark, d):
+    """H6-H8 from one parse of each detail page."""
+    return H.detail_extract(_detail_pages(spark, d), ["div#jobDescriptionText"], ["span.date"], S.DATE_WORDS,
+                            keep=("doc_id",), footer_token="footer")
+
+
+def q_enrich_from_pages(spark, d):
+    """J5 from stored pages: postings without a description take text and date of their detail page."""
+    docs = _t(spark, d, "documents")
+    posts = doc_postings(docs).select("url", "ordinal", F.lit("").alias("description"), "posted_date")
+    details = H.detail_extract(_detail_pages(spark, d), ["div#jobDescriptionText"], ["span.date"], S.DATE_WORDS,
+                               keep=("doc_id",), footer_token="footer")
+    details = details.withColumnRenamed("doc_id", "ordinal").join(posts.select("ordinal", F.col("url").alias("canonical_url")), "ordinal")
+    out = en.enrich(posts, details, "url", "canonical_url", "ordinal")
+    return out.select(F.col("ordinal").alias("doc_id"), F.length("description").cast("bigint").alias("description_len"), "posted_date", "success")
 
 
 QUERIES = {
@@ -651,4 +749,6 @@ def q_collect_run(spark, d):
 
 
 QUERIES["collect_run"] = q_collect_run
-QUERIES["automated_run"] = q_automated_run
+QUERIES |= {"automated_run": q_automated_run, "automated_stats": q_automated_stats,
+            "automated_history": q_automated_history, "manual_run": q_manual_run, "card_fields": q_card_fields,
+            "link_cards": q_link_cards, "detail_extract": q_detail_extract, "enrich_from_pages": q_enrich_from_pages}

@@ -601,7 +601,7 @@ SELECT b.doc_id, name, email, phone, location, title, s.summary, skills, experie
 FROM b JOIN s USING (doc_id) JOIN e USING (doc_id)"""
 
 
-def _automated_run_sql() -> str:
+def _run_posts() -> str:
     href = decode("regexp_extract(l[i], '<a href=\"([^\"]*)\"', 1)")
     title = clean(decode(untag("regexp_extract(l[i], '(?s)<a[^>]*>(.*?)</a>', 1)")))
     return f"""
@@ -615,11 +615,15 @@ posts AS (SELECT page_id, i, host, title,
           FROM c WHERE title <> ''),
 hist AS (SELECT CASE WHEN starts_with(h, '/') THEN b || h ELSE h END AS url
          FROM (SELECT {BASE} AS b, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages
-               WHERE starts_with({HOST}, {lit(S.RUN_HISTORY_HOST_PREFIX)})))
+               WHERE starts_with({HOST}, {lit(S.RUN_HISTORY_HOST_PREFIX)}))),
+fresh AS (SELECT * FROM posts WHERE url <> '' AND url NOT IN (SELECT url FROM hist WHERE url IS NOT NULL)
+          QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, i) = 1)"""
+
+
+def _automated_run_sql() -> str:
+    return f"""{_run_posts()}
 SELECT title, '' AS company, '' AS location, '' AS salary, '' AS description, '' AS posted_date, url,
-  {lit(S.RUN_SOURCE)} AS source, host AS search_query
-FROM posts WHERE url <> '' AND url NOT IN (SELECT url FROM hist WHERE url IS NOT NULL)
-QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, i) = 1"""
+  {lit(S.RUN_SOURCE)} AS source, host AS search_query FROM fresh"""
 
 
 ORACLE["collect_run"] = _collect_run_sql()
@@ -639,3 +643,26 @@ SELECT * FROM old UNION ALL
 SELECT url, ordinal, title, source, {lit(S.RUN_TS)}, 'second' FROM ({doc_postings_sql()})
 WHERE url IS NOT NULL AND url <> '' AND url NOT IN (SELECT url FROM old)
 QUALIFY row_number() OVER (PARTITION BY url ORDER BY ordinal) = 1"""
+_NEW = "(page_id, i) IN (SELECT (page_id, i) FROM fresh)"
+ORACLE["automated_stats"] = f"""{_run_posts()}
+SELECT {lit(S.RUN_SOURCE)} AS source, host AS search_query, count(*) AS found, count(*) FILTER ({_NEW}) AS new,
+  count(*) - count(*) FILTER ({_NEW}) AS dup FROM posts GROUP BY host"""
+ORACLE["automated_history"] = f"""{_run_posts()}
+SELECT url, title, {lit(S.RUN_SOURCE)} AS source, {lit(S.RUN_TS)} AS first_seen FROM fresh"""
+ORACLE["manual_run"] = f"""{_run_posts().replace("THEN base ||", f"THEN {lit(S.RUN_BASE_URL)} ||")}
+SELECT title, '' AS company, '' AS location, '' AS salary, '' AS description, url, {lit(S.RUN_SOURCE)} AS source FROM posts"""
+_CARD = "p_partkey // 20 AS page_id, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS card_no"
+ORACLE["card_fields"] = f"""SELECT {_CARD}, p_name AS title, p_brand AS company, p_type AS location,
+  CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE '' END AS salary, CASE WHEN p_size % 3 > 0 THEN p_name || ' made' ELSE '' END AS description,
+  'https://ie.indeed.com/viewjob?jk=' || p_partkey AS url FROM part"""
+ORACLE["link_cards"] = f"""SELECT {_CARD}, p_name AS title, CASE WHEN p_size % 5 > 0 THEN '/view/' || p_partkey ELSE '' END AS url FROM part"""
+_DETAIL = f"""SELECT doc_id, {clean('text')} AS t, CASE WHEN doc_id % 7 > 0 THEN 'Posted ' || doc_id % 7 || ' days ago' ELSE '' END AS posted_date FROM documents"""
+ORACLE["detail_extract"] = f"""SELECT doc_id, CASE WHEN length(t) > {fixed.DESCRIPTION_MIN_LEN} THEN t ELSE '' END AS description,
+  CASE WHEN length(t) > {fixed.DESCRIPTION_MIN_LEN} THEN 'success' ELSE 'failed' END AS status,
+  CASE WHEN t = '' THEN {lit(fixed.DESCRIPTION_ERROR)} END AS error, posted_date FROM ({_DETAIL})"""
+ORACLE["enrich_from_pages"] = f"""
+WITH x AS (SELECT d.doc_id, d.t, d.posted_date, p.url FROM ({_DETAIL}) d JOIN ({doc_postings_sql()}) p ON p.ordinal = d.doc_id),
+f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY url ORDER BY doc_id) = 1)
+SELECT x.doc_id, CASE WHEN length(f.t) > {fixed.DESCRIPTION_MIN_LEN} THEN length(f.t) ELSE 0 END::BIGINT AS description_len,
+  CASE WHEN length(f.t) > {fixed.DESCRIPTION_MIN_LEN} THEN f.posted_date ELSE '' END AS posted_date,
+  length(f.t) > {fixed.DESCRIPTION_MIN_LEN} AS success FROM x JOIN f USING (url)"""

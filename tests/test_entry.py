@@ -7,10 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from jobsmith.plans import catalog
 from tests.conftest import SMOKE
 
 ORACLE = E.oracle_sql()
-KEYS = sorted(E.queries())
+KEYS = sorted(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,12 @@ def test_query_matches_oracle(spark, duck, key):
     assert sorted(df.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert _bag(df.columns, srows) == _bag(dcols, drows)
+
+
+@pytest.mark.parametrize("key", ["card_fields", "link_cards", "detail_extract", "enrich_from_pages", "automated_stats"])
+def test_compared_columns_vary(duck, key):
+    """A column that holds one value only would let a broken rule pass."""
+    con = duck.execute(ORACLE[key])
+    columns, rows = [d[0] for d in con.description], con.fetchall()
+    constant = {"source", "error"}
+    assert [c for i, c in enumerate(columns) if c not in constant and len({r[i] for r in rows}) < 2] == []
