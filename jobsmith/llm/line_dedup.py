@@ -119,7 +119,8 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
                      .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_removed")), "line-removed")
     kept = [c for c in docs.columns if c not in ("removed", "n_lines")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], _row_key(docs, id_col, text_col).alias("_key"))
-    joined = rows.join(removed.withColumnRenamed("key", "_key"), "_key", "left")
+    # by shuffle at every size: the deletions grow with the corpus
+    joined = rows.hint("merge").join(removed.withColumnRenamed("key", "_key"), "_key", "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.exists("_removed", lambda r: (i >= r["first"]) & (i <= r["last"]))), "\n")
     text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(left)
