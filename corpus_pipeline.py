@@ -14,34 +14,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsmith.llm import language_id
-from jobsmith.llm.common import WORD, documents, small_side, staged
+from jobsmith.llm.common import WORD, documents, staged
 from jobsmith.llm.line_dedup import line_dedup
 from jobsmith.llm.mixing import mix_documents, row_hash
 from jobsmith.llm.ngram_join import ngram_join
 from jobsmith.llm.packing import pack_documents
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and all other columns in one struct, so that no name can clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _unpacked(df: DataFrame, like: DataFrame, changed: dict | None = None) -> DataFrame:
+    changed = {"text": F.col("text")} | (changed or {})
+    return df.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in like.columns])
+
+
 def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in like.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose best two languages are too close to call."""
-    # the answer columns get names of their own, so that columns of the input with such names stay
-    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    out = language_id.identify(plain, language_id.fit(docs))
-    return out.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select("row.*")
+    out = language_id.identify(_packed(docs), language_id.fit(docs))
+    return _unpacked(out.filter((F.col("lang_pred") != "und") & ~F.col("ambiguous")), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out later repeats of runs of 50 words or more; a document that is left without a word goes."""
-    plain = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = line_dedup(plain).filter(F.col("removed").isNull() | F.col("text").rlike(WORD))
-    changed = {"text": F.col("text")}
+    out = line_dedup(_packed(docs)).filter(F.col("removed").isNull() | F.col("text").rlike(WORD))
+    changed = {}
     if "n_chars" in docs.columns:
-        kept = F.col("row.n_chars")
-        changed["n_chars"] = F.when(F.col("removed").isNull(), kept).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        changed["n_chars"] = F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(
+            F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return _unpacked(out, docs, changed)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = staged(ngram_join(docs), "pipeline-groups")
     stays = F.col("component_id").eqNullSafe(F.col("doc_id")) | (F.col("n_shingles") == 0)
     keep = staged(found.filter(stays).groupBy(F.col("doc_id").alias("keep_id")).agg(F.count(F.lit(1)).alias("n")), "pipeline-keep")
-    out = _columns(docs.join(small_side(keep, 200_000), docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi"), docs)
+    # by shuffle at every size: the ids that stay grow with the corpus
+    out = _columns(docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi"), docs)
     return out if keep.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
@@ -58,7 +66,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     units = staged(mix_documents(docs).filter("copies > 0")
                    .select(F.col("id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("copies").alias("_copies")), "pipeline-mix")
     rows = docs.withColumn("_row", row_hash(docs))
-    taken = rows.join(units, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash")))
+    taken = rows.join(units.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash")))
     copied = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return _columns(copied, docs)
 
