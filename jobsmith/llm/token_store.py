@@ -47,17 +47,20 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, ends: np.ndarray) -> WaveletMatrix:
-        values, inverse, freq = np.unique(ids, return_inverse=True, return_counts=True)
-        order = np.lexsort((values, -freq))
-        place = np.empty(len(values), np.uint32)
-        place[order] = np.arange(len(values), dtype=np.uint32)
-        seq, planes = place[inverse], []
+        freq = np.bincount(ids)
+        values = np.flatnonzero(freq)
+        order = values[np.lexsort((values, -freq[values]))]
+        kind = np.uint16 if len(values) <= 1 << 16 else np.uint32
+        place = np.zeros(len(freq), kind)
+        place[order] = np.arange(len(values), dtype=kind)
+        seq, planes = place[ids], []
         for level in range(max(1, int(len(values) - 1).bit_length()) - 1, -1, -1):
-            one = (seq >> np.uint32(level)) & np.uint32(1) != 0
+            one = (seq & kind(1 << level)).astype(bool)
             bits = np.packbits(one, bitorder="little")
-            planes.append((int(len(one) - one.sum()), _block_counts(bits), bits))
-            seq = np.concatenate([seq[~one], seq[one]])
-        return cls(values[order].astype(np.uint32), len(ids), planes, np.asarray(ends, np.uint64))
+            planes.append((int(len(one) - np.count_nonzero(one)), _block_counts(bits), bits))
+            if level:
+                seq = np.concatenate([seq[~one], seq[one]])
+        return cls(order.astype(np.uint32), len(ids), planes, np.asarray(ends, np.uint64))
 
     def to_bytes(self) -> bytes:
         out = [_HEAD.pack(b"WVM1", 1, self.n, len(self.alphabet), len(self.planes), len(self.ends)),
@@ -85,14 +88,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: the planes are undone from the lowest up."""
-        seq = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        seq = np.zeros(self.n, kind)
         for level, (zeros, _, bits) in enumerate(reversed(self.planes)):
             one = np.unpackbits(bits, count=self.n, bitorder="little").astype(bool)
-            back = np.empty(self.n, np.uint32)
+            back = np.empty(self.n, kind)
             back[~one] = seq[:zeros]
-            back[one] = seq[zeros:] | np.uint32(1 << level)
+            back[one] = seq[zeros:] | kind(1 << level)
             seq = back
-        return self.alphabet[seq] if self.n else seq
+        return self.alphabet[seq] if self.n else seq.astype(np.uint32)
 
     def _ones_before(self, plane: tuple[int, np.ndarray, np.ndarray], i: int) -> int:
         _, blocks, bits = plane

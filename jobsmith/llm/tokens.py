@@ -14,12 +14,16 @@ from array import array
 from functools import lru_cache
 
 END_ID = 0
-MAX_PIECES = 300_000
+MAX_PIECES = 700_000
 MAX_KEPT_CHARS = 64
 
 # White space as the split pattern's \s has it (Unicode White_Space)
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECES = re.compile(f"[{_WS}]+(?=[{_WS}][^{_WS}])|[{_WS}]+$|[{_WS}]?[^{_WS}]+")
+# none of these in a text: it can be cut at every blank and before every line end
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
+_OTHER_WS = tuple("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + tuple(chr(c) for c in range(0x2000, 0x200B))
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # one split word, however many stand behind a word
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,31 +45,62 @@ class Encoder:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.line_end = self.word("\n")
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word of the split pattern (little-endian unsigned 32-bit), by the library's BPE model."""
+        letters = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.bpe(letters)]).tobytes()
 
     def piece(self, piece: str) -> bytes:
-        """Ids of one piece (little-endian unsigned 32-bit), by the library's BPE model."""
-        ids = array("I")
-        for word in self.split(piece):
-            ids.extend([t.id for t in self.bpe("".join([self.letters[b] for b in word.encode("utf-8", "replace")]))])
-        return ids.tobytes()
+        return b"".join([self.word(w) for w in self.split(piece)])
+
+    def plain(self, lead: str, rest: str) -> bytes | None:
+        """Ids of ``lead + rest`` if rest is letters with marks behind (two words of the split pattern)."""
+        stem = rest.rstrip(_MARKS)
+        if not stem.isalpha():
+            return None
+        tail = rest[len(stem):]
+        ids = self.known.get(stem) if lead and tail else None
+        if ids is None:
+            ids = self.word(lead + stem)
+            if lead and tail and len(stem) <= MAX_KEPT_CHARS:
+                self.known[stem] = ids
+        if tail not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            self.marks[tail] = self.word(tail)
+        return ids + self.marks[tail]
+
+    def new(self, key: str) -> bytes:
+        """Ids of a key of ``encode``."""
+        if key[:1] == "\r":
+            return self.piece(key[1:])
+        if key[:1] == "\n":
+            ids = self.plain("", key[1:])
+            return self.piece(key) if ids is None else self.line_end + ids
+        ids = self.plain(" ", key)
+        return self.piece(" " + key) if ids is None else ids
 
     def encode(self, text: str) -> bytes:
         known = self.known
-        pieces = _PIECES.findall(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
         if len(known) > MAX_PIECES:
             known.clear()
-        out = []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = self.piece(p)
-                if len(p) <= MAX_KEPT_CHARS:
-                    known[p] = ids
-            out.append(ids)
+        odd = any(w in text for w in _RUNS) or not text.isascii() and any(w in text for w in _OTHER_WS)
+        if odd:  # a blank run keeps its last blank for the word behind it
+            pieces = ["\r" + p for p in _PIECES.findall(text)]
+        else:
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = "\r" + pieces[0]
+        # keys: text behind a blank; "\n..." and "\r..." (without the mark) stand for themselves
+        out = list(map(known.get, pieces))
+        if None in out:
+            for i, p in enumerate(pieces):
+                if out[i] is None:
+                    ids = out[i] = self.new(p)
+                    if len(p) <= MAX_KEPT_CHARS:
+                        known[p] = ids
         return b"".join(out)
 
 
