@@ -181,7 +181,6 @@ CARD_DESCRIPTION_PROBE_MIN_LEN = 20
 
 # Job key in a URL and the clean URL built from it.
 URL_KEY_PARAM = "jk"
-URL_KEY_STRICT = r"[?&]{param}=([a-f0-9]+)"
 CLEAN_URL_FORMAT = "https://ie.indeed.com/viewjob?jk={key}&from=web&vjs=3"
 
 # Interstitial (non-content) page tokens.
@@ -199,7 +198,6 @@ SOURCE_LINE_PREVIEW = 300
 POSTING_7 = ["title", "company", "location", "salary", "description", "url", "source"]
 POSTING_9 = ["title", "company", "location", "salary", "description", "posted_date", "url", "source",
              "search_query"]
-HISTORY_COLUMNS = ["url", "title", "company", "location", "source", "first_seen"]
 ENRICHED_MIN_LEN = 100  # "already enriched" when description is longer than this
 
 # ----------------------------------------------------------------- reporting

@@ -19,17 +19,9 @@ from jobsmith.operators.identity import has_key, keep_first, upsert, upsert_cont
 from jobsmith.session import cut_lineage
 
 
-def first_state_row(state: DataFrame, key: str = "url", ordinal: str = "ordinal",
-                    cols: Sequence[str] = ("description",)) -> DataFrame:
-    """The first state row (state order) for each key - partial aggregate."""
-    packed = F.struct(*[F.col(c) for c in cols])
-    return (state.filter(F.col(key).isNotNull()).groupBy(key)
-            .agg(F.min_by(packed, F.col(ordinal)).alias("__s")).select(key, "__s.*"))
-
-
 def enriched_keys(state: DataFrame, key: str = "url", ordinal: str = "ordinal",
                   min_len: int = fixed.ENRICHED_MIN_LEN) -> DataFrame:
-    """Keys whose first state row holds a description longer than ``min_len``.
+    """Keys whose first state row (state order) holds a description longer than ``min_len``.
 
     The length test runs before the aggregate, so only (key, ordinal, flag) is shuffled,
     never the description text.
