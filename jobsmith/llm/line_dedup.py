@@ -1,22 +1,19 @@
-"""Line deduplication by winnowing over line hashes (DataFrame functions only).
+"""Line deduplication by windows of line hashes (DataFrame functions only).
 
 A document is the sequence of its non-blank lines, each a hash (md5 of the line without blanks at
-its ends) and a word count. From every line starts a window: the fewest lines that hold
-``min_words`` words. Each window selects its smallest hash (the rightmost of equals); the selected
-lines are the anchors. Two documents that share a run of ``min_words`` words select the same
-anchors inside it, whatever stands around, so no such run is missed for want of an anchor.
-
-Anchors are joined on their line (lines of ``min_words`` words or more) or on the line with its
-neighbour before and after (shorter ones; a run that long holds one of the neighbours), and
-only with the first place of that key in (doc_id, line) order, so a passage with many copies
-costs one pair a copy. Every pair is extended both ways while the lines agree, as far as
-``min_words`` words beyond the anchor; further lines of the run hang on the run's next anchor. Runs
-of ``min_words`` words or more are deleted at the later place; the first place of a line always
-stays. Blank lines inside a deleted run go with it.
-
-What moves: hashes and counts of lines, small contexts of the anchors that repeat, and each text
-once, to meet its deletions. Keys that hold a large part of the anchors are counted map-side, and
-the joins read staged tables on both sides so that Spark can split a hot key.
+its ends) and a word count. Its windows are, for every line, the fewest lines from it on that hold
+``min_words`` words and the fewest up to it, and two neighbours of ``min_words`` words or more each.
+A run of ``min_words`` words or more that two places share is made of shared windows: they cover each
+of its lines and each step between two lines. Which windows a run has depends on its lines alone.
+
+So windows are grouped by their content (128-bit hash), and all but the first place of each content, in
+(doc_id, line) order, are deleted: exactly the runs of ``min_words`` words or more that an earlier
+place has as well, whichever document holds it. The first place of a window always stays; a passage
+with many copies costs a row a copy. Blank lines inside a deleted run go with it.
+
+What moves: hashes and counts of lines, one small row a window, and each text once, to meet its
+deletions. First places are found map-side first, and the join with them reads staged tables on both
+sides so that Spark can split a hot key.
 
 Cases: null text stays null and empty text empty; rows are told apart by id and text, so repeated
 rows (both equal) share their result and are not each other's copies; a null id sorts first; a text
@@ -46,65 +43,40 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "key", F.col("lines.no").alias("no"), F.col("lines.h").alias("h"), F.col("lines.w").alias("w"))
 
 
-def _anchors(sequences: DataFrame, min_words: int) -> DataFrame:
-    """``key, pos, k``: the selected lines of each document under their join keys."""
-    lines = sequences.select("key", F.posexplode(F.arrays_zip("h", "w")).alias("pos", "line")).select("key", "pos", "line.h", "line.w")
-    order = Window.partitionBy("key").orderBy("pos")
-    lines = (lines.withColumn("start", F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-             .withColumn("total", F.sum("w").over(Window.partitionBy("key")))
-             .withColumn("before", F.lag("h").over(order)).withColumn("after", F.lead("h").over(order)))
-    window = Window.partitionBy("key").orderBy("start").rangeBetween(0, min_words - 1)
-    whole = F.col("start") + min_words <= F.col("total")  # windows that run past the end select nothing
-    pick = F.min(F.struct("h", (-F.col("pos")).alias("back"), "w", "before", "after")).over(window)
-    picked = lines.withColumn("pick", pick).filter(whole).select("key", (-F.col("pick.back")).alias("pos"), "pick.h", "pick.w", "pick.before", "pick.after")
-    none = F.unhex(F.lit(""))
-    keys = (F.when(F.col("w") >= min_words, F.array(F.struct(F.lit(0).alias("kind"), F.col("h").alias("a"), none.alias("b"))))
-            .otherwise(F.array(F.struct(F.lit(1).alias("kind"), F.col("before").alias("a"), F.col("h").alias("b")),
-                               F.struct(F.lit(2).alias("kind"), F.col("h").alias("a"), F.col("after").alias("b")))))
-    return (picked.dropDuplicates(["key", "pos"]).select("key", "pos", F.explode(keys).alias("k"))
-            .filter(F.col("k.a").isNotNull() & F.col("k.b").isNotNull()))
-
-
-def _needed(words: Column, min_words: int) -> Column:
-    """How many elements from the left hold ``min_words`` words."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"))
-    return F.aggregate(words, start, lambda acc, x: F.when(acc["sum"] >= min_words, acc).otherwise(
-        F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + x).alias("sum"))))["n"]
-
-
-def _agreeing(a: Column, b: Column, n: Column) -> Column:
-    """Length of the common start of the first n elements."""
-    same = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y)
-    off = F.array_position(same, False)
-    return F.when(off == 0, n).otherwise((off - 1).cast("int"))
+def _windows(sequences: DataFrame, min_words: int) -> DataFrame:
+    """``key, first, last, k``: original numbers of the end lines of each window, and its content."""
+    lines = sequences.select("key", F.explode(F.arrays_zip("no", "h", "w")).alias("line")).select("key", "line.no", "line.h", "line.w")
+    order = Window.partitionBy("key").orderBy("no")
+    lines = (lines.withColumn("end", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+             .withColumn("start", F.col("end") - F.col("w"))
+             .withColumn("next", F.lead(F.struct("no", "h", "w")).over(order)))
+    # lines have a word at least, so both orders are the order of lines
+    on = Window.partitionBy("key").orderBy("start").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy("key").orderBy("end").rangeBetween(1 - min_words, 0)
+    lines = (lines.withColumn("on", F.struct(F.max("no").over(on).alias("last"), F.max("end").over(on).alias("end"), F.collect_list("h").over(on).alias("h")))
+             .withColumn("back", F.struct(F.min("no").over(back).alias("first"), F.min("start").over(back).alias("start"), F.collect_list("h").over(back).alias("h"))))
+
+    def window(first: Column, last: Column, h: Column) -> Column:
+        return F.struct(first.alias("first"), last.alias("last"), F.struct(F.xxhash64(h).alias("a"), F.xxhash64(F.lit(min_words), h).alias("b")).alias("k"))
+
+    whole = F.col("on.end") - F.col("start") >= min_words  # not cut off by the end of the text
+    # a window that holds min_words words without its last line; the others are some line's window onwards
+    longer = F.col("start") - F.col("back.start") >= min_words
+    both = (F.col("w") >= min_words) & (F.col("next.w") >= min_words)
+    found = F.array(F.when(whole, window(F.col("no"), F.col("on.last"), F.col("on.h"))),
+                    F.when(longer, window(F.col("back.first"), F.col("no"), F.col("back.h"))),
+                    F.when(both, window(F.col("no"), F.col("next.no"), F.array("h", "next.h"))))
+    return lines.select("key", F.explode(F.array_compact(found)).alias("x")).select("key", "x.first", "x.last", "x.k")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, first, last``: runs of original line numbers (from 0) to delete, merged per document."""
-    sequences = staged(_sequences(docs, id_col, text_col).dropDuplicates(["key"]), "line-sequences")
-    anchors = staged(_anchors(sequences, min_words), "line-anchors")
-    firsts = (anchors.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos")).alias("place"))
-              .filter("n > 1").select("k", F.col("place.key").alias("key"), F.col("place.pos").alias("f_pos")))
-    reach = F.lit(min_words)  # lines have a word at least, so this many lines always hold min_words words
-    right = F.slice("h", F.col("f_pos") + 2, reach)
-    left = F.reverse(F.slice("h", F.greatest(F.col("f_pos") - reach, F.lit(0)) + 1, F.least(F.col("f_pos"), reach)))
-    right_w = F.slice("w", F.col("f_pos") + 2, reach)
-    left_w = F.reverse(F.slice("w", F.greatest(F.col("f_pos") - reach, F.lit(0)) + 1, F.least(F.col("f_pos"), reach)))
-    firsts = staged(staged(firsts, "line-firsts").join(sequences, "key").select(
-        "k", F.col("key").alias("f_key"), "f_pos", F.slice(left, F.lit(1), _needed(left_w, min_words)).alias("f_left"),
-        F.slice(right, F.lit(1), _needed(right_w, min_words)).alias("f_right")), "line-contexts")
-    later = F.struct("key", "pos") > F.struct(F.col("f_key").alias("key"), F.col("f_pos").alias("pos"))
-    pairs = staged(anchors.join(firsts, "k").filter(later).select("key", "pos", "f_left", "f_right").dropDuplicates(), "line-pairs")
-    joined = pairs.join(sequences, "key")
-    n_right = F.least(F.size("f_right"), F.size("h") - F.col("pos") - 1)
-    n_left = F.least(F.size("f_left"), F.col("pos"))
-    runs = (joined.withColumn("right", _agreeing(F.col("f_right"), F.slice("h", F.col("pos") + 2, n_right), n_right))
-            .withColumn("left", _agreeing(F.col("f_left"), F.reverse(F.slice("h", F.col("pos") - n_left + 1, n_left)), n_left))
-            .withColumn("from", F.col("pos") - F.col("left")).withColumn("to", F.col("pos") + F.col("right"))
-            .withColumn("words", F.aggregate(F.slice("w", F.col("from") + 1, F.col("left") + F.col("right") + 1),
-                                             F.lit(0).cast("long"), lambda acc, x: acc + x))
-            .filter(F.col("words") >= min_words)
-            .select("key", F.element_at("no", F.col("from") + 1).alias("first"), F.element_at("no", F.col("to") + 1).alias("last")))
+    sequences = _sequences(docs, id_col, text_col).dropDuplicates(["key"])
+    windows = staged(_windows(sequences, min_words), "line-windows")
+    places = (windows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first")).alias("place"))
+              .filter("n > 1").select("k", "place"))
+    later = F.struct("key", "first") > F.col("place")
+    runs = windows.join(staged(places, "line-firsts"), "k").filter(later).select("key", "first", "last")
     order = Window.partitionBy("key").orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = (runs.withColumn("new", (F.col("first") > F.coalesce(reached, F.lit(-2)) + 1).cast("int"))

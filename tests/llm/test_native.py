@@ -1,6 +1,7 @@
 """Exact dedup, sharding, line dedup and mixing against brute force on the odd-case table."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -117,6 +118,29 @@ def test_line_dedup_is_brute_force(spark):
         assert r.text == (t if t is None else "\n".join(x for n, x in enumerate(lines) if n not in want))
 
 
+def test_line_dedup_frequent_lines_with_other_first_places(spark):
+    """Frequent lines and pairs of lines whose first place does not hold the passage, in all mixtures."""
+    rng = random.Random(3)
+    pool = [" ".join(f"l{i}w{j}" for j in range(n)) for i, n in enumerate([1, 1, 2, 4, 9, 12, 20, 20, 30, 49, 50, 51, 60, 80])]
+    passages = [[rng.choice(pool) for _ in range(rng.randint(2, 9))] for _ in range(8)]
+    data = []
+    for i in range(70):
+        some = [x for _ in range(rng.randint(1, 3)) for x in (rng.choice(passages) if rng.random() < 0.5 else [rng.choice(pool) for _ in range(rng.randint(1, 4))])]
+        at = rng.randrange(len(some) + 1)  # parts of passages and blank lines as well
+        lines = [y for x in some[:at] + [f"own {i}"] + some[at:] for y in ([x, "  "] if rng.random() < 0.2 else [x])]
+        data.append((i, "\n".join(lines), "aa", "s", 1))
+    # by hand: the pair of lines comes first without the passage, then twice with it
+    frequent, pair, rest = "f f f", "g " * 10, "z " * 45
+    data += [(100, f"{frequent}\n{pair}\nelse", "aa", "s", 1), (101, f"{frequent}\n{pair}\n{rest}\nx", "aa", "s", 1),
+             (102, f"{frequent}\n{pair}\n{rest}\ny", "aa", "s", 1)]
+    gone = brute_lines(data, 50)
+    got = {r.doc_id: r for r in line_dedup(table(spark, data)).collect()}
+    assert got[101].removed is None and got[102].text == "y"
+    for i, t, *_ in data:
+        dropped = {n for x in (got[i].removed or []) for n in range(x["first"], x["last"] + 1)}
+        assert dropped == gone[(True, i, t)], i
+
+
 def test_line_dedup_null_ids_and_short_repeats(spark):
     long = " ".join(f"w{i}" for i in range(60))
     data = [(None, long, "aa", "s", 1), (1, long + "\nnew", "aa", "s", 1), (2, "short line\nx", "aa", "s", 1), (3, "short line\ny", "aa", "s", 1)]
