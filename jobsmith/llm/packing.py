@@ -66,7 +66,7 @@ def _cut_batches(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            enc = encoder(path).encode
+            enc = encoder(path).ids
             texts, row, piece, start, length, crc = batch.column(1), [], [], [], [], []
             for i in range(batch.num_rows):
                 ids = enc(texts[i].as_py() or "") + end

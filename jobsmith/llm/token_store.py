@@ -176,7 +176,7 @@ def _build_shards(path: str, shard_tokens: int, id_type: pa.DataType):
                 names=["part", "number", "n_tokens", "payload", "ids"])
 
         for batch in batches:
-            enc, texts, keys = encoder(path).encode, batch.column(1), batch.column(0).to_pylist()
+            enc, texts, keys = encoder(path).ids, batch.column(1), batch.column(0).to_pylist()
             for i, key in enumerate(keys):
                 got = enc(texts[i].as_py() or "") + end
                 if held and tokens + len(got) // 4 > shard_tokens:

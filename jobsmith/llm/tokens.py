@@ -1,9 +1,10 @@
 """Token ids of whole texts with a public byte-level BPE file (tokenizers library, Python workers).
 
-``Encoder.encode`` gives exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``
-with special strings read as ordinary text. It cuts a text where the file's split pattern always
-cuts (before the last blank of a blank run), and keeps the ids of each distinct piece, so a word
-that comes again costs one dictionary look-up. The store is emptied when it holds
+``Encoder.ids`` gives exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``: a text
+that holds one of the file's added tokens goes through that call, any other through ``Encoder.encode``.
+``Encoder.encode`` reads special strings as ordinary text. It cuts a text where the file's split
+pattern always cuts (before the last blank of a blank run), and keeps the ids of each distinct
+piece, so a word that comes again costs one dictionary look-up. The store is emptied when it holds
 ``MAX_PIECES`` entries, so memory stays bounded.
 """
 
@@ -40,7 +41,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bpe = self.tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
@@ -83,7 +84,14 @@ class Encoder:
         ids = self.plain(" ", key)
         return self.piece(" " + key) if ids is None else ids
 
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text, its added tokens as ids of their own."""
+        if any(t in text for t in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.encode(text)
+
     def encode(self, text: str) -> bytes:
+        """Ids of a text without an added token, or with such strings read as ordinary text."""
         known = self.known
         if len(known) > MAX_PIECES:
             known.clear()

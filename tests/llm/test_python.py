@@ -41,6 +41,23 @@ def test_encoder_equals_library(ids):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() + [0] == ids(text), text
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    """The library's plain call: an added token in a text is one id, in both queries that tokenise."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y ", "don't <|endoftext> <|endoftext|", "é 🙂<|endoftext|>\u3000z", "no such token"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(encoder(default_path()).ids(x), "<u4").tolist() for x in texts] == want
+    docs = table(spark, [(i, x, "aa", "s", 1) for i, x in enumerate(texts)])
+    stored = sorted(store_round_trip(docs).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in stored] == [(len(x) + 1, crc(x + [0])) for x in want]
+    assert [r.start for r in stored] == np.cumsum([0] + [len(x) + 1 for x in want])[:-1].tolist()
+    packed = sorted(pack_documents(docs, capacity=128).collect(), key=lambda r: r.doc_id)
+    assert [(r.length, r.ids_crc32) for r in packed] == [(len(x) + 1, crc(x + [0])) for x in want]
+
+
 def test_wavelet_matrix_operations():
     rng = np.random.default_rng(2)
     for n, top in ((1, 1), (7, 1), (3000, 50257), (5000, 9)):
