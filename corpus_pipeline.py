@@ -4,14 +4,15 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 is written as Parquet and read again as the next one's ``docs``. All but the last return the
 columns of ``docs`` (``n_chars``, where there is one, follows a changed text).
 
-Rows that share an id are one document. An empty table runs through every stage and gives an
+Rows that share an id are told apart by their text. An empty table runs through every stage and gives an
 empty result; nulls are handled as each operator states.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from jobsmith.llm import language_id
 from jobsmith.llm.common import WORD, documents, staged
@@ -35,6 +36,13 @@ def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in like.columns])
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A string of id and text hash whose order is the order of ids (nulls last)."""
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-2**63))), 16, "0")  # the sign bit turned
+    name = F.col("doc_id") if isinstance(docs.schema["doc_id"].dataType, StringType) else number
+    return F.concat(F.coalesce(F.concat(F.lit("0"), name), F.lit("1")), F.lit("\x01"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those whose best two languages are too close to call."""
     out = language_id.identify(_packed(docs), language_id.fit(docs))
@@ -52,13 +60,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that link (5-word shingles, Jaccard 0.75 or more) the smallest id stays, once."""
-    found = staged(ngram_join(docs), "pipeline-groups")
-    stays = F.col("component_id").eqNullSafe(F.col("doc_id")) | (F.col("n_shingles") == 0)
-    keep = staged(found.filter(stays).groupBy(F.col("doc_id").alias("keep_id")).agg(F.count(F.lit(1)).alias("n")), "pipeline-keep")
-    # by shuffle at every size: the ids that stay grow with the corpus
-    out = _columns(docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi"), docs)
-    return out if keep.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """Of each group of rows that link (5-word shingles, Jaccard 0.75 or more) the one with the smallest id stays, once.
+
+    Rows are told apart by id and text; a null id comes last."""
+    found = staged(ngram_join(docs.select(_row_key(docs).alias("key"), "text"), id_col="key"), "pipeline-groups")
+    # a component is named by its smallest key; a text without shingles by its own
+    keep = staged(found.filter(F.col("component_id") == F.col("key")).groupBy(F.col("key").alias("keep_key"))
+                  .agg(F.count(F.lit(1)).alias("n")), "pipeline-keep")
+    # by shuffle at every size: the rows that stay grow with the corpus
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _row_key(docs).alias("key"))
+    out = rows.join(keep.hint("merge"), F.col("key") == F.col("keep_key"), "left_semi")
+    out = out if keep.filter("n > 1").isEmpty() else out.dropDuplicates(["key"])
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

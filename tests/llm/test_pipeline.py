@@ -41,6 +41,19 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert per_sequence.isEmpty()
 
 
+def test_near_duplicates_keep_one_row_a_group_whatever_its_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    data = [(None, a), (None, a + " tail"), (None, b), (4, b + " tail"), (5, c), (5, d), (6, c + " tail"), (5, d + " tail"),
+            (-2, c.upper()), (9, None), (9, None), (None, ""), (30, "solo text that has no near copy at all"), (30, "another solo text under the same id")]
+    docs = table(spark, [(i, t, "aa", "s", 1) for i, t in data])
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "unused").collect()]
+    ends = sum(i == 5 and t in (d, d + " tail") for i, t in got), sum(i is None and t in (a, a + " tail") for i, t in got)
+    assert ends == (1, 1)
+    rest = [x for x in got if x[1] not in (a, a + " tail", d, d + " tail")]
+    want = [(4, b + " tail"), (-2, c.upper()), (9, None), (None, ""), *data[-2:]]
+    assert sorted(map(repr, rest)) == sorted(map(repr, want)) and len(got) == 8
+
+
 def test_stages_on_nothing(spark, tmp_path):
     assert [d.count() for d in staged_run(spark, table(spark, []), str(tmp_path))] == [0] * 5
 
