@@ -14,7 +14,8 @@ first), a documented bound; the cut uses a histogram over every labelled row.
 
 Cases: null text has no words and fails the base rules; blanks are ``[\\x20\\x09-\\x0D]``; without
 labels (or only one class) the forest grows on a sample of all rows, or not at all, and nothing
-more than the base rules is dropped; labels of an id count once (the smallest); repeated rows
+more than the base rules is dropped; the forest sees word length, symbols, other signs and capitals,
+so a text that is odd only in length, lines or choice of words passes it; labels of an id count once (the smallest); repeated rows
 get equal results; other columns are ignored.
 """
 
