@@ -34,6 +34,7 @@ smallest non-null id); other columns are ignored; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -249,12 +250,13 @@ def _forests(percent: int):
     return run
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``node, root`` (smallest node) of every node of an edge list (a, b), by alternating stars."""
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """``node, root`` (smallest node) of every node of an edge list (a, b), by alternating stars until nothing
+    moves; with ``max_rounds``, components that have not settled by then raise."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = staged(edges.filter("a <> b").select(low.alias("a"), high.alias("b")).dropDuplicates(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    for done in count(1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the minima are written out so that the join reads plain shuffles and a hot node can be split
         mins = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "edges-min")
@@ -268,6 +270,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         was, mark = mark, (seen.get["n"], seen.get["sum"])
         if was == mark:
             break
+        if done == max_rounds:
+            raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).dropDuplicates())
 

@@ -121,6 +121,16 @@ def test_pack_documents(spark, ids):
     assert pack_documents(table(spark, [])).count() == 0
 
 
+def test_components_settle_or_raise(spark):
+    n = 200  # a chain in shuffled order takes several rounds
+    names = np.random.default_rng(8).permutation(n).tolist()
+    edges = spark.createDataFrame([(a, b) for a, b in zip(names, names[1:])] + [(500, 501)], "a long, b long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(n)} | {500: 500, 501: 500}
+    with pytest.raises(RuntimeError):
+        components(edges, max_rounds=2)
+
+
 def brute_components(data, width=5):
     sets = []
     for _, t, *_ in data:
