@@ -434,7 +434,7 @@ def q_read_csv(spark, d):
     posts = doc_postings(_t(spark, d, "documents"))
     path = work_path(spark, "csv")
     io.write_csv(posts, path, columns=fixed.POSTING_7)
-    return io.read_csv(spark, [path, path + "-missing"], fixed.POSTING_7)
+    return io.read_csv(spark, [path, path + "-missing"], fixed.POSTING_7, own=True)
 
 
 def q_read_csv_mixed(spark, d):
@@ -444,7 +444,7 @@ def q_read_csv_mixed(spark, d):
     odd = F.col("ordinal") % 2 == 1
     io.write_csv(posts.filter(odd), path, columns=["url", "title", "company"])
     io.write_csv(posts.filter(~odd), path, columns=["title", "company", "url", "salary"], mode="append")
-    return io.read_csv(spark, [path], ["title", "company", "url", "source"])
+    return io.read_csv(spark, [path], ["title", "company", "url", "source"], own=True)
 
 
 def q_read_json(spark, d):

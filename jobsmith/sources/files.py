@@ -63,33 +63,45 @@ def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     return sorted(out)
 
 
-def headers(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str] | None]:
-    """The header names of each file; None for a file that cannot be read (it is logged)."""
+#: What an error says when the content of a file is at fault, not the storage or the job.
+UNPARSABLE = ("MALFORMED", "not a gzip file", "incorrect header check", "PATH_NOT_FOUND")
+
+
+def headers(spark: SparkSession, files: Sequence[str], own: bool = False) -> dict[str, list[str] | None]:
+    """The header names of each file; None for an input file that cannot be parsed or went missing (it is logged).
+
+    Every other error is raised, and for ``own`` outputs every error."""
     out: dict[str, list[str] | None] = {}
     for f in files:
         try:
             out[f] = spark.read.options(**CSV_READ).csv(f).columns
-        except Exception as exc:  # noqa: BLE001 - the caller counts what was skipped
+        except Exception as exc:
+            text = str(exc)
+            # the CSV parser wraps failed reads as well
+            parser = "TextParsingException" in text and "Error reading from input" not in text
+            if own or not (parser or any(x in text for x in UNPARSABLE)):
+                raise
             log.warning("skipped %s: %s", f, str(exc).splitlines()[0])
             out[f] = None
     return out
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = tuple(fixed.POSTING_7),
-             same_header: bool = False) -> DataFrame:
+             same_header: bool = False, own: bool = False) -> DataFrame:
     """Posting CSVs, columns matched by header name in every file, all strings.
 
     Missing paths and files without a readable header are skipped and logged (``read_csv_skipped``
     lists them). A file without one of ``columns`` yields '' for it. Files with equal headers are
     read together. ``same_header`` is for our own outputs: one header, no listing of each file.
-    A record that does not parse fails the read.
+    ``own`` is for our own outputs with differing headers: an unreadable file fails the read.
+    A record that does not parse fails the read, and so does every error other than a file's content.
     """
     if same_header:
         found = _existing(spark, paths)
         groups = {tuple(spark.read.options(**CSV_READ).csv(found).columns): found} if found else {}
     else:
         groups: dict[tuple, list[str]] = {}
-        for f, names in headers(spark, _files(spark, paths)).items():
+        for f, names in headers(spark, _files(spark, paths), own).items():
             if names:
                 groups.setdefault(tuple(names), []).append(f)
     out = None

@@ -6,6 +6,7 @@ import glob
 import html as pyhtml
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
@@ -175,6 +176,17 @@ def test_mixed_headers_in_one_folder_and_skipped_files(spark, tmp_path):
     assert skipped == {("c.csv", "empty"), ("no", "missing")}
 
 
+def test_header_errors_fail_the_read(spark, tmp_path):
+    """Only a file's own content lets it be skipped, and never in our own outputs."""
+    (tmp_path / "a.csv").write_text("title,url\nT1,u1\n", encoding="utf-8")
+    (tmp_path / "b.csv.gz").write_bytes(b"no gzip at all")
+    assert [tuple(r) for r in io.read_csv(spark, [str(tmp_path)], ["title", "url"]).collect()] == [("T1", "u1")]
+    with pytest.raises(Exception, match="(?i)gzip|header check"):
+        io.read_csv(spark, [str(tmp_path)], ["title", "url"], own=True)
+    with pytest.raises(Exception, match="(?i)scheme"):
+        io.headers(spark, ["nosuchstore://x/a.csv"])
+
+
 def test_partition_columns_keep_their_text(spark):
     path = work_path(spark, "text-parts")
     rows = spark.createDataFrame([("t", "007"), ("u", "")], "title string, source string")
