@@ -14,6 +14,7 @@ from jobsmith.llm.ngram_join import ngram_join
 from jobsmith.llm.packing import pack_documents
 from jobsmith.llm.quality_rules import STATS, apply_rules
 from jobsmith.llm.sharding import shard_documents
+from jobsmith.llm.simhash import simhash_components
 from jobsmith.llm.spelling import spelling_variants
 from jobsmith.llm.token_store import store_round_trip
 
@@ -77,9 +78,13 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_language_id, op5_token_store, op6_line_dedup,
-    op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, op11_spelling)}
+    op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, op11_spelling, op12_simhash)}
 
 
 
