@@ -19,6 +19,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsmith.llm import language_id, quality_classifier
-from jobsmith.llm.common import documents, fold, labels
+from jobsmith.llm.common import conversations, documents, fold, labels
+from jobsmith.llm.conversations import repair_conversations
 from jobsmith.llm.exact_dedup import exact_dedup
 from jobsmith.llm.line_dedup import line_dedup
 from jobsmith.llm.mixing import mix_documents
@@ -82,9 +83,13 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(conversations(spark, sf_dir))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_language_id, op5_token_store, op6_line_dedup,
-    op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, op11_spelling, op12_simhash)}
+    op7_quality_rules, op8_ngram_join, op9_mixing, op10_packing, op11_spelling, op12_simhash, op13_conversations)}
 
 
 
