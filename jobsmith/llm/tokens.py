@@ -4,8 +4,9 @@
 that holds one of the file's added tokens goes through that call, any other through ``Encoder.encode``.
 ``Encoder.encode`` reads special strings as ordinary text. It cuts a text where the file's split
 pattern always cuts (before the last blank of a blank run), and keeps the ids of each distinct
-piece, so a word that comes again costs one dictionary look-up. The store is emptied when it holds
-``MAX_PIECES`` entries, so memory stays bounded.
+piece, so a word that comes again costs one dictionary look-up. A store of ``MAX_PIECES`` entries is
+set aside for an empty one, which takes what still comes up from it; the one set aside before goes.
+So memory stays bounded and frequent pieces are kept.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from array import array
 from functools import lru_cache
 
 END_ID = 0
-MAX_PIECES = 700_000
+MAX_PIECES = 600_000
 MAX_KEPT_CHARS = 64
 
 # White space as the split pattern's \s has it (Unicode White_Space)
@@ -43,15 +44,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bpe = self.tokenizer.model.tokenize
+        self.tokenizer.model._resize_cache(0)  # words are kept here
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
+        self.blank = self.letters[32]
         self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.line_end = self.word("\n")
 
     def word(self, word: str) -> bytes:
         """Ids of one word of the split pattern (little-endian unsigned 32-bit), by the library's BPE model."""
-        letters = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        if word.isascii() and (bare := word.removeprefix(" ")).isalpha():  # letters stand for themselves
+            letters = self.blank + bare if len(bare) < len(word) else bare
+        else:
+            letters = word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.bpe(letters)]).tobytes()
 
     def piece(self, piece: str) -> bytes:
@@ -65,7 +72,7 @@ class Encoder:
         tail = rest[len(stem):]
         ids = self.known.get(stem) if lead and tail else None
         if ids is None:
-            ids = self.word(lead + stem)
+            ids = (self.aside.get(stem) if lead else None) or self.word(lead + stem)
             if lead and tail and len(stem) <= MAX_KEPT_CHARS:
                 self.known[stem] = ids
         if tail not in self.marks:
@@ -94,7 +101,8 @@ class Encoder:
         """Ids of a text without an added token, or with such strings read as ordinary text."""
         known = self.known
         if len(known) > MAX_PIECES:
-            known.clear()
+            self.aside, self.known = known, {}
+            known = self.known
         odd = any(w in text for w in _RUNS) or not text.isascii() and any(w in text for w in _OTHER_WS)
         if odd:  # a blank run keeps its last blank for the word behind it
             pieces = ["\r" + p for p in _PIECES.findall(text)]
@@ -103,12 +111,14 @@ class Encoder:
             pieces[0] = "\r" + pieces[0]
         # keys: text behind a blank; "\n..." and "\r..." (without the mark) stand for themselves
         out = list(map(known.get, pieces))
-        if None in out:
-            for i, p in enumerate(pieces):
-                if out[i] is None:
-                    ids = out[i] = self.new(p)
-                    if len(p) <= MAX_KEPT_CHARS:
-                        known[p] = ids
+        i, last, aside = -1, len(out), self.aside
+        out.append(None)
+        while (i := out.index(None, i + 1)) < last:
+            p = pieces[i]
+            ids = out[i] = aside.get(p) or self.new(p)
+            if len(p) <= MAX_KEPT_CHARS:
+                known[p] = ids
+        out.pop()
         return b"".join(out)
 
 
