@@ -17,9 +17,11 @@ one class; classes link when ``100 * overlap >= percent * union``. The steps:
    clump: they share short lists only, and then their prefix overlap was counted in full, or a
    long list ties them. The full sets of a clump's classes meet in chunks of ``chunk`` classes;
    the incidence of a chunk is multiplied with its transpose a block of shingles at a time, which
-   gives all overlaps exactly. Each chunk of a large clump also holds the clump's first class;
-   chunks meet pairwise only as far as their classes are not in one component yet. Every
-   product returns a spanning forest of its links, never all pairs.
+   gives all overlaps exactly. Each chunk of a large clump also holds the clump's first class; chunks are
+   of one size band and meet pairwise only within a band or with the next one (sizes further apart cannot
+   link) and as far as their classes are not in one component yet. Every product returns a spanning
+   forest of its links, never all pairs. The text of a class is looked up by the id and the text hash of
+   one of its rows.
 4. Components of the links, then back to the documents by class.
 
 Frequent shingles are the ``max_frequent`` most frequent at most (the only data that is broadcast;
@@ -33,6 +35,7 @@ smallest non-null id); other columns are ignored; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import count
 
@@ -99,11 +102,11 @@ def _light(id_type: pa.DataType, local_min: int):
             often = counts >= local_min
             k = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                 pa.array(values[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], names=["id", "n", "cid", "h", "df"])
+                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+                 pa.array(values[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))], names=["id", "th", "n", "cid", "h", "df"])
 
         for batch in batches:
-            texts, n, cid = batch.column(1), [], []
+            texts, n, cid = batch.column(2), [], []
             for i in range(batch.num_rows):
                 s = shingle_set(texts[i].as_py())
                 n.append(len(s))
@@ -114,8 +117,8 @@ def _light(id_type: pa.DataType, local_min: int):
                     yield tally()
                     held, total = [], 0
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()),
-                                              pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["id", "n", "cid", "h", "df"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.int64()),
+                                              pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=["id", "th", "n", "cid", "h", "df"])
         yield tally()
     return run
 
@@ -277,20 +280,28 @@ def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
 
 
 def _clump_links(docs: DataFrame, members: DataFrame, percent: int, chunk: int, pack: int, broadcast_rows: int) -> DataFrame:
-    """Links (spanning forests) among the classes of each clump; members: ``cid, clump, rep``."""
+    """Links (spanning forests) among the classes of each clump; members: ``cid, clump, at, n`` (``at``: id and text hash)."""
     spark = docs.sparkSession
     total = members.count()
-    side = F.broadcast(members) if total <= broadcast_rows else members
-    picked = docs.join(side, docs["id"].eqNullSafe(members["rep"])).select("cid", "clump", "text")
+    wanted = members.select("cid", "clump", F.col("at.id").alias("at_id"), F.col("at.th").alias("at_th"))
+    side = F.broadcast(wanted) if total <= broadcast_rows else wanted
+    picked = docs.join(side, docs["id"].eqNullSafe(F.col("at_id")) & (docs["th"] == F.col("at_th"))).select("cid", "clump", "text")
     schema = "cid long, clump long, payload binary"
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that equal each other in id and text are one class
         for batch in batches:
-            cids, texts = batch.column(0).to_numpy(), batch.column(2)
-            sets = [shingle_set(texts[i].as_py()) for i in range(batch.num_rows)]
-            keep = [i for i, s in enumerate(sets) if class_key(s) == cids[i]]  # ids may repeat
+            cids, texts, keep, sets = batch.column(0).to_pylist(), batch.column(2), [], []
+            for i, cid in enumerate(cids):
+                if cid in seen:
+                    continue
+                s = shingle_set(texts[i].as_py())
+                if class_key(s) == cid:
+                    seen.add(cid)
+                    keep.append(i)
+                    sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64())),
-                                              pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["cid", "clump", "payload"])
+                                              pa.array(sets, pa.binary())], names=["cid", "clump", "payload"])
 
     sets = staged(picked.mapInArrow(full_sets, schema), "ngram-sets")
     sizes = members.groupBy("clump").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("hub"))
@@ -306,25 +317,31 @@ def _clump_links(docs: DataFrame, members: DataFrame, percent: int, chunk: int,
     group = F.when(F.col("k") == 1, F.pmod(unit, F.lit(groups))).otherwise(unit)
     links = staged(dealt.select("cid", "payload", unit.alias("unit"), group.alias("g")).groupBy("g").applyInArrow(run, out), "ngram-links")
 
-    large = staged(members.join(sizes.filter("k > 1"), "clump").select("cid", "clump"), "ngram-large")
+    # sizes that link lie in one band or in two neighbouring ones
+    band = F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) * F.lit(1 - 1e-9)).cast("int")
+    large = staged(members.join(sizes.filter("k > 1"), "clump").select("cid", "clump", band.alias("band")), "ngram-large")
     if large.isEmpty():
         return links
     # chunks of a large clump meet where their classes are not in one component yet
     comps = components(links)
     large = staged(large.join(comps, large["cid"] == comps["node"], "left")
-                   .select("cid", "clump", F.coalesce("root", "cid").alias("comp")), "ngram-parts")
-    comp_sizes = large.groupBy("clump", "comp").agg(F.count(F.lit(1)).alias("size"))
-    pools = comp_sizes.groupBy("clump").agg(F.sum(F.when(F.col("size") < chunk, F.col("size")).otherwise(0)).alias("pooled"), F.count(F.lit(1)).alias("comps"))
-    placed = (large.join(comp_sizes, ["clump", "comp"]).join(pools.filter("comps > 1"), "clump")
+                   .select("cid", "clump", "band", F.coalesce("root", "cid").alias("comp")), "ngram-parts")
+    comp_sizes = large.groupBy("clump", "comp", "band").agg(F.count(F.lit(1)).alias("size"))
+    open_ = comp_sizes.groupBy("clump").agg(F.count_distinct("comp").alias("comps")).filter("comps > 1").select("clump")
+    pools = comp_sizes.groupBy("clump", "band").agg(F.sum(F.when(F.col("size") < chunk, F.col("size")).otherwise(0)).alias("pooled"))
+    placed = (large.join(comp_sizes, ["clump", "comp", "band"]).join(pools, ["clump", "band"]).join(open_, "clump", "left_semi")
               .withColumn("alone", F.col("size") >= chunk)
               .withColumn("owner", F.when(F.col("alone"), F.col("comp")))
               .withColumn("part", F.when(F.col("alone"), F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / F.lit(chunk))))
                           .otherwise(F.pmod(F.xxhash64("cid"), F.greatest(F.ceil(F.col("pooled") / F.lit(chunk)), F.lit(1)))))
-              .withColumn("piece", F.xxhash64("clump", F.coalesce("owner", F.lit(0)), "alone", "part")))
-    placed = staged(placed.select("cid", "clump", "owner", "piece"), "ngram-pieces")
-    pieces = placed.select("clump", "owner", "piece").dropDuplicates()
-    left, right = pieces.alias("l"), pieces.alias("r")
-    meet = left.join(right, (F.col("l.clump") == F.col("r.clump")) & (F.col("l.piece") <= F.col("r.piece")))
+              .withColumn("piece", F.xxhash64("clump", "band", F.coalesce("owner", F.lit(0)), "alone", "part")))
+    placed = staged(placed.select("cid", "clump", "band", "owner", "piece"), "ngram-pieces")
+    pieces = placed.select("clump", "band", "owner", "piece").dropDuplicates()
+    # a band meets itself (each pair once) and the next one
+    near = pieces.select("clump", F.explode(F.array("band", F.col("band") + 1)).alias("to"), F.col("band").alias("own"), "owner", "piece")
+    left, right = near.alias("l"), pieces.alias("r")
+    meet = left.join(right, (F.col("l.clump") == F.col("r.clump")) & (F.col("l.to") == F.col("r.band")))
+    meet = meet.filter((F.col("l.own") < F.col("r.band")) | (F.col("l.piece") <= F.col("r.piece")))
     meet = meet.filter(F.col("l.owner").isNull() | F.col("r.owner").isNull() | (F.col("l.owner") != F.col("r.owner")))
     meet = meet.select(F.col("l.piece").alias("p"), F.col("r.piece").alias("q"), F.xxhash64("l.piece", "r.piece").alias("unit"))
     sides = meet.select(F.explode(F.array_distinct(F.array("p", "q"))).alias("piece"), "unit")
@@ -338,13 +355,14 @@ def ngram_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
                block_bytes: int = 16_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """One row per document: ``id_col, n_shingles, class_id, component_id``."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     id_type = rows.schema["id"].dataType
     arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type.simpleString()]
-    schema = StructType([StructField("id", id_type), *[StructField(c, LongType()) for c in ("n", "cid", "h", "df")]])
+    schema = StructType([StructField("id", id_type), *[StructField(c, LongType()) for c in ("th", "n", "cid", "h", "df")]])
     first = staged(rows.mapInArrow(_light(arrow_id, local_min), schema), "ngram-first")
-    light = first.filter("cid IS NOT NULL").select("id", "n", "cid")
-    classes = staged(light.filter("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "ngram-classes")
+    light = first.filter("cid IS NOT NULL").select("id", "th", "n", "cid")
+    classes = staged(light.filter("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.min(F.struct("id", "th")).alias("at"), F.first("n").alias("n")), "ngram-classes")
 
     often = (first.filter("h IS NOT NULL").groupBy("h").agg(F.sum("df").alias("df")).filter(F.col("df") >= frequent_from)
              .orderBy(F.desc("df"), "h").limit(max_frequent).toPandas())  # max_frequent numbers at most
@@ -372,7 +390,7 @@ def ngram_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
                .filter(F.col("c") >= whole - rest).select("a", "b"))
     ties = found.filter("kind = 1").select("a", "b").dropDuplicates()
     clumps = components(counted.unionByName(ties))
-    members = staged(clumps.join(classes, F.col("node") == F.col("cid")).select("cid", F.col("root").alias("clump"), "rep"), "ngram-members")
+    members = staged(clumps.join(classes, F.col("node") == F.col("cid")).select("cid", F.col("root").alias("clump"), "at", "n"), "ngram-members")
     links = _clump_links(rows, members, percent, chunk, pack, broadcast_rows)
     roots = components(links)
     reached = staged(classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root")), "ngram-roots")
