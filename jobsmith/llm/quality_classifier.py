@@ -8,8 +8,8 @@ word, with length, repetition and vector-length figures beside them. The network
 the learning sample; its logits are divided by a temperature fitted on a part of the sample that
 it has not seen.
 
-Learning: texts and labels of at most ``sample_rows`` labelled rows of the learning fold (lowest
-hash of the id first), a documented bound. Neighbour counts are summed by Spark by word row.
+Learning: texts and labels of at most ``sample_rows`` labelled ids of the learning fold (lowest
+hash of the id first; one text an id), a documented bound. Neighbour counts are summed by Spark by word row.
 Scoring reads every whole text in one map-only pass.
 
 Cases: null and empty texts pool to zeros and get the network's score for that; labels of null
@@ -153,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, id_col: str
               .groupBy("id").agg(F.max("quality").alias("quality"))
               .withColumn("drawn", drawn).orderBy("drawn", "id").limit(sample_rows))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # at most sample_rows small rows are broadcast, so no text is shuffled
-    sample = staged(texts.join(F.broadcast(chosen), "id").select("id", "text", "quality", "drawn"), "quality-sample")
+    # at most sample_rows small rows are broadcast; of the texts of one id the one with the least hash is taken
+    met = texts.join(F.broadcast(chosen), "id").groupBy("id", "quality", "drawn")
+    sample = staged(met.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("id", "text", "quality", "drawn"), "quality-sample")
     sums = (sample.select("id", "text").mapInArrow(_neighbours, "row int, v array<float>")
             .withColumn("part", F.col("row") % 32).groupBy("part")
             .applyInArrow(lambda k, t: _sum_vectors(k, t.select(["row", "v"])), "row int, v array<float>").toPandas())  # BUCKETS x DIM numbers

@@ -15,7 +15,7 @@ first), a documented bound; the cut uses a histogram over every labelled row.
 Cases: null text has no words and fails the base rules; blanks are ``[\\x20\\x09-\\x0D]``; without
 labels (or only one class) the forest grows on a sample of all rows, or not at all, and nothing
 more than the base rules is dropped; the forest sees word length, symbols, other signs and capitals,
-so a text that is odd only in length, lines or choice of words passes it; labels of an id count once (the smallest); repeated rows
+so a text that is odd only in length, lines or choice of words passes it; labels of an id count once (the largest); repeated rows
 get equal results; other columns are ignored.
 """
 
@@ -173,7 +173,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, kee
     spark = docs.sparkSession
     stats = staged(measure(docs, id_col, text_col).withColumn("base_failed", base_failed()), "rule-stats")
     known = (labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"))
-             .filter(F.col("id").isNotNull() & F.col("quality").isNotNull()).groupBy("id").agg(F.min("quality").alias("quality")))
+             .filter(F.col("id").isNotNull() & F.col("quality").isNotNull()).groupBy("id").agg(F.max("quality").alias("quality")))
     labelled = staged(stats.filter(~F.col("base_failed")).join(known, "id"), "rule-labelled")  # counts only, no text
     drawn = hash52(F.concat(F.lit("rules:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     source = stats.filter(~F.col("base_failed")) if labelled.isEmpty() else labelled
