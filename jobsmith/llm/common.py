@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with marks behind it until no column of ``taken`` is called so (names differ in more than case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

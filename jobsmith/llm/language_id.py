@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from jobsmith.llm.common import fold, hash52, staged
+from jobsmith.llm.common import fold, fresh, hash52, staged
 
 BUCKETS = 1 << 15
 MAX_WORDS = 400_000
@@ -272,5 +272,6 @@ def identify(docs: DataFrame, model: LanguageModel, ambiguous_lead: float = 0.2,
 
     fields = ("lang_pred", "score", "ambiguous")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in fields]
-    out = docs.select(*kept, decided(F.col(text_col).cast("string")).alias("decided"))
-    return out.select(*kept, *[F.col(f"decided.{f}").alias(f) for f in fields])
+    answer = fresh("decided", docs.columns)
+    out = docs.select(*kept, decided(F.col(text_col).cast("string")).alias(answer))
+    return out.select(*kept, *[F.col(f"{answer}.{f}").alias(f) for f in fields])

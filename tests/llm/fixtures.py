@@ -37,7 +37,9 @@ def clashing(docs):
     """The same table with columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["id", "key", "shard", "size", "kept", "score", "digest", "copies", "rate", "piece", "removed", "n_lines", "h", "n", "cid", "lang_pred"]
+    names = ["id", "key", "shard", "size", "kept", "score", "digest", "copies", "rate", "piece", "removed", "n_lines", "h", "n", "cid", "lang_pred",
+             "_key", "_removed", "runs", "decided", "KEY_", "_copies", "_id", "_hash", "_row", "_copy", "row", "word", "root", "fp", "unit", "least", "th",
+             "row_hash", "src", "target", "piece_", "drawn", "place", "block", "windows", "best", "grown"]
     return docs.select("*", *[F.lit("clash").alias(c) for c in names])
 
 

@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 def test_all_are_registered():
     names = entry.queries()
     assert [n for n in names if n.startswith("op")] == list(QUERIES) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES) and [n for n, _ in corpus_pipeline.STAGES][-1] == "packing"
 
 
