@@ -32,10 +32,6 @@ def _unpacked(df: DataFrame, like: DataFrame, changed: dict | None = None) -> Da
     return df.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in like.columns])
 
 
-def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
-
-
 def _row_key(docs: DataFrame) -> Column:
     """A string of id and text hash whose order is the order of ids (nulls last)."""
     number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-2**63))), 16, "0")  # the sign bit turned
@@ -76,12 +72,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    units = staged(mix_documents(docs).filter("copies > 0")
-                   .select(F.col("id").alias("_id"), F.col("row_hash").alias("_hash"), F.col("copies").alias("_copies")), "pipeline-mix")
-    rows = docs.withColumn("_row", row_hash(docs))
-    taken = rows.join(units.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash")))
-    copied = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return _columns(copied, docs)
+    units = staged(mix_documents(docs).filter("copies > 0").select("id", "row_hash", "copies"), "pipeline-mix")
+    rows = docs.select("doc_id", row_hash(docs).alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = rows.join(units.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row_hash")))
+    copied = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return copied.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
