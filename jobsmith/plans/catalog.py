@@ -471,17 +471,23 @@ def q_sink_json(spark, d):
 
 # --------------------------------------------------------------- streaming
 
-def _arrivals(spark, df: DataFrame, ordinal: str, name: str, steps: int = 4):
-    """Parts of a frame in ordinal order, each landed as a folder of many files; yields the source
-    folder after every landing (arrival order = ordinal order, no part in one task)."""
-    src = work_path(spark, name)
+def _steps(df: DataFrame, ordinal: str, steps: int = 4):
+    """Parts of a frame in ordinal order."""
     b = df.agg(F.min(ordinal).alias("lo"), F.max(ordinal).alias("hi")).first()  # two numbers
     if b["lo"] is None:
         return
     width = (int(b["hi"]) - int(b["lo"])) // steps + 1
     for i in range(steps):
         lo = int(b["lo"]) + i * width
-        df.filter((F.col(ordinal) >= lo) & (F.col(ordinal) < lo + width)).write.parquet(f"{src}/step{i}")
+        yield df.filter((F.col(ordinal) >= lo) & (F.col(ordinal) < lo + width))
+
+
+def _arrivals(spark, df: DataFrame, ordinal: str, name: str, steps: int = 4):
+    """Parts of a frame in ordinal order, each landed as a folder of many files; yields the source
+    folder after every landing (arrival order = ordinal order, no part in one task)."""
+    src = work_path(spark, name)
+    for i, part in enumerate(_steps(df, ordinal, steps)):
+        part.write.parquet(f"{src}/step{i}")
         yield f"{src}/*"
 
 
@@ -500,6 +506,20 @@ def q_stream_history(spark, d):
                                                           "first_seen", "run_id")
 
 
+def q_history_compacted(spark, d):
+    """X1 over a compacted history: documents land in four steps; after each one all partitions become one
+    snapshot, and the last step is run again under its old batch id, which changes nothing."""
+    from jobsmith.streaming.history import compact_history, history_batch, read_history
+    posts = doc_postings(_t(spark, d, "documents")).select("ordinal", "url", "title", "source")
+    hist = work_path(spark, "compact-hist")
+    for step, part in enumerate(_steps(posts, "ordinal")):
+        for _ in range(2 if step == 3 else 1):
+            history_batch(part, step, hist, "url", "ordinal", hash_key=True, run_id="run", first_seen=S.RUN_TS)
+            compact_history(spark, hist, "url", hash_key=True)
+    return read_history(spark, hist, posts.schema).select("url", F.col("ordinal").alias("doc_id"), "title", "source", "first_seen",
+                                                          F.col("batch_id").cast("bigint").alias("step"))
+
+
 def q_stream_dedup(spark, d):
     """Engine-state dedup on the url (which duplicate wins is not defined: url only)."""
     from jobsmith.streaming.history import stream_dedup_state
@@ -523,18 +543,18 @@ def q_stream_dedup_watermark(spark, d):
 
 def q_stream_enrich(spark, d):
     """Postings arrive in four steps; each micro-batch runs the enrichment batch body against
-    the newest state version; the last version equals one sequential pass."""
+    the buckets of its keys in the newest state version; the last version equals one sequential pass."""
+    from jobsmith.sources.state import read_state
     from jobsmith.streaming.history import seed_state, stream_enrich
     posts, state, details = _enrich_inputs(spark, d)
     fields = ["description", "posted_date"]
     p = posts.select("url", "ordinal", *fields)
     details = cut_lineage(details, "stream-details")  # read by every batch
     base, ckpt = work_path(spark, "enrich-state"), work_path(spark, "enrich-ckpt")
-    seed_state(state, base, fields)
+    seed_state(state, base, fields, buckets=16)
     for src in _arrivals(spark, p, "ordinal", "enrich-src"):
         stream_enrich(spark, src, p.schema, base, details, fields, ckpt, max_files_per_trigger=None).awaitTermination()
-    final = spark.read.parquet(io.latest_version(spark, base))
-    return final.select("url", F.col("origin").cast("bigint").alias("origin"), "ordinal",
+    return read_state(spark, base).select("url", F.col("origin").cast("bigint").alias("origin"), "ordinal",
                         F.length("description").cast("bigint").alias("description_len"), "posted_date")
 
 
@@ -713,6 +733,7 @@ QUERIES = {
     "sink_csv": q_sink_csv,
     "sink_json": q_sink_json,
     "stream_history": q_stream_history,
+    "history_compacted": q_history_compacted,
     "stream_dedup": q_stream_dedup,
     "stream_dedup_watermark": q_stream_dedup_watermark,
     "stream_enrich": q_stream_enrich,

@@ -635,6 +635,11 @@ ORACLE["stream_dedup"] = f"""SELECT DISTINCT url FROM ({doc_postings_sql()}) WHE
 ORACLE["stream_enrich"] = f"SELECT url, origin, ordinal, description_len, posted_date FROM ({_enrich_upsert_sql()})"
 ORACLE["stream_dedup_watermark"] = "SELECT DISTINCT concat_ws('/', user_id, event_type) AS key FROM events"
 ORACLE["read_csv_mixed"] = f"SELECT title, company, url, '' AS source FROM ({doc_postings_sql()})"
+# steps of equal width over the ids, as documents land
+ORACLE["history_compacted"] = f"""
+WITH b AS (SELECT min(doc_id) AS lo, (max(doc_id) - min(doc_id)) // 4 + 1 AS width FROM documents)
+SELECT url, ordinal AS doc_id, title, source, {lit(S.RUN_TS)} AS first_seen, (ordinal - lo) // width AS step FROM ({doc_postings_sql()}), b
+WHERE url IS NOT NULL AND url <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY ordinal) = 1"""
 ORACLE["stream_history"] = f"""
 WITH old AS (SELECT url, ordinal AS doc_id, title, source, {lit(S.HISTORY_TS)} AS first_seen, 'first' AS run_id
              FROM ({doc_postings_sql('SEMI JOIN labels USING (doc_id)')}) WHERE url IS NOT NULL AND url <> ''

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobsmith.functions import fixed
+from jobsmith.sources.folders import delete, swap
 
 log = logging.getLogger(__name__)
 
@@ -144,21 +145,16 @@ def read_json_maps(spark: SparkSession, path: str) -> DataFrame:
 def _guarded_write(df: DataFrame, path: str, write) -> bool:
     """K9: empty input leaves what was there before. The rows are written to a staging folder
     beside the target and counted on the way (an ``Observation``); only a write with rows
-    replaces the target, by a rename."""
+    replaces the target: the old folder is moved aside, the new one renamed into place, then the old one deleted."""
     spark = df.sparkSession
     seen = Observation()
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:12]}"
     write(df.observe(seen, F.count(F.lit(1)).alias("n")), staging)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    src, dst = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
-    fs = dst.getFileSystem(conf)
     if not seen.get["n"]:
-        fs.delete(src, True)  # the folder this call has just made
+        delete(spark, staging)  # the folder this call has just made
         log.warning("no rows to write to %s", path)
         return False
-    fs.delete(dst, True)  # overwrite: the caller named this target
-    if not fs.rename(src, dst):
-        raise OSError(f"cannot move {staging} to {path}")
+    swap(spark, staging, path)  # overwrite: the caller named this target
     return True
 
 

@@ -137,25 +137,6 @@ def test_history_without_batches_is_read(spark):
     assert [r["url"] for r in read_history(spark, hist, None, ("a", 0)).collect()] == ["u1"]
 
 
-def test_state_order_and_missing_state(spark):
-    import pytest
-    from jobsmith.streaming.history import enrich_batch, seed_state
-    base, fields = work_path(spark, "st-order"), ["description", "posted_date"]
-    schema = "url string, ordinal long, description string, posted_date string"
-    details = spark.createDataFrame([], "canonical_url string, ordinal long, description string, posted_date string, status string")
-    def post(url, n):
-        return spark.createDataFrame([(url, n, "d", "")], schema)
-    with pytest.raises(RuntimeError):
-        enrich_batch(post("a", 1), 0, base, details, fields, "url", "ordinal")
-    seed_state(post("a", 10**16), base, fields)  # ordinals of any size
-    for bid, (url, n) in enumerate([("z", 900), ("y", 5), ("x", 7)]):
-        enrich_batch(post(url, n), bid, base, details, fields, "url", "ordinal")
-    last = spark.read.parquet(f"{base}/v=3").orderBy("version", "origin", "ordinal")
-    assert [r["url"] for r in last.collect()] == ["a", "z", "y", "x"]
-    with pytest.raises(RuntimeError):  # a version that was never written
-        enrich_batch(post("w", 1), 9, base, details, fields, "url", "ordinal")
-
-
 def test_empty_write_keeps_what_was_there(spark):
     full = spark.createDataFrame([("t", "u")], "title string, url string")
     plans = [full.limit(0), full.groupBy("title", "url").count().drop("count").filter("title = 'x'")]
