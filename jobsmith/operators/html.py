@@ -7,6 +7,10 @@ arrays of raw matches; every rule on top of it (selector fallback by rank,
 first-present field, href resolution, thresholds, status) is a Spark column
 expression in the operators below, so the plan stays JVM-side after the hop.
 
+All selectors of a page are looked up in one walk of its tree: a selector is filed under its id, its
+first class, its first attribute or its tag, an element asks for what it has, and only what is filed
+there is tested. So a page costs what its elements and matches cost, however many selectors there are.
+
 Tree model (tag soup): a start tag opens an element (void elements close at
 once); an end tag closes the nearest open element with that name, or is ignored;
 script/style bodies are raw text and, like comments, never part of element text.
@@ -16,12 +20,14 @@ and combinations on one element (no combinators).
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
@@ -137,13 +143,62 @@ def _matches(node: _Node, sel: tuple) -> bool:
     return True
 
 
-def _elements(node: _Node) -> Iterator[_Node]:
-    """Descendant elements in document order (pre-order), excluding ``node``."""
-    stack = list(reversed([c for c in node.children if isinstance(c, _Node)]))
-    while stack:
-        n = stack.pop()
-        yield n
-        stack.extend(reversed([c for c in n.children if isinstance(c, _Node)]))
+class SelectorIndex:
+    """Selectors filed by what an element must have to match them."""
+
+    def __init__(self, selectors: Sequence[tuple]):
+        self.selectors = list(selectors)
+        self.by: dict[tuple, list[int]] = {}
+        for no, (tag, classes, ident, attrs) in enumerate(self.selectors):
+            at = ("#", ident) if ident is not None else (".", classes[0]) if classes else ("[", attrs[0][0]) if attrs else ("", tag)
+            self.by.setdefault(at, []).append(no)
+        self.tested = 0  # selectors held against an element so far
+
+    def of(self, node: _Node) -> list[int]:
+        """The selectors that match an element, in their order."""
+        by, found = self.by, []
+        for at in (("", node.tag), ("", None), ("#", node.attrs.get("id")), *[(".", c) for c in dict.fromkeys(node.cls)], *[("[", a) for a in node.attrs]):
+            for no in by.get(at, ()):
+                self.tested += 1
+                if _matches(node, self.selectors[no]):
+                    found.append(no)
+        return found
+
+
+class _Walk:
+    """One pre-order walk: the elements, where the subtree of each ends, and the elements that match each selector."""
+
+    def __init__(self, root: _Node, index: SelectorIndex):
+        self.elements, self.ends, self.links = [], [], []
+        self.hits: list[list[int]] = [[] for _ in index.selectors]
+        stack: list = [c for c in reversed(root.children) if isinstance(c, _Node)]
+        while stack:
+            n = stack.pop()
+            if isinstance(n, int):
+                self.ends[n] = len(self.elements)
+                continue
+            at = len(self.elements)
+            self.elements.append(n)
+            self.ends.append(at + 1)
+            if n.tag == "a":
+                self.links.append(at)
+            for no in index.of(n):
+                self.hits[no].append(at)
+            inner = [c for c in reversed(n.children) if isinstance(c, _Node)]
+            if inner:
+                stack.append(at)
+                stack.extend(inner)
+
+    def inside(self, places: list[int], at: int) -> list[int]:
+        """Of ascending places those inside the element."""
+        return places[bisect_left(places, at + 1):bisect_left(places, self.ends[at])]
+
+    def match(self, at: int, texts: bool = True, **extra) -> dict:
+        node = self.elements[at]
+        a = bisect_left(self.links, at + 1)
+        inner = self.elements[self.links[a]] if a < len(self.links) and self.links[a] < self.ends[at] else None
+        return {"tag": node.tag, "cls": " ".join(node.cls), "parts": _text_parts(node) if texts else [],
+                "href": node.attrs.get("href"), "inner_href": inner.attrs.get("href") if inner else None, **extra}
 
 
 def _text_parts(node: _Node) -> list[str]:
@@ -158,20 +213,6 @@ def _text_parts(node: _Node) -> list[str]:
     return out
 
 
-def _first_a_href(node: _Node):
-    for d in _elements(node):
-        if d.tag == "a":
-            return d.attrs.get("href")
-    return None
-
-
-def _match_struct(node: _Node, texts: bool = True, **extra) -> dict:
-    d = {"tag": node.tag, "cls": " ".join(node.cls), "parts": _text_parts(node) if texts else [],
-         "href": node.attrs.get("href"), "inner_href": _first_a_href(node)}
-    d.update(extra)
-    return d
-
-
 def _text_nodes(root: _Node) -> list[dict]:
     """Every string node (text, script/style body, comment, doctype) with its parent."""
     out, stack = [], [(root, None)]
@@ -195,6 +236,61 @@ CARD_T = f"array<struct<card_rank:int, card_no:int, {_INNER}, found:array<struct
 NODE_T = "array<struct<node_no:int, kind:string, parent_tag:string, parent_cls:string, text:string>>"
 
 
+class PagePlan:
+    """What is asked of a page: named lists of selectors, all in one index."""
+
+    def __init__(self, fields: dict | None = None, all_of: dict | None = None, cards: Sequence[str] = (), card_fields: dict | None = None,
+                 card_all: dict | None = None, text_nodes: bool = False, texts: bool = True, first_of: tuple[str, str] | None = None):
+        self.text_nodes, self.texts, self.first_of = text_nodes, texts, first_of
+        asked = [(kind, f, r, sel) for kind, named in (("field", fields), ("all", all_of), ("card", {"": cards}), ("card_field", card_fields), ("card_all", card_all))
+                 for f, sels in (named or {}).items() for r, sel in enumerate([sels] if isinstance(sels, str) else sels)]
+        self.index = SelectorIndex([parse_selector(sel) for *_, sel in asked])
+        self.asked: dict[str, list[tuple]] = {}
+        for no, (kind, f, r, _) in enumerate(asked):
+            self.asked.setdefault(kind, []).append((f, r, no))
+
+    def _of(self, kind: str) -> list[tuple]:
+        return self.asked.get(kind, [])
+
+    def page(self, html) -> tuple[list, list, list, list, str | None]:
+        """fields, all_of, cards, nodes and the error of a page (see ``extract_html``)."""
+        error = None
+        try:
+            root = parse_html(html if isinstance(html, str) else "")
+        except Exception as exc:  # P14: a bad page is reported, the rest continue
+            root, error = _Node("[document]", {}), f"{type(exc).__name__}: {exc}"
+        walk, texts = _Walk(root, self.index), self.texts
+        hits = walk.hits
+        fields = [walk.match(hits[no][0], texts, field=f, rank=r, n=len(hits[no])) for f, r, no in self._of("field") if hits[no]]
+        if self.first_of:
+            tag, token = self.first_of
+            first = next((i for i, e in enumerate(walk.elements) if e.tag == tag and token.lower() in " ".join(e.cls).lower()), None)
+            if first is not None:
+                fields.append(walk.match(first, texts, field="first", rank=0, n=1))
+        all_of = [walk.match(at, texts, field=f, rank=r, el_no=i) for f, r, no in self._of("all") for i, at in enumerate(hits[no])]
+        cards = []
+        for _, rank, no in self._of("card"):
+            for n, at in enumerate(hits[no]):
+                found = []
+                for f, r, inner in self._of("card_field"):
+                    mine = bisect_left(hits[inner], at + 1)
+                    if mine < len(hits[inner]) and hits[inner][mine] < walk.ends[at]:
+                        found.append(walk.match(hits[inner][mine], texts, field=f, rank=r, el_no=0))
+                for f, r, inner in self._of("card_all"):
+                    found += [walk.match(x, texts, field=f, rank=r, el_no=i) for i, x in enumerate(walk.inside(hits[inner], at))]
+                cards.append(walk.match(at, texts, card_rank=rank, card_no=n, found=found))
+            if cards:  # the first selector that hits supplies all cards
+                break
+        return fields, all_of, cards, _text_nodes(root) if self.text_nodes else [], error
+
+
+def _page_rows(pdf: pd.DataFrame, keep: Sequence[str], pages: Sequence[tuple]) -> pd.DataFrame:
+    out = pdf[list(keep)].copy()
+    for name, column in zip(("fields", "all_of", "cards", "nodes", "parse_error"), zip(*pages) if pages else [()] * 5):
+        out[name] = list(column)
+    return out
+
+
 def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
                  fields: dict[str, Sequence[str]] | None = None,
                  all_of: dict[str, Sequence[str]] | None = None,
@@ -219,75 +315,51 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
     classes (lower-cased) contain the token, as field 'first'.
     """
     keep = list(keep)
-    fields = {k: list(v) for k, v in (fields or {}).items()}
-    all_of = {k: list(v) for k, v in (all_of or {}).items()}
-    cards = list(cards or [])
-    card_fields = {k: list(v) for k, v in (card_fields or {}).items()}
-    f_specs = [(f, r, parse_selector(s)) for f, sels in fields.items() for r, s in enumerate(sels)]
-    a_specs = [(f, r, parse_selector(s)) for f, sels in all_of.items() for r, s in enumerate(sels)]
-    c_specs = [parse_selector(s) for s in cards]
-    cf_specs = [(f, r, parse_selector(s)) for f, sels in card_fields.items() for r, s in enumerate(sels)]
-    ca_specs = [(f, r, parse_selector(s)) for f, sels in (card_all or {}).items() for r, s in enumerate(sels)]
+    asked = dict(fields=fields, all_of=all_of, cards=list(cards or []), card_fields=card_fields, card_all=card_all,
+                 text_nodes=text_nodes, texts=texts, first_of=first_of)
+    PagePlan(**asked)  # an unsupported selector fails here
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan = PagePlan(**asked)
         for pdf in batches:
-            f_col, a_col, c_col, n_col, e_col = [], [], [], [], []
-            for html in pdf[html_col]:
-                try:
-                    root = parse_html(html if isinstance(html, str) else "")
-                    e_col.append(None)
-                except Exception as exc:  # P14: a bad page is reported, the rest continue
-                    root = _Node("[document]", {})
-                    e_col.append(f"{type(exc).__name__}: {exc}")
-                elems = list(_elements(root))
-                fo = []
-                for f, r, sel in f_specs:
-                    hits = [e for e in elems if _matches(e, sel)]
-                    if hits:
-                        fo.append(_match_struct(hits[0], texts, field=f, rank=r, n=len(hits)))
-                if first_of:
-                    tag, token = first_of
-                    hit = next((e for e in elems if e.tag == tag and token.lower() in " ".join(e.cls).lower()), None)
-                    if hit is not None:
-                        fo.append(_match_struct(hit, texts, field="first", rank=0, n=1))
-                f_col.append(fo)
-                ao = []
-                for f, r, sel in a_specs:
-                    for i, e in enumerate(x for x in elems if _matches(x, sel)):
-                        ao.append(_match_struct(e, texts, field=f, rank=r, el_no=i))
-                a_col.append(ao)
-                co = []
-                for cr, csel in enumerate(c_specs):
-                    for cn, card in enumerate(x for x in elems if _matches(x, csel)):
-                        inner = list(_elements(card)) if (cf_specs or ca_specs) else []
-                        found = []
-                        for f, r, sel in cf_specs:
-                            hit = next((e for e in inner if _matches(e, sel)), None)
-                            if hit is not None:
-                                found.append(_match_struct(hit, texts, field=f, rank=r, el_no=0))
-                        for f, r, sel in ca_specs:
-                            for i, e in enumerate(x for x in inner if _matches(x, sel)):
-                                found.append(_match_struct(e, texts, field=f, rank=r, el_no=i))
-                        co.append(_match_struct(card, texts, card_rank=cr, card_no=cn, found=found))
-                    if co:  # the first selector that hits supplies all cards
-                        break
-                c_col.append(co)
-                n_col.append(_text_nodes(root) if text_nodes else [])
-            out = pdf[keep].copy()
-            out["fields"] = f_col
-            out["all_of"] = a_col
-            out["cards"] = c_col
-            out["nodes"] = n_col
-            out["parse_error"] = e_col
-            yield out
-
-    schema_keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
-    schema = f"{schema_keep}, fields {FIELD_T}, all_of {ALL_T}, cards {CARD_T}, nodes {NODE_T}, parse_error string"
+            yield _page_rows(pdf, keep, [plan.page(html) for html in pdf[html_col]])
+
+    schema = _page_schema(df, keep)
     # only the key columns and the html travel to Python; Spark bounds an Arrow batch by bytes
     # (spark.sql.execution.arrow.maxBytesPerBatch), so large pages do not pile up in a worker
     return df.select(*keep, html_col).mapInPandas(run, schema)
 
 
+def _page_schema(df: DataFrame, keep: Sequence[str]) -> str:
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
+    return f"{kept}, fields {FIELD_T}, all_of {ALL_T}, cards {CARD_T}, nodes {NODE_T}, parse_error string"
+
+
+def extract_cards_by_source(pages: DataFrame, config: DataFrame, keep: Sequence[str], html_col: str = "html") -> DataFrame:
+    """H1-H5 of pages of many sources, each by its own selectors, in one scan and one walk a page.
+
+    ``config`` (``sources/config.source_plans``): one row a source with its selectors as JSON; it is small, its
+    size is checked there. Pages of a source without a row drop out. Adds all columns of ``config``, ``cards``,
+    ``parse_error`` and ``n_cards``.
+    """
+    met = pages.join(F.broadcast(config), "source")
+    keep = [*keep, *[c for c in config.columns if c not in keep and c != "selectors"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plans: dict[str, PagePlan] = {}
+        for pdf in batches:
+            rows = []
+            for selectors, html in zip(pdf["selectors"], pdf[html_col]):
+                if selectors not in plans:
+                    named = json.loads(selectors)
+                    plans[selectors] = PagePlan(cards=named.pop("job_card", []), card_fields=named)
+                rows.append(plans[selectors].page(html))
+            yield _page_rows(pdf, keep, rows)
+
+    out = met.select(*keep, "selectors", html_col).mapInPandas(run, _page_schema(met, keep))
+    return out.select(*keep, "cards", "parse_error", F.size("cards").cast("bigint").alias("n_cards"))
+
+
 # ------------------------------------------------------------ text columns
 
 def element_text(m: Column, mode: str = "clean") -> Column:
@@ -370,36 +442,43 @@ def extract_card_fields(pages: DataFrame, source_cfg: dict, keep: Sequence[str],
     return ex.select(*keep, "cards", "parse_error", F.size("cards").cast("bigint").alias("n_cards"))
 
 
+def card_posting(base: Column) -> dict[str, Column]:
+    """The fields of the card in column ``card``: texts, ``title_url`` (joined to ``base``) and ``link_url`` (as it stands)."""
+    mine = F.col("card.found")
+
+    def first(name: str, *parts: str) -> Column:
+        return F.array_min(F.transform(F.filter(mine, _field_is(name)), lambda x: F.struct(x["rank"].alias("rank"), *[x[p].alias(p) for p in parts])))
+
+    out = {n: F.coalesce(element_text(first(n, "parts"), "clean"), F.lit("")) for n in POSTING_FIELDS}
+    hrefs = F.transform(F.filter(mine, _field_is("title")), lambda x: F.struct(
+        x["rank"].alias("rank"), F.when(x["tag"] == "a", x["href"]).otherwise(x["inner_href"]).alias("h")))
+    href = F.array_min(F.filter(hrefs, lambda x: F.coalesce(x["h"], F.lit("")) != ""))["h"]
+    out["title_url"] = F.coalesce(absolute_url(href, base), F.lit(""))
+    out["link_url"] = F.coalesce(first("link", "href")["href"], F.lit(""))
+    return out
+
+
 def postings_from_cards(ex: DataFrame, source_cfg: dict, keep: Sequence[str], base_col: Column | None = None,
                         link_mode: str = "title", source_name: str | None = None) -> DataFrame:
     """Card rows (from ``extract_card_fields``) -> one posting per card with a title."""
     card_rows = ex.select(*keep, F.explode("cards").alias("card"))  # a card carries its own fields only
-    mine = F.col("card.found")
-    out = [F.col(k) for k in keep] + [F.col("card.card_rank").alias("card_rank"),
-                                      F.col("card.card_no").cast("bigint").alias("card_no")]
-    for n in POSTING_FIELDS:
-        first = F.array_min(F.transform(F.filter(mine, _field_is(n)),
-                                        lambda x: F.struct(x["rank"].alias("rank"), x["parts"].alias("parts"))))
-        out.append(F.coalesce(element_text(first, "clean"), F.lit("")).alias(n))
-    base = base_col if base_col is not None else F.lit(source_cfg.get("base_url", ""))
-    if link_mode == "title":
-        cand = F.transform(
-            F.filter(mine, lambda x: x["field"] == "title"),
-            lambda x: F.struct(x["rank"].alias("rank"),
-                               F.when(x["tag"] == "a", x["href"]).otherwise(x["inner_href"]).alias("h")))
-        good = F.filter(cand, lambda x: F.coalesce(x["h"], F.lit("")) != "")
-        href = F.array_min(good)["h"]
-        out.append(F.coalesce(absolute_url(href, base), F.lit("")).alias("url"))
-    else:
-        first_link = F.array_min(F.transform(F.filter(mine, lambda x: x["field"] == "link"),
-                                             lambda x: F.struct(x["rank"].alias("rank"), x["href"].alias("h"))))
-        out.append(F.coalesce(first_link["h"], F.lit("")).alias("url"))
-    res = card_rows.select(*out).filter(F.col("title") != "")
+    got = card_posting(base_col if base_col is not None else F.lit(source_cfg.get("base_url", "")))
+    res = card_rows.select(*keep, F.col("card.card_rank").alias("card_rank"), F.col("card.card_no").cast("bigint").alias("card_no"),
+                           *[got[n].alias(n) for n in POSTING_FIELDS], got[f"{link_mode}_url"].alias("url")).filter(F.col("title") != "")
     if source_name is not None:
         res = res.withColumn("source", F.lit(source_name))
     return res
 
 
+def postings_by_source(ex: DataFrame, keep: Sequence[str], page_base: Column | None = None) -> DataFrame:
+    """Postings of ``extract_cards_by_source``: links as the source's ``link_mode`` and ``base_url`` say."""
+    got = card_posting(page_base if page_base is not None else F.col("base_url"))
+    url = F.when(F.col("link_mode") == "link", got["link_url"]).otherwise(got["title_url"])
+    return (ex.withColumn("card", F.explode("cards"))
+            .select(*keep, F.col("card.card_rank").alias("card_rank"), F.col("card.card_no").cast("bigint").alias("card_no"),
+                    *[got[n].alias(n) for n in POSTING_FIELDS], url.alias("url")).filter(F.col("title") != ""))
+
+
 def description_probe(pages: DataFrame, card_selectors: Sequence[str],
                       probes: Sequence[str] = tuple(fixed.CARD_DESCRIPTION_PROBE),
                       min_len: int = fixed.CARD_DESCRIPTION_PROBE_MIN_LEN, preview: int = 150, n_divs: int = 5,
@@ -576,6 +655,21 @@ def selector_samples(pages: DataFrame, selectors: Sequence[str], k: int = 3, wid
             .select(*keep, "p.selector", "p.n", "p.samples"))
 
 
+def selector_first_hits(pages: DataFrame, selectors: Sequence[str], k: int = 3, width: int = 200, page: str = "page_id") -> DataFrame:
+    """O5 + H12 over the whole table: the first ``k`` hits of each selector in (page, document) order.
+
+    A rank that is cut right away is a bounded top-k to Spark: every task keeps k rows a selector before
+    the shuffle, so what meets in one task is k rows a task, however many hits there are."""
+    ex = extract_html(pages, [page], all_of={"s": selectors})
+    sel = F.array(*[F.lit(x) for x in selectors])
+    # a page can give k hits at most, so no more of it is unpacked
+    hits = (ex.select(page, F.explode(F.filter("all_of", lambda x: x["el_no"] < k)).alias("m"))
+            .select(F.element_at(sel, F.col("m.rank") + 1).alias("selector"), page, F.col("m.el_no").cast("bigint").alias("el_no"),
+                    F.substring(py_strip(F.array_join("m.parts", "")), 1, width).alias("sample")))
+    place = F.row_number().over(Window.partitionBy("selector").orderBy(page, "el_no"))
+    return hits.withColumn("place", place).filter(F.col("place") <= k).withColumn("place", F.col("place").cast("bigint"))
+
+
 def card_counts(pages: DataFrame, card_selectors: Sequence[str], keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """Number of cards per page under the H1 fallback rule (0 when no selector hits)."""
     ex = extract_html(pages, keep, fields={"c": card_selectors}, texts=False)

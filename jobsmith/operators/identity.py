@@ -142,6 +142,35 @@ def upsert(state: DataFrame, updates: DataFrame, key: str, fields: Sequence[str]
     return keyed.unionByName(keyless)
 
 
+def upsert_map(state: DataFrame, updates: DataFrame, key: str, fields: str = "fields", ordinal: str = "ordinal") -> DataFrame:
+    """J3/J4 in map form: ``fields`` is a map, and which fields there are is left to the rows.
+
+    As ``upsert``, but a field that a map holds is present even if its value is null: it overwrites. The
+    merge is an aggregate over (key, field, place), so a key with many updates is reduced in every
+    task; what meets in one row is one value a field.
+    """
+    st = state.select(key, F.lit(0).alias("origin"), F.col(ordinal).alias("ordinal"), F.col(fields).alias("fields"))
+    up = updates.select(key, F.lit(1).alias("origin"), F.col(ordinal).alias("ordinal"), F.col(fields).alias("fields"))
+    firsts = st.filter(has_key(key)).groupBy(key).agg(F.min("ordinal").alias("first"))
+    st = st.join(firsts, key, "left").withColumn("counts", F.col("ordinal") == F.col("first"))
+    # merged: the first state row of a key, and the updates of keyed rows
+    parts = st.filter("counts").select(key, "origin", "ordinal", "fields").unionByName(up.filter(has_key(key)))
+    place = F.struct("origin", "ordinal")
+    entries = parts.select(key, place.alias("place"), F.explode("fields").alias("field", "value"))
+    latest = entries.groupBy(key, "field").agg(F.max_by(F.struct("value"), "place").alias("v"))
+    merged = latest.groupBy(key).agg(F.collect_list(F.struct("field", "v.value")).alias("entries"))
+    heads = parts.groupBy(key).agg(F.min(place).alias("head"), (F.count_if(F.col("origin") == 1) > 0).alias("updated"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    kind = state.schema[fields].dataType.simpleString()
+    keyed = (heads.withColumnRenamed(key, "__k").join(merged, F.col("__k") == merged[key], "left")
+             .select(F.col("__k").alias(key), "head.origin", F.col("head.ordinal").alias(ordinal),
+                     F.coalesce(F.map_from_entries(F.array_sort("entries")), none).cast(kind).alias(fields),
+                     (F.col("updated") & (F.col("head.origin") == 0)).alias("was_updated")))
+    rest = (st.filter(~F.coalesce("counts", F.lit(False))).drop("first", "counts").unionByName(up.filter(~has_key(key)))
+            .select(key, "origin", F.col("ordinal").alias(ordinal), F.col("fields").alias(fields), F.lit(False).alias("was_updated")))
+    return keyed.unionByName(rest)
+
+
 def upsert_contributions(state: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Per-key (and per keyless row) contributions ``u`` (updated) and ``nw`` (new) of an upsert.
 

@@ -281,6 +281,19 @@ def q_upsert_fold(spark, d):
     return idn.upsert_fold(wide, "user_id", [t or "none" for t in types], "ordinal")
 
 
+def q_upsert_map(spark, d):
+    """J3/J4 in map form over events: views are the state, all others update it, field names come from the rows."""
+    ev = _t(spark, d, "events")
+    cents = F.round(F.col("value") * 100).cast("bigint").cast("string")
+    props = F.transform_keys(F.from_json("props", "map<string,string>"), lambda k, v: F.concat(F.lit("prop_"), k))
+    fields = F.map_concat(F.map_from_arrays(F.array(F.coalesce("event_type", F.lit("none"))), F.array(cents)), F.coalesce(props, F.create_map().cast("map<string,string>")))
+    rows = ev.select("user_id", F.col("event_id").alias("ordinal"), "event_type", fields.alias("fields"))
+    view = F.coalesce(F.col("event_type") == "view", F.lit(False))
+    out = idn.upsert_map(rows.filter(view), rows.filter(~view), "user_id")
+    entry = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return out.select("user_id", F.col("origin").cast("bigint").alias("origin"), "ordinal", F.array_join(entry, ";").alias("fields"), "was_updated")
+
+
 # -------------------------------------------------------------- enrichment
 
 def _enrich_inputs(spark, d):
@@ -454,6 +467,49 @@ def q_read_json(spark, d):
     return io.read_json(spark, path, io.string_schema(fixed.POSTING_9), strict=True, multiline=False)
 
 
+def q_read_csv_rejects(spark, d):
+    """S1 + P14: CSV with broken records among the good ones; both are returned, none fails the read."""
+    posts = doc_postings(_t(spark, d, "documents"))
+    path = work_path(spark, "csv-rejects")
+    io.write_csv(posts, path, columns=["url", "title", "company"])
+    broken = posts.filter(F.col("ordinal") % 10 == 3).select(
+        F.when(F.col("ordinal") % 20 == 3, F.concat("url", F.lit(",only two"))).otherwise(F.concat("url", F.lit(",a,b,too many"))).alias("value"))
+    # every file has a header of its own, as the good ones have
+    packed = broken.groupBy(F.pmod(F.xxhash64("value"), F.lit(64)).alias("g")).agg(F.collect_list("value").alias("lines"))
+    packed.select(F.array_join(F.concat(F.array(F.lit("url,title,company")), "lines"), "\n").alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(f"{path}/more")
+    rows, rejects = io.read_csv_rejects(spark, [path], ["url", "title", "company"])
+    return rows.select("url", F.lit(None).cast("string").alias("record"), F.lit("read").alias("kind")).unionByName(
+        rejects.select(F.split("record", ",")[0].alias("url"), "record", F.col("reason").alias("kind")))
+
+
+def q_read_json_array(spark, d):
+    """Files that hold one JSON array each; a truncated one reads as empty, the others in full."""
+    posts = doc_postings(_t(spark, d, "documents"))
+    group = F.floor(F.col("ordinal") / 50).cast("bigint")
+    path = work_path(spark, "json-array")
+    arrays = posts.groupBy(group.alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*fixed.POSTING_9))), ","), F.lit("]")).alias("value"))
+    cut = F.when(F.col("g") % 5 == 4, F.expr("substring(value, 1, length(value) - 2)")).otherwise(F.col("value"))
+    arrays.select(cut.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return io.read_json(spark, path, io.string_schema(fixed.POSTING_9)).select("url", "title", "source")
+
+
+def q_json_variant(spark, d):
+    """records whose keys differ, landed as VARIANT and projected again; absent, null and '' stay apart."""
+    from jobsmith.sources import variant as va
+    docs = _t(spark, d, "documents")
+    title = tx.first_line(F.col("text"))
+    kinds = [F.struct(F.col("source").alias("company"), title.alias("title")),  # no salary
+             F.struct(title.alias("title"), F.lit("").alias("salary")), F.struct(F.col("n_chars").alias("salary"), title.alias("title"))]
+    line = F.when(F.col("doc_id") % 4 == 0, F.to_json(kinds[0])).when(F.col("doc_id") % 4 == 1, F.to_json(kinds[1]))
+    line = line.when(F.col("doc_id") % 4 == 2, F.to_json(kinds[2])).otherwise(F.concat(F.lit('{"salary": null, "company": '), F.to_json(F.array("source")), F.lit("}")))
+    path = work_path(spark, "variant")
+    va.land_json(docs.select("doc_id", F.coalesce(line, F.lit("{}")).alias("value")), path)
+    records = va.read_records(spark, path)
+    shown = va.project(records, ["title", "salary"], keep=("doc_id", "record"))
+    return shown.select("doc_id", "title", "salary", va.presence(F.col("record"), "salary").alias("salary_is"), va.presence(F.col("record"), "company").alias("company_is"),
+                        va.presence(F.col("record"), "title").alias("title_is"))
+
+
 def q_sink_csv(spark, d):
     posts = io.run_date_partition(doc_postings(_t(spark, d, "documents")), S.RUN_DATE)
     path = work_path(spark, "csv-by-source")
@@ -650,6 +706,60 @@ def q_link_cards(spark, d):
     return out.select("page_id", "card_no", "title", "url")
 
 
+def _source_pages(spark, d) -> DataFrame:
+    """Listing pages of all three configured sources, their cards filled from the part table."""
+    key = F.col("p_partkey").cast("string")
+    brand, kind, size = F.col("p_brand"), F.col("p_type"), F.col("p_size")
+    cards = {
+        "indeed": F.concat(F.lit('<div class="job_seen_beacon"><h2 class="jobTitle"><a href="/viewjob?jk='), key, F.lit('">'), _escaped(F.col("p_name")),
+                           F.lit("</a></h2>"), _tagged('<span data-testid="company-name">', brand, "</span>"),
+                           _tagged('<div class="companyLocation">', kind, "</div>"), F.lit("</div>")),
+        "irishjobs": F.concat(F.lit('<div class="job-item"><h2 class="job-title">'), _escaped(F.col("p_name")), F.lit('</h2><a class="job-link" href="/job/'), key,
+                              F.lit('">more</a>'), _tagged('<div class="employer">', brand, "</div>"), _tagged('<span class="location">', kind, "</span>"),
+                              F.when(size % 2 == 0, _tagged('<div class="job-salary">', size, "</div>")).otherwise(F.lit("")), F.lit("</div>")),
+        "linkedin": F.concat(F.lit('<li class="jobs-search-results__list-item"><h3 class="base-search-card__title">'), _escaped(F.col("p_name")), F.lit("</h3>"),
+                             _tagged('<h4 class="base-search-card__subtitle">', brand, "</h4>"), _tagged('<span class="job-search-card__location">', kind, "</span>"),
+                             F.when(size % 5 > 0, F.concat(F.lit('<a class="base-card__full-link" href="/view/'), key, F.lit('">x</a>'))).otherwise(F.lit("")), F.lit("</li>")),
+    }
+    names = F.array(*[F.lit(n) for n in cards])
+    card = F.lit("")
+    for name, html in cards.items():
+        card = F.when(F.col("source") == name, html).otherwise(card)
+    part = _t(spark, d, "part").withColumn("source", F.element_at(names, (F.col("p_partkey") % 3 + 1).cast("int")))
+    rows = part.select("source", F.floor(F.col("p_partkey") / (3 * CARDS_PER_PAGE)).cast("bigint").alias("page_num"), "p_partkey", card.alias("card"))
+    return rows.groupBy("source", "page_num").agg(F.concat(
+        F.lit("<html><body>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "card"))), lambda x: x["card"]), ""),
+        F.lit("</body></html>")).alias("html")).select(
+        "source", F.lit("parts").alias("query"), F.lit(0).alias("query_no"), "page_num", F.concat(F.lit("https://example.org/"), "source").alias("url"), "html")
+
+
+def q_config_postings(spark, d):
+    """Pages of three sources, one scan and one walk each; the configuration tables are the only other input."""
+    from jobsmith.plans.run import collect_from_tables
+    from jobsmith.sources.config import selectors_df, sources_df
+    out = collect_from_tables(_source_pages(spark, d), sources_df(spark), selectors_df(spark))
+    return out.select("source", F.col("ordinal.page_num").alias("page_num"), F.col("ordinal.card_no").alias("card_no"), "title", "company", "location", "salary", "url")
+
+
+def q_extract_udtf(spark, d):
+    """Extraction as a table function, called from SQL text over the stored pages."""
+    import json
+    from jobsmith.functions.udtf import register
+    register(spark)
+    _pages(spark, d).createOrReplaceTempView("stored_pages")
+    config = json.dumps({"job_card": S.SKILL_CARD_SELECTORS, "title": S.CARD_TITLE_SELECTORS, "company": ["span.companyName"], "location": ["div.companyLocation"],
+                         "salary": ["div.salary-snippet"], "description": ["div.job-snippet"]})
+    return spark.sql("""SELECT page_id, CAST(c.card_rank AS BIGINT) AS card_rank, CAST(c.card_no AS BIGINT) AS card_no, c.title, c.company, c.location, c.salary, c.description,
+                               CASE WHEN c.href LIKE '/%' THEN concat(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+', 0), c.href) ELSE c.href END AS url,
+                               'pages' AS source
+                        FROM stored_pages, LATERAL extract_cards(html, :config) AS c""", args={"config": config})
+
+
+def q_selector_samples(spark, d):
+    """The first three hits of each selector over all pages."""
+    return H.selector_first_hits(_pages(spark, d), S.SAMPLE_SELECTORS, 3)
+
+
 def _detail_pages(spark, d) -> DataFrame:
     """A detail page per document: its text, and for most a footer with a relative date."""
     n = (F.col("doc_id") % 7).cast("string")
@@ -772,4 +882,6 @@ def q_collect_run(spark, d):
 QUERIES["collect_run"] = q_collect_run
 QUERIES |= {"automated_run": q_automated_run, "automated_stats": q_automated_stats,
             "automated_history": q_automated_history, "manual_run": q_manual_run, "card_fields": q_card_fields,
-            "link_cards": q_link_cards, "detail_extract": q_detail_extract, "enrich_from_pages": q_enrich_from_pages}
+            "link_cards": q_link_cards, "config_postings": q_config_postings, "extract_udtf": q_extract_udtf,
+            "selector_samples": q_selector_samples, "upsert_map": q_upsert_map, "read_csv_rejects": q_read_csv_rejects,
+            "read_json_array": q_read_json_array, "json_variant": q_json_variant, "detail_extract": q_detail_extract, "enrich_from_pages": q_enrich_from_pages}

@@ -671,3 +671,50 @@ f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY url ORDER BY doc_i
 SELECT x.doc_id, CASE WHEN length(f.t) > {fixed.DESCRIPTION_MIN_LEN} THEN length(f.t) ELSE 0 END::BIGINT AS description_len,
   CASE WHEN length(f.t) > {fixed.DESCRIPTION_MIN_LEN} THEN f.posted_date ELSE '' END AS posted_date,
   length(f.t) > {fixed.DESCRIPTION_MIN_LEN} AS success FROM x JOIN f USING (url)"""
+
+
+# ------------------------------------------------- configured sources, samples, maps, rejects, records
+
+ORACLE["config_postings"] = """
+WITH p AS (SELECT *, p_partkey % 3 AS s, p_partkey // 60 AS page_num FROM part)
+SELECT CASE s WHEN 0 THEN 'indeed' WHEN 1 THEN 'irishjobs' ELSE 'linkedin' END AS source, page_num,
+  row_number() OVER (PARTITION BY s, page_num ORDER BY p_partkey) - 1 AS card_no, p_name AS title, p_brand AS company, p_type AS location,
+  CASE WHEN s = 1 AND p_size % 2 = 0 THEN p_size::VARCHAR ELSE '' END AS salary,
+  CASE s WHEN 0 THEN 'https://ie.indeed.com/viewjob?jk=' || p_partkey WHEN 1 THEN 'https://www.irishjobs.ie/job/' || p_partkey
+         ELSE CASE WHEN p_size % 5 > 0 THEN '/view/' || p_partkey ELSE '' END END AS url FROM p"""
+
+
+def _samples_sql() -> str:
+    specs = {"li": "<li>(.*?)</li>", "a[href]": "<a [^>]*>(.*?)</a>", "h1": "<h1>(.*?)</h1>", "div.ad": '<div class="ad">(.*?)</div>', "title": "<title>(.*?)</title>"}
+    parts = []
+    for sel in S.SAMPLE_SELECTORS:
+        body = strip_(decode(untag("x.h")))
+        parts.append(f"""SELECT {lit(sel)} AS selector, page_id, x.i - 1 AS el_no, substring({body}, 1, 200) AS sample, row_number() OVER (ORDER BY page_id, x.i) AS place
+FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, {lit('(?s)' + specs[sel])}, 1), lambda h, i: {{'h': h, 'i': i}})) AS x FROM pages) QUALIFY place <= 3""")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["selector_samples"] = _samples_sql()
+ORACLE["extract_udtf"] = ORACLE["extract_postings"]
+ORACLE["upsert_map"] = """
+WITH e AS (SELECT user_id, event_id, event_type = 'view' IS TRUE AS is_state, coalesce(event_type, 'none') AS field,
+                  round(value * 100)::BIGINT::VARCHAR AS value, props FROM events),
+s AS (SELECT *, event_id = min(event_id) FILTER (is_state) OVER (PARTITION BY user_id) AS counts FROM e),
+f AS (SELECT user_id, event_id, is_state, counts, field, value FROM s
+      UNION ALL SELECT user_id, event_id, is_state, counts, 'prop_' || unnest(json_keys(props)), unnest(list_transform(json_keys(props), lambda k: json_extract_string(props, '$."' || k || '"'))) FROM s),
+merged AS (SELECT user_id, field, arg_max({'v': value}, (NOT is_state, event_id)).v AS value FROM f WHERE user_id IS NOT NULL AND (NOT is_state OR counts) GROUP BY ALL),
+text AS (SELECT user_id, string_agg(field || '=' || coalesce(value, 'null'), ';' ORDER BY field) AS fields FROM merged GROUP BY user_id),
+own AS (SELECT user_id, event_id, string_agg(field || '=' || coalesce(value, 'null'), ';' ORDER BY field) AS fields FROM f GROUP BY ALL),
+heads AS (SELECT user_id, min((NOT is_state, event_id)) AS h, bool_or(NOT is_state) AS updated FROM s WHERE NOT is_state OR counts GROUP BY user_id)
+SELECT user_id, CASE WHEN h[1] THEN 1 ELSE 0 END::BIGINT AS origin, h[2] AS ordinal, fields, updated AND NOT h[1] AS was_updated FROM heads JOIN text USING (user_id)
+UNION ALL SELECT s.user_id, 0, s.event_id, own.fields, false FROM s JOIN own ON own.event_id = s.event_id WHERE s.is_state AND NOT s.counts"""
+ORACLE["read_csv_rejects"] = f"""
+WITH p AS ({doc_postings_sql()})
+SELECT url, NULL AS record, 'read' AS kind FROM p UNION ALL
+SELECT url, url || CASE WHEN ordinal % 20 = 3 THEN ',only two' ELSE ',a,b,too many' END, 'malformed record' FROM p WHERE ordinal % 10 = 3"""
+ORACLE["read_json_array"] = f"SELECT url, title, source FROM ({doc_postings_sql()}) WHERE (ordinal // 50) % 5 <> 4"
+ORACLE["json_variant"] = f"""
+WITH d AS (SELECT doc_id, doc_id % 4 AS k, {first_line('text')} AS t, n_chars FROM documents)
+SELECT doc_id, CASE WHEN k < 3 THEN t ELSE '' END AS title, CASE k WHEN 2 THEN n_chars::VARCHAR ELSE '' END AS salary,
+  CASE k WHEN 0 THEN 'absent' WHEN 1 THEN 'empty' WHEN 2 THEN 'value' ELSE 'null' END AS salary_is, CASE WHEN k IN (0, 3) THEN 'value' ELSE 'absent' END AS company_is,
+  CASE WHEN k = 3 THEN 'absent' WHEN t = '' THEN 'empty' ELSE 'value' END AS title_is FROM d"""

@@ -31,6 +31,7 @@ from jobsmith.operators import quality as qa
 from jobsmith.operators import report as rp
 from jobsmith.session import cut_lineage
 from jobsmith.sources import files as io
+from jobsmith.sources.config import selectors_df, source_plans, sources_df
 
 PAGE_KEYS = ["source", "query", "query_no", "page_num", "page_url"]
 
@@ -46,32 +47,32 @@ def collect_postings(pages: DataFrame, sources: Sequence[str] = tuple(fixed.SOUR
     source's stop rule (``fixed.PAGE_STOP_RULES``); an unreadable page is skipped, never stops.
     H1-H5 per source config (third source: link selector, no base join), P4/P5 tags.
     """
-    config = config or fixed.SOURCES
-    out = None
-    for source_no, name in enumerate(sources):
-        cfg = config[name]
-        mode = "link" if "link" in cfg["selectors"] else "title"
-        src_pages = (pages.filter(F.col("source") == name).withColumnRenamed("url", "page_url")
-                     .withColumn("blocked", contains_any(F.col("html"), fixed.INTERSTITIAL_ANY))
-                     .withColumn("login", contains_any(F.col("page_url"), fixed.LOGIN_URL_TOKENS, lower=False))
-                     .withColumn("readable", F.col("html").isNotNull()))
-        keys = PAGE_KEYS + ["blocked", "login", "readable"]
-        # the parse output feeds the stop aggregate and the postings: written once, read twice
-        ex = cut_lineage(H.extract_card_fields(src_pages, cfg, keys, mode), f"cards-{name}")
-        readable = F.col("readable") & F.col("parse_error").isNull()
-        rules = {"no_cards": readable & (F.col("n_cards") == 0), "interstitial": F.col("blocked"),
-                 "login_url": F.col("login")}
-        stop = reduce(lambda a, b: a | b, [rules[r] for r in fixed.PAGE_STOP_RULES.get(name, ["no_cards"])])
-        kept = qa.page_prefix(ex, ["source", "query"], "page_num", stop)
-        base = base_of(F.col("page_url")) if page_base else None
-        posts = H.postings_from_cards(kept, cfg, PAGE_KEYS, base, mode)
-        posts = posts.select(
-            F.struct(F.col("query_no").cast("bigint").alias("query_no"), F.lit(source_no).cast("bigint").alias("source_no"),
-                     F.col("page_num").cast("bigint").alias("page_num"), F.col("card_no")).alias("ordinal"),
-            *H.POSTING_FIELDS, F.lit("").alias("posted_date"), "url", F.lit(name).alias("source"),
-            F.col("query").alias("search_query"), "page_url")
-        out = posts if out is None else out.unionByName(posts)
-    return out
+    config = {n: c for n, c in (config or fixed.SOURCES).items() if n in sources}
+    config = {n: config[n] for n in sources}  # the order of the run
+    spark = pages.sparkSession
+    return collect_from_tables(pages, sources_df(spark, config), selectors_df(spark, config), page_base)
+
+
+def collect_from_tables(pages: DataFrame, sources: DataFrame, selectors: DataFrame, page_base: bool = False) -> DataFrame:
+    """The same from configuration tables (``sources_df``, ``selectors_df``): a source is its rows in them.
+
+    All sources share one scan and one walk of each page's tree."""
+    pages = (pages.withColumnRenamed("url", "page_url")
+             .withColumn("blocked", contains_any(F.col("html"), fixed.INTERSTITIAL_ANY))
+             .withColumn("login", contains_any(F.col("page_url"), fixed.LOGIN_URL_TOKENS, lower=False))
+             .withColumn("readable", F.col("html").isNotNull()))
+    keys = PAGE_KEYS + ["blocked", "login", "readable"]
+    # the parse output feeds the stop aggregate and the postings: written once, read twice
+    ex = cut_lineage(H.extract_cards_by_source(pages, source_plans(sources, selectors), keys), "cards")
+    readable = F.col("readable") & F.col("parse_error").isNull()
+    rules = {"no_cards": readable & (F.col("n_cards") == 0), "interstitial": F.col("blocked"), "login_url": F.col("login")}
+    stop = reduce(lambda a, b: a | b, [F.array_contains("stop_rules", r) & F.coalesce(on, F.lit(False)) for r, on in rules.items()])
+    kept = qa.page_prefix(ex, ["source", "query"], "page_num", stop)
+    posts = H.postings_by_source(kept, PAGE_KEYS + ["source_no"], base_of(F.col("page_url")) if page_base else None)
+    return posts.select(
+        F.struct(F.col("query_no").cast("bigint").alias("query_no"), F.col("source_no").cast("bigint").alias("source_no"),
+                 F.col("page_num").cast("bigint").alias("page_num"), F.col("card_no")).alias("ordinal"),
+        *H.POSTING_FIELDS, F.lit("").alias("posted_date"), "url", "source", F.col("query").alias("search_query"), "page_url")
 
 
 def automated_run(pages: DataFrame, history: DataFrame, run_ts: str,

@@ -26,6 +26,7 @@ TEXT_NODE_TOKENS = ["The", "ago"]
 SOURCE_LINE_TOKENS = ["The"]
 SOURCE_LINE_LOWER_TOKENS = ["der"]
 HIT_SELECTORS = ["li", "a", "div.ad", "footer", "h1", "title", "nav", "span.date"]
+SAMPLE_SELECTORS = ["li", "a[href]", "h1", "div.ad", "title"]
 LINK_TOKEN = "an"
 URL_KEY_PARAM = "page"
 CLEAN_URL_FORMAT = "https://jobs.example/view?page={key}&from=web"

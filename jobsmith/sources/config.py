@@ -7,6 +7,7 @@ is a one-element list. Unknown sources simply have no rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobsmith.functions import fixed
 
@@ -41,3 +42,26 @@ def source_config(name: str, sources: dict | None = None) -> dict:
     """Config of one source; unknown -> empty config."""
     return (sources or fixed.SOURCES).get(name, {"base_url": "", "page_size": 0, "page_mode": "offset",
                                                  "search_url": "", "selectors": {}})
+
+
+#: rows of selectors that count as configuration
+MAX_SELECTORS = 100_000
+
+
+def source_plans(sources: DataFrame, selectors: DataFrame, stop_rules: dict | None = None) -> DataFrame:
+    """One row a source: ``source, source_no, base_url, link_mode, stop_rules, selectors`` (JSON by field, ranked).
+
+    It is broadcast to the pages, so its size is checked: more than ``MAX_SELECTORS`` rows are an error."""
+    n = selectors.limit(MAX_SELECTORS + 1).count()
+    if n > MAX_SELECTORS:
+        raise ValueError(f"more than {MAX_SELECTORS} selectors")
+    rules = stop_rules if stop_rules is not None else fixed.PAGE_STOP_RULES
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "selector"))), lambda x: x["selector"])
+    fields = selectors.groupBy("source", "field").agg(ranked.alias("ranked"))
+    by_source = fields.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "ranked")))).alias("named"))
+    stops = F.lit(["no_cards"])
+    for name, some in rules.items():
+        stops = F.when(F.col("source") == name, F.lit(list(some))).otherwise(stops)
+    return (sources.join(by_source, "source").select(
+        "source", "source_no", "base_url", F.when(F.map_contains_key("named", F.lit("link")), "link").otherwise("title").alias("link_mode"),
+        stops.alias("stop_rules"), F.to_json("named").alias("selectors")))

@@ -8,15 +8,20 @@ Parquet once) so the read stays parallel.
 
 from __future__ import annotations
 
+import csv
+import io
 import logging
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobsmith.functions import fixed
+from jobsmith.session import cut_lineage
 from jobsmith.sources.folders import delete, swap
 
 log = logging.getLogger(__name__)
@@ -65,26 +70,54 @@ def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 
 #: What an error says when the content of a file is at fault, not the storage or the job.
-UNPARSABLE = ("MALFORMED", "not a gzip file", "incorrect header check", "PATH_NOT_FOUND")
+UNPARSABLE = ("not a gzip file", "incorrect header check", "FileNotFoundException")
+
+
+#: bytes of a file that are read for its header, and files read at once
+HEAD_BYTES, HEADS_AT_ONCE = 1 << 16, 16
+
+
+def _header(spark: SparkSession, file: str) -> list[str]:
+    """The names in a file's first record (the head of the file is read, unpacked if need be)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    size = HEAD_BYTES
+    while True:
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            data = stream if codec is None else codec.createInputStream(stream)
+            head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(data, size)))
+        finally:
+            stream.close()
+        text = head.decode("utf-8-sig", "replace")
+        if len(head) == size:  # cut: a record that ends before the cut is whole
+            rows = list(islice(csv.reader(io.StringIO(text), strict=False), 2))
+            if len(rows) < 2:
+                size *= 4
+                continue
+        names = next((row for row in csv.reader(io.StringIO(text)) if row), [])
+        # names that come up twice are told apart by their place, as Spark does
+        return [n and (n if names.count(n) == 1 else f"{n}{i}") or f"_c{i}" for i, n in enumerate(names)]
 
 
 def headers(spark: SparkSession, files: Sequence[str], own: bool = False) -> dict[str, list[str] | None]:
     """The header names of each file; None for an input file that cannot be parsed or went missing (it is logged).
 
-    Every other error is raised, and for ``own`` outputs every error."""
-    out: dict[str, list[str] | None] = {}
-    for f in files:
+    Heads are read beside each other and start no Spark job. Every other error is raised, and for ``own``
+    outputs every error."""
+    def one(f: str) -> list[str] | None:
         try:
-            out[f] = spark.read.options(**CSV_READ).csv(f).columns
+            return _header(spark, f)
         except Exception as exc:
             text = str(exc)
-            # the CSV parser wraps failed reads as well
-            parser = "TextParsingException" in text and "Error reading from input" not in text
-            if own or not (parser or any(x in text for x in UNPARSABLE)):
+            if own or not any(x in text for x in UNPARSABLE):
                 raise
-            log.warning("skipped %s: %s", f, str(exc).splitlines()[0])
-            out[f] = None
-    return out
+            log.warning("skipped %s: %s", f, text.splitlines()[0])
+            return None
+
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        return dict(zip(files, pool.map(one, files)))
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = tuple(fixed.POSTING_7),
@@ -113,6 +146,31 @@ def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] =
     return spark.createDataFrame([], string_schema(columns)) if out is None else out
 
 
+REJECT_T = "path string, record string, reason string"
+
+
+def read_csv_rejects(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = tuple(fixed.POSTING_7)) -> tuple[DataFrame, DataFrame]:
+    """S1 + P14: ``(rows, rejects)``. A record that does not parse (too few or too many fields, an open quote) and a file that
+    ``read_csv`` skips become rejects (``path, record, reason``); all other rows are read.
+
+    Files of one header are read together; the number of jobs does not depend on the number of files."""
+    groups: dict[tuple, list[str]] = {}
+    for f, names in headers(spark, _files(spark, paths)).items():
+        if names:
+            groups.setdefault(tuple(names), []).append(f)
+    rows, rejects = spark.createDataFrame([], string_schema(columns)), read_csv_skipped(spark, paths).select("path", F.lit(None).cast("string").alias("record"), "reason")
+    bad = "_unparsed"
+    for names, files in groups.items():
+        df = (spark.read.options(**CSV_READ | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+              .schema(string_schema([*names, bad])).csv(files).withColumn("_path", F.col("_metadata.file_path")))
+        df = cut_lineage(df, "csv-parsed")  # parsed once, read for the rows and for the rejects
+        good = df.filter(F.col(bad).isNull())
+        rows = rows.unionByName(good.select(*[(F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in names else F.lit("")).alias(c) for c in columns]))
+        rejects = rejects.unionByName(df.filter(F.col(bad).isNotNull()).select(
+            F.col("_path").alias("path"), F.col(bad).alias("record"), F.lit("malformed record").alias("reason")))
+    return rows, rejects
+
+
 def read_csv_skipped(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """What ``read_csv`` skips: ``path, reason`` (missing, unreadable, empty)."""
     there = set(_existing(spark, paths))

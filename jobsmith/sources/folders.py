@@ -65,6 +65,8 @@ def swap(spark: SparkSession, new: str, target: str) -> None:
     so that a crash leaves one of them in full (the old one beside its place, at worst)."""
     fs, src = _at(spark, new)
     _, dst = _at(spark, target)
+    if not fs.exists(src):
+        raise FileNotFoundError(new)
     aside = None
     if fs.exists(dst):
         _, aside = _at(spark, f"{target.rstrip('/')}.old-{uuid.uuid4().hex[:12]}")
