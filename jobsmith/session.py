@@ -106,4 +106,18 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     folder and read it back (one computation; survives executor loss; never local)."""
     path = work_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Deletes the tables that ``cut_lineage`` has written for these frames; nothing may read them any more.
+
+    For loops that stage a table a round: the shared folder then holds the last round only."""
+    for df in frames:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
