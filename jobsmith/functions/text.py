@@ -90,7 +90,9 @@ def first_match(text: Column, patterns: Sequence[str], ignore_case: bool = True,
     found = []
     for p in patterns:
         rx = F.lit(spark_regex(p, ignore_case))  # one regex run per rule: null when it does not match
-        val = F.regexp_substr(text, rx) if group == 0 else F.get(F.regexp_extract_all(text, rx, F.lit(group)), F.lit(0))
+        val = F.regexp_substr(text, rx)
+        if group:  # the first match only, not all of them
+            val = F.when(val.isNotNull(), F.regexp_extract(text, spark_regex(p, ignore_case), group))
         found.append(py_strip(val) if strip else val)
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 

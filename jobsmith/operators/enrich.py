@@ -102,6 +102,23 @@ def enrich_stats(flags: DataFrame, state: DataFrame, updates: DataFrame, key: st
                          (("s", "success"), ("f", "failed"), ("k", "skipped"), ("u", "updated"), ("nw", "new"))])
 
 
+def enrich_all(postings: DataFrame, details: DataFrame, key: str = "url", detail_key: str = "canonical_url",
+               param: str = fixed.URL_KEY_PARAM, fmt: str = fixed.CLEAN_URL_FORMAT, detail_ordinal: str | None = None) -> DataFrame:
+    """A7, second mode: every posting with a url takes its details, none is skipped for what it holds already.
+
+    ``outcome``: ``success``, ``failed``, or ``no url`` for a blank one, which stays as it is and is not counted."""
+    named = has_key(key)
+    todo = with_canonical_url(postings.withColumn(key, F.when(named, F.col(key))), key, param, fmt)
+    out = enrich(todo, details, "canonical_url", detail_key, detail_ordinal)
+    outcome = F.when(F.col(key).isNull(), "no url").when(F.col("success"), "success").otherwise("failed")
+    return out.withColumn("outcome", outcome).drop("success", "canonical_url")
+
+
+def enrich_all_stats(enriched: DataFrame) -> DataFrame:
+    """A7, second mode: one row of ``success`` and ``failed``; postings without a url are in neither."""
+    return enriched.agg(F.count_if(F.col("outcome") == "success").alias("success"), F.count_if(F.col("outcome") == "failed").alias("failed"))
+
+
 def enrich_run(postings: DataFrame, state: DataFrame, details: DataFrame, fields: Sequence[str],
                key: str = "url", ordinal: str = "ordinal", detail_key: str = "canonical_url",
                min_len: int = fixed.ENRICHED_MIN_LEN, param: str = fixed.URL_KEY_PARAM,

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from jobsmith.functions import fixed
 from jobsmith.functions.text import first_line, first_match, py_strip, spark_regex
@@ -121,41 +120,32 @@ def skill_match(text: Column, terms: Sequence[str] = tuple(fixed.SKILL_TERMS), l
 
 
 def dictionary_match(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text",
-                     term: str = "term", ignore_case: bool = True, gram: int = 3, max_terms: int = 100_000) -> DataFrame:
+                     term: str = "term", ignore_case: bool = True, gram: int = 3, max_grams: int = 1_000_000) -> DataFrame:
     """J8/A9 for dictionaries too large to unroll: exact substring matching, no cartesian product.
 
-    Up to ``max_terms`` terms (counted first) go to every task, which searches each text once for
-    all of them (multi-pattern automaton on Arrow batches, no shuffle). Larger dictionaries are
-    joined by grams: a term can only occur in a text that contains its first ``gram`` characters (or the whole
+    A term can only occur in a text that contains its first ``gram`` characters (or the whole
     term when it is shorter), so an equi-join on those grams yields every candidate
     (doc, term) pair; ``contains`` then verifies each candidate. Documents explode their
-    distinct grams of the lengths the dictionary needs (linear in the text); the dictionary
-    side's gram set drops most grams before the shuffle, the text side is never broadcast, and a gram
-    present in a third of all texts is a hot key that AQE splits. Returns (key, matched terms sorted, code-point order).
+    distinct grams of the lengths the dictionary needs (linear in the text); the dictionary's
+    gram set (broadcast up to ``max_grams``, counted first) drops most of them before the shuffle, the text
+    side is never broadcast, and a gram present in a third of all texts is a hot key that AQE splits.
+    Returns (key, matched terms sorted, code-point order).
     """
     norm = F.lower if ignore_case else (lambda c: c)
     t = (terms.select(F.col(term).alias("__term")).filter(F.col("__term").isNotNull() & (F.col("__term") != ""))
          .distinct().withColumn("__lt", norm(F.col("__term"))))
-    if t.limit(max_terms + 1).count() <= max_terms:
-        return _match_in_tasks(docs, t, key, norm(F.coalesce(F.col(text), F.lit(""))))
     t = t.withColumn("__g", F.substring("__lt", 1, gram)).withColumn("__k", F.length("__g"))
-    lengths = [r[0] for r in t.select("__k").distinct().collect()]  # at most ``gram`` small ints
     d = docs.select(F.col(key).alias("__key"), norm(F.coalesce(F.col(text), F.lit(""))).alias("__lt_doc"))
-    grams = None
-    for k in sorted(lengths):
-        # every overlapping k-gram in one native regex pass (zero-width lookahead capture)
-        rx = F.lit("(?s)(?=(.{%d}))" % k)
-        g = d.select("__key", F.lit(k).alias("__k"),
-                     F.explode(F.array_distinct(F.regexp_extract_all("__lt_doc", rx, F.lit(1)))).alias("__g"))
-        grams = g if grams is None else grams.unionByName(g)
+    # every overlapping k-gram in one native regex pass (zero-width lookahead capture), all lengths in one scan
+    found = [F.transform(F.array_distinct(F.regexp_extract_all("__lt_doc", F.lit("(?s)(?=(.{%d}))" % k), F.lit(1))),
+                         lambda g: F.struct(F.length(g).alias("__k"), g.alias("__g"))) for k in range(1, gram + 1)]
+    grams = d.select("__key", F.explode(F.concat(*found)).alias("x")).select("__key", "x.__k", "x.__g")
     empty = F.array().cast("array<struct<__term:string,__lt:string>>")
-    if grams is None:
-        return d.select(F.col("__key").alias(key), F.array().cast("array<string>").alias("terms"))
     # each term has exactly one (length, gram) key and grams are distinct per text, so the
     # candidate pairs are unique; they are collected per text (small rows, partial aggregate)
     # and verified inside the row after one join with the texts
     known = t.select("__k", "__g").distinct()
-    if known.limit(10 * max_terms + 1).count() <= 10 * max_terms:
+    if known.limit(max_grams + 1).count() <= max_grams:
         grams = grams.join(F.broadcast(known), ["__k", "__g"], "left_semi")
     cand = (grams.hint("merge").join(t, ["__k", "__g"]).groupBy("__key")
             .agg(F.collect_list(F.struct("__term", "__lt")).alias("__c")))
@@ -164,31 +154,6 @@ def dictionary_match(docs: DataFrame, terms: DataFrame, key: str = "doc_id", tex
     return j.select(F.col("__key").alias(key), F.array_sort(F.transform(ok, lambda c: c["__term"])).alias("terms"))
 
 
-def _match_in_tasks(docs: DataFrame, terms: DataFrame, key: str, lowered: Column) -> DataFrame:
-    """Terms of a checked size: (key, matched terms sorted) from one map-only pass over the texts."""
-    spellings: dict[str, list[str]] = {}
-    for row in terms.select("__term", "__lt").collect():
-        spellings.setdefault(row["__lt"], []).append(row["__term"])
-    rows = docs.select(F.col(key).alias("__key"), lowered.alias("__lt"))
-
-    def run(batches):
-        import ahocorasick
-        import pyarrow as pa
-
-        automaton = ahocorasick.Automaton()
-        for low, spelled in spellings.items():
-            automaton.add_word(low, spelled)
-        if spellings:
-            automaton.make_automaton()
-        for batch in batches:
-            found = [sorted({s for _, spelled in automaton.iter(x) for s in spelled}) if spellings else []
-                     for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["__key", "terms"])
-
-    schema = T.StructType([rows.schema["__key"], T.StructField("terms", T.ArrayType(T.StringType()))])
-    return rows.mapInArrow(run, schema).withColumnRenamed("__key", key)
-
-
 def with_skills(df: DataFrame, text_col: str = "text", out: str = "skills",
                 terms: Sequence[str] = tuple(fixed.SKILL_TERMS)) -> DataFrame:
     """Skills as a column of ``df``: lower-case once in its own projection, then test terms."""
@@ -239,7 +204,9 @@ def profile(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_i
     t = F.col(text_col)
     title = title_rule(t, rules.get("title_patterns", fixed.TITLE_PATTERNS))
     loc = location_rule(t, rules.get("location_patterns", fixed.LOCATION_PATTERNS))
-    df = df.withColumn("__lt", F.lower(F.coalesce(t, F.lit(""))))  # lower-case once per row
+    # what several rules read is worked out once, in a projection of its own
+    df = df.withColumns({"__lt": F.lower(F.coalesce(t, F.lit(""))), "__title": title, "__loc": loc})
+    title, loc = F.col("__title"), F.col("__loc")
     return df.select(
         *keep,
         first_line(t).alias("name"), email(t).alias("email"), phone(t).alias("phone"),

@@ -170,7 +170,14 @@ def page_prefix(pages: DataFrame, group_by: Sequence[str], page_col: str, stop:
     broadcast up to ``max_broadcast_groups`` groups; beyond that the join shuffles, and a hot
     group is split by AQE's skew-join handling instead of landing in one window task.
     """
-    stops = (pages.filter(stop).groupBy(*group_by).agg(F.min(page_col).alias("__stop")))
+    stops = pages.filter(stop).groupBy(*group_by).agg(F.min(page_col).alias("stop"))
+    return before_stops(pages, stops, group_by, page_col, max_broadcast_groups)
+
+
+def before_stops(pages: DataFrame, stops: DataFrame, group_by: Sequence[str], page_col: str, max_broadcast_groups: int = 100_000) -> DataFrame:
+    """The pages before their group's ``stop`` (all of them where there is none)."""
+    stops = stops.select(*group_by, F.col("stop").alias("__stop"))
     side = F.broadcast(stops) if stops.limit(max_broadcast_groups + 1).count() <= max_broadcast_groups else stops
     j = pages.join(side, list(group_by), "left")
     return j.filter(F.col("__stop").isNull() | (F.col(page_col) < F.col("__stop"))).drop("__stop")
+

@@ -42,9 +42,9 @@ def doc_postings(docs: DataFrame) -> DataFrame:
         tx.first_line(t).alias("title"),
         F.col("source").alias("company"),
         F.col("lang").alias("location"),
-        F.lit("").alias("salary"),
+        F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("€"), F.col("n_chars").cast("string"))).otherwise(F.lit("")).alias("salary"),
         t.alias("description"),
-        F.lit("").alias("posted_date"),
+        F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("day "), (F.col("n_chars") % 30).cast("string"))).otherwise(F.lit("")).alias("posted_date"),
         F.concat(F.lit(S.DOC_URL_PREFIX), F.md5(t)).alias("url"),
         F.col("source").alias("source"),
         F.col("lang").alias("search_query"))
@@ -93,9 +93,22 @@ def q_dictionary_match(spark, d):
     return m.select("doc_id", F.array_join("terms", ", ").alias("skills"), F.size("terms").cast("bigint").alias("n_skills"))
 
 
+def _resumes(spark, d) -> DataFrame:
+    """Résumés made of documents: lines with titles, places, years, firms and degrees chosen by the document's own
+    values, around its text. The documents' words alone hit none of the fixed rules."""
+    def pick(lines):
+        return F.element_at(F.array(*[F.lit(x) for x in lines]), (F.pmod("doc_id", F.lit(len(lines))) + 1).cast("int"))
+
+    t = F.coalesce(F.col("text"), F.lit(""))
+    years = F.when(F.col("n_chars") % 4 > 0, F.concat((F.col("n_chars") % 31).cast("string"), F.lit("+ years of experience at "))).otherwise(F.lit("always at "))
+    lines = [tx.first_line(t), pick(S.RESUME_TITLES), pick(S.RESUME_PLACES), F.concat(years, pick(S.RESUME_FIRMS)), t, F.lit("EDUCATION"),
+             pick(S.RESUME_DEGREES), F.concat(F.lit("ADDITIONAL "), F.coalesce(F.col("source"), F.lit("")))]
+    return _docs(spark, d).select("doc_id", F.concat_ws("\n", *lines).alias("text"))
+
+
 def q_company_match(spark, d):
     c = pf.company_match(F.col("text"))
-    return (_docs(spark, d).select("doc_id", c.alias("c"))
+    return (_resumes(spark, d).select("doc_id", c.alias("c"))
             .select("doc_id", F.array_join("c", ", ").alias("companies"),
                     F.size("c").cast("bigint").alias("n_companies")))
 
@@ -106,14 +119,14 @@ def q_experience_years(spark, d):
 
 
 def q_education_degrees(spark, d):
-    e = pf.education_degrees(F.col("text"), S.EDUCATION_SECTION, S.DEGREE_RULES)
-    return (_docs(spark, d).select("doc_id", e.alias("e"))
+    e = pf.education_degrees(F.col("text"))
+    return (_resumes(spark, d).select("doc_id", e.alias("e"))
             .select("doc_id", F.array_join("e", " | ").alias("education"), F.size("e").cast("bigint").alias("n_degrees")))
 
 
 def q_profile(spark, d):
-    """F9-F20 in one projection with the fixed rule lists (the whole profile per document)."""
-    p = pf.profile(_docs(spark, d).select("doc_id", "text"))
+    """F9-F20 in one pass with the fixed rule lists (the whole profile per résumé)."""
+    p = pf.profile(_resumes(spark, d))
     return p.select("doc_id", "name", "email", "phone", "location", "title", "summary",
                     F.array_join("skills", ", ").alias("skills"), "experience_years",
                     F.array_join("companies", ", ").alias("companies"),
@@ -156,8 +169,7 @@ def q_extract_cards(spark, d):
 
 def q_extract_postings(spark, d):
     cfg = {"base_url": "", "selectors": {"job_card": S.SKILL_CARD_SELECTORS, "title": S.CARD_TITLE_SELECTORS,
-                                         "company": ["span.companyName"], "location": ["div.companyLocation"],
-                                         "salary": ["div.salary-snippet"], "description": ["div.job-snippet"]}}
+                                         **S.FIRST_FIELDS}}
     pages = _pages(spark, d).withColumnRenamed("url", "page_url")
     out = H.extract_postings(pages, cfg, keep=("page_id", "page_url"), base_col=tx.base_of(F.col("page_url")),
                              source_name="pages")
@@ -289,6 +301,7 @@ def q_upsert_map(spark, d):
     fields = F.map_concat(F.map_from_arrays(F.array(F.coalesce("event_type", F.lit("none"))), F.array(cents)), F.coalesce(props, F.create_map().cast("map<string,string>")))
     rows = ev.select("user_id", F.col("event_id").alias("ordinal"), "event_type", fields.alias("fields"))
     view = F.coalesce(F.col("event_type") == "view", F.lit(False))
+    view = view & (F.col("user_id") % 3 > 0)  # other users are not in the state
     out = idn.upsert_map(rows.filter(view), rows.filter(~view), "user_id")
     entry = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
     return out.select("user_id", F.col("origin").cast("bigint").alias("origin"), "ordinal", F.array_join(entry, ";").alias("fields"), "was_updated")
@@ -331,6 +344,21 @@ def q_enrich_stats(spark, d):
     return en.enrich_stats(flags, state, upserted, "url", "ordinal")
 
 
+def _second_mode(spark, d):
+    posts, _, details = _enrich_inputs(spark, d)
+    blank = F.when(F.col("ordinal") % 6 == 0, "").when(F.col("ordinal") % 6 == 1, None).otherwise(F.col("url"))
+    return en.enrich_all(posts.select("ordinal", blank.alias("url"), "description", "posted_date"), details, detail_ordinal="ordinal")
+
+
+def q_enrich_all(spark, d):
+    """A7, second mode: every posting with a url is enriched again."""
+    return _second_mode(spark, d).select(F.col("ordinal").alias("doc_id"), F.length("description").cast("bigint").alias("description_len"), "posted_date", "outcome")
+
+
+def q_enrich_all_stats(spark, d):
+    return en.enrich_all_stats(_second_mode(spark, d))
+
+
 def q_enrich_upsert(spark, d):
     posts, state, details = _enrich_inputs(spark, d)
     fields = ["description", "posted_date"]
@@ -423,20 +451,23 @@ def q_report_summary(spark, d):
     return rp.report_summary(_page_postings(spark, d), S.REPORT_QUERY, S.REPORT_LOCATION, S.RUN_DATE)
 
 
-# ------------------------------------------------------------ union / sinks
+def q_report_title_terms(spark, d):
+    """the title of a report, from the search terms of each part's type."""
+    return _t(spark, d, "part").select("p_partkey", rp.report_title_terms(pf.search_terms(F.col("p_type"))).alias("title"))
 
-SOURCE_COLUMNS = {"en": ["source"], "de": ["salary"], "es": ["company"], "fr": ["description"]}
 
+# ------------------------------------------------------------ union / sinks
 
-def _lang_frames(spark, d):
-    """One frame per language found, each with columns of its own (any other language: title and url only)."""
-    p = doc_postings(_t(spark, d, "documents"))
-    return [p.filter(F.col("location").eqNullSafe(v)).select("ordinal", "title", "url", *SOURCE_COLUMNS.get(v, []))
-            for v in _values(p, "location")]
+SOURCE_COLUMNS = {"en": ["source"], "de": ["salary"], "es": ["company"], "fr": ["description"]}
 
 
 def q_union_sources(spark, d):
-    return idn.union_sources(_lang_frames(spark, d))
+    """Each language has columns of its own, any other gives title and url only; one scan for all of them."""
+    p = doc_postings(_t(spark, d, "documents"))
+    owned = sorted({c for names in SOURCE_COLUMNS.values() for c in names})
+    rows = p.select("ordinal", "title", "url", *[
+        F.when(F.col("location").isin([lang for lang, names in SOURCE_COLUMNS.items() if c in names]), F.col(c)).alias(c) for c in owned])
+    return idn.union_sources([rows])
 
 
 def q_consolidate(spark, d):
@@ -587,14 +618,56 @@ def q_stream_dedup(spark, d):
 
 
 def q_stream_dedup_watermark(spark, d):
-    """X2 with bounded state: repeats of a user and type within the watermark's delay drop."""
+    """X2 with state that expires: events arrive in steps of eight days, a user and type is let through again once
+    its last row is three days behind the watermark (the step after the next one)."""
     from jobsmith.streaming.history import stream_dedup_state
-    ev = _t(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id"),
-                                       F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"))
+    step = F.floor(F.datediff("ts", F.lit(S.EVENTS_FROM)) / 8).cast("bigint")
+    ev = _t(spark, d, "events").select(step.alias("step"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"))
+    ev = ev.withColumn("ts", F.timestamp_add("DAY", (F.col("step") * 8).cast("int"), F.lit(S.EVENTS_FROM).cast("timestamp")))
     sink, ckpt = work_path(spark, "dedup-wm-sink"), work_path(spark, "dedup-wm-ckpt")
-    for src in _arrivals(spark, ev, "event_id", "dedup-wm-src"):
-        stream_dedup_state(spark, src, ev.schema, "key", sink, ckpt, watermark=("ts", "3650 days")).awaitTermination()
-    return spark.read.parquet(sink).select("key")
+    for src in _arrivals(spark, ev, "step", "dedup-wm-src"):
+        stream_dedup_state(spark, src, ev.schema, "key", sink, ckpt, watermark=("ts", "3 days")).awaitTermination()
+    return spark.read.parquet(sink).select("key", "step")
+
+
+def q_stream_pages(spark, d):
+    """S4 + X1: the pages of ``automated_history`` land in four steps of files; each step runs through extraction, page
+    stop and history; finished files go to an archive."""
+    from jobsmith.sources.config import selectors_df, sources_df
+    from jobsmith.streaming.history import history_batch, read_history
+    from jobsmith.streaming.pages import stream_pages
+    pages, hist, cfg = _run_inputs(spark, d)
+    sources, selectors = sources_df(spark, cfg), selectors_df(spark, cfg)
+    path, stops, ckpt, src = (work_path(spark, n) for n in ("pages-hist", "pages-stops", "pages-ckpt", "pages-src"))
+    zero = F.lit(0).cast("bigint")
+    place = F.struct(zero.alias("query_no"), zero.alias("source_no"), zero.alias("page_num"), F.monotonically_increasing_id().alias("card_no"))
+    history_batch(hist.select("url", place.alias("ordinal")), 0, path, "url", "ordinal", run_id="before")
+    for i, part in enumerate(_steps(pages, "page_num")):
+        part.write.json(f"{src}/in/step{i}")
+        stream_pages(spark, f"{src}/in/*", pages.schema, sources, selectors, path, stops, ckpt, archive=f"{src}/done", run_id="stream",
+                     first_seen=S.RUN_TS, page_base=True).awaitTermination()
+    rows = read_history(spark, path, None).filter("run_id = 'stream'")
+    return rows.select("url", "title", "source", "first_seen")
+
+
+def q_posting_source(spark, d):
+    """The dump source with a pushed filter, over documents landed as JSON Lines."""
+    from jobsmith.sources.posting_dump import read_dump
+    posts = doc_postings(_t(spark, d, "documents")).drop("ordinal")
+    path = work_path(spark, "dump")
+    io.write_json(posts, path)
+    return read_dump(spark, path).filter(F.col("location").isin("en", "fr")).select("url", "title", "location", "source")
+
+
+def q_stream_posting_source(spark, d):
+    """The dump source as a stream: files are added twice, each is read once."""
+    from jobsmith.sources.posting_dump import stream_dump
+    posts = doc_postings(_t(spark, d, "documents"))
+    path, sink, ckpt = (work_path(spark, n) for n in ("dump-src", "dump-sink", "dump-ckpt"))
+    for part in _steps(posts, "ordinal", 2):
+        io.write_json(part.drop("ordinal"), path, mode="append", skip_empty=False)
+        stream_dump(spark, path, sink, ckpt, ("url", "title", "source"))
+    return spark.read.parquet(sink)
 
 
 def q_stream_enrich(spark, d):
@@ -619,8 +692,7 @@ def _run_inputs(spark, d):
     term, pages in page_id order; history = links seen on blog hosts."""
     cfg = {S.RUN_SOURCE: {"base_url": S.RUN_BASE_URL, "page_size": 0, "page_mode": "offset", "search_url": "",
                           "selectors": {"job_card": S.SKILL_CARD_SELECTORS, "title": S.CARD_TITLE_SELECTORS,
-                                        "company": ["span.companyName"], "location": ["div.companyLocation"],
-                                        "salary": ["div.salary-snippet"], "description": ["div.job-snippet"]}}}
+                                        **S.FIRST_FIELDS}}}
     p = _pages(spark, d)
     pages = p.select(F.lit(S.RUN_SOURCE).alias("source"), tx.host_of(F.col("url")).alias("query"),
                      F.lit(0).alias("query_no"), F.col("page_id").alias("page_num"), "url", "html")
@@ -652,13 +724,26 @@ def q_automated_history(spark, d):
     return _automated(spark, d)["history_rows"].select("url", "title", "source", "first_seen")
 
 
-def q_manual_run(spark, d):
-    """scraper-style run that ignores the history (J2): every posting, merged without dedup (K1, K3)."""
+def _manual(spark, d) -> dict[str, DataFrame]:
     from jobsmith.plans.run import manual_run
     pages, hist, cfg = _run_inputs(spark, d)
-    out = manual_run(pages, hist, work_path(spark, "manual"), S.RUN_DATE, S.REPORT_QUERY, S.REPORT_LOCATION,
-                     ignore_history=True, sources=[S.RUN_SOURCE], config=cfg)
-    return out["merged"]
+    return manual_run(pages, hist, work_path(spark, "manual"), S.RUN_DATE, S.REPORT_QUERY, S.REPORT_LOCATION,
+                      ignore_history=True, sources=[S.RUN_SOURCE], config=cfg)
+
+
+def q_manual_run(spark, d):
+    """scraper-style run that ignores the history (J2): every posting, merged without dedup (K1, K3)."""
+    return _manual(spark, d)["merged"]
+
+
+def q_manual_report(spark, d):
+    """K7 of the same run: the rows of its report."""
+    return _manual(spark, d)["report"]
+
+
+def q_manual_summary(spark, d):
+    """P9/P10 of the same run: the head of its report."""
+    return _manual(spark, d)["summary"]
 
 
 # --------------------------------------------- templated pages (from table values)
@@ -696,6 +781,32 @@ def q_card_fields(spark, d):
     return H.extract_postings(_listing_pages(spark, d, card), fixed.SOURCES["indeed"]).drop("card_rank")
 
 
+def q_description_probe(spark, d):
+    """What the first card of each listing page offers as a description."""
+    key = F.col("p_partkey").cast("string")
+    made = F.concat_ws(" ", "p_name", F.lit("made as"), "p_type", F.lit("by"), "p_brand")
+    card = F.concat(F.lit('<li class="card"><h2>'), key, F.lit("</h2>"), _tagged('<div class="kind">', F.col("p_type"), "</div>"),
+                    _tagged('<div class="long">', made, "</div>"), F.when(F.col("p_size") % 3 > 0, _tagged('<p class="snippet">', made, "</p>")).otherwise(F.lit("")),
+                    F.when(F.col("p_size") % 2 > 0, _tagged('<p class="note">', F.concat_ws(" ", "p_name", "p_type", "p_brand"), "</p>")).otherwise(F.lit("")), F.lit("</li>"))
+    out = H.description_probe(_listing_pages(spark, d, card), ["li.card"], ["p.note", "p.snippet"])
+    return out.select("page_id", "probe_rank", "length", "preview", F.array_join("divs", ",").alias("divs"))
+
+
+def q_dedup_composite(spark, d):
+    """First posting of each (title, company, location) instead of each url."""
+    posts = doc_postings(_t(spark, d, "documents")).withColumn("key", idn.composite_key("title", "company", "location"))
+    return idn.keep_first(posts, "key", "ordinal", carry=["key", "ordinal", "title"]).select("key", F.col("ordinal").alias("doc_id"), "title")
+
+
+def q_sink_guard(spark, d):
+    """K9: a write without rows leaves what an earlier one has put there."""
+    posts = doc_postings(_t(spark, d, "documents"))
+    path = work_path(spark, "guard")
+    io.write_csv(posts, path, columns=["url", "title"])
+    io.write_csv(posts.filter(F.col("ordinal") < F.col("ordinal")), path, columns=["url", "title"])
+    return io.read_csv(spark, [path], ["url", "title"], same_header=True)
+
+
 def q_link_cards(spark, d):
     """H4: the third source takes the href of its link element as it stands."""
     key = F.col("p_partkey").cast("string")
@@ -747,8 +858,7 @@ def q_extract_udtf(spark, d):
     from jobsmith.functions.udtf import register
     register(spark)
     _pages(spark, d).createOrReplaceTempView("stored_pages")
-    config = json.dumps({"job_card": S.SKILL_CARD_SELECTORS, "title": S.CARD_TITLE_SELECTORS, "company": ["span.companyName"], "location": ["div.companyLocation"],
-                         "salary": ["div.salary-snippet"], "description": ["div.job-snippet"]})
+    config = json.dumps({"job_card": S.SKILL_CARD_SELECTORS, "title": S.CARD_TITLE_SELECTORS, **S.FIRST_FIELDS})
     return spark.sql("""SELECT page_id, CAST(c.card_rank AS BIGINT) AS card_rank, CAST(c.card_no AS BIGINT) AS card_no, c.title, c.company, c.location, c.salary, c.description,
                                CASE WHEN c.href LIKE '/%' THEN concat(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+', 0), c.href) ELSE c.href END AS url,
                                'pages' AS source
@@ -761,10 +871,10 @@ def q_selector_samples(spark, d):
 
 
 def _detail_pages(spark, d) -> DataFrame:
-    """A detail page per document: its text, and for most a footer with a relative date."""
+    """A detail page per document: its text (some are empty), and for most a footer with a relative date."""
     n = (F.col("doc_id") % 7).cast("string")
     return _t(spark, d, "documents").select("doc_id", F.concat(
-        F.lit('<html><body><div id="jobDescriptionText">'), _escaped(F.coalesce(F.col("text"), F.lit(""))), F.lit("</div>"),
+        F.lit('<html><body><div id="jobDescriptionText">'), F.when(F.col("doc_id") % 11 > 0, _escaped(F.coalesce(F.col("text"), F.lit("")))).otherwise(F.lit(" ")), F.lit("</div>"),
         F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit('<div class="page-footer">Posted '), n, F.lit(" days ago</div>"))).otherwise(F.lit("")),
         F.lit("</body></html>")).alias("html"))
 
@@ -884,4 +994,7 @@ QUERIES |= {"automated_run": q_automated_run, "automated_stats": q_automated_sta
             "automated_history": q_automated_history, "manual_run": q_manual_run, "card_fields": q_card_fields,
             "link_cards": q_link_cards, "config_postings": q_config_postings, "extract_udtf": q_extract_udtf,
             "selector_samples": q_selector_samples, "upsert_map": q_upsert_map, "read_csv_rejects": q_read_csv_rejects,
-            "read_json_array": q_read_json_array, "json_variant": q_json_variant, "detail_extract": q_detail_extract, "enrich_from_pages": q_enrich_from_pages}
+            "manual_report": q_manual_report, "manual_summary": q_manual_summary, "report_title_terms": q_report_title_terms,
+            "description_probe": q_description_probe, "dedup_composite": q_dedup_composite, "sink_guard": q_sink_guard,
+            "stream_pages": q_stream_pages, "posting_source": q_posting_source, "stream_posting_source": q_stream_posting_source,
+            "enrich_all": q_enrich_all, "enrich_all_stats": q_enrich_all_stats, "read_json_array": q_read_json_array, "json_variant": q_json_variant, "detail_extract": q_detail_extract, "enrich_from_pages": q_enrich_from_pages}

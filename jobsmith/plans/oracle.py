@@ -74,7 +74,8 @@ def ranked_first(text: str, patterns, ignore_case=True, group=0, strip=True) ->
 
 def doc_postings_sql(where: str = "") -> str:
     return f"""SELECT doc_id AS ordinal, {first_line('text')} AS title, source AS company, lang AS location,
-        '' AS salary, text AS description, '' AS posted_date, {lit(S.DOC_URL_PREFIX)} || md5(text) AS url,
+        CASE WHEN n_chars % 3 = 0 THEN '€' || n_chars ELSE '' END AS salary, text AS description,
+        CASE WHEN n_chars % 2 = 0 THEN 'day ' || n_chars % 30 ELSE '' END AS posted_date, {lit(S.DOC_URL_PREFIX)} || md5(text) AS url,
         source, lang AS search_query FROM documents {where}"""
 
 
@@ -252,19 +253,11 @@ def _fields_sql() -> str:
 def _description_sql() -> str:
     n = fixed.DESCRIPTION_MIN_LEN
     return f"""
-WITH f AS ({_fields_sql()})
-SELECT page_id,
-  CASE WHEN has_ad AND length(ad) > {n} THEN ad WHEN has_article AND length(article) > {n} THEN article
-       WHEN has_footer AND length(footer) > {n} THEN footer ELSE '' END AS description,
-  CASE WHEN (has_ad AND length(ad) > {n}) OR (has_article AND length(article) > {n}) OR (has_footer AND length(footer) > {n})
-       THEN 'success' ELSE 'failed' END AS status,
-  CASE WHEN (has_ad AND length(ad) > {n}) OR (has_article AND length(article) > {n}) OR (has_footer AND length(footer) > {n})
-       THEN NULL
-       WHEN coalesce(CASE WHEN has_footer THEN footer WHEN has_article THEN article WHEN has_ad THEN ad END, '') = ''
-       THEN {lit(fixed.DESCRIPTION_ERROR)} END AS error,
-  CASE WHEN has_ad AND length(ad) > {n} THEN 1 WHEN has_article AND length(article) > {n} THEN 2
-       WHEN has_footer AND length(footer) > {n} THEN 3 END::BIGINT AS rank
-FROM f"""
+WITH f AS ({_fields_sql()}),
+r AS (SELECT page_id, CASE WHEN has_ad AND length(ad) > {n} THEN 1 WHEN has_footer AND length(footer) > {n} THEN 2 END::BIGINT AS rank,
+             ad, footer, CASE WHEN has_footer THEN footer WHEN has_ad THEN ad ELSE '' END AS last_seen FROM f)
+SELECT page_id, CASE rank WHEN 1 THEN ad WHEN 2 THEN footer ELSE '' END AS description, CASE WHEN rank IS NULL THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN rank IS NULL AND last_seen = '' THEN {lit(fixed.DESCRIPTION_ERROR)} END AS error, rank FROM r"""
 
 
 def _date_pick_sql() -> str:
@@ -633,7 +626,13 @@ ORACLE["dictionary_match"] = ORACLE["skill_match"]
 ORACLE["text_node_grep"] = _text_node_sql()
 ORACLE["stream_dedup"] = f"""SELECT DISTINCT url FROM ({doc_postings_sql()}) WHERE url IS NOT NULL AND url <> ''"""
 ORACLE["stream_enrich"] = f"SELECT url, origin, ordinal, description_len, posted_date FROM ({_enrich_upsert_sql()})"
-ORACLE["stream_dedup_watermark"] = "SELECT DISTINCT concat_ws('/', user_id, event_type) AS key FROM events"
+# a key that was let through in a step is known in the next one and forgotten after it
+ORACLE["stream_dedup_watermark"] = f"""
+WITH RECURSIVE p AS (SELECT DISTINCT concat_ws('/', user_id, event_type) AS key, date_diff('day', TIMESTAMP '{S.EVENTS_FROM}', date_trunc('day', ts)) // 8 AS step FROM events),
+r AS (SELECT key, list(step) AS steps FROM p GROUP BY key),
+w AS (SELECT key, steps, list_min(steps) AS step FROM r
+      UNION ALL SELECT key, steps, list_min(list_filter(steps, lambda s: s > w.step + 1)) FROM w WHERE len(list_filter(steps, lambda s: s > w.step + 1)) > 0)
+SELECT key, step FROM w"""
 ORACLE["read_csv_mixed"] = f"SELECT title, company, url, '' AS source FROM ({doc_postings_sql()})"
 # steps of equal width over the ids, as documents land
 ORACLE["history_compacted"] = f"""
@@ -661,15 +660,15 @@ ORACLE["card_fields"] = f"""SELECT {_CARD}, p_name AS title, p_brand AS company,
   CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE '' END AS salary, CASE WHEN p_size % 3 > 0 THEN p_name || ' made' ELSE '' END AS description,
   'https://ie.indeed.com/viewjob?jk=' || p_partkey AS url FROM part"""
 ORACLE["link_cards"] = f"""SELECT {_CARD}, p_name AS title, CASE WHEN p_size % 5 > 0 THEN '/view/' || p_partkey ELSE '' END AS url FROM part"""
-_DETAIL = f"""SELECT doc_id, {clean('text')} AS t, CASE WHEN doc_id % 7 > 0 THEN 'Posted ' || doc_id % 7 || ' days ago' ELSE '' END AS posted_date FROM documents"""
+_DETAIL = f"""SELECT doc_id, CASE WHEN doc_id % 11 > 0 THEN {clean('text')} ELSE '' END AS t, CASE WHEN doc_id % 7 > 0 THEN 'Posted ' || doc_id % 7 || ' days ago' ELSE '' END AS posted_date FROM documents"""
 ORACLE["detail_extract"] = f"""SELECT doc_id, CASE WHEN length(t) > {fixed.DESCRIPTION_MIN_LEN} THEN t ELSE '' END AS description,
   CASE WHEN length(t) > {fixed.DESCRIPTION_MIN_LEN} THEN 'success' ELSE 'failed' END AS status,
   CASE WHEN t = '' THEN {lit(fixed.DESCRIPTION_ERROR)} END AS error, posted_date FROM ({_DETAIL})"""
 ORACLE["enrich_from_pages"] = f"""
-WITH x AS (SELECT d.doc_id, d.t, d.posted_date, p.url FROM ({_DETAIL}) d JOIN ({doc_postings_sql()}) p ON p.ordinal = d.doc_id),
+WITH x AS (SELECT d.doc_id, d.t, d.posted_date, p.url, p.posted_date AS own FROM ({_DETAIL}) d JOIN ({doc_postings_sql()}) p ON p.ordinal = d.doc_id),
 f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY url ORDER BY doc_id) = 1)
 SELECT x.doc_id, CASE WHEN length(f.t) > {fixed.DESCRIPTION_MIN_LEN} THEN length(f.t) ELSE 0 END::BIGINT AS description_len,
-  CASE WHEN length(f.t) > {fixed.DESCRIPTION_MIN_LEN} THEN f.posted_date ELSE '' END AS posted_date,
+  CASE WHEN length(f.t) > {fixed.DESCRIPTION_MIN_LEN} THEN f.posted_date ELSE x.own END AS posted_date,
   length(f.t) > {fixed.DESCRIPTION_MIN_LEN} AS success FROM x JOIN f USING (url)"""
 
 
@@ -697,7 +696,7 @@ FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, {lit('(?s)'
 ORACLE["selector_samples"] = _samples_sql()
 ORACLE["extract_udtf"] = ORACLE["extract_postings"]
 ORACLE["upsert_map"] = """
-WITH e AS (SELECT user_id, event_id, event_type = 'view' IS TRUE AS is_state, coalesce(event_type, 'none') AS field,
+WITH e AS (SELECT user_id, event_id, (event_type = 'view' AND user_id % 3 > 0) IS TRUE AS is_state, coalesce(event_type, 'none') AS field,
                   round(value * 100)::BIGINT::VARCHAR AS value, props FROM events),
 s AS (SELECT *, event_id = min(event_id) FILTER (is_state) OVER (PARTITION BY user_id) AS counts FROM e),
 f AS (SELECT user_id, event_id, is_state, counts, field, value FROM s
@@ -718,3 +717,59 @@ WITH d AS (SELECT doc_id, doc_id % 4 AS k, {first_line('text')} AS t, n_chars FR
 SELECT doc_id, CASE WHEN k < 3 THEN t ELSE '' END AS title, CASE k WHEN 2 THEN n_chars::VARCHAR ELSE '' END AS salary,
   CASE k WHEN 0 THEN 'absent' WHEN 1 THEN 'empty' WHEN 2 THEN 'value' ELSE 'null' END AS salary_is, CASE WHEN k IN (0, 3) THEN 'value' ELSE 'absent' END AS company_is,
   CASE WHEN k = 3 THEN 'absent' WHEN t = '' THEN 'empty' ELSE 'value' END AS title_is FROM d"""
+ORACLE["stream_pages"] = ORACLE["automated_history"]
+ORACLE["posting_source"] = f"SELECT url, title, location, source FROM ({doc_postings_sql()}) WHERE location IN ('en', 'fr')"
+ORACLE["stream_posting_source"] = f"SELECT url, title, source FROM ({doc_postings_sql()})"
+
+
+def _second_mode_sql() -> str:
+    return f"""
+WITH {_enrich_cte()},
+d AS (SELECT * FROM details WHERE canonical_url <> '' QUALIFY row_number() OVER (PARTITION BY canonical_url ORDER BY ordinal) = 1),
+p AS (SELECT ordinal, CASE ordinal % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE url END AS url, description, posted_date FROM posts),
+x AS (SELECT p.ordinal, p.url, coalesce(d.status = 'success', false) AS ok, CASE WHEN ok THEN d.description ELSE p.description END AS description,
+             CASE WHEN ok THEN d.posted_date ELSE p.posted_date END AS posted_date FROM p LEFT JOIN d ON d.canonical_url = p.url)
+SELECT ordinal AS doc_id, length(description)::BIGINT AS description_len, posted_date,
+  CASE WHEN url IS NULL THEN 'no url' WHEN ok THEN 'success' ELSE 'failed' END AS outcome FROM x"""
+
+
+ORACLE["enrich_all"] = _second_mode_sql()
+ORACLE["enrich_all_stats"] = f"SELECT count(*) FILTER (outcome = 'success') AS success, count(*) FILTER (outcome = 'failed') AS failed FROM ({_second_mode_sql()})"
+
+
+# ------------------------------------------------- résumés made of documents, and what runs report
+
+def _pick(lines: list[str]) -> str:
+    return "([" + ", ".join(lit(x).replace("\n", "' || chr(10) || '") for x in lines) + f"])[doc_id % {len(lines)} + 1]"
+
+
+def resumes(sql: str) -> str:
+    """The same SQL over résumés: documents' texts between lines chosen by their own values."""
+    years = "CASE WHEN n_chars % 4 > 0 THEN (n_chars % 31)::VARCHAR || '+ years of experience at ' ELSE 'always at ' END"
+    lines = [first_line("text"), _pick(S.RESUME_TITLES), _pick(S.RESUME_PLACES), f"{years} || {_pick(S.RESUME_FIRMS)}", "coalesce(text, '')", "'EDUCATION'",
+             _pick(S.RESUME_DEGREES), "'ADDITIONAL ' || coalesce(source, '')"]
+    made = "SELECT doc_id, concat_ws(chr(10), " + ", ".join(lines) + ") AS text FROM documents"
+    return f"WITH resumes AS ({made}) SELECT * FROM ({sql.replace('FROM documents', 'FROM resumes')})"
+
+
+ORACLE["company_match"] = resumes(ORACLE["company_match"])
+ORACLE["education_degrees"] = resumes(_education_sql(fixed.EDUCATION_SECTION, fixed.DEGREE_PATTERNS))
+ORACLE["profile"] = resumes(_profile_sql())
+_TERMS = "[" + ", ".join(lit(t) for t in fixed.PRIORITY_TITLES) + "]"
+ORACLE["report_title_terms"] = f"""SELECT p_partkey, array_to_string(list_slice(CASE WHEN p_type <> '' AND NOT list_contains({_TERMS}, p_type)
+  THEN list_prepend(p_type, {_TERMS}) ELSE {_TERMS} END, 1, {min(fixed.REPORT_TITLE_TERMS, fixed.SEARCH_TERMS_DEFAULT)}), ', ') AS title FROM part"""
+ORACLE["description_probe"] = """
+WITH g AS (SELECT *, p_name || ' made as ' || p_type || ' by ' || p_brand AS made, p_name || ' ' || p_type || ' ' || p_brand AS n FROM part),
+f AS (SELECT p_partkey // 20 AS page_id, p_type, made, CASE WHEN p_size % 2 > 0 AND length(n) > 20 THEN n END AS note,
+                  CASE WHEN p_size % 3 > 0 AND length(made) > 20 THEN made END AS snippet
+           FROM g QUALIFY row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) = 1)
+SELECT page_id, CASE WHEN note IS NOT NULL THEN 0 WHEN snippet IS NOT NULL THEN 1 END::BIGINT AS probe_rank, length(coalesce(note, snippet))::BIGINT AS length,
+  substring(coalesce(note, snippet), 1, 150) AS preview,
+  CASE WHEN coalesce(note, snippet) IS NULL THEN concat_ws(',', CASE WHEN length(p_type) > 20 THEN 'kind:' || length(p_type) END, CASE WHEN length(made) > 20 THEN 'long:' || length(made) END) END AS divs FROM f"""
+ORACLE["dedup_composite"] = f"""SELECT sha256(title || chr(31) || company || chr(31) || location) AS key, ordinal AS doc_id, title FROM ({doc_postings_sql()})
+WHERE title IS NOT NULL AND company IS NOT NULL AND location IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title, company, location ORDER BY ordinal) = 1"""
+ORACLE["sink_guard"] = f"SELECT url, title FROM ({doc_postings_sql()})"
+ORACLE["manual_report"] = f"""SELECT {esc('source')} AS source, {esc('url')} AS url, {esc('title')} AS title, '' AS company, '' AS location, '' AS salary,
+  '{fixed.REPORT_ELLIPSIS}' AS description FROM ({ORACLE["manual_run"]})"""
+ORACLE["manual_summary"] = f"""SELECT strftime(DATE {lit(S.RUN_DATE)}, '%Y-%m-%d') AS report_date, {esc(lit(S.REPORT_QUERY))} AS query,
+  {esc(lit(S.REPORT_LOCATION))} AS location, count(*)::BIGINT AS total_jobs FROM ({ORACLE["manual_run"]}) HAVING count(*) > 0"""

@@ -53,28 +53,39 @@ def collect_postings(pages: DataFrame, sources: Sequence[str] = tuple(fixed.SOUR
     return collect_from_tables(pages, sources_df(spark, config), selectors_df(spark, config), page_base)
 
 
-def collect_from_tables(pages: DataFrame, sources: DataFrame, selectors: DataFrame, page_base: bool = False) -> DataFrame:
-    """The same from configuration tables (``sources_df``, ``selectors_df``): a source is its rows in them.
-
-    All sources share one scan and one walk of each page's tree."""
+def page_cards(pages: DataFrame, sources: DataFrame, selectors: DataFrame) -> DataFrame:
+    """The cards of each page with what its stop depends on, written once: all sources share one scan and one walk
+    of each page's tree, and the result feeds the stops and the postings."""
     pages = (pages.withColumnRenamed("url", "page_url")
              .withColumn("blocked", contains_any(F.col("html"), fixed.INTERSTITIAL_ANY))
              .withColumn("login", contains_any(F.col("page_url"), fixed.LOGIN_URL_TOKENS, lower=False))
              .withColumn("readable", F.col("html").isNotNull()))
-    keys = PAGE_KEYS + ["blocked", "login", "readable"]
-    # the parse output feeds the stop aggregate and the postings: written once, read twice
-    ex = cut_lineage(H.extract_cards_by_source(pages, source_plans(sources, selectors), keys), "cards")
+    ex = H.extract_cards_by_source(pages, source_plans(sources, selectors), PAGE_KEYS + ["blocked", "login", "readable"])
     readable = F.col("readable") & F.col("parse_error").isNull()
     rules = {"no_cards": readable & (F.col("n_cards") == 0), "interstitial": F.col("blocked"), "login_url": F.col("login")}
     stop = reduce(lambda a, b: a | b, [F.array_contains("stop_rules", r) & F.coalesce(on, F.lit(False)) for r, on in rules.items()])
-    kept = qa.page_prefix(ex, ["source", "query"], "page_num", stop)
-    posts = H.postings_by_source(kept, PAGE_KEYS + ["source_no"], base_of(F.col("page_url")) if page_base else None)
+    return cut_lineage(ex.withColumn("stops", stop), "cards")
+
+
+def page_stops(cards: DataFrame) -> DataFrame:
+    """``source, query, stop``: the first page that meets its source's stop rules."""
+    return cards.filter("stops").groupBy("source", "query").agg(F.min("page_num").alias("stop"))
+
+
+def postings_of(cards: DataFrame, page_base: bool = False) -> DataFrame:
+    posts = H.postings_by_source(cards, PAGE_KEYS + ["source_no"], base_of(F.col("page_url")) if page_base else None)
     return posts.select(
         F.struct(F.col("query_no").cast("bigint").alias("query_no"), F.col("source_no").cast("bigint").alias("source_no"),
                  F.col("page_num").cast("bigint").alias("page_num"), F.col("card_no")).alias("ordinal"),
         *H.POSTING_FIELDS, F.lit("").alias("posted_date"), "url", "source", F.col("query").alias("search_query"), "page_url")
 
 
+def collect_from_tables(pages: DataFrame, sources: DataFrame, selectors: DataFrame, page_base: bool = False) -> DataFrame:
+    """Postings from configuration tables (``sources_df``, ``selectors_df``): a source is its rows in them."""
+    cards = page_cards(pages, sources, selectors)
+    return postings_of(qa.before_stops(cards, page_stops(cards), ["source", "query"], "page_num"), page_base)
+
+
 def automated_run(pages: DataFrame, history: DataFrame, run_ts: str,
                   sources: Sequence[str] = tuple(fixed.SOURCE_ORDER), config: dict | None = None,
                   page_base: bool = False) -> dict[str, DataFrame]:
