@@ -6,7 +6,8 @@ into the new shard. Nothing but the key and the shard list decides.
 
 The slot of a row in its shard follows a hash of the row, so slots are dealt in blocks: rows are
 counted by (shard, block), block offsets are running sums over those counts, and rows are numbered
-inside a block. No task ever holds a whole shard; the number of blocks grows with the table.
+inside a block. Equal rows are counted first and numbered as one, so neither a shard nor a group of
+copies meets in one task; the number of blocks grows with the table.
 
 Cases: a null key is the key ``null``; null text has 0 bytes; equal rows share a shard and take
 neighbouring slots; rows with one key stay together in one shard under any shard count; an empty
@@ -54,16 +55,17 @@ def shard_documents(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, grow
              .withColumn("grown", F.array_min(F.array("best", _scored(key, len(weights), grown_weight)))["shard"])
              .withColumn("place", hash52(F.concat_ws("|", key, F.col("text_crc32"), F.col("size"))))
              .select("id", "size", "text_crc32", F.col("best.shard").alias("shard"), "grown", "place"))
-    light = staged(light, "shards")
+    columns = ["id", "size", "text_crc32", "shard", "grown", "place"]
+    light = staged(light.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")), "shards")
     blocks = max(1, light.count() // (len(weights) * block_rows))
     dealt = light.withColumn("block", F.floor(F.col("place") / F.lit(SPAN) * F.lit(blocks)).cast("long"))
-    counts = staged(dealt.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")), "shard-blocks")
+    counts = staged(dealt.groupBy("shard", "block").agg(F.sum("copies").alias("n")), "shard-blocks")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "block").orderBy("place", "id", "text_crc32", "size")
-    return (dealt.join(offsets, ["shard", "block"])
-            .select(F.col("id").alias(id_col), "size", "text_crc32", "shard",
-                    (F.col("offset") + F.row_number().over(inside) - 1).cast("long").alias("slot"),
+    inside = Window.partitionBy("shard", "block").orderBy("place", "id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(offsets, ["shard", "block"]).withColumn("first", F.col("offset") + F.sum("copies").over(inside) - F.col("copies"))
+    return (placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+            .select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("first") + F.col("copy")).cast("long").alias("slot"),
                     F.col("grown").alias("grown_shard")))
 
 

@@ -60,6 +60,33 @@ def test_sharding_law_sizes_and_slots(spark):
     assert any(r.grown_shard == 8 for r in got)
 
 
+def test_winning_shards_are_recomputed(spark):
+    """The shard of every key, with eight shards and with nine, by hand; slots follow the row's hash."""
+    import math
+
+    def won(key, n):
+        def score(s):
+            u = (int(hashlib.md5(f"{key}:{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            return -math.log(u), s
+        return min(map(score, range(n)))[1]
+
+    got = shard_documents(table(spark), block_rows=3).collect()
+    for r in got:
+        key = "null" if r.doc_id is None else r.doc_id
+        assert (r.shard, r.grown_shard) == (won(key, 8), won(key, 9))
+    place = lambda r: (int(hashlib.md5(f"{'null' if r.doc_id is None else r.doc_id}|{r.text_crc32}|{r['size']}".encode()).hexdigest()[:13], 16), r.doc_id is not None, r.doc_id or 0)
+    for shard in range(8):
+        mine = sorted((r for r in got if r.shard == shard), key=lambda r: r.slot)
+        assert [place(r) for r in mine] == sorted(place(r) for r in mine)
+
+
+def test_copies_take_neighbouring_slots(spark):
+    many = [(5, "same row", "aa", "s", 1)] * 300 + [(i, f"row {i}", "aa", "s", 1) for i in range(50)]
+    got = shard_documents(table(spark, many), block_rows=4).collect()
+    slots = sorted(r.slot for r in got if r.doc_id == 5 and r.text_crc32 == zlib.crc32(b"same row"))
+    assert len(got) == 350 and slots == list(range(slots[0], slots[0] + 300))
+
+
 def test_rendezvous_moves_few_and_follows_weights(spark):
     keys = spark.range(20000).select(F.col("id").alias("k"), rendezvous_shard(F.col("id"), [1, 1, 2]).alias("a"),
                                      rendezvous_shard(F.col("id"), [1, 1, 2, 1]).alias("b"))
