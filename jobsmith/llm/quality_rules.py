@@ -2,20 +2,23 @@
 
 One map-only pass over the whole texts gives the statistics of every document. The base rules are
 fixed: a document fails with fewer than ``min_words`` words, or when more than a fifth of its
-words stand in 5-word windows that the text repeats. For the others, an isolation forest (random
-splits over the statistics) gives each document its mean path length; short paths are anomalies.
-The forest grows on label-1 rows with a tenth of points drawn evenly over the range of all
+words stand in 5-word windows that the text repeats. For the others, two isolation forests (random
+splits over the statistics) give each document a mean path length; short paths are anomalies. One sees
+what the words are made of (length of words, symbols, other signs, capitals), the other how they are
+arranged (length of the text, repeated lines, repeated and distinct words, words a line): together, the
+many ways to be odd in one would hide those in the other.
+A forest grows on label-1 rows with a tenth of points drawn evenly over the range of all
 labelled rows, so that it also splits where sound documents do not vary, and a large group of
-alike bad documents cannot pass for the rule. The cut is calibrated over all labelled rows: it is
-the score that best tells label 0 from label 1 while at least ``keep_good`` of the label-1 rows stay.
+alike bad documents cannot pass for the rule. The two cuts are calibrated together over all labelled
+rows: they are the scores that best tell label 0 from label 1, a document being dropped by either, while
+at least ``keep_good`` of the label-1 rows stay.
 
-Learning: the forest is grown on at most ``sample_rows`` labelled rows (lowest hash of the id
-first), a documented bound; the cut uses a histogram over every labelled row.
+Learning: the forests are grown on at most ``sample_rows`` labelled rows (lowest hash of the id
+first), a documented bound; the cuts use a histogram over every labelled row.
 
 Cases: null text has no words and fails the base rules; blanks are ``[\\x20\\x09-\\x0D]``; without
 labels (or only one class) the forest grows on a sample of all rows, or not at all, and nothing
-more than the base rules is dropped; the forest sees word length, symbols, other signs and capitals,
-so a text that is odd only in length, lines or choice of words passes it; labels of an id count once (the largest); repeated rows
+more than the base rules is dropped; labels of an id count once (the largest); repeated rows
 get equal results; other columns are ignored.
 """
 
@@ -37,7 +40,7 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_distinct", "n_marks")
 _DROP_BLANKS = str.maketrans("", "", "\x20\x09\x0a\x0b\x0c\x0d")
 _DROP_SYMBOLS = str.maketrans("", "", SYMBOLS)
-BINS = 2000
+BINS = 1000
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
@@ -83,6 +86,14 @@ def base_failed(min_words: int = 10, repeat_percent: int = 20) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
+def arrangement_figures(t: dict[str, np.ndarray]) -> np.ndarray:
+    """How the words are arranged: log of the words, repeated lines and words, distinct words against what a text of
+    that length has, words a line; shares are damped where a short text would swing them."""
+    words, lines = np.maximum(t["n_words"], 1), np.maximum(t["n_lines"], 1)
+    return np.stack([np.log2(words), t["n_dup_lines"] / (lines + 4), t["n_repeat_words"] / (words + 20),
+                     np.log2(np.maximum(t["n_distinct"], 1)) / np.log2(words + 1), np.log2(words / lines + 1)], 1).astype(float)
+
+
 def rule_figures(t: dict[str, np.ndarray]) -> np.ndarray:
     """Rule statistics as figures a document, damped where a short text would swing them:
     mean word length, symbols and other signs a word, capitals a character."""
@@ -91,6 +102,9 @@ def rule_figures(t: dict[str, np.ndarray]) -> np.ndarray:
                      t["n_upper"] / (t["word_chars"] + 100)], 1).astype(float)
 
 
+FIGURES = (rule_figures, arrangement_figures)
+
+
 class Forest:
     """Isolation forest: trees of random splits over subsamples, as flat arrays."""
 
@@ -155,21 +169,24 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(self.mean_path(self.size), 1e-9))
 
 
-def calibrate(hist: np.ndarray, keep_good: float) -> float:
-    """hist: rows of (bin, label 0, label 1). The cut with the best difference of rates that keeps enough label-1 rows."""
-    if not len(hist) or not hist[:, 1].sum() or not hist[:, 2].sum():
-        return np.inf
-    hist = hist[np.argsort(hist[:, 0])]
-    bad = hist[::-1, 1].cumsum()[::-1] / hist[:, 1].sum()  # dropped share if the cut is at this bin
-    good = hist[::-1, 2].cumsum()[::-1] / hist[:, 2].sum()
-    gain = np.where(good <= 1 - keep_good, bad - good, -np.inf)
-    best = int(gain.argmax())
-    return hist[best, 0] / BINS if gain[best] > 0 else np.inf
+def calibrate(hist: np.ndarray, keep_good: float) -> tuple[int | None, int | None]:
+    """hist: rows of (bin of either score, label 0, label 1). The pair of bins from which on rows are dropped (None: never)
+    with the best difference of dropped shares that keeps enough label-1 rows; of equal pairs the highest bins."""
+    if not len(hist) or not hist[:, 2].sum() or not hist[:, 3].sum():
+        return None, None
+    size = int(hist[:, :2].max()) + 2
+    kept = np.zeros((2, size, size))  # kept[., a, b]: rows below a in the first score and below b in the second
+    np.add.at(kept, (slice(None), hist[:, 0].astype(int) + 1, hist[:, 1].astype(int) + 1), hist[:, 2:].T)
+    kept = kept.cumsum(1).cumsum(2)
+    bad, good = 1 - kept / kept[:, -1:, -1:]
+    gain = np.where(good <= 1 - keep_good + 1e-12, bad - good, -np.inf)[::-1, ::-1]
+    a, b = (size - 1 - x for x in np.unravel_index(int(gain.argmax()), gain.shape))
+    return (int(a) if a < size - 1 else None), (int(b) if b < size - 1 else None)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, keep_good: float = 0.995,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, the counts, ``base_failed``, ``anomaly`` (0 to 1) and ``kept`` of every document."""
+    """``id_col``, the counts, ``base_failed``, two anomaly scores (0 to 1) and ``kept`` of every document."""
     spark = docs.sparkSession
     stats = staged(measure(docs, id_col, text_col).withColumn("base_failed", base_failed()), "rule-stats")
     known = (labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"))
@@ -180,22 +197,26 @@ def apply_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, kee
     quality = F.col("quality") if "quality" in source.columns else F.lit(1)
     sample = (source.withColumn("drawn", drawn).orderBy("drawn", "id", *STATS).limit(sample_rows)
               .select(*STATS, *MORE, quality.alias("quality")).toPandas())  # sample_rows rows of ten numbers
-    x, good = rule_figures({c: sample[c].to_numpy() for c in STATS + MORE}), (sample["quality"] == 1).to_numpy()
-    forest = Forest.over_background(x[good], x) if good.sum() > 1 else None
-    shared = spark.sparkContext.broadcast(forest)
+    t, good = {c: sample[c].to_numpy() for c in STATS + MORE}, (sample["quality"] == 1).to_numpy()
+    forests = [Forest.over_background(x[good], x) if good.sum() > 1 else None for x in (f(t) for f in FIGURES)]
+    shared = spark.sparkContext.broadcast(forests)
+    scores = ("anomaly", "anomaly_arrangement")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = rule_figures({c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in STATS + MORE})
-            score = shared.value.score(x) if shared.value else np.zeros(len(x))
-            yield batch.append_column("anomaly", pa.array(score, pa.float64()))
+            t = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in STATS + MORE}
+            for name, figures, forest in zip(scores, FIGURES, shared.value):
+                batch = batch.append_column(name, pa.array(forest.score(figures(t)) if forest else np.zeros(batch.num_rows), pa.float64()))
+            yield batch
 
     def with_scores(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(scored, StructType([*rows.schema.fields, StructField("anomaly", DoubleType())]))
-
-    hist = (with_scores(labelled.select("id", "quality", *STATS, *MORE))
-            .groupBy(F.floor(F.col("anomaly") * BINS).cast("long").alias("bin"))
-            .agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good")).toPandas())  # BINS rows
-    cut = calibrate(hist.to_numpy(dtype=float), keep_good)
-    dropped = F.col("anomaly") >= F.lit(float(cut)) if np.isfinite(cut) else F.lit(False)
+        return rows.mapInArrow(scored, StructType([*rows.schema.fields, *[StructField(c, DoubleType()) for c in scores]]))
+
+    bins = {c: F.floor(F.col(c) * BINS).cast("long") for c in scores}
+    hist = (with_scores(labelled.select("id", "quality", *STATS, *MORE)).groupBy(*[b.alias(f"bin_{c}") for c, b in bins.items()])
+            .agg(F.count_if(F.col("quality") == 0).alias("bad"), F.count_if(F.col("quality") == 1).alias("good")).toPandas())  # BINS x BINS rows at most
+    dropped = F.lit(False)
+    for c, cut in zip(scores, calibrate(hist.to_numpy(dtype=float), keep_good)):
+        if cut is not None:
+            dropped = dropped | (bins[c] >= cut)
     return with_scores(stats).withColumn("kept", ~F.col("base_failed") & ~dropped).withColumnRenamed("id", id_col)

@@ -57,7 +57,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
-    return out.select("doc_id", *STATS, "base_failed", "kept", "anomaly")
+    return out.select("doc_id", *STATS, "base_failed", "kept", "anomaly", "anomaly_arrangement")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
