@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobsmith.llm.common import hash52, small_side, staged, text_of, word_count
+from jobsmith.session import drop_staged
 
 BUCKETS = 4096
 FIXED_POINT = float(2**30)
@@ -79,12 +80,13 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float, max_steps: int =
         inside = (F.col("slope") > 0) & (step > F.col("low")) & (step < F.col("high"))
         gap = F.abs(F.col("now") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))
         settled = gap <= tol
-        state = staged(state.join(sums, "src", "left").select(
+        before, state = state, staged(state.join(sums, "src", "left").select(
             "src", "source_size", "target", "scale", low.alias("low"), high.alias("high"), "theta", "now", "slope",
             F.coalesce(gap, F.lit(0.0)).alias("gap"), settled.alias("settled"))
             .withColumn("theta", F.when(F.coalesce("settled", F.lit(True)), F.col("theta")).when(inside, step)
                         .otherwise((F.col("low") + F.col("high")) / 2))
             .select("src", "source_size", "target", "scale", "theta", "low", "high", "gap"), "mix-dual")
+        drop_staged(before)
         # a source at its cap (or at 0) has no finite theta; its rate is within tol at the bracket's end
         if state.filter((F.col("gap") > tol) & (F.col("high") - F.col("low") > 1e-9)).isEmpty():
             break
@@ -154,7 +156,8 @@ def mix_documents(docs: DataFrame, share: float = 1.5, weights: Sequence[float]
     given = F.sum(F.col("words") * (F.col("base") + F.col("more").cast("long")))
     for _ in range(rounds):
         needs = staged(units.groupBy("src").agg((F.round(F.first("target")) - given).alias("need")), "mix-needs")
-        units = staged(_fill(units, needs), "mix-units")
+        before, units = units, staged(_fill(units, needs), "mix-units")
+        drop_staged(before, needs)
     units = _nearest(units, staged(units.groupBy("src").agg((F.round(F.first("target")) - given).alias("need")), "mix-needs"))
     return units.select("id", "row_hash", "repeats", "size", "source", "source_size", "target", "rate",
                         (F.col("base") + F.col("more").cast("long")).alias("copies"))

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobsmith.llm.common import staged
+from jobsmith.session import drop_staged
 
 RUN = "[A-Za-zÀ-ÿ]+"
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -247,6 +248,7 @@ def _blocks(words: DataFrame, min_length: int, block_words: int) -> DataFrame:
         fits = (F.col("size") <= block_words) | (middle <= 1)
         seen = Observation()
         part = staged(met.withColumn("fits", fits).observe(seen, F.count(F.when(~fits, 1)).alias("open")), "spelling-blocks")
+        drop_staged(rows, sizes)
         ready = part.filter("fits").select("word", "n", "m", "lo", "tail", "block")
         done = ready if done is None else done.unionByName(ready)
         if not seen.get["open"]:
@@ -264,8 +266,9 @@ def _roots(words: DataFrame) -> DataFrame:
     while True:
         seen = Observation()
         step = at.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        at = staged(at.join(step, "root", "left").observe(seen, F.count("further").alias("moved"))
-                    .select("word", F.coalesce("further", "root").alias("root")), "spelling-roots")
+        before, at = at, staged(at.join(step, "root", "left").observe(seen, F.count("further").alias("moved"))
+                                .select("word", F.coalesce("further", "root").alias("root")), "spelling-roots")
+        drop_staged(before)
         if not seen.get["moved"]:
             return at
 
