@@ -95,7 +95,7 @@ def automated_run(pages: DataFrame, history: DataFrame, run_ts: str,
     flagged = idn.flag_new(postings, history, "url", "ordinal")
     new = flagged.filter("is_new").drop("is_new")
     history_rows = idn.history_append(history, postings, run_ts, "url", "ordinal")
-    consolidated = idn.consolidate(new, "url", "ordinal")
+    consolidated = idn.project(new, fixed.POSTING_9)  # new rows have a key and are the first of it already
     stats = qa.source_stats(flagged, ["source", "search_query"])
     per_query = (flagged.groupBy(F.col("ordinal.query_no").alias("query_no"), F.col("search_query").alias("query"))
                  .agg(F.count_if("is_new").alias("n_new")))
