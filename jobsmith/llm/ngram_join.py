@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from jobsmith.llm.common import staged
+from jobsmith.session import drop_staged
 
 _POSTING = np.dtype([("h", "<u8"), ("cid", "<i8"), ("n", "<u4")])
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -253,28 +254,37 @@ def _forests(percent: int):
     return run
 
 
-def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int | None = None, part_rows: int = 200_000, least_parts: int = 16) -> DataFrame:
     """``node, root`` (smallest node) of every node of an edge list (a, b), by alternating stars until nothing
-    moves; with ``max_rounds``, components that have not settled by then raise."""
+    moves; with ``max_rounds``, components that have not settled by then raise. A round's tables are cut into
+    parts of about ``part_rows`` edges, ``least_parts`` at least, and go once the next round's are written."""
+    def written(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, tuple]:
+        """The staged frame, with the number of its rows and the sum of their hashes."""
+        seen = Observation()
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("sum"))
+        out = staged(df if rows is None else df.coalesce(max(least_parts, rows // part_rows)), name)
+        return out, (seen.get["n"], seen.get["sum"])
+
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    now = staged(edges.filter("a <> b").select(low.alias("a"), high.alias("b")).dropDuplicates(), "edges")
-    mark = None
+    now, mark = written(edges.filter("a <> b").select(low.alias("a"), high.alias("b")).dropDuplicates(), "edges")
     for done in count(1):
+        n = mark[0]
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the minima are written out so that the join reads plain shuffles and a hot node can be split
-        mins = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "edges-min")
+        mins, _ = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "edges-min", n)
         large = both.join(mins, "a").filter("b > a AND m <> b").select(F.col("m").alias("a"), "b").dropDuplicates()
-        large = staged(large, "edges-large")
-        mins = staged(large.groupBy("b").agg(F.min("a").alias("m")), "edges-min")
-        small = large.join(mins, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        seen = Observation()
-        now = staged(small.filter("a <> b").dropDuplicates().observe(
-            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
-        was, mark = mark, (seen.get["n"], seen.get["sum"])
-        if was == mark:
+        large, stars = written(large, "edges-large", n)
+        drop_staged(mins)
+        mins, (hanging, _) = written(large.groupBy("b").agg(F.min("a").alias("m")), "edges-min", n)
+        # nothing moved, so no node that others hang from hangs itself; and each hangs from one: these are stars
+        if stars == mark and hanging == n:
+            drop_staged(large, mins)
             break
         if done == max_rounds:
             raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+        small = large.join(mins, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+        before, (now, mark) = now, written(small.filter("a <> b").dropDuplicates(), "edges", n)
+        drop_staged(before, large, mins)
     roots = now.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).dropDuplicates())
 
@@ -326,17 +336,19 @@ def _clump_links(docs: DataFrame, members: DataFrame, percent: int, chunk: int,
     comps = components(links)
     large = staged(large.join(comps, large["cid"] == comps["node"], "left")
                    .select("cid", "clump", "band", F.coalesce("root", "cid").alias("comp")), "ngram-parts")
-    comp_sizes = large.groupBy("clump", "comp", "band").agg(F.count(F.lit(1)).alias("size"))
-    open_ = comp_sizes.groupBy("clump").agg(F.count_distinct("comp").alias("comps")).filter("comps > 1").select("clump")
+    comp_sizes = staged(large.groupBy("clump", "comp", "band").agg(F.count(F.lit(1)).alias("size")), "ngram-comps")
+    few = comp_sizes.count() <= broadcast_rows  # the frames that are made of it have no more rows
+    small = F.broadcast if few else lambda df: df
+    open_ = comp_sizes.groupBy("clump").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("clump")
     pools = comp_sizes.groupBy("clump", "band").agg(F.sum(F.when(F.col("size") < chunk, F.col("size")).otherwise(0)).alias("pooled"))
-    placed = (large.join(comp_sizes, ["clump", "comp", "band"]).join(pools, ["clump", "band"]).join(open_, "clump", "left_semi")
+    placed = (large.join(small(open_), "clump", "left_semi").join(small(comp_sizes), ["clump", "comp", "band"]).join(small(pools), ["clump", "band"])
               .withColumn("alone", F.col("size") >= chunk)
               .withColumn("owner", F.when(F.col("alone"), F.col("comp")))
               .withColumn("part", F.when(F.col("alone"), F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / F.lit(chunk))))
                           .otherwise(F.pmod(F.xxhash64("cid"), F.greatest(F.ceil(F.col("pooled") / F.lit(chunk)), F.lit(1)))))
               .withColumn("piece", F.xxhash64("clump", "band", F.coalesce("owner", F.lit(0)), "alone", "part")))
     placed = staged(placed.select("cid", "clump", "band", "owner", "piece"), "ngram-pieces")
-    pieces = placed.select("clump", "band", "owner", "piece").dropDuplicates()
+    pieces = staged(placed.select("clump", "band", "owner", "piece").dropDuplicates(), "ngram-piece-list")
     # a band meets itself (each pair once) and the next one
     near = pieces.select("clump", F.explode(F.array("band", F.col("band") + 1)).alias("to"), F.col("band").alias("own"), "owner", "piece")
     left, right = near.alias("l"), pieces.alias("r")

@@ -174,6 +174,10 @@ def test_components_settle_or_raise(spark):
     assert got == {i: 0 for i in range(n)} | {500: 500, 501: 500}
     with pytest.raises(RuntimeError):
         components(edges, max_rounds=2)
+    # nodes that hang from two others move in the second step of a round only
+    two = spark.createDataFrame([(1, 3), (2, 3), (10, 30), (20, 30), (20, 40), (7, 7)], "a long, b long")
+    assert {r.node: r.root for r in components(two).collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 20: 10, 30: 10, 40: 10}
+    assert components(edges.limit(0)).count() == 0
 
 
 def brute_components(data, width=5):
@@ -261,6 +265,18 @@ def test_ngram_join_of_nothing(spark):
     assert [r.component_id for r in ngram_join(table(spark, [(4, None, None, None, None), (5, " ", None, None, None)])).orderBy("doc_id").collect()] == [4, 5]
 
 
+def test_components_of_random_graphs(spark):
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        edges = [(int(a), int(b)) for a, b in zip(rng.integers(0, 80, 70), rng.integers(0, 80, 70))]
+        label = {x: x for e in edges for x in e}
+        for _ in label:
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), part_rows=10, least_parts=2).collect()}
+        assert got == {k: v for k, v in label.items() if any(a != b and k in (a, b) for a, b in edges)}
+
+
 def test_components_and_overlaps(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(i, i + 1) for i in range(200, 260)]
@@ -406,5 +422,30 @@ def test_forest_and_cut():
     x = np.concatenate([rng.normal(0, 1, (500, 3)), rng.normal(9, 1, (10, 3))])
     score = Forest(x).score(x)
     assert score[500:].min() > np.quantile(score[:500], 0.95)
-    hist = np.array([[800, 0, 90], [1000, 1, 9], [1200, 9, 1]], float)
-    assert calibrate(hist, 0.99) == 1200 / 2000 and calibrate(hist[:0], 0.9) == np.inf
+    # rows: bin of the first score, of the second, label 0, label 1; cuts are chosen together under one budget
+    hist = np.array([[400, 300, 0, 90], [500, 300, 1, 9], [600, 300, 9, 0], [400, 700, 5, 0], [400, 650, 1, 1]], float)
+    assert calibrate(hist, 1.0) == (600, 700) and calibrate(hist, 0.985) == (600, 650) and calibrate(hist[:0], 0.9) == (None, None)
+    assert calibrate(hist[:1], 0.9) == (None, None) and calibrate(np.array([[1, 1, 5, 5]], float), 0.9) == (None, None)
+    rng = np.random.default_rng(3)
+    hist = np.unique(rng.integers(0, 12, (60, 2)), axis=0)
+    hist = np.c_[hist, rng.integers(0, 5, (len(hist), 2))].astype(float)
+    best = max(((hist[on, 2].sum() / hist[:, 2].sum() - hist[on, 3].sum() / hist[:, 3].sum(), a, b) for a in range(14) for b in range(14)
+                for on in [(hist[:, 0] >= a) | (hist[:, 1] >= b)] if hist[on, 3].sum() <= 0.3 * hist[:, 3].sum() + 1e-9), key=lambda x: x[0])
+    a, b = (99 if x is None else x for x in calibrate(hist, 0.7))
+    on = (hist[:, 0] >= a) | (hist[:, 1] >= b)
+    assert abs(hist[on, 2].sum() / hist[:, 2].sum() - hist[on, 3].sum() / hist[:, 3].sum() - best[0]) < 1e-9
+
+
+def test_texts_that_are_odd_in_arrangement_only(spark):
+    """Plain words, but the same few over and over in shuffled order: the second forest sees them."""
+    import random
+
+    rng = random.Random(3)
+    data = [(i, *r[1:4], 1) for i, r in enumerate(x for x in graded() if x[4])]
+    words = sentence(rng, "aa", 6).split()
+    odd = [(5000 + i, "\n".join(" ".join(rng.choice(words) for _ in range(20)) for _ in range(4)), "aa", "s", 0) for i in range(60)]
+    odd = [r for r in odd if 100 * repeated_words(r[1].encode().split()) <= 20 * 80]  # they pass the base rules
+    assert len(odd) > 30
+    labels = spark.createDataFrame([(r[0], r[4], 0) for r in data + odd], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in apply_rules(table(spark, data + odd), labels).collect()}
+    assert sum(not got[r[0]] for r in odd) >= 0.9 * len(odd) and sum(got[r[0]] for r in data) >= 0.99 * len(data)
