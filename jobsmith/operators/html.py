@@ -1,7 +1,7 @@
 """HTML extraction over a stored-pages table.
 
 Spark has no HTML parser, so exactly one Python hop exists: ``extract_html``
-(``mapInPandas``, stdlib ``html.parser``) builds a tag-soup tree per page and
+(``mapInArrow``, stdlib ``html.parser``) builds a tag-soup tree per page and
 evaluates *all* requested selectors in one pass. It emits one row per page with
 arrays of raw matches; every rule on top of it (selector fallback by rank,
 first-present field, href resolution, thresholds, status) is a Spark column
@@ -26,7 +26,8 @@ from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,6 +236,10 @@ _INNER = ", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in MATCH_T.split(", ")
 CARD_T = f"array<struct<card_rank:int, card_no:int, {_INNER}, found:array<struct<field:string, rank:int, el_no:int, {_INNER}>>>>"
 NODE_T = "array<struct<node_no:int, kind:string, parent_tag:string, parent_cls:string, text:string>>"
 
+#: what a worker holds of a batch's matches at a time: those of pages with so many bytes in all (a page counts
+#: as ``PAGE_BYTES`` at least), so that its memory depends on neither the size of a batch nor that of a partition
+SLICE_BYTES, PAGE_BYTES = 1 << 18, 1 << 10
+
 
 class PagePlan:
     """What is asked of a page: named lists of selectors, all in one index."""
@@ -284,11 +289,34 @@ class PagePlan:
         return fields, all_of, cards, _text_nodes(root) if self.text_nodes else [], error
 
 
-def _page_rows(pdf: pd.DataFrame, keep: Sequence[str], pages: Sequence[tuple]) -> pd.DataFrame:
-    out = pdf[list(keep)].copy()
-    for name, column in zip(("fields", "all_of", "cards", "nodes", "parse_error"), zip(*pages) if pages else [()] * 5):
-        out[name] = list(column)
-    return out
+def _arrow(*fields: tuple[str, pa.DataType]) -> pa.DataType:
+    return pa.list_(pa.struct(list(fields)))
+
+
+_MATCH_A = [("tag", pa.string()), ("cls", pa.string()), ("parts", pa.list_(pa.string())), ("href", pa.string()), ("inner_href", pa.string())]
+_ALL_A = _arrow(("field", pa.string()), ("rank", pa.int32()), ("el_no", pa.int32()), *_MATCH_A)
+#: the columns of ``_page_schema`` after those that are kept
+PAGE_A = {"fields": _arrow(("field", pa.string()), ("rank", pa.int32()), ("n", pa.int32()), *_MATCH_A), "all_of": _ALL_A,
+          "cards": _arrow(("card_rank", pa.int32()), ("card_no", pa.int32()), *_MATCH_A, ("found", _ALL_A)),
+          "nodes": _arrow(("node_no", pa.int32()), *[(c, pa.string()) for c in ("kind", "parent_tag", "parent_cls", "text")]), "parse_error": pa.string()}
+
+
+def _page_slices(batch: pa.RecordBatch, html_col: str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``SLICE_BYTES`` (one page at least)."""
+    start, held = 0, 0
+    for at, size in enumerate(pc.binary_length(batch.column(html_col)).to_pylist()):
+        size = max(size or 0, PAGE_BYTES)
+        if held and held + size > SLICE_BYTES:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if held:
+        yield batch.slice(start)
+
+
+def _page_rows(rows: pa.RecordBatch, keep: Sequence[str], pages: Sequence[tuple]) -> pa.RecordBatch:
+    found = [pa.array(column, kind) for column, kind in zip(zip(*pages), PAGE_A.values())]
+    return pa.RecordBatch.from_arrays([*[rows.column(k) for k in keep], *found], [*keep, *PAGE_A])
 
 
 def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
@@ -319,15 +347,16 @@ def extract_html(df: DataFrame, keep: Sequence[str], html_col: str = "html", *,
                  text_nodes=text_nodes, texts=texts, first_of=first_of)
     PagePlan(**asked)  # an unsupported selector fails here
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = PagePlan(**asked)
-        for pdf in batches:
-            yield _page_rows(pdf, keep, [plan.page(html) for html in pdf[html_col]])
+        for batch in batches:
+            for rows in _page_slices(batch, html_col):
+                yield _page_rows(rows, keep, [plan.page(html) for html in rows.column(html_col).to_pylist()])
 
     schema = _page_schema(df, keep)
     # only the key columns and the html travel to Python; Spark bounds an Arrow batch by bytes
-    # (spark.sql.execution.arrow.maxBytesPerBatch), so large pages do not pile up in a worker
-    return df.select(*keep, html_col).mapInPandas(run, schema)
+    # (spark.sql.execution.arrow.maxBytesPerBatch), and its matches are made and handed on slice by slice
+    return df.select(*keep, html_col).mapInArrow(run, schema)
 
 
 def _page_schema(df: DataFrame, keep: Sequence[str]) -> str:
@@ -345,18 +374,19 @@ def extract_cards_by_source(pages: DataFrame, config: DataFrame, keep: Sequence[
     met = pages.join(F.broadcast(config), "source")
     keep = [*keep, *[c for c in config.columns if c not in keep and c != "selectors"]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[str, PagePlan] = {}
-        for pdf in batches:
-            rows = []
-            for selectors, html in zip(pdf["selectors"], pdf[html_col]):
-                if selectors not in plans:
-                    named = json.loads(selectors)
-                    plans[selectors] = PagePlan(cards=named.pop("job_card", []), card_fields=named)
-                rows.append(plans[selectors].page(html))
-            yield _page_rows(pdf, keep, rows)
-
-    out = met.select(*keep, "selectors", html_col).mapInPandas(run, _page_schema(met, keep))
+        for batch in batches:
+            for rows in _page_slices(batch, html_col):
+                pages = []
+                for selectors, html in zip(rows.column("selectors").to_pylist(), rows.column(html_col).to_pylist()):
+                    if selectors not in plans:
+                        named = json.loads(selectors)
+                        plans[selectors] = PagePlan(cards=named.pop("job_card", []), card_fields=named)
+                    pages.append(plans[selectors].page(html))
+                yield _page_rows(rows, keep, pages)
+
+    out = met.select(*keep, "selectors", html_col).mapInArrow(run, _page_schema(met, keep))
     return out.select(*keep, "cards", "parse_error", F.size("cards").cast("bigint").alias("n_cards"))
 
 
