@@ -119,6 +119,18 @@ def skill_match(text: Column, terms: Sequence[str] = tuple(fixed.SKILL_TERMS), l
     return F.array_compact(F.array(*[F.when(lt.contains(t.lower()), F.lit(t)) for t in ordered]))
 
 
+#: grams of a dictionary that are looked up inside a text's row
+ROW_GRAMS = 1_000
+
+
+def _at_least(k: int):
+    return lambda g: F.length(g) >= k
+
+
+def _head(k: int):
+    return lambda g: F.substring(g, 1, k)
+
+
 def dictionary_match(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text",
                      term: str = "term", ignore_case: bool = True, gram: int = 3, max_grams: int = 1_000_000) -> DataFrame:
     """J8/A9 for dictionaries too large to unroll: exact substring matching, no cartesian product.
@@ -126,8 +138,8 @@ def dictionary_match(docs: DataFrame, terms: DataFrame, key: str = "doc_id", tex
     A term can only occur in a text that contains its first ``gram`` characters (or the whole
     term when it is shorter), so an equi-join on those grams yields every candidate
     (doc, term) pair; ``contains`` then verifies each candidate. Documents explode their
-    distinct grams of the lengths the dictionary needs (linear in the text); the dictionary's
-    gram set (broadcast up to ``max_grams``, counted first) drops most of them before the shuffle, the text
+    distinct grams (linear in the text, one scan for all lengths); the dictionary's gram set, counted first,
+    drops most of them: inside the row up to ``ROW_GRAMS``, by a broadcast join before the shuffle up to ``max_grams``. The text
     side is never broadcast, and a gram present in a third of all texts is a hot key that AQE splits.
     Returns (key, matched terms sorted, code-point order).
     """
@@ -136,16 +148,28 @@ def dictionary_match(docs: DataFrame, terms: DataFrame, key: str = "doc_id", tex
          .distinct().withColumn("__lt", norm(F.col("__term"))))
     t = t.withColumn("__g", F.substring("__lt", 1, gram)).withColumn("__k", F.length("__g"))
     d = docs.select(F.col(key).alias("__key"), norm(F.coalesce(F.col(text), F.lit(""))).alias("__lt_doc"))
-    # every overlapping k-gram in one native regex pass (zero-width lookahead capture), all lengths in one scan
-    found = [F.transform(F.array_distinct(F.regexp_extract_all("__lt_doc", F.lit("(?s)(?=(.{%d}))" % k), F.lit(1))),
-                         lambda g: F.struct(F.length(g).alias("__k"), g.alias("__g"))) for k in range(1, gram + 1)]
-    grams = d.select("__key", F.explode(F.concat(*found)).alias("x")).select("__key", "x.__k", "x.__g")
+    # every place's longest gram in one native regex pass (zero-width lookahead capture), distinct before the shorter
+    # ones are taken from its head: a text has far fewer distinct grams than places
+    whole = d.select("__key", F.array_distinct(F.regexp_extract_all("__lt_doc", F.lit("(?s)(?=(.{1,%d}))" % gram), F.lit(1))).alias("__whole"))
+    # a small gram set is met inside the row, before the grams become rows; a larger one by a broadcast join
+    known = t.select("__k", "__g").distinct()
+    n_known = known.limit(max_grams + 1).count()
+    inside = known.collect() if n_known <= min(max_grams, ROW_GRAMS) else None
+    found = [F.array().cast("array<struct<__k:int,__g:string>>")]
+    for k in range(1, gram + 1):
+        heads = F.transform(F.filter("__whole", _at_least(k)), _head(k))
+        mine = [r["__g"] for r in inside or () if r["__k"] == k]
+        if inside is None or mine:
+            heads = F.array_distinct(heads) if inside is None else F.array_intersect(heads, F.array(*[F.lit(g) for g in mine]))
+            found.append(F.transform(heads, lambda g: F.struct(F.length(g).alias("__k"), g.alias("__g"))))
+    # (outer: for a plain explode Spark adds a filter on the array's size, which scans the text a second time; the
+    # null rows of texts without a gram meet nothing in the joins)
+    grams = whole.select("__key", F.explode_outer(F.concat(*found)).alias("x")).select("__key", "x.__k", "x.__g")
     empty = F.array().cast("array<struct<__term:string,__lt:string>>")
     # each term has exactly one (length, gram) key and grams are distinct per text, so the
     # candidate pairs are unique; they are collected per text (small rows, partial aggregate)
     # and verified inside the row after one join with the texts
-    known = t.select("__k", "__g").distinct()
-    if known.limit(max_grams + 1).count() <= max_grams:
+    if inside is None and n_known <= max_grams:
         grams = grams.join(F.broadcast(known), ["__k", "__g"], "left_semi")
     cand = (grams.hint("merge").join(t, ["__k", "__g"]).groupBy("__key")
             .agg(F.collect_list(F.struct("__term", "__lt")).alias("__c")))
