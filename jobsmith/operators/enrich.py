@@ -50,6 +50,12 @@ def with_canonical_url(df: DataFrame, url: str = "url", param: str = fixed.URL_K
     return df.withColumn(out, canonical_url(F.col(url), url_key_strict(F.col(url), param), fmt))
 
 
+def successful_only(details: DataFrame) -> DataFrame:
+    """Details whose text and date are null unless their status is 'success': no posting takes them, so they need not travel."""
+    ok = F.col("status") == "success"
+    return details.withColumns({c: F.when(ok, F.col(c)) for c in ("description", "posted_date")})
+
+
 def enrich(postings: DataFrame, details: DataFrame, key: str = "canonical_url",
            detail_key: str | None = None, detail_ordinal: str | None = None) -> DataFrame:
     """Left join details; on status 'success' replace description AND posted_date together.
@@ -58,7 +64,7 @@ def enrich(postings: DataFrame, details: DataFrame, key: str = "canonical_url",
     reduced to the first (by ``detail_ordinal``) so the join stays 1:1.
     """
     dk = detail_key or key
-    d = details.select(F.col(dk).alias("__dk"), F.col("description").alias("__dd"),
+    d = successful_only(details).select(F.col(dk).alias("__dk"), F.col("description").alias("__dd"),
                        F.col("posted_date").alias("__dp"), F.col("status").alias("__ds"),
                        *([F.col(detail_ordinal).alias("__do")] if detail_ordinal else []))
     if detail_ordinal:

@@ -678,7 +678,7 @@ def q_stream_enrich(spark, d):
     posts, state, details = _enrich_inputs(spark, d)
     fields = ["description", "posted_date"]
     p = posts.select("url", "ordinal", *fields)
-    details = cut_lineage(details, "stream-details")  # read by every batch
+    details = cut_lineage(en.successful_only(details), "stream-details")  # read by every batch
     base, ckpt = work_path(spark, "enrich-state"), work_path(spark, "enrich-ckpt")
     seed_state(state, base, fields, buckets=16)
     for src in _arrivals(spark, p, "ordinal", "enrich-src"):

@@ -75,12 +75,18 @@ def read_state(spark: SparkSession, base: str, version: int | None = None, only:
     return spark.read.schema(schema).parquet(*full) if full else spark.createDataFrame([], schema)
 
 
-def _write(rows: DataFrame, base: str, key: str, buckets: int) -> tuple[str, int]:
-    """Writes rows by bucket into folders of their own; returns the folder and the number of rows."""
+def _write(rows: DataFrame, base: str, key: str, buckets: int, dealt: bool = False) -> tuple[str, int]:
+    """Writes rows by bucket into folders of their own; returns the folder and the number of rows.
+
+    ``dealt``: the rows come from a join on their key, so their partitions are even already and are written as they
+    are (every task a file a bucket) instead of being moved once more."""
     folder, spark = f"data/{uuid.uuid4().hex}", rows.sparkSession
     at = f"{base.rstrip('/')}/{folder}"
-    # rebalanced by bucket: a large bucket gets several files, small ones share a task
-    rows.withColumn("bucket", bucket_of(key, buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(at)
+    rows = rows.withColumn("bucket", bucket_of(key, buckets))
+    if not dealt:  # rebalanced by bucket: a large bucket gets several files, small ones share a task
+        rows = rows.hint("rebalance", "bucket")
+    rows.write.option("compression", "zstd").partitionBy("bucket").parquet(at)
+    rows = rows.drop("bucket")
     return folder, spark.read.schema(rows.schema).parquet(at).count() if _written(spark, base, folder) else 0  # from the files' footers
 
 
@@ -119,7 +125,7 @@ def commit_state(rows: DataFrame, added: DataFrame, base: str, before: Manifest,
     if newest.version != before.version:
         raise RuntimeError(f"state moved on from version {before.version} to {newest.version}")
     columns = T.StructType.fromJson(json.loads(before.schema)).names
-    folder, n = _write(rows.filter(has_key(key)).select(*columns).unionByName(added.filter(~has_key(key)).select(*columns)), base, key, before.buckets)
+    folder, n = _write(rows.filter(has_key(key)).select(*columns).unionByName(added.filter(~has_key(key)).select(*columns)), base, key, before.buckets, dealt=True)
     folders = {name: list(paths) for name, paths in before.folders.items() if name not in set(touched)}
     for name in _written(spark, base, folder):
         folders[name] = (folders.get(name, []) if name == KEYLESS else []) + [f"{folder}/bucket={name}"]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobsmith.operators.enrich import enrich_run, with_canonical_url
+from jobsmith.operators.enrich import enrich_run, successful_only, with_canonical_url
 from jobsmith.operators.identity import keep_first
 from jobsmith.sources import key_index
 from jobsmith.sources.folders import delete, exists, list_names, move, read_text, write_new
@@ -236,7 +236,7 @@ def enrich_batch(batch: DataFrame, batch_id: int, state_base: str, details: Data
                                      F.col(ordinal).cast("bigint").alias("ordinal")).alias("place"), *fields)
     # details of other postings are not sorted out batch by batch
     wanted = with_canonical_url(batch.select(key), key).select(F.col("canonical_url").alias("wanted"))
-    details = details.join(wanted, F.col("canonical_url") == F.col("wanted"), "left_semi")
+    details = successful_only(details).join(wanted, F.col("canonical_url") == F.col("wanted"), "left_semi")
     # the flags are not used here: only the per-posting outcome (read twice) is materialized
     merged, _ = enrich_run(new, old, details, fields, key, "place", materialize="outcome")
     merged = merged.select(key, "place.*", *fields)
